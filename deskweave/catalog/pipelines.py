@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import defaults as d
 from ..functions import replies as r
 from ..functions.rules import first_gate
-from ..functions.sops import match_sop
+from ..operators.procedures import sop_match
 from ..operators.triage import decide
 from ..plans.baselines import retrieval_policy_report
 from ..plans.corpus import CorpusRules, build_corpus
@@ -50,8 +50,8 @@ def triage_inputs(t):
         "id", "customer_text", "predicted_intent", "embedding", "difficulty_tier", "gold_intent", "gold_decision")
     texts = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("brand_reply_text"))
     past = v.corpus(t).join(texts, "vec_id", "left").select("vec_id", "embedding", "silver_intent", "brand_reply_text")
-    sop = match_sop(F.col("predicted_intent"), F.col("customer_text"), v.LABEL_SOPS)
-    keyed = messages.select("id", "customer_text", r.candidate_procedure(F.lit(False), F.lit(None).cast("string"), sop).alias("procedure"))
+    matched = sop_match(messages.select("id", "customer_text", "predicted_intent"), "predicted_intent", "customer_text", v.LABEL_SOPS)
+    keyed = matched.select("id", "customer_text", r.candidate_procedure(F.lit(False), F.lit(None).cast("string"), F.col("sop")).alias("procedure"))
     verdicts = keyed.filter(F.col("id") % 7 != 0).groupBy(r.verdict_key(F.col("customer_text"), F.col("procedure")).alias("verdict_key")).agg(
         (F.min("id") % 3 != 0).alias("resolves_problem"), F.lit("stored").alias("reason"))
     return messages, past, verdicts
@@ -161,7 +161,7 @@ def _(t):
 def _(t):
     """Gated messages escalate even at similarity 0.99 with an approving verdict."""
     intent = F.when(F.col("lang") == "es", v.OTHER)
-    rows = t.documents.select(first_gate(F.col("text"), v.GATES, intent, v.OTHER, v.CATCH_ALL).alias("gate")).filter("gate IS NOT NULL")
+    rows = t.texts().select(first_gate(F.col("text"), v.GATES, intent, v.OTHER, v.CATCH_ALL).alias("gate")).filter("gate IS NOT NULL")
     routed = rows.withColumn("r", decide(F.col("gate"), F.lit(0.99), F.lit(True)))
     bad = (F.col("r.decision") != d.ESCALATE) | (F.col("r.gate_triggered") != F.col("gate.gate"))
     return routed.groupBy("gate.gate").agg(F.count(F.lit(1)).alias("fired"), F.count_if(bad).alias("violations"))

@@ -23,7 +23,7 @@ from .views import PREDS, PREDS_CTES, hit, lit, with_
 @query("gate_join", " UNION ALL ".join(
     f"SELECT doc_id, {i}::BIGINT AS rank, {lit(x.name)} AS gate FROM documents WHERE {hit(x, 'text')}" for i, x in enumerate(v.GATES)))
 def _(t):
-    fired = t.documents.select("doc_id", F.explode(gate_array(F.col("text"), v.GATES)).alias("g"))
+    fired = t.texts().select("doc_id", F.explode(gate_array(F.col("text"), v.GATES)).alias("g"))
     return fired.select("doc_id", "g.rank", "g.gate")
 
 
@@ -31,7 +31,7 @@ def _(t):
   {v.first_gate_sql(v.GATES, 'text', "CASE WHEN lang = 'es' THEN 'c9' END", 'reason')} AS reason FROM documents""")
 def _(t):
     intent = F.when(F.col("lang") == "es", v.OTHER)
-    rows = t.documents.withColumn("g", first_gate(F.col("text"), v.GATES, intent, v.OTHER, v.CATCH_ALL))
+    rows = t.texts().withColumn("g", first_gate(F.col("text"), v.GATES, intent, v.OTHER, v.CATCH_ALL))
     return rows.select("doc_id", "g.gate", "g.reason")
 
 

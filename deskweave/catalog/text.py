@@ -57,7 +57,7 @@ SELECT doc_id, round(n_ascii::DOUBLE / nullif(n, 0), 6) AS ascii_share,
   CASE WHEN coalesce(n, 0) = 0 THEN 'und' WHEN n_ascii::DOUBLE / n >= 0.97 THEN 'en_likely' ELSE 'non_en' END AS guess FROM r""")
 def _(t):
     text = F.col("text")
-    return t.documents.select("doc_id", F.round(x.ascii_ratio(text), 6).alias("ascii_share"), x.language_guess(text, 0.97).alias("guess"))
+    return t.texts().select("doc_id", F.round(x.ascii_ratio(text), 6).alias("ascii_share"), x.language_guess(text, 0.97).alias("guess"))
 
 
 @query("min_length", with_(HANDLED) + f"""SELECT msg_id, length({v.strip('text')}) AS n_chars FROM handled
@@ -133,7 +133,7 @@ def _(t):
     mixed = (
         F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, F.concat(F.lit("@u"), doc))
         .when(kind == 3, " \t" + NBSP).when(kind == 4, "@a ok").when(kind == 5, "@a yes").otherwise(F.col("text")))
-    rows = t.documents.select("doc_id", mixed.alias("text")).withColumn("degenerate", r.is_degenerate(F.col("text")))
+    rows = t.texts().select("doc_id", mixed.alias("text")).withColumn("degenerate", r.is_degenerate(F.col("text")))
     rec = rows.withColumn("rec", F.when(F.col("degenerate"), degenerate_record(doc.cast("string"))))
     return rec.select("doc_id", "degenerate", "rec.predicted_intent", "rec.decision", "rec.gate_triggered",
                       "rec.calibrated_confidence", F.array_join("rec.evidence_used", "|").alias("evidence"), "rec.grounding_source")
@@ -266,7 +266,7 @@ def _(t):
 FROM (SELECT doc_id, {v.sop_sql(v.LANG_SOPS, 'lang', 'text', lambda s: lit(s.name))} AS sop_name,
   {v.sop_sql(v.LANG_SOPS, 'lang', 'text', lambda s: lit(chr(10).join(s.steps)))} AS sop_lines FROM documents)""")
 def _(t):
-    rows = sop_match(t.documents.select("doc_id", "lang", "text"), "lang", "text", v.LANG_SOPS)
+    rows = sop_match(t.texts().select("doc_id", "lang", "text"), "lang", "text", v.LANG_SOPS)
     return rows.select("doc_id", r.policy_context(F.col("sop")).alias("context"))
 
 
@@ -294,7 +294,7 @@ def _(t):
 FROM documents GROUP BY 1""")
 def _(t):
     keep = v.ACTION_WORDS.hits(F.col("text")) & ~v.EXCLUDE_WORDS.hits(F.col("text"))
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after"))
+    return t.texts().groupBy("lang").agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after"))
 
 
 EVENT_CODES = {"e": "error", "error": "error", "c": "click", "click": "click", "v": "view", "p": "purchase", "purchase": "purchase"}
@@ -326,4 +326,4 @@ def _(t):
 
 @query("sop_match", f"""SELECT doc_id, {v.sop_sql(v.LANG_SOPS, 'lang', 'text', lambda s: lit(s.sop_id))} AS sop_id FROM documents""")
 def _(t):
-    return sop_match(t.documents, "lang", "text", v.LANG_SOPS).select("doc_id", "sop.sop_id")
+    return sop_match(t.texts(), "lang", "text", v.LANG_SOPS).select("doc_id", "sop.sop_id")

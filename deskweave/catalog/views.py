@@ -6,6 +6,9 @@ shape as the domain defaults.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from ..functions.text import HANDLE, SPACE
 from ..operators.neighbours import knn
 from ..operators.sampling import stratified_split
 from ..operators.triage import decide
+from ..sources.tables import spread
 
 BRAND = "assistant"
 LABELS = tuple(f"c{i}" for i in range(10))
@@ -37,7 +41,7 @@ ACTION_WORDS = Rule("action", "was|zu|en|le|is")
 QUESTION_WORDS = Rule("question", "by|von")
 GATES = (
     Rule("billing_dispute", r"licen[cs]ed?|copyright", "licence wording"),
-    Rule("account_security", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "contact data", whole_word=False),
+    Rule("account_security", r"[A-Za-z0-9._]@[A-Za-z0-9]", "contact data", whole_word=False),
     Rule("legal_safety", r"[0-9]{8,}", "long number", whole_word=False),
     Rule("exhausted_troubleshooting", r"worthless|nicht\s+(die|der)", "junk wording"),
 )
@@ -57,15 +61,34 @@ LABEL_SOPS = tuple(
 )
 
 
+SCHEMAS = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 class Tables:
-    """Lazy access to the parquet tables of one folder."""
+    """Lazy access to the parquet tables of one folder; known schemas spare a look at the files."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self.views: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        frame = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, frame)
+        return frame
+
+    def texts(self) -> DataFrame:
+        """Documents for pattern work, which is bound by CPU, not by reading."""
+        return spread(self.documents)
 
 
 # --- SQL text helpers ------------------------------------------------------
@@ -83,6 +106,18 @@ def trim(col: str) -> str:
     return f"regexp_replace({col}, {lit(f'^{SPACE}+|{SPACE}+$')}, '', 'g')"
 
 
+def view(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Build a view once per query; the frame is then shared by its uses."""
+
+    @functools.wraps(build)
+    def once(t: Tables) -> DataFrame:
+        if build.__name__ not in t.views:
+            t.views[build.__name__] = build(t)
+        return t.views[build.__name__]
+
+    return once
+
+
 def strip(col: str) -> str:
     """SQL twin of strip_handles."""
     return trim(f"regexp_replace(coalesce({col}, ''), {lit(f'^({HANDLE}{SPACE}*)+')}, '')")
@@ -119,6 +154,7 @@ def with_(*ctes: str) -> str:
 # --- views -----------------------------------------------------------------
 
 
+@view
 def msgs(t: Tables) -> DataFrame:
     """Messages with the reply edge to the previous turn."""
     msg_id = F.col("conv_id") * 1000000 + F.col("turn")
@@ -133,6 +169,7 @@ MSGS = """msgs AS (
   FROM conversations)"""
 
 
+@view
 def user_turns(t: Tables) -> DataFrame:
     return msgs(t).filter("inbound").select("msg_id", "text")
 
@@ -140,6 +177,7 @@ def user_turns(t: Tables) -> DataFrame:
 USERS = "users AS (SELECT conv_id*1000000 + turn AS msg_id, text FROM conversations WHERE role = 'user')"
 
 
+@view
 def replies(t: Tables) -> DataFrame:
     return msgs(t).filter(F.col("author") == BRAND).select("msg_id", "text")
 
@@ -147,6 +185,7 @@ def replies(t: Tables) -> DataFrame:
 REPLIES = "replies AS (SELECT conv_id*1000000 + turn AS msg_id, text FROM conversations WHERE role = 'assistant')"
 
 
+@view
 def evalf(t: Tables) -> DataFrame:
     """Labelled rows that have a vector: the golden set."""
     gold = t.labels.select(
@@ -166,6 +205,7 @@ EVALF = """evalf AS (
   FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id JOIN documents d ON d.doc_id = e.vec_id)"""
 
 
+@view
 def golden_ids(t: Tables) -> DataFrame:
     """Ids of the golden set alone (no texts or vectors are read)."""
     return t.embeddings.select(F.col("vec_id").alias("id")).join(
@@ -173,6 +213,7 @@ def golden_ids(t: Tables) -> DataFrame:
         t.documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
 
 
+@view
 def corpus(t: Tables) -> DataFrame:
     """Past cases: vectors outside the golden set."""
     rows = t.embeddings.select("vec_id", "embedding", "label", F.concat(F.lit("c"), F.col("label")).alias("silver_intent"))
@@ -201,6 +242,7 @@ def verdict() -> Column:
 VERDICT = "CASE WHEN id % 7 <> 0 THEN id % 3 <> 0 END"
 
 
+@view
 def classified(t: Tables) -> DataFrame:
     """Golden rows with the stored intent and confidence."""
     return evalf(t).withColumn("predicted_intent", predicted_intent()).withColumn(
@@ -210,6 +252,7 @@ def classified(t: Tables) -> DataFrame:
 CLASSIFIED = f"classified AS (SELECT *, {PREDICTED} AS predicted_intent, 0.5 + (id % 50) / 100.0 AS confidence FROM evalf)"
 
 
+@view
 def top1(t: Tables) -> DataFrame:
     """(id, hit_id, similarity): best past case within the predicted intent."""
     rows = classified(t)
@@ -233,6 +276,7 @@ top1 AS (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, hit_id DESC) AS rn FROM sims) WHERE rn <= {k})"""
 
 
+@view
 def gated_rows(t: Tables) -> DataFrame:
     """Stored intents plus best case, first gate and verdict, without texts and vectors."""
     rows = classified(t)
@@ -283,8 +327,12 @@ PREDS = with_(*PREDS_CTES)
 
 
 def split_preds(t: Tables) -> DataFrame:
-    """Decided rows with their half of an exact stratified split."""
-    return with_split(preds(t))
+    """Decided rows with their half of an exact stratified split.
+
+    The split needs ids and strata only, so it is made before the scoring.
+    """
+    halves = with_split(evalf(t).select("id", "gold_intent", "difficulty_tier")).select("id", "split")
+    return preds(t).join(halves, "id")
 
 
 def with_split(rows: DataFrame, size: int | float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -111,33 +112,32 @@ def default_sops(product: str) -> tuple[Sop, ...]:
     )
 
 
-def sop_struct(sop: Sop) -> Column:
-    return F.struct(
-        F.lit(sop.sop_id).alias("sop_id"),
-        F.lit(sop.name).alias("name"),
-        F.array(*[F.lit(s) for s in sop.steps]).cast("array<string>").alias("steps"),
-    )
+_SOP_ITEMS = "array<struct<sop_id: string, name: string, steps: array<string>>>"
 
 
-def match_sop(intent: Column, text: Column, sops: Sequence[Sop]) -> Column:
-    """First procedure of the intent with a trigger inside the text.
+def match_sop(intent: Column, lowered: Column, sops: Sequence[Sop]) -> Column:
+    """First procedure of the intent with a trigger inside the lower-case text.
 
     Falls back to the intent's first procedure; null for an intent without any.
-    Triggers are plain substrings, as the procedure authors expect.
+    Triggers are plain substrings, as the procedure authors expect.  Only a
+    position is computed per row; the records are one constant array.
     """
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    by_intent: dict[str, list[Sop]] = {}
-    for sop in sops:
-        by_intent.setdefault(sop.intent, []).append(sop)
+    by_intent: dict[str, list[int]] = {}
+    for position, sop in enumerate(sops, start=1):
+        by_intent.setdefault(sop.intent, []).append(position)
     per_intent = []
-    for name, group in by_intent.items():
-        chosen = [F.when(_any_trigger(lowered, s.triggers), sop_struct(s)) for s in group if s.triggers]
-        per_intent.append(F.when(intent == name, F.coalesce(*chosen, sop_struct(group[0]))))
-    return F.coalesce(*per_intent)
+    for name, positions in by_intent.items():
+        chosen = F.lit(positions[0])
+        for position in reversed(positions):
+            if sops[position - 1].triggers:
+                chosen = F.when(_any_trigger(lowered, sops[position - 1].triggers), F.lit(position)).otherwise(chosen)
+        per_intent.append(F.when(intent == name, chosen))
+    records = json.dumps([{"sop_id": s.sop_id, "name": s.name, "steps": list(s.steps)} for s in sops])
+    return F.try_element_at(F.from_json(F.lit(records), _SOP_ITEMS), F.coalesce(*per_intent))
 
 
 def _any_trigger(lowered: Column, triggers: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for trigger in triggers:
+    found = lowered.contains(triggers[0])
+    for trigger in triggers[1:]:
         found = found | lowered.contains(trigger)
-    return found
+    return F.coalesce(found, F.lit(False))

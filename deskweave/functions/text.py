@@ -14,6 +14,12 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 NOT_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
 
+# Every character Python's str.strip removes.
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 HANDLE = "@" + WORD + "+"
 URL = "https?://" + NOT_SPACE + "+"
 
@@ -33,8 +39,8 @@ def matches(col: Column, pattern: str) -> Column:
 
 
 def trim_all(col: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim every kind of white space, not only blanks; looks at the ends of the text only."""
+    return F.trim(col, F.lit(WHITESPACE))
 
 
 def sanitize_newlines(col: Column) -> Column:

@@ -15,15 +15,26 @@ def merge_ratings(human: DataFrame, judge: DataFrame, keys: Sequence[str] = ("id
     return human.join(judge, list(keys))
 
 
+def rating_cells(df: DataFrame, columns: Sequence[str], weight: str = "weight") -> DataFrame:
+    """Ratings counted per combination of their values: few rows, whatever the input size."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(weight))
+
+
+def _weight(weight: str | None) -> Column:
+    return F.lit(1).cast("long") if weight is None else F.col(weight)
+
+
 def agreement(df: DataFrame, tier: str = "difficulty_tier", human: str = "human_decision",
-              judge: str = "judge_decision", scores: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+              judge: str = "judge_decision", scores: Sequence[tuple[str, str, str]] = (),
+              weight: str | None = None) -> DataFrame:
     """Agreement rate and mean absolute score errors per tier and 'overall'.
 
-    ``scores`` lists (name, human column, judge column).
+    ``scores`` lists (name, human column, judge column); ``weight`` names the
+    count column of pre-counted ratings.
     """
-    gaps = [F.sum(F.abs(F.col(h) - F.col(j))).cast("double").alias(f"_{name}") for name, h, j in scores]
-    per_tier = df.groupBy(tier).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(human) == F.col(judge)).alias("agreed"), *gaps)
+    w = _weight(weight)
+    gaps = [F.sum(w * F.abs(F.col(h) - F.col(j))).cast("double").alias(f"_{name}") for name, h, j in scores]
+    per_tier = df.groupBy(tier).agg(F.sum(w).alias("n"), _count(F.col(human) == F.col(judge), w).alias("agreed"), *gaps)
     rolled = per_tier.rollup(tier).agg(
         F.sum("n").alias("n"), F.sum("agreed").alias("agreed"),
         *[F.sum(f"_{name}").alias(f"_{name}") for name, _, _ in scores], F.grouping(tier).alias("_all"))
@@ -33,21 +44,27 @@ def agreement(df: DataFrame, tier: str = "difficulty_tier", human: str = "human_
         *[rate(F.col(f"_{name}"), F.col("n")).alias(f"{name}_mae") for name, _, _ in scores])
 
 
+def _count(condition: Column, weight: Column) -> Column:
+    return F.sum(F.when(condition, weight).otherwise(F.lit(0).cast("long")))
+
+
 def discordant(df: DataFrame, human: str = "human_decision", judge: str = "judge_decision") -> DataFrame:
     return df.filter(F.col(human) != F.col(judge))
 
 
 def kappa_with_ci(df: DataFrame, tier: str = "difficulty_tier", human: str = "human_decision",
-                  judge: str = "judge_decision", labels: Sequence[str] = ("pass", "fail"), z: float = 1.96) -> DataFrame:
+                  judge: str = "judge_decision", labels: Sequence[str] = ("pass", "fail"), z: float = 1.96,
+                  weight: str | None = None) -> DataFrame:
     """Cohen's kappa, its asymptotic standard error and a clamped interval, per tier and 'overall'.
 
     Two identical constant raters (expected agreement 1) get kappa 0.
     """
     inside = df.filter(F.col(human).isin(*labels) & F.col(judge).isin(*labels))
-    marginals: list[Column] = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(human) == F.col(judge)).alias("same")]
+    w = _weight(weight)
+    marginals: list[Column] = [F.sum(w).alias("n"), _count(F.col(human) == F.col(judge), w).alias("same")]
     names = ["n", "same"]
     for i, label in enumerate(labels):
-        marginals += [F.count_if(F.col(human) == label).alias(f"_h{i}"), F.count_if(F.col(judge) == label).alias(f"_j{i}")]
+        marginals += [_count(F.col(human) == label, w).alias(f"_h{i}"), _count(F.col(judge) == label, w).alias(f"_j{i}")]
         names += [f"_h{i}", f"_j{i}"]
     per_tier = inside.groupBy(tier).agg(*marginals)
     rolled = per_tier.rollup(tier).agg(*[F.sum(c).alias(c) for c in names], F.grouping(tier).alias("_all"))
@@ -69,16 +86,16 @@ def kappa_with_ci(df: DataFrame, tier: str = "difficulty_tier", human: str = "hu
         F.round(F.least(F.lit(1.0), F.col("kappa") + z * F.col("se")), DECIMALS).alias("ci_high"))
 
 
-def spearman(df: DataFrame, x: str, y: str, name: str | None = None) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, name: str | None = None, weight: str | None = None) -> DataFrame:
     """(metric, n, spearman): rank correlation with average ranks; 0 if a side is constant.
 
     Rows are counted per distinct value pair first, so a value shared by most
     rows is one row in everything that follows.
     """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = both.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    ranks_x = average_ranks(both.select(F.col(x).alias("_x")), "_x").select("_x", F.col("avg_rank").alias("_rx"))
-    ranks_y = average_ranks(both.select(F.col(y).alias("_y")), "_y").select("_y", F.col("avg_rank").alias("_ry"))
+    pairs = both.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.sum(_weight(weight)).alias("_n"))
+    ranks_x = average_ranks(pairs.select("_x", "_n"), "_x", "_n").select("_x", F.col("avg_rank").alias("_rx"))
+    ranks_y = average_ranks(pairs.select("_y", "_n"), "_y", "_n").select("_y", F.col("avg_rank").alias("_ry"))
     n, rx, ry = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
     sums = pairs.join(ranks_x, "_x").join(ranks_y, "_y").agg(
         F.sum("_n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))

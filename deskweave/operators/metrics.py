@@ -7,7 +7,7 @@ aggregation works on a handful of rows however large the input is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +60,8 @@ def class_counts(df: DataFrame, gold: str = "gold_intent", predicted: str = "pre
     )
 
 
-def _prf(tp: Column, gold_n: Column, predicted_n: Column) -> tuple[Column, Column, Column]:
+def prf(tp: Column, gold_n: Column, predicted_n: Column) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1; 0 where undefined."""
     def plain(part: Column, whole: Column) -> Column:
         return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
@@ -74,7 +75,7 @@ def per_class_prf(df: DataFrame, labels: Sequence[str], gold: str = "gold_intent
     # The label list on the left keeps labels that never occur.
     every = df.sparkSession.createDataFrame([(name,) for name in labels], "label string")
     full = every.join(counted, "label", "left").na.fill(0)
-    precision, recall, f1 = _prf(F.col("tp"), F.col("gold_n"), F.col("predicted_n"))
+    precision, recall, f1 = prf(F.col("tp"), F.col("gold_n"), F.col("predicted_n"))
     return full.select(
         "label", F.round(precision, DECIMALS).alias("precision"), F.round(recall, DECIMALS).alias("recall"),
         F.round(f1, DECIMALS).alias("f1"), F.col("gold_n").alias("support"), F.col("tp").alias("correct"))
@@ -82,7 +83,7 @@ def per_class_prf(df: DataFrame, labels: Sequence[str], gold: str = "gold_intent
 
 def f1_summary(df: DataFrame, gold: str = "gold_intent", predicted: str = "predicted_intent") -> DataFrame:
     """Macro F1 over the labels seen on either side; weighted F1 by gold support."""
-    f1 = _prf(F.col("tp"), F.col("gold_n"), F.col("predicted_n"))[2]
+    f1 = prf(F.col("tp"), F.col("gold_n"), F.col("predicted_n"))[2]
     return class_counts(df, gold, predicted).withColumn("f1", f1).agg(
         F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), DECIMALS).alias("macro_f1"),
         rate(F.sum(F.col("f1") * F.col("gold_n")), F.sum("gold_n")).alias("weighted_f1"),
@@ -204,24 +205,27 @@ def _bucket(score: Column, cuts: Sequence[float]) -> Column:
 
 
 def threshold_sweep(df: DataFrame, taus: Sequence[float], score: str = "similarity", gated: str = "gated",
-                    gold: str = "gold_decision", tier: str = "difficulty_tier") -> DataFrame:
+                    gold: str = "gold_decision", tier: str = "difficulty_tier",
+                    also_count: Mapping[str, Column] | None = None) -> DataFrame:
     """Single-threshold policy at each tau: gated -> escalate, score >= tau -> auto.
 
     Scores are bucketed between the thresholds and counted once; each tau then
     reads the few bucket counts, so the input is not multiplied by the taus.
+    ``also_count`` adds row counts of other conditions (the same at every tau).
     """
+    counters = dict(also_count or {})
     cuts = sorted(taus)
     reached = F.when(F.col(gated), F.lit(0)).otherwise(_bucket(F.col(score), cuts))
     cells = df.groupBy(reached.alias("reached"), F.col(gold).alias("gold"), F.col(tier).alias("tier")).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(name) for name, c in counters.items()])
     grid = F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.lit(i + 1).alias("needs")) for i, t in enumerate(cuts)])
     per_tau = cells.select("*", F.explode(grid).alias("g")).select(
-        "g.tau", "gold", "tier", "n",
+        "g.tau", "gold", "tier", "n", *counters,
         F.when(F.col("reached") >= F.col("g.needs"), d.AUTO_HANDLE).otherwise(d.ESCALATE).alias("decision"))
     n = F.col("n")
     hit = F.col("gold") == F.col("decision")
     extra = [F.sum(F.when(F.col("tier") == t, n)).alias(f"_n_{t}") for t in d.TIERS] + [
-        F.sum(F.when((F.col("tier") == t) & hit, n)).alias(f"_c_{t}") for t in d.TIERS]
+        F.sum(F.when((F.col("tier") == t) & hit, n)).alias(f"_c_{t}") for t in d.TIERS] + [F.sum(name).alias(name) for name in counters]
     counted = per_tau.groupBy("tau").agg(*routing_counts(F.col("gold"), F.col("decision"), n), *extra)
     rated = with_routing_rates(counted)
     for t in d.TIERS:

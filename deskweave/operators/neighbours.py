@@ -66,10 +66,9 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
     payload_c = [n for n in c.columns if n not in ("scope",)]
     known = F.array(*[F.lit(t) for t in taxonomy]).cast("array<string>")
 
-    # Rows per scope: at most one entry per taxonomy name (plus the global one).
-    in_scope = c.filter(F.col("scope").isin(*taxonomy)) if taxonomy else c.filter(F.lit(False))
-    sizes = _size_map(in_scope.select("scope"))
-    total = c.agg(F.count(F.lit(1))).scalar()
+    # Rows per scope and in total: at most one entry per taxonomy name, plus two.
+    sizes = _size_map(c.select(F.when(F.col("scope").isin(*taxonomy), F.col("scope")).otherwise("").alias("scope"))
+                      if taxonomy else c.select(F.lit("").alias("scope")))
 
     valid = F.array_intersect(F.coalesce(F.col("wanted"), known), known) if taxonomy else known
     # The map is bound to a column first: lambdas may not contain subqueries.
@@ -78,10 +77,9 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
                             lambda acc, s: acc + F.coalesce(F.try_element_at(F.col("_sizes"), s), F.lit(0)))
     searched = F.when(reachable >= k, F.col("_valid")).otherwise(F.array(F.lit(GLOBAL)))
     scoped = counted.select(*payload_q, F.explode(searched).alias("s"))
-    asked = _size_map(counted.select(F.explode(searched).alias("scope")))
+    asked = _asked_map(counted.select(F.explode(searched).alias("scope")))
 
-    corpus_rows = F.when(F.col("s") == GLOBAL, total).otherwise(F.coalesce(F.try_element_at(sizes, F.col("s")), F.lit(0)))
-    corpus_blocks = F.ceil(corpus_rows / corpus_block).cast("long")
+    corpus_blocks = F.ceil(F.coalesce(F.try_element_at(sizes, F.col("s")), F.lit(0)) / corpus_block).cast("long")
     query_blocks = F.ceil(F.coalesce(F.try_element_at(asked, F.col("s")), F.lit(0)) / query_block).cast("long")
 
     homes = F.array_distinct(F.array(F.col("scope"), F.lit(GLOBAL)))
@@ -106,7 +104,15 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
 
 
 def _size_map(scopes: DataFrame) -> Column:
-    """Scalar map scope -> row count; one entry per scope name."""
+    """Scalar map scope -> row count, with the total under the global scope."""
+    counted = scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("scope", "n")))
+    total = F.create_map(F.lit(GLOBAL), F.coalesce(F.sum("n"), F.lit(0)))
+    return counted.agg(F.map_concat(entries, total).alias("m")).scalar()
+
+
+def _asked_map(scopes: DataFrame) -> Column:
+    """Scalar map searched scope -> number of queries."""
     counted = scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     return counted.agg(F.map_from_entries(F.collect_list(F.struct("scope", "n"))).alias("m")).scalar()
 

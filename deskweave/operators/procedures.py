@@ -23,9 +23,10 @@ def sop_table(spark: SparkSession, sops: Sequence[Sop]) -> DataFrame:
         rows, "intent string, sop_rank int, sop_id string, name string, triggers array<string>, steps array<string>")
 
 
-def sop_match(df: DataFrame, intent: str, text: str, sops: Sequence[Sop]) -> DataFrame:
-    """Add the matching procedure as ``sop``."""
-    return df.withColumn("sop", match_sop(F.col(intent), F.col(text), sops))
+def sop_match(df: DataFrame, intent: str, text: str, sops: Sequence[Sop], name: str = "sop") -> DataFrame:
+    """Add the matching procedure as struct ``name``; the text is lower-cased once per row."""
+    lowered = df.withColumn("_lowered", F.lower(text))
+    return lowered.withColumn(name, match_sop(F.col(intent), F.col("_lowered"), sops)).drop("_lowered")
 
 
 def sop_inventory(messages: DataFrame, intent: str, sops: Sequence[Sop]) -> DataFrame:

@@ -37,10 +37,11 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object, prefix_chars: int = 3) -> DataFrame:
-    """Add ``rank`` (1.. within the stratum by seeded hash), ``stratum_n`` and ``stratum_before``.
+    """Add ``rank`` (1.. within the stratum by seeded hash), ``stratum_n``, ``stratum_before`` and ``all_n``.
 
     ``stratum_before`` is the number of rows in the strata sorting earlier, so
-    ``stratum_before + rank`` numbers all rows.  Pieces are leading hash digits:
+    ``stratum_before + rank`` numbers all ``all_n`` rows.  ``df`` is read twice
+    (rank and count), so pass narrow rows and join the result by id.  Pieces are leading hash digits:
     equally large whatever the data, and already in order.
     """
     hashed = df.withColumn("_hash", seeded_hash(F.col(id_col), seed)).withColumn(
@@ -57,6 +58,7 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object,
         pieces.groupBy(*strata)
         .agg(F.sum("_n").alias("stratum_n"))
         .withColumn("stratum_before", F.coalesce(F.sum("stratum_n").over(earlier), F.lit(0)))
+        .withColumn("all_n", F.sum("stratum_n").over(earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     offsets = offsets.join(totals, list(strata)).drop("_n")
     return (
@@ -93,8 +95,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     )
 
 
-def average_ranks(df: DataFrame, value: str, pieces: int = 64) -> DataFrame:
-    """(value, n, avg_rank) over the distinct values, ties sharing their mean rank."""
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0))
+def average_ranks(df: DataFrame, value: str, weight: str, pieces: int = 64) -> DataFrame:
+    """(value, n, avg_rank) over the distinct values of pre-counted rows, ties sharing their mean rank."""
+    counted = df.groupBy(value).agg(F.sum(weight).alias("n")).withColumn("_all", F.lit(0))
     summed = running_sums(counted, ["_all"], [value], {"upto": F.col("n")}, pieces)
     return summed.select(value, "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))

@@ -38,20 +38,19 @@ def stratified_split(df: DataFrame, strata: Sequence[str], id_col: str, test_siz
 
     Rows are numbered through all strata; row ``r`` of ``total`` is a test row
     when ``ceil(r * size / total)`` steps up, in integer arithmetic.  A share is
-    rounded up to a whole number of rows.
+    rounded up to a whole number of rows.  Pass narrow rows (id and strata) and
+    join the split by id: ``df`` is read twice.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = F.col("all_n")
     if isinstance(test_size, float):
         size = F.ceil(total * F.lit(test_size)).cast("long")
     else:
         size = F.least(F.lit(test_size).cast("long"), total)
     ranked = hash_ranks(df, strata, id_col, seed)
-    number = F.col("stratum_before") + F.col("rank")
-
-    picked = ranked.withColumn("_r", number).withColumn("_total", total).withColumn("_size", size)
-    up = F.expr("(_r * _size + _total - 1) div _total > ((_r - 1) * _size + _total - 1) div _total")
-    return picked.withColumn(col, F.when(up, test_name).otherwise(train_name)).drop(
-        "_r", "_total", "_size", "rank", "stratum_n", "stratum_before")
+    numbered = ranked.withColumn("_r", F.col("stratum_before") + F.col("rank")).withColumn("_size", size)
+    up = F.expr("(_r * _size + all_n - 1) div all_n > ((_r - 1) * _size + all_n - 1) div all_n")
+    return numbered.withColumn(col, F.when(up, test_name).otherwise(train_name)).drop(
+        "_r", "_size", "rank", "stratum_n", "stratum_before", "all_n")
 
 
 def seeded_head(df: DataFrame, id_col: str, n: int, seed: object = 42) -> DataFrame:

@@ -45,11 +45,11 @@ def retrieval_policy_report(golden: DataFrame, corpus: DataFrame, gates: Sequenc
     rows = golden.select("id", "gold_intent", "gold_decision", "difficulty_tier", gated.alias("gated"))
     nearest = tfidf_nearest(golden.select("id", "text"), corpus.select("id", "text"), n_terms)
     intents = corpus.select(F.col("id").alias("hit_id"), F.col("silver_intent").alias("hit_intent"))
-    # Swept and matched below; persisted so the search runs once.
-    scored = rows.join(nearest, "id").join(intents, "hit_id", "left").persist()
-    sweep = m.threshold_sweep(scored, taus)
-    match = m.match_rate(scored.filter(F.col("gold_intent").isin(*in_taxonomy)), "gold_intent", "hit_intent")
-    return sweep.withColumn("intent_match", match.select("match_rate").scalar())
+    scored = rows.join(nearest, "id").join(intents, "hit_id", "left")
+    known = F.col("gold_intent").isin(*in_taxonomy)
+    sweep = m.threshold_sweep(scored, taus, also_count={
+        "_known": known, "_matched": known & (F.col("gold_intent") == F.col("hit_intent"))})
+    return sweep.withColumn("intent_match", m.rate(F.col("_matched"), F.col("_known"))).drop("_known", "_matched")
 
 
 def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: float = 1.0, max_iter: int = 500):

@@ -29,83 +29,115 @@ def evaluation_cells(preds: DataFrame, split: str = "split") -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("calibrated_confidence").alias("confidence_sum"))
 
 
-def evaluation_report(preds: DataFrame, labels: Sequence[str], split: str = "split") -> DataFrame:
-    """Classification, routing per split and tier, distributions and confidences."""
-    # A small table read by every section below; persisted so the scoring behind it runs once.
-    cells = evaluation_cells(preds, split).persist()
-    n = F.col("n")
-    zero = F.lit(0).cast("long")
-    in_taxonomy = F.col("gold_intent").isin(*labels)
-    right = F.col("gold_intent") == F.col("predicted_intent")
-
-    classified = cells.filter(in_taxonomy).groupBy("difficulty_tier").agg(
-        F.sum(n).alias("total"), F.sum(F.when(right, n).otherwise(zero)).alias("correct"))
-    by_tier = _with_total(classified, "difficulty_tier", ["total", "correct"], "classification").withColumn(
-        "accuracy", m.rate(F.col("correct"), F.col("total")))
-
-    sides = F.array(
-        F.struct(F.col("gold_intent").alias("label"), F.when(right, n).otherwise(zero).alias("tp"), n.alias("gold_n"), zero.alias("predicted_n")),
-        F.struct(F.col("predicted_intent").alias("label"), zero.alias("tp"), zero.alias("gold_n"), n.alias("predicted_n")))
-    per_label = (
-        cells.filter(in_taxonomy).select(F.explode(sides).alias("s")).select("s.*").groupBy("label")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "gold_n", "predicted_n")])
-    )
-    precision, recall, f1 = m._prf(F.col("tp"), F.col("gold_n"), F.col("predicted_n"))
-    scored = per_label.withColumns({"precision": F.round(precision, 6), "recall": F.round(recall, 6), "raw_f1": f1,
-                                    "f1": F.round(f1, 6), "support": F.col("gold_n")})
-    averages = scored.agg(
-        F.round(F.avg("raw_f1"), 6).alias("macro_f1"),
-        m.rate(F.sum(F.col("raw_f1") * F.col("gold_n")), F.sum("gold_n")).alias("weighted_f1"))
-
-    routing = cells.groupBy(split, "difficulty_tier").agg(*m.routing_counts(F.col("gold_decision"), F.col("decision"), n))
-    routed = routing.cube(split, "difficulty_tier").agg(
-        *[F.sum(c).alias(c) for c in m.COUNTS], F.grouping(split).alias("_s"), F.grouping("difficulty_tier").alias("_t"))
-    named = m.with_routing_rates(routed.withColumn("section", F.concat(
-        F.lit("routing/"), F.when(F.col("_s") == 1, "full_set").otherwise(F.col(split)),
-        F.lit("/"), F.when(F.col("_t") == 1, "all").otherwise(F.col("difficulty_tier")))))
-
-    def distribution(section: str, column: str) -> DataFrame:
-        counted = cells.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum(n).cast("double").alias("value"))
-        return counted.select(F.lit(section).alias("section"), F.col(column).alias("metric"), "value")
-
-    def mean(which: str) -> Column:
-        hit = F.col("decision") == which
-        return m.rate(F.sum(F.when(hit, F.col("confidence_sum"))), F.sum(F.when(hit, n)))
-
-    confidence = cells.agg(mean(d.AUTO_HANDLE).alias("mean_auto_handle"), mean(d.ESCALATE).alias("mean_escalate"))
-
-    parts = [
-        long_format(by_tier, F.col("section"), ["total", "correct", "accuracy"]),
-        long_format(averages, F.lit("classification"), ["macro_f1", "weighted_f1"]),
-        long_format(scored.filter(F.col("label").isin(*labels)), F.concat(F.lit("intent/"), F.col("label")),
-                    ["precision", "recall", "f1", "support"]),
-        long_format(named, F.col("section"), [*m.COUNTS, "accuracy", "fah_rate", "fe_rate", "cost"]),
-        distribution("grounding_source", "grounding_source"),
-        distribution("gate_triggered", "gate_triggered"),
-        long_format(confidence, F.lit("confidence"), ["mean_auto_handle", "mean_escalate"]),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+# Raw counts a section can carry; each section fills the ones it needs.
+_RAW = (*m.COUNTS, "predicted_n", "value_sum")
 
 
-def _with_total(df: DataFrame, key: str, sums: Sequence[str], section: str) -> DataFrame:
-    rolled = df.rollup(key).agg(*[F.sum(c).alias(c) for c in sums], F.grouping(key).alias("_all"))
-    name = F.when(F.col("_all") == 1, F.lit(section)).otherwise(F.concat(F.lit(section + "/"), F.col(key)))
-    return rolled.withColumn("section", name)
+def evaluation_report(preds: DataFrame, labels: Sequence[str], split: str = "split") -> DataFrame:
+    """Classification, routing per split and tier, distributions and confidences.
+
+    One straight chain: cells, the sections each cell adds to, raw counts per
+    section, metrics per section, final rows.  Nothing is read twice.
+    """
+    cells = evaluation_cells(preds, split)
+    parts = cells.select(F.explode(F.concat(*_contributions(labels, split))).alias("p")).filter("p IS NOT NULL").select("p.*")
+    sections = parts.groupBy("section", "kind").agg(*[F.sum(c).alias(c) for c in _RAW])
+    rows = sections.select("section", F.explode(F.array_compact(F.array(*_section_metrics(labels)))).alias("m")).select(
+        F.coalesce("m.in_section", "section").alias("section"), "m.metric", "m.value", "m.weight")
+    # Averages over labels are weighted means; every other metric has a single row.
+    return rows.groupBy("section", "metric").agg(
+        F.round(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")), F.lit(0.0)), 6).alias("value"))
+
+
+def _contributions(labels: Sequence[str], split: str) -> list[Column]:
+    """Arrays of section counts one cell contributes to."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+
+    def part(section: Column, kind: str, **counts: Column) -> Column:
+        return F.struct(section.alias("section"), F.lit(kind).alias("kind"),
+                        *[counts.get(c, F.lit(0.0) if c == "value_sum" else none).alias(c) for c in _RAW])
+
+    known = F.col("gold_intent").isin(*labels)
+    right = F.when(F.col("gold_intent") == F.col("predicted_intent"), n).otherwise(none)
+    gold, decision = F.col("gold_decision"), F.col("decision")
+
+    def only(condition: Column) -> Column:
+        return F.when(condition, n).otherwise(none)
+
+    routing = dict(
+        total=n, correct=only(gold == decision), fah_count=only((gold == d.ESCALATE) & (decision == d.AUTO_HANDLE)),
+        fah_total=only(gold == d.ESCALATE), fe_count=only((gold == d.AUTO_HANDLE) & (decision == d.ESCALATE)),
+        fe_total=only(gold == d.AUTO_HANDLE))
+    tier = F.col("difficulty_tier")
+    classified = F.array(
+        part(F.lit("classification"), "classification", total=n, correct=right),
+        part(F.concat(F.lit("classification/"), tier), "classification", total=n, correct=right),
+        part(F.concat(F.lit("intent/"), "gold_intent"), "label", total=n, correct=right),
+        part(F.concat(F.lit("intent/"), "predicted_intent"), "label", predicted_n=n))
+    routed = F.array(*[
+        part(F.concat(F.lit("routing/"), s, F.lit("/"), t), "routing", **routing)
+        for s in (F.lit("full_set"), F.col(split)) for t in (F.lit("all"), tier)])
+    other = F.array(
+        F.when(F.col("grounding_source").isNotNull(), part(F.concat(F.lit("grounding_source/"), "grounding_source"), "count", total=n)),
+        F.when(F.col("gate_triggered").isNotNull(), part(F.concat(F.lit("gate_triggered/"), "gate_triggered"), "count", total=n)),
+        part(F.concat(F.lit("confidence/mean_"), decision), "mean", total=n, value_sum=F.coalesce("confidence_sum", F.lit(0.0))))
+    return [F.when(known, classified).otherwise(F.array().cast(_array_of_parts())), routed, other]
+
+
+def _array_of_parts() -> str:
+    counts = ", ".join(f"{c}: {'double' if c == 'value_sum' else 'bigint'}" for c in _RAW)
+    return f"array<struct<section: string, kind: string, {counts}>>"
+
+
+def _section_metrics(labels: Sequence[str]) -> list[Column]:
+    """Metric structs of a section; those of other kinds are null."""
+    kind, section = F.col("kind"), F.col("section")
+    one = F.lit(1.0)
+
+    def metric(when: Column, name: Column | str, value: Column, weight: Column = one, in_section: Column | None = None) -> Column:
+        return F.when(when, F.struct(
+            (in_section if in_section is not None else F.lit(None).cast("string")).alias("in_section"),
+            (F.lit(name) if isinstance(name, str) else name).alias("metric"), value.cast("double").alias("value"),
+            weight.cast("double").alias("weight")))
+
+    total, correct = F.col("total"), F.col("correct")
+    precision, recall, f1 = m.prf(correct, total, F.col("predicted_n"))
+    is_class, is_label, is_route = kind == "classification", kind == "label", kind == "routing"
+    named_label = is_label & F.regexp_replace(section, "^intent/", "").isin(*labels)
+    # 'field/value' sections hold one distribution entry or mean each.
+    entry = (kind == "count") | (kind == "mean")
+    cost = d.COST_FALSE_AUTO * F.col("fah_count") + d.COST_FALSE_ESCALATION * F.col("fe_count")
+    return [
+        metric(is_class | is_route, "total", total), metric(is_class | is_route, "correct", correct),
+        metric(is_class | is_route, "accuracy", m.rate(correct, total)),
+        metric(named_label, "precision", precision), metric(named_label, "recall", recall),
+        metric(named_label, "f1", f1), metric(named_label, "support", total),
+        metric(is_label, "macro_f1", f1, one, F.lit("classification")),
+        metric(is_label, "weighted_f1", f1, total, F.lit("classification")),
+        *[metric(is_route, c, F.col(c)) for c in m.COUNTS[2:]],
+        metric(is_route, "fah_rate", m.rate(F.col("fah_count"), F.col("fah_total"))),
+        metric(is_route, "fe_rate", m.rate(F.col("fe_count"), F.col("fe_total"))), metric(is_route, "cost", cost),
+        metric(entry, F.substring_index(section, "/", -1),
+               F.when(kind == "count", total).otherwise(F.try_divide(F.col("value_sum"), total)),
+               one, F.substring_index(section, "/", 1)),
+    ]
 
 
 def judge_validation_report(human: DataFrame, judge: DataFrame, scores: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Agreement, kappa and rank correlation of merged ratings, in long format."""
-    merged = a.merge_ratings(human, judge)
-    agree = a.agreement(merged, scores=scores)
-    kappa = a.kappa_with_ci(merged)
+    """Agreement, kappa and rank correlation of merged ratings, in long format.
+
+    Ratings are counted per combination first; all statistics start from that
+    same small exchange.
+    """
+    score_columns = [c for _, h, j in scores for c in (h, j)]
+    cells = a.rating_cells(a.merge_ratings(human, judge), ["difficulty_tier", "human_decision", "judge_decision", *score_columns])
+    agree = a.agreement(cells, scores=scores, weight="weight")
+    kappa = a.kappa_with_ci(cells, weight="weight")
     report = long_format(agree, F.col("difficulty_tier"),
                          ["n", "agreed", "agreement_rate", "discordant", *[f"{name}_mae" for name, _, _ in scores]])
     report = report.unionByName(long_format(kappa, F.col("difficulty_tier"), ["kappa", "standard_error", "ci_low", "ci_high"]))
     for name, h, j in scores:
-        rho = a.spearman(merged, h, j, name)
+        rho = a.spearman(cells, h, j, name, weight="weight")
         report = report.unionByName(rho.select(
             F.lit("overall").alias("section"), F.concat(F.col("metric"), F.lit("_spearman")).alias("metric"),
             F.col("spearman").alias("value")))

@@ -13,9 +13,9 @@ from ..functions import replies as r
 from ..functions.defaults import Sop
 from ..functions.responses import parse_verdict
 from ..functions.rules import Rule, first_gate
-from ..functions.sops import match_sop
 from ..functions.text import trim_all
 from ..operators.neighbours import knn
+from ..operators.procedures import sop_match
 from ..operators.scoring import Scorer, lookup, misses, score_batch
 from ..operators.triage import decide, reuse_drafts, usable_similarity, verifier_needed
 from ..session import cut_lineage
@@ -54,21 +54,24 @@ def prepare(messages: DataFrame, corpus: DataFrame, s: TriageSettings) -> DataFr
     replies = corpus.select("vec_id", F.col("brand_reply_text").alias("hit_reply"), F.col("silver_intent").alias("hit_intent"))
     top = hits.join(replies, "vec_id", "left").select(
         "id", F.col("vec_id").alias("hit_id"), "similarity", "hit_reply", "hit_intent")
-    sop_intent = intent if s.scoped else F.coalesce(F.col("hit_intent"), intent)
     gated = messages.select(
         *carried, r.is_degenerate(text).alias("degenerate"),
         first_gate(text, s.gates, intent, s.other, s.catch_all).alias("gate"))
     joined = gated.join(top, "id", "left").withColumn(
         "concrete", F.col("hit_reply").isNotNull() & r.concrete_resolution(F.col("hit_reply"), s.any_dm, s.action, s.question_action))
-    grounded = joined.withColumns({
-        "sop": match_sop(intent, text, s.sops),
-        "procedure_sop": match_sop(sop_intent, text, s.sops),
-    })
+    grounded = sop_match(joined, "predicted_intent", "customer_text", s.sops)
+    if s.scoped:
+        procedure_sop = F.col("sop")
+    else:
+        # A global search verifies against the procedures of the case it found.
+        grounded = grounded.withColumn("_case_intent", F.coalesce("hit_intent", "predicted_intent"))
+        grounded = sop_match(grounded, "_case_intent", "customer_text", s.sops, "_case_sop").drop("_case_intent")
+        procedure_sop = F.col("_case_sop")
     wants = F.lit(s.verify) & ~F.col("degenerate") & verifier_needed(F.col("gate"), F.col("similarity"), _low(s))
     asked = grounded.withColumn(
-        "procedure", r.candidate_procedure(F.col("concrete"), F.col("hit_reply"), F.col("procedure_sop"))
+        "procedure", r.candidate_procedure(F.col("concrete"), F.col("hit_reply"), procedure_sop)
     ).withColumn("needs_verdict", wants)
-    return asked.withColumn("verdict_key", _request_key(text, F.col("procedure"))).drop("procedure_sop")
+    return asked.withColumn("verdict_key", _request_key(text, F.col("procedure"))).drop("_case_sop")
 
 
 def _low(s: TriageSettings) -> float:

@@ -54,6 +54,16 @@ def scan_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return (reader.options(**_CSV) if fmt == "csv" else reader).format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a few large input splits every core.
+
+    A scan that already has at least as many splits as cores is left alone, so
+    large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def flatten_newlines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: sanitize_newlines(F.col(c)) for c in columns})
 

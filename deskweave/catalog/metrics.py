@@ -235,6 +235,4 @@ def rho_sql(name: str, x: str, y: str) -> str:
 
 @query("spearman", with_(v.RATINGS) + " UNION ALL ".join(rho_sql(*s) for s in SCORES))
 def _(t):
-    rows = merged(t)
-    parts = [a.spearman(rows, h, j, name) for name, h, j in SCORES]
-    return parts[0].unionByName(parts[1])
+    return a.spearman(merged(t), SCORES)

@@ -86,22 +86,32 @@ def kappa_with_ci(df: DataFrame, tier: str = "difficulty_tier", human: str = "hu
         F.round(F.least(F.lit(1.0), F.col("kappa") + z * F.col("se")), DECIMALS).alias("ci_high"))
 
 
-def spearman(df: DataFrame, x: str, y: str, name: str | None = None, weight: str | None = None) -> DataFrame:
-    """(metric, n, spearman): rank correlation with average ranks; 0 if a side is constant.
+def spearman(df: DataFrame, scores: Sequence[tuple[str, str, str]], weight: str | None = None) -> DataFrame:
+    """(metric, n, spearman) per (name, x, y): rank correlation with average ranks; 0 if a side is constant.
 
     Rows are counted per distinct value pair first, so a value shared by most
-    rows is one row in everything that follows.
+    rows is one row in everything that follows, and all sides are ranked in one
+    pass.
     """
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = both.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.sum(_weight(weight)).alias("_n"))
-    ranks_x = average_ranks(pairs.select("_x", "_n"), "_x", "_n").select("_x", F.col("avg_rank").alias("_rx"))
-    ranks_y = average_ranks(pairs.select("_y", "_n"), "_y", "_n").select("_y", F.col("avg_rank").alias("_ry"))
-    n, rx, ry = F.col("_n").cast("double"), F.col("_rx"), F.col("_ry")
-    sums = pairs.join(ranks_x, "_x").join(ranks_y, "_y").agg(
-        F.sum("_n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))
-    total = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+    entries = [F.struct(F.lit(name).alias("metric"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+               for name, x, y in scores]
+    pairs = (
+        df.select(F.explode(F.array(*entries)).alias("e"), _weight(weight).alias("w")).select("e.*", "w")
+        .filter("x IS NOT NULL AND y IS NOT NULL").groupBy("metric", "x", "y").agg(F.sum("w").alias("n"))
+    )
+    sides = pairs.select("metric", "n", F.explode(F.array(
+        F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("s")).select("metric", "s.side", "s.value", "n")
+    ranks = average_ranks(sides, ["metric", "side"], "value", "n")
+
+    def of(side: str) -> DataFrame:
+        return ranks.filter(F.col("side") == side).select("metric", F.col("value").alias(side), F.col("avg_rank").alias(f"r{side}"))
+
+    n, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
+    sums = pairs.join(of("x"), ["metric", "x"]).join(of("y"), ["metric", "y"]).groupBy("metric").agg(
+        F.sum("n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))
+    total = F.col("n").cast("double")
     centre = total * (total + 1.0) * (total + 1.0) / 4.0
     vx, vy = F.col("xx") - centre, F.col("yy") - centre
     rho = F.when((vx > 0) & (vy > 0), (F.col("xy") - centre) / F.sqrt(vx * vy)).otherwise(F.lit(0.0))
-    return sums.select(F.lit(name or f"{x}~{y}").alias("metric"), F.coalesce("n", F.lit(0)).alias("n"),
-                       F.round(rho, DECIMALS).alias("spearman"))
+    return sums.select("metric", "n", F.round(rho, DECIMALS).alias("spearman"))

@@ -5,6 +5,9 @@ every (query block, corpus block) pair that has to meet becomes one small
 group.  A group is scored with one numpy product and hands back only the k best
 rows per query, so neither pairs nor whole scopes ever travel.  A scope that
 holds most of the data simply has more blocks.
+
+Shuffled rows are |Q||C| / corpus_block + |Q||C| / query_block, hence the large
+default blocks; one block pair of 384 floats needs about 0.4 GB in its task.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ GLOBAL = "*"
 DECIMALS = 6
 _MAX_CELLS = 4_000_000
 
-Kernel = Callable[[pa.Table, pa.Table, np.ndarray], "tuple[np.ndarray, np.ndarray, np.ndarray]"]
+# A kernel prepares a corpus block and returns a scorer of query chunks.
+Kernel = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, *, scopes: Column | None = None,
         corpus_scope: Column | None = None, taxonomy: Sequence[str] = (), query_id: str = "id",
-        corpus_id: str = "vec_id", vector: str = "embedding", query_block: int = 2048,
-        corpus_block: int = 16384) -> DataFrame:
+        corpus_id: str = "vec_id", vector: str = "embedding", query_block: int = 32768,
+        corpus_block: int = 32768) -> DataFrame:
     """The ``k`` corpus rows with the largest dot product per query.
 
     ``scopes`` is an array column of scope names on the query side.  Names
@@ -45,7 +49,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, scopes: Column | None
 
 
 def sparse_nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str,
-                   query_block: int = 1024, corpus_block: int = 16384) -> DataFrame:
+                   query_block: int = 32768, corpus_block: int = 32768) -> DataFrame:
     """Best corpus row per query by sparse dot product; ties go to the lower id.
 
     Both sides carry ``terms array<int>`` and ``weights array<double>``.  A
@@ -60,7 +64,7 @@ def sparse_nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, corp
             .withColumnsRenamed({"q_id": query_id, "c_id": corpus_id if corpus_id != query_id else "hit_id"}))
 
 
-def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str], kernel, query_block: int,
+def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str], kernel: Kernel, query_block: int,
                    corpus_block: int, ties_high: bool) -> DataFrame:
     payload_q = [n for n in q.columns if n not in ("wanted",)]
     payload_c = [n for n in c.columns if n not in ("scope",)]
@@ -121,7 +125,7 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _block_scorer(kernel, k: int, ties_high: bool):
+def _block_scorer(kernel: Kernel, k: int, ties_high: bool):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("q_id", left.schema.field("q_id").type), ("c_id", right.schema.field("c_id").type),
                             ("similarity", pa.float64())])
@@ -134,30 +138,32 @@ def _block_scorer(kernel, k: int, ties_high: bool):
         scores_of = kernel(right)
         for start in range(0, left.num_rows, step):
             chunk = left.slice(start, step)
-            sims = np.round(scores_of(chunk), DECIMALS)
-            rows, cols = _best_columns(sims, k)
+            rows, cols, sims = _best_columns(scores_of(chunk), k)
             parts.append(pa.table(
-                [chunk.column("q_id").take(pa.array(rows)), right.column("c_id").take(pa.array(cols)),
-                 pa.array(sims[rows, cols])], schema=schema))
+                [chunk.column("q_id").take(pa.array(rows)), right.column("c_id").take(pa.array(cols)), pa.array(sims)],
+                schema=schema))
         return pa.concat_tables(parts)
 
     return score
 
 
-def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest scores per row, leftmost first among equals."""
-    if k == 1:
-        return np.arange(sims.shape[0]), sims.argmax(axis=1)
-    if k >= sims.shape[1]:
-        rows, cols = np.indices(sims.shape)
-        return rows.ravel(), cols.ravel()
-    floor = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-    rows, cols = np.nonzero(sims >= floor[:, None])
-    order = np.lexsort((cols, -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(rows.size) - starts < k
-    return rows[keep], cols[keep]
+def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded score) of the k largest rounded scores per row, leftmost first among equals.
+
+    Only scores within one rounding step of the k-th largest can be among them,
+    so just those few are rounded and sorted.
+    """
+    n = sims.shape[1]
+    if k < n:
+        kth = sims.max(axis=1) if k == 1 else np.partition(sims, n - k, axis=1)[:, n - k]
+        rows, cols = np.nonzero(sims >= (kth - 1.01 * 10.0**-DECIMALS)[:, None])
+    else:
+        rows, cols = (x.ravel() for x in np.indices(sims.shape))
+    scores = np.round(sims[rows, cols], DECIMALS) + 0.0
+    order = np.lexsort((cols, -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    keep = np.arange(rows.size) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], scores[keep]
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
@@ -165,7 +171,7 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(n, -1)
 
 
-def _dense_kernel(corpus: pa.Table):
+def _dense_kernel(corpus: pa.Table) -> Callable[[pa.Table], np.ndarray]:
     matrix = _matrix(corpus.column("c_vec"), corpus.num_rows).T.copy()
     return lambda chunk: _matrix(chunk.column("q_vec"), chunk.num_rows) @ matrix
 
@@ -178,7 +184,7 @@ def _ragged(table: pa.Table, terms: str, weights: str) -> tuple[np.ndarray, np.n
     return lengths, ids, values
 
 
-def _sparse_kernel(corpus: pa.Table):
+def _sparse_kernel(corpus: pa.Table) -> Callable[[pa.Table], np.ndarray]:
     lengths, ids, values = _ragged(corpus, "c_terms", "c_weights")
     owners = np.repeat(np.arange(corpus.num_rows), lengths)
     order = np.argsort(ids, kind="stable")

@@ -69,19 +69,24 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object,
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],
-                 pieces: int = 64) -> DataFrame:
+                 hot_share: int = 10_000, bins: int = 4096) -> DataFrame:
     """Running sums per key, current row included, along ``order``.
 
-    The first order column is numeric; its approximate quantiles cut the
-    sequence into ranges, so a key with very many rows is summed by many tasks.
+    The first order column is numeric or a time.  A key with more than
+    1 / ``hot_share`` of all rows is cut into ``bins`` equal ranges of that
+    column, so it is summed by many tasks; all other keys are one piece.  At
+    most ``hot_share`` keys can be that large, which bounds the broadcast.
     """
     lead = F.col(order[0]).cast("double")
-    cuts = df.agg(
-        F.percentile_approx(lead, [i / pieces for i in range(1, pieces)], F.lit(10000)).alias("cuts")
-    ).scalar()
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+    total = stats.agg(F.sum("_n")).scalar()
+    hot = stats.filter(F.col("_n") * hot_share > total).drop("_n")
     cut_keys = [*keys, "_piece"]
-    named = df.select("*", *[c.alias(f"_v_{name}") for name, c in sums.items()]).withColumn("_cuts", cuts)
-    named = named.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < lead))).drop("_cuts")
+    share = F.try_divide(lead - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    named = (
+        df.select("*", *[c.alias(f"_v_{name}") for name, c in sums.items()]).join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_piece", F.coalesce(F.floor(share * (bins - 1)), F.lit(0))).drop("_lo", "_hi")
+    )
     local = Window.partitionBy(*cut_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = named.groupBy(*cut_keys).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,8 +100,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     )
 
 
-def average_ranks(df: DataFrame, value: str, weight: str, pieces: int = 64) -> DataFrame:
-    """(value, n, avg_rank) over the distinct values of pre-counted rows, ties sharing their mean rank."""
-    counted = df.groupBy(value).agg(F.sum(weight).alias("n")).withColumn("_all", F.lit(0))
-    summed = running_sums(counted, ["_all"], [value], {"upto": F.col("n")}, pieces)
-    return summed.select(value, "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """(keys, value, avg_rank) over the distinct values of pre-counted rows, ties sharing their mean rank."""
+    counted = df.groupBy(*keys, value).agg(F.sum(weight).alias("n"))
+    summed = running_sums(counted, keys, [value], {"upto": F.col("n")})
+    return summed.select(*keys, value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import metrics as m
 from ..operators.neighbours import sparse_nearest
 from ..operators.tfidf import fit_idf, sparse_rows, term_counts
 
+_ROWS_PER_TASK = 20_000
 SWEEP_TAUS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.50)
 
 
@@ -66,8 +68,11 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
     labels = [row[0] for row in train.select("label").distinct().orderBy("label").collect()]
     codes = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, float(i))])
     rows = train.select("id", F.try_element_at(codes, F.col("label")).alias("label"))
-    data = rows.join(_dense(sparse_rows(counts, idf), size), "id").persist()
-    fitted = LogisticRegression(maxIter=max_iter, regParam=1.0 / (regularisation * max(1, data.count())),
+    n_rows = max(1, train.count())
+    # Few rows per task would spend every iteration on scheduling.
+    parts = -(-n_rows // _ROWS_PER_TASK)
+    data = rows.join(_ml_vectors(sparse_rows(counts, idf), size), "id").repartition(parts).persist()
+    fitted = LogisticRegression(maxIter=max_iter, regParam=1.0 / (regularisation * n_rows),
                                 elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4).fit(data)
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     data.unpersist()
@@ -90,11 +95,16 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
     return predict
 
 
-def _dense(rows: DataFrame, size: int) -> DataFrame:
-    """Sparse rows as ML vectors: zeros are filled into the gaps between the sorted terms."""
+def _ml_vectors(rows: DataFrame, size: int) -> DataFrame:
+    """Sparse rows as ML vectors.
+
+    Zeros are filled into the gaps between the sorted terms; the assembler then
+    stores the vector in its sparse form.
+    """
     zero = F.lit(0.0)
     n = F.size("terms")
     gaps = F.zip_with("terms", F.concat(F.array(F.lit(-1)), F.slice("terms", F.lit(1), n - 1)), lambda t, p: t - p - 1)
     filled = F.flatten(F.zip_with(gaps, "weights", lambda g, w: F.concat(F.array_repeat(zero, g), F.array(w))))
     tail = F.array_repeat(zero, F.lit(size) - 1 - F.element_at("terms", -1))
-    return rows.select("id", array_to_vector(F.concat(filled, tail)).alias("features"))
+    dense = rows.select("id", array_to_vector(F.concat(filled, tail)).alias("_dense"))
+    return VectorAssembler(inputCols=["_dense"], outputCol="features").transform(dense).drop("_dense")

@@ -136,9 +136,7 @@ def judge_validation_report(human: DataFrame, judge: DataFrame, scores: Sequence
     report = long_format(agree, F.col("difficulty_tier"),
                          ["n", "agreed", "agreement_rate", "discordant", *[f"{name}_mae" for name, _, _ in scores]])
     report = report.unionByName(long_format(kappa, F.col("difficulty_tier"), ["kappa", "standard_error", "ci_low", "ci_high"]))
-    for name, h, j in scores:
-        rho = a.spearman(cells, h, j, name, weight="weight")
-        report = report.unionByName(rho.select(
-            F.lit("overall").alias("section"), F.concat(F.col("metric"), F.lit("_spearman")).alias("metric"),
-            F.col("spearman").alias("value")))
-    return report
+    rho = a.spearman(cells, scores, weight="weight")
+    return report.unionByName(rho.select(
+        F.lit("overall").alias("section"), F.concat(F.col("metric"), F.lit("_spearman")).alias("metric"),
+        F.col("spearman").alias("value")))

@@ -52,7 +52,7 @@ def prepare(messages: DataFrame, corpus: DataFrame, s: TriageSettings) -> DataFr
     hits = knn(searchable.select("id", "embedding", "predicted_intent"), corpus, 1, scopes=scopes,
                corpus_scope=F.col("silver_intent"), taxonomy=s.taxonomy if s.scoped else ())
     replies = corpus.select("vec_id", F.col("brand_reply_text").alias("hit_reply"), F.col("silver_intent").alias("hit_intent"))
-    top = hits.join(replies, "vec_id", "left").select(
+    top = hits.join(replies, "vec_id").select(
         "id", F.col("vec_id").alias("hit_id"), "similarity", "hit_reply", "hit_intent")
     gated = messages.select(
         *carried, r.is_degenerate(text).alias("degenerate"),

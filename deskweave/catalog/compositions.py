@@ -15,7 +15,7 @@ from ..plans.reports import evaluation_report, judge_validation_report
 from ..plans.triage import TriageSettings, triage_batch
 from . import views as v
 from .links import IS_REPLY, IS_ROOT
-from .metrics import AGREEMENT, CLASS_COUNTS, KAPPA, RATED, ROUTED, SCORES, SPLIT_CTES, rho_sql
+from .metrics import AGREEMENT, CLASS_COUNTS, KAPPA, MEANS, RATED, ROUTED, SCORES, SPLIT_CTES, rho_sql
 from .registry import query
 from .retrieval import TFIDF_CTES
 from .scoring import DRAFTS, draft_sql, stored_drafts
@@ -108,8 +108,7 @@ REPORT_CTES = (
     f"per_label AS (SELECT 'intent/' || label AS section, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, gold_n AS support FROM scores WHERE label IN {v.IN_TAXONOMY})",
     f"""routing AS (SELECT 'routing/' || coalesce(split, 'full_set') || '/' || coalesce(difficulty_tier, 'all') AS section, {RATED}
   FROM (SELECT split, difficulty_tier, {ROUTED} FROM split_rows GROUP BY CUBE (split, difficulty_tier)))""",
-    """conf AS (SELECT round(coalesce(avg(calibrated_confidence) FILTER (WHERE decision = 'auto_handle'), 0), 6) AS mean_auto_handle,
-  round(coalesce(avg(calibrated_confidence) FILTER (WHERE decision = 'escalate'), 0), 6) AS mean_escalate FROM preds)""",
+    f"conf AS (SELECT {MEANS} FROM preds)",
 )
 
 

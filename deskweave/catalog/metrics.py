@@ -146,8 +146,11 @@ def _(t):
         part("gate_or_null", "gate_triggered", False))
 
 
-@query("mean_confidence", PREDS + """SELECT round(coalesce(avg(calibrated_confidence) FILTER (WHERE decision = 'auto_handle'), 0), 6) AS mean_auto_handle,
-  round(coalesce(avg(calibrated_confidence) FILTER (WHERE decision = 'escalate'), 0), 6) AS mean_escalate, count(*) AS total FROM preds""")
+MEANS = ", ".join(f"""coalesce((sum(calibrated_confidence::DECIMAL(20,10)) FILTER (WHERE decision = '{x}'))::DOUBLE
+  / nullif(count(*) FILTER (WHERE decision = '{x}'), 0), 0)::DOUBLE AS mean_{x}""" for x in ("auto_handle", "escalate"))
+
+
+@query("mean_confidence", PREDS + f"SELECT {MEANS}, count(*) AS total FROM preds")
 def _(t):
     return m.mean_confidence(v.preds(t))
 

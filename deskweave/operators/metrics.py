@@ -286,9 +286,18 @@ def value_counts(df: DataFrame, column: str, drop_null: bool = True) -> DataFram
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum in fixed-point arithmetic, so the total does not depend on the order of the rows."""
+    return F.sum(value.cast("decimal(20,10)")).cast("double")
+
+
 def mean_confidence(df: DataFrame, decision: str = "decision", confidence: str = "calibrated_confidence") -> DataFrame:
+    """Mean confidence per decision; 0 for a decision that was never taken."""
+
     def mean(which: str) -> Column:
-        return F.round(F.coalesce(F.avg(F.when(F.col(decision) == which, F.col(confidence))), F.lit(0.0)), DECIMALS)
+        hit = F.col(decision) == which
+        total = exact_sum(F.when(hit, F.col(confidence)))
+        return F.coalesce(F.try_divide(total, F.count_if(hit & F.col(confidence).isNotNull())), F.lit(0.0))
 
     return df.agg(mean(d.AUTO_HANDLE).alias("mean_auto_handle"), mean(d.ESCALATE).alias("mean_escalate"),
                   F.count(F.lit(1)).alias("total"))

@@ -26,7 +26,7 @@ def evaluation_cells(preds: DataFrame, split: str = "split") -> DataFrame:
     """
     return preds.groupBy("gold_intent", "predicted_intent", "difficulty_tier", split, "gold_decision", "decision",
                          "gate_triggered", "grounding_source").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("calibrated_confidence").alias("confidence_sum"))
+        F.count(F.lit(1)).alias("n"), m.exact_sum(F.col("calibrated_confidence")).alias("confidence_sum"))
 
 
 # Raw counts a section can carry; each section fills the ones it needs.
@@ -41,12 +41,14 @@ def evaluation_report(preds: DataFrame, labels: Sequence[str], split: str = "spl
     """
     cells = evaluation_cells(preds, split)
     parts = cells.select(F.explode(F.concat(*_contributions(labels, split))).alias("p")).filter("p IS NOT NULL").select("p.*")
-    sections = parts.groupBy("section", "kind").agg(*[F.sum(c).alias(c) for c in _RAW])
+    sections = parts.groupBy("section", "kind").agg(*[(m.exact_sum(F.col(c)) if c == "value_sum" else F.sum(c)).alias(c) for c in _RAW])
     rows = sections.select("section", F.explode(F.array_compact(F.array(*_section_metrics(labels)))).alias("m")).select(
         F.coalesce("m.in_section", "section").alias("section"), "m.metric", "m.value", "m.weight")
     # Averages over labels are weighted means; every other metric has a single row.
-    return rows.groupBy("section", "metric").agg(
-        F.round(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")), F.lit(0.0)), 6).alias("value"))
+    mean = F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("weight")), F.sum("weight")), F.lit(0.0))
+    averaged = F.col("metric").isin("macro_f1", "weighted_f1")
+    return rows.groupBy("section", "metric").agg(mean.alias("value")).select(
+        "section", "metric", F.when(averaged, F.round("value", m.DECIMALS)).otherwise(F.col("value")).alias("value"))
 
 
 def _contributions(labels: Sequence[str], split: str) -> list[Column]:
@@ -110,8 +112,8 @@ def _section_metrics(labels: Sequence[str]) -> list[Column]:
     return [
         metric(is_class | is_route, "total", total), metric(is_class | is_route, "correct", correct),
         metric(is_class | is_route, "accuracy", m.rate(correct, total)),
-        metric(named_label, "precision", precision), metric(named_label, "recall", recall),
-        metric(named_label, "f1", f1), metric(named_label, "support", total),
+        metric(named_label, "precision", F.round(precision, m.DECIMALS)), metric(named_label, "recall", F.round(recall, m.DECIMALS)),
+        metric(named_label, "f1", F.round(f1, m.DECIMALS)), metric(named_label, "support", total),
         metric(is_label, "macro_f1", f1, one, F.lit("classification")),
         metric(is_label, "weighted_f1", f1, total, F.lit("classification")),
         *[metric(is_route, c, F.col(c)) for c in m.COUNTS[2:]],

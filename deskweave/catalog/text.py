@@ -102,7 +102,7 @@ SILVER = f"""silver AS (
 
 def silver(t):
     rows = v.user_turns(t).withColumn("hits", hit_names(F.col("text"), v.INTENT_WORDS))
-    return rows.withColumn("silver_intent", weak_label(F.col("text"), F.col("hits"), v.EXCLUDE_WORDS))
+    return rows.withColumn("silver_intent", weak_label(F.col("text"), v.INTENT_WORDS, v.EXCLUDE_WORDS))
 
 
 @query("silver_label", with_(v.USERS, SILVER) + "SELECT msg_id, silver_intent FROM silver")

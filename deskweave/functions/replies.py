@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import defaults as d
 from .rules import Rule
-from .text import drop_all_handles, extract_urls, strip_urls, trim_all
+from .text import bind, drop_all_handles, extract_urls, strip_urls, trim_all
 
 
 def visible_resolution(reply: Column, redirect: Rule = d.DM_REDIRECT, min_chars: int = d.MIN_REPLY_LEN) -> Column:
@@ -48,13 +48,8 @@ def synthetic_url(reply: Column, evidence: Column) -> Column:
     def cleaned(text: Column) -> Column:
         return F.transform(extract_urls(text), lambda u: F.regexp_replace(u, r"""[.,?!:;)"']+$""", ""))
 
-    # The one-element array binds the evidence URLs once per row.
-    return F.exists(
-        F.array(cleaned(evidence)),
-        lambda known: F.exists(
-            cleaned(reply), lambda r: ~F.exists(known, lambda e: F.contains(e, r) | F.contains(r, e))
-        ),
-    )
+    return bind(cleaned(evidence), lambda known: F.exists(
+        cleaned(reply), lambda r: ~F.exists(known, lambda e: F.contains(e, r) | F.contains(r, e))))
 
 
 def evidence_items(decision: Column, reason: Column, concrete: Column, hit_id: Column, hit_reply: Column,

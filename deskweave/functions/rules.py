@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import matches, whole_words
+from .text import bind, matches, whole_words
 
 
 @dataclass(frozen=True)
@@ -42,10 +42,14 @@ def only_hit(hits: Column) -> Column:
     return F.when(F.size(hits) == 1, F.element_at(hits, 1))
 
 
-def weak_label(text: Column, hits: Column, exclude: Rule | None) -> Column:
+def weak_label(text: Column, rules: Sequence[Rule], exclude: Rule | None) -> Column:
     """Weak label: exactly one rule matched and the exclusion rule did not."""
-    label = only_hit(hits)
-    return label if exclude is None else F.when(~exclude.hits(text), label)
+
+    def label(bound: Column) -> Column:
+        one = bind(hit_names(bound, rules), only_hit)
+        return one if exclude is None else F.when(~exclude.hits(bound), one)
+
+    return bind(text, label)
 
 
 def gate_array(text: Column, rules: Sequence[Rule], intent: Column | None = None,

@@ -6,6 +6,8 @@ from Python's, so the classes are spelled out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ def whole_words(alternatives: str) -> str:
     return rf"(^|{NOT_WORD})(?:{portable})($|{NOT_WORD})"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    Filters are pushed below projections by repeating their expressions; a
+    lambda variable cannot be repeated.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(col: Column, pattern: str) -> Column:
     """Case-insensitive search; null text never matches."""
     return F.coalesce(col.rlike("(?iu)" + pattern), F.lit(False))
@@ -63,16 +74,17 @@ def drop_all_handles(col: Column) -> Column:
 def ascii_ratio(col: Column) -> Column:
     """Share of ASCII code points in the trimmed text; null when it is empty."""
     trimmed = trim_all(col)
-    return F.try_divide(
-        F.length(F.regexp_replace(trimmed, r"[^\x00-\x7F]", "")).cast("double"),
-        F.length(trimmed).cast("double"),
-    )
+    n = F.length(trimmed)
+    n_ascii = F.length(F.regexp_replace(trimmed, r"[^\x00-\x7F]", ""))
+    # As many bytes as characters: nothing to count.
+    return F.when((n > 0) & (F.octet_length(trimmed) == n), F.lit(1.0)).otherwise(
+        F.try_divide(n_ascii.cast("double"), n.cast("double")))
 
 
 def language_guess(col: Column, min_ascii: float = 0.85) -> Column:
     """``und`` for blank text, else ``en_likely`` or ``non_en`` by ASCII share."""
-    ratio = ascii_ratio(col)
-    return F.when(ratio.isNull(), "und").when(ratio >= min_ascii, "en_likely").otherwise("non_en")
+    return bind(ascii_ratio(col), lambda share: F.when(share.isNull(), "und")
+                .when(share >= min_ascii, "en_likely").otherwise("non_en"))
 
 
 def long_enough(col: Column, min_chars: int = 30) -> Column:

@@ -33,9 +33,16 @@ def recoverable_roots(msgs: DataFrame, brand: str) -> DataFrame:
 
 
 def minus_by_id(rows: DataFrame, known: DataFrame, id_col: str = "msg_id", known_id: str | None = None) -> DataFrame:
-    """Rows whose id (compared as text) is not in ``known``; a null id is kept."""
-    ids = known.select(F.col(known_id or id_col).cast("string").alias("_known")).distinct()
-    return rows.join(ids, F.col(id_col).cast("string") == F.col("_known"), "left_anti")
+    """Rows whose id is not in ``known``; a null id is kept.
+
+    Ids of different types are compared as text.  Equal types are compared as
+    they are, so a join that already spread the rows by id is reused.
+    """
+    known_id = known_id or id_col
+    same = rows.schema[id_col].dataType == known.schema[known_id].dataType
+    left, right = (F.col(id_col), F.col(known_id)) if same else (F.col(id_col).cast("string"), F.col(known_id).cast("string"))
+    ids = known.select(right.alias("_known")).distinct()
+    return rows.join(ids, left == F.col("_known"), "left_anti")
 
 
 def inbound_union(msgs: DataFrame, brand: str) -> DataFrame:

@@ -49,30 +49,35 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, scopes: Column | None
 
 
 def sparse_nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str,
+                   query_docs: DataFrame | None = None, corpus_docs: DataFrame | None = None,
                    query_block: int = 32768, corpus_block: int = 32768) -> DataFrame:
     """Best corpus row per query by sparse dot product; ties go to the lower id.
 
     Both sides carry ``terms array<int>`` and ``weights array<double>``.  A
-    query sharing no term with any corpus row gets no row back.
+    query sharing no term with any corpus row gets no row back.  The block
+    counts only need an upper bound of the row counts; give the raw documents to
+    spare building the weights just to count them.
     """
     q = queries.select(F.col(query_id).alias("q_id"), F.col("terms").alias("q_terms"),
                        F.col("weights").alias("q_weights"), F.array().cast("array<string>").alias("wanted"))
     c = corpus.select(F.col(corpus_id).alias("c_id"), F.col("terms").alias("c_terms"),
                       F.col("weights").alias("c_weights"), F.lit(GLOBAL).alias("scope"))
-    found = _blocked_top_k(q, c, 1, (), _sparse_kernel, query_block, corpus_block, ties_high=False)
+    found = _blocked_top_k(q, c, 1, (), _sparse_kernel, query_block, corpus_block, ties_high=False,
+                           count_q=query_docs, count_c=corpus_docs)
     return (found.filter(F.col("similarity") > 0).drop("rank")
             .withColumnsRenamed({"q_id": query_id, "c_id": corpus_id if corpus_id != query_id else "hit_id"}))
 
 
 def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str], kernel: Kernel, query_block: int,
-                   corpus_block: int, ties_high: bool) -> DataFrame:
+                   corpus_block: int, ties_high: bool, count_q: DataFrame | None = None,
+                   count_c: DataFrame | None = None) -> DataFrame:
     payload_q = [n for n in q.columns if n not in ("wanted",)]
     payload_c = [n for n in c.columns if n not in ("scope",)]
     known = F.array(*[F.lit(t) for t in taxonomy]).cast("array<string>")
 
     # Rows per scope and in total: at most one entry per taxonomy name, plus two.
     sizes = _size_map(c.select(F.when(F.col("scope").isin(*taxonomy), F.col("scope")).otherwise("").alias("scope"))
-                      if taxonomy else c.select(F.lit("").alias("scope")))
+                      if taxonomy else (c if count_c is None else count_c).select(F.lit("").alias("scope")))
 
     valid = F.array_intersect(F.coalesce(F.col("wanted"), known), known) if taxonomy else known
     # The map is bound to a column first: lambdas may not contain subqueries.
@@ -81,7 +86,8 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
                             lambda acc, s: acc + F.coalesce(F.try_element_at(F.col("_sizes"), s), F.lit(0)))
     searched = F.when(reachable >= k, F.col("_valid")).otherwise(F.array(F.lit(GLOBAL)))
     scoped = counted.select(*payload_q, F.explode(searched).alias("s"))
-    asked = _asked_map(counted.select(F.explode(searched).alias("scope")))
+    asked = _asked_map(counted.select(F.explode(searched).alias("scope")) if count_q is None
+                       else count_q.select(F.lit(GLOBAL).alias("scope")))
 
     corpus_blocks = F.ceil(F.coalesce(F.try_element_at(sizes, F.col("s")), F.lit(0)) / corpus_block).cast("long")
     query_blocks = F.ceil(F.coalesce(F.try_element_at(asked, F.col("s")), F.lit(0)) / query_block).cast("long")

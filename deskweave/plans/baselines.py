@@ -29,7 +29,7 @@ def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int = 5000) ->
     idf = fit_idf(counts, corpus, n_terms)
     indexed = sparse_rows(counts, idf)
     asked = sparse_rows(term_counts(queries, "id", "text"), idf)
-    hits = sparse_nearest(asked, indexed, query_id="id", corpus_id="id")
+    hits = sparse_nearest(asked, indexed, query_id="id", corpus_id="id", query_docs=queries, corpus_docs=corpus)
     return queries.select("id").join(hits, "id", "left").select(
         "id", "hit_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 

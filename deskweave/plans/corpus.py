@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import defaults as d
 from ..functions.replies import visible_resolution
-from ..functions.rules import Rule, hit_names, weak_label
+from ..functions.rules import Rule, weak_label
 from ..functions.text import is_inbound, language_guess, long_enough, sanitize_newlines, strip_handles
 from ..operators.links import attach_first_reply, inbound_union, minus_by_id
 
@@ -49,9 +49,9 @@ def build_pool(msgs: DataFrame, golden_ids: DataFrame, rules: CorpusRules, reply
     )
     pool = minus_by_id(usable, golden_ids, "msg_id", golden_id)
     answered = attach_first_reply(pool, msgs, rules.brand, reply_order)
-    return answered.withColumn("_hits", hit_names(F.col("clean_text"), rules.intents)).select(
+    return answered.select(
         "msg_id", "clean_text", "brand_reply",
-        weak_label(F.col("clean_text"), F.col("_hits"), rules.exclude).alias("silver_intent"),
+        weak_label(F.col("clean_text"), rules.intents, rules.exclude).alias("silver_intent"),
         visible_resolution(F.col("brand_reply"), rules.redirect, rules.min_reply).alias("visible"))
 
 

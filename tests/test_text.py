@@ -83,7 +83,7 @@ def test_weak_labels(column):
     hits = column(lambda c: hit_names(c, d.INTENT_RULES), texts)
     assert hits == [["playback_issue"], ["device_platform", "playback_issue"], [], ["playback_issue"], []]
     assert column(lambda c: only_hit(hit_names(c, d.INTENT_RULES)), texts) == ["playback_issue", None, None, "playback_issue", None]
-    assert column(lambda c: weak_label(c, hit_names(c, d.INTENT_RULES), d.FEATURE_REQUEST), texts) == ["playback_issue", None, None, None, None]
+    assert column(lambda c: weak_label(c, d.INTENT_RULES, d.FEATURE_REQUEST), texts) == ["playback_issue", None, None, None, None]
 
 
 def test_reply_kinds(column):

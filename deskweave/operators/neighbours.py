@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 GLOBAL = "*"
 DECIMALS = 6
 _MAX_CELLS = 4_000_000
+_MIN_BLOCK = 2048
+_GROUP = 128
 
 # A kernel prepares a corpus block and returns a scorer of query chunks.
 Kernel = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
@@ -89,7 +91,11 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
     asked = _asked_map(counted.select(F.explode(searched).alias("scope")) if count_q is None
                        else count_q.select(F.lit(GLOBAL).alias("scope")))
 
-    corpus_blocks = F.ceil(F.coalesce(F.try_element_at(sizes, F.col("s")), F.lit(0)) / corpus_block).cast("long")
+    # Smaller corpora get smaller blocks, so that every core has some to score.
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    total = F.try_element_at(sizes, F.lit(GLOBAL))
+    block = F.greatest(F.lit(min(_MIN_BLOCK, corpus_block)), F.least(F.lit(corpus_block), F.ceil(total / (2 * cores))))
+    corpus_blocks = F.ceil(F.coalesce(F.try_element_at(sizes, F.col("s")), F.lit(0)) / block).cast("long")
     query_blocks = F.ceil(F.coalesce(F.try_element_at(asked, F.col("s")), F.lit(0)) / query_block).cast("long")
 
     homes = F.array_distinct(F.array(F.col("scope"), F.lit(GLOBAL)))
@@ -156,12 +162,15 @@ def _block_scorer(kernel: Kernel, k: int, ties_high: bool):
 def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, rounded score) of the k largest rounded scores per row, leftmost first among equals.
 
-    Only scores within one rounding step of the k-th largest can be among them,
-    so just those few are rounded and sorted.
+    The k-th largest maximum of column groups is no larger than the k-th score,
+    so only the few scores above it (less one rounding step) are rounded and
+    sorted.
     """
     n = sims.shape[1]
     if k < n:
-        kth = sims.max(axis=1) if k == 1 else np.partition(sims, n - k, axis=1)[:, n - k]
+        groups = n // _GROUP
+        tops = sims[:, :groups * _GROUP].reshape(-1, groups, _GROUP).max(axis=2) if groups > k else sims
+        kth = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k]
         rows, cols = np.nonzero(sims >= (kth - 1.01 * 10.0**-DECIMALS)[:, None])
     else:
         rows, cols = (x.ravel() for x in np.indices(sims.shape))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deskweave.operators.neighbours import knn
+from deskweave.operators.neighbours import _best_columns, knn
 from deskweave.operators.scoring import embed, hashing_encoder
 from deskweave.operators.tfidf import fit_idf, term_counts, weigh
 from deskweave.plans.baselines import tfidf_nearest
@@ -70,6 +70,17 @@ def test_scoped_with_fallback(spark, vectors, k):
     assert got == brute(vectors, k, lambda i: [names[i % 5]])
 
 
+@pytest.mark.parametrize("k", [1, 3, 7, 999, 1000, 2000])
+def test_best_columns(k):
+    rng = np.random.default_rng(k)
+    sims = rng.integers(0, 60, size=(20, 1000)) / 60 + rng.choice([0.0, 4e-7], size=(20, 1000))
+    rows, cols, scores = _best_columns(sims, k)
+    rounded = np.round(sims, 6)
+    for row in range(20):
+        best = sorted(range(1000), key=lambda j: (-rounded[row, j], j))[:k]
+        assert cols[rows == row].tolist() == best and scores[rows == row].tolist() == rounded[row, best].tolist()
+
+
 def test_candidate_list(spark, vectors):
     q, c = frames(spark, vectors)
     wanted = F.when(F.col("id") % 3 == 0, F.array(F.lit("b"), F.lit("c"), F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("zz")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.labelling import label_progress, running_other_rate
-from ..operators.sampling import balanced_sample, quota_sample, seeded_head
+from ..operators.sampling import balanced_sample, quota_sample
+from ..plans.spot_check import spot_check
 from . import views as v
 from .registry import query
 from .views import with_
@@ -43,11 +44,17 @@ def _(t):
     return v.with_split(rows, 38).filter(F.col("split") == "held_out").select("id", "stratum")
 
 
-@query("spot_check_sample", v.PREDS + f"""SELECT id, gold_intent, difficulty_tier, hit_id, similarity FROM preds WHERE gold_intent IN {v.IN_TAXONOMY}
-ORDER BY md5(id || '|{v.SEED}'), id LIMIT 20""")
+@query("spot_check_sample", with_(v.EVALF, v.CORPUS, f"""picked AS (
+  SELECT id, gold_intent, difficulty_tier, embedding, customer_text FROM evalf WHERE gold_intent IN {v.IN_TAXONOMY} ORDER BY md5(id || '|{v.SEED}'), id LIMIT 20)""",
+  """best AS (SELECT id, hit_id, similarity FROM (
+  SELECT p.id, c.vec_id AS hit_id, round(list_dot_product(p.embedding, c.embedding), 6) AS similarity,
+    row_number() OVER (PARTITION BY p.id ORDER BY round(list_dot_product(p.embedding, c.embedding), 6) DESC, c.vec_id DESC) AS rn
+  FROM picked p JOIN corpus c ON c.silver_intent = p.gold_intent) WHERE rn = 1)""") + f"""
+SELECT p.id, p.gold_intent, p.difficulty_tier, {v.strip('p.customer_text')} AS query, b.hit_id, d.text AS retrieved_query, d.lang AS retrieved_reply, b.similarity
+FROM picked p LEFT JOIN best b ON b.id = p.id LEFT JOIN documents d ON d.doc_id = b.hit_id""")
 def _(t):
-    rows = v.preds(t).filter(F.col("gold_intent").isin(*v.TAXONOMY))
-    return seeded_head(rows.select("id", "gold_intent", "difficulty_tier", "hit_id", "similarity"), "id", 20, v.SEED)
+    cases = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("clean_text"), F.col("lang").alias("brand_reply_text"))
+    return spot_check(v.evalf(t), v.corpus(t).join(cases, "vec_id", "left"), v.TAXONOMY, 20, v.SEED)
 
 
 @query("running_other_rate", """WITH run AS (

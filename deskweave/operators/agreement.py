@@ -59,14 +59,14 @@ def kappa_with_ci(df: DataFrame, tier: str = "difficulty_tier", human: str = "hu
 
     Two identical constant raters (expected agreement 1) get kappa 0.
     """
-    inside = df.filter(F.col(human).isin(*labels) & F.col(judge).isin(*labels))
-    w = _weight(weight)
+    # Counted conditionally instead of filtered, so that pre-counted ratings stay one shared exchange.
+    w = F.when(F.col(human).isin(*labels) & F.col(judge).isin(*labels), _weight(weight)).otherwise(F.lit(0).cast("long"))
     marginals: list[Column] = [F.sum(w).alias("n"), _count(F.col(human) == F.col(judge), w).alias("same")]
     names = ["n", "same"]
     for i, label in enumerate(labels):
         marginals += [_count(F.col(human) == label, w).alias(f"_h{i}"), _count(F.col(judge) == label, w).alias(f"_j{i}")]
         names += [f"_h{i}", f"_j{i}"]
-    per_tier = inside.groupBy(tier).agg(*marginals)
+    per_tier = df.groupBy(tier).agg(*marginals)
     rolled = per_tier.rollup(tier).agg(*[F.sum(c).alias(c) for c in names], F.grouping(tier).alias("_all"))
     chance = F.lit(0.0)
     for i in range(len(labels)):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rules import Rule
 from ..functions.text import sanitize_newlines
 
 # Columns of the stored files.
@@ -85,6 +86,17 @@ def report_json(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def read_rules(table: DataFrame, rule_set: str, limit: int = 1000) -> tuple[Rule, ...]:
+    """Rules of one set kept as (rule_set, rank, name, pattern, reason) rows, in rank order.
+
+    Rules become part of the plan, so a table with more than ``limit`` is refused.
+    """
+    rows = table.filter(F.col("rule_set") == rule_set).orderBy("rank", "name").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"rule set {rule_set!r} has more than {limit} rules")
+    return tuple(Rule(r["name"], r["pattern"], r["reason"] or "") for r in rows)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """A finished table is there (a write that failed half-way leaves no success marker)."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,7 @@ from deskweave.functions.vectors import l2_normalise
 from deskweave.operators.scoring import cache_valid, misses, new_entries
 from deskweave.plans.baselines import train_intent_model
 from deskweave.plans.corpus import messages_from_dump
+from deskweave.plans.spot_check import spot_check
 from deskweave.plans.triage import triage_batch
 from deskweave.session import checkpoint_dir, cut_lineage
 from deskweave.sources import tables as s
@@ -85,6 +86,24 @@ def test_json_report(spark, tmp_path):
     assert json.loads(report.select(s.report_json(["metric", "value"])).collect()[0][0]) == {"metric": "a", "value": 1.5}
 
 
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("g", 2, "b", "y", None), ("g", 1, "a", "x", "why"), ("other", 1, "c", "z", "")],
+                                  "rule_set string, rank int, name string, pattern string, reason string")
+    assert [(r.name, r.pattern, r.reason) for r in s.read_rules(table, "g")] == [("a", "x", "why"), ("b", "y", "")]
+    with pytest.raises(ValueError):
+        s.read_rules(table, "g", limit=1)
+
+
+def test_spot_check(spark):
+    golden = spark.createDataFrame([(i, "a" if i % 2 else "zz", "easy", f"@u text {i}", [1.0, float(i)]) for i in range(30)],
+                                   "id long, gold_intent string, difficulty_tier string, customer_text string, embedding array<double>")
+    cases = spark.createDataFrame([(1, [1.0, 0.0], "a", "old", "reply"), (2, [0.0, 9.0], "b", "x", "y")],
+                                  "vec_id long, embedding array<double>, silver_intent string, clean_text string, brand_reply_text string")
+    out = spot_check(golden, cases, ["a", "b"], 5).collect()
+    assert len(out) == 5 and all((r.gold_intent, r.hit_id, r.similarity, r.retrieved_reply) == ("a", 1, 1.0, "reply") for r in out)
+    assert all(r["query"] == f"text {r.id}" for r in out)
+
+
 def test_intent_answers(column):
     raw = ['{"intent": " Playback_Issue ", "confidence": 0.9, "reason": "r"}', '{"intent": "the account_login one"}', '{"intent": "zz", "confidence": 1}',
            "not json", '["playback_issue"]', '{"intent": "a', None, "{}"]

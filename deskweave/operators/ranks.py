@@ -3,7 +3,9 @@
 A plain window sends all rows of a partition key to a single task.  Here a
 group is first split into order-preserving pieces; pieces are ranked in
 parallel and shifted by the (tiny) prefix sums of the piece totals.
-Key columns must not be null.
+
+Keys are packed into one struct: unlike bare nulls, structs of nulls are equal to
+each other, so rows with a null key stay in every join.
 """
 
 from __future__ import annotations
@@ -44,27 +46,27 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object,
     (rank and count), so pass narrow rows and join the result by id.  Pieces are leading hash digits:
     equally large whatever the data, and already in order.
     """
-    hashed = df.withColumn("_hash", seeded_hash(F.col(id_col), seed)).withColumn(
+    hashed = df.withColumn("_key", F.struct(*strata)).withColumn("_hash", seeded_hash(F.col(id_col), seed)).withColumn(
         "_piece", F.substring("_hash", 1, prefix_chars)
     )
-    local = Window.partitionBy(*strata, "_piece").orderBy("_hash", id_col)
+    local = Window.partitionBy("_key", "_piece").orderBy("_hash", id_col)
     ranked = hashed.withColumn("_local", F.row_number().over(local))
-    pieces = hashed.groupBy(*strata, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    within = Window.partitionBy(*strata).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = hashed.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     # One row per stratum, so this is the only single-task step and stays small.
-    earlier = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        pieces.groupBy(*strata)
+        pieces.groupBy("_key")
         .agg(F.sum("_n").alias("stratum_n"))
         .withColumn("stratum_before", F.coalesce(F.sum("stratum_n").over(earlier), F.lit(0)))
         .withColumn("all_n", F.sum("stratum_n").over(earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
-    offsets = offsets.join(totals, list(strata)).drop("_n")
+    offsets = offsets.join(totals, "_key").drop("_n")
     return (
-        ranked.join(offsets, [*strata, "_piece"])
+        ranked.join(offsets, ["_key", "_piece"])
         .withColumn("rank", F.col("_before") + F.col("_local"))
-        .drop("_hash", "_piece", "_local", "_before")
+        .drop("_key", "_hash", "_piece", "_local", "_before")
     )
 
 
@@ -78,23 +80,23 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     most ``hot_share`` keys can be that large, which bounds the broadcast.
     """
     lead = F.col(order[0]).cast("double")
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
+    key = F.struct(*keys).alias("_key")
+    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
     total = stats.agg(F.sum("_n")).scalar()
     hot = stats.filter(F.col("_n") * hot_share > total).drop("_n")
-    cut_keys = [*keys, "_piece"]
     share = F.try_divide(lead - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     named = (
-        df.select("*", *[c.alias(f"_v_{name}") for name, c in sums.items()]).join(F.broadcast(hot), list(keys), "left")
+        df.select("*", key, *[c.alias(f"_v_{name}") for name, c in sums.items()]).join(F.broadcast(hot), "_key", "left")
         .withColumn("_piece", F.coalesce(F.floor(share * (bins - 1)), F.lit(0))).drop("_lo", "_hi")
     )
-    local = Window.partitionBy(*cut_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = named.groupBy(*cut_keys).agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_key", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = named.groupBy("_key", "_piece").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *cut_keys, *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums]
+        "_key", "_piece", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums]
     )
     summed = named.select("*", *[F.sum(f"_v_{name}").over(local).alias(f"_l_{name}") for name in sums])
-    joined = summed.join(offsets, cut_keys)
+    joined = summed.join(offsets, ["_key", "_piece"])
     return joined.select(
         *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums]
     )

@@ -44,15 +44,15 @@ SETTINGS = TriageSettings(
     any_dm=v.ANY_DM_WORDS, action=v.ACTION_WORDS, question_action=v.QUESTION_WORDS)
 
 def triage_inputs(t):
-    """(messages, past cases, stored verdicts); a few messages consist of a handle only."""
+    """(messages, past cases, stored verdicts); a few messages are a handle only, French ones have no verdict."""
     text = F.when(F.col("id") % 50 == 0, F.concat(F.lit("@u"), "id")).otherwise(F.col("customer_text"))
     messages = v.classified(t).withColumn("customer_text", text).select(
-        "id", "customer_text", "predicted_intent", "embedding", "difficulty_tier", "gold_intent", "gold_decision")
+        "id", "customer_text", "predicted_intent", "embedding", "difficulty_tier", "gold_intent", "gold_decision", "lang")
     texts = t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("brand_reply_text"))
     past = v.corpus(t).join(texts, "vec_id", "left").select("vec_id", "embedding", "silver_intent", "brand_reply_text")
-    matched = sop_match(messages.select("id", "customer_text", "predicted_intent"), "predicted_intent", "customer_text", v.LABEL_SOPS)
-    keyed = matched.select("id", "customer_text", r.candidate_procedure(F.lit(False), F.lit(None).cast("string"), F.col("sop")).alias("procedure"))
-    verdicts = keyed.filter(F.col("id") % 7 != 0).groupBy(r.verdict_key(F.col("customer_text"), F.col("procedure")).alias("verdict_key")).agg(
+    matched = sop_match(messages.select("id", "customer_text", "predicted_intent", "lang"), "predicted_intent", "customer_text", v.LABEL_SOPS)
+    keyed = matched.select("id", "lang", "customer_text", r.candidate_procedure(F.lit(False), F.lit(None).cast("string"), F.col("sop")).alias("procedure"))
+    verdicts = keyed.filter("lang <> 'fr'").groupBy(r.verdict_key(F.col("customer_text"), F.col("procedure")).alias("verdict_key")).agg(
         (F.min("id") % 3 != 0).alias("resolves_problem"), F.lit("stored").alias("reason"))
     return messages, past, verdicts
 
@@ -64,7 +64,7 @@ TRIAGE_CTES = (
     f"""proc AS (SELECT c.*, {sop_name_sql()} AS sop_name, {sop_name_sql(what=lambda s: lit(s.sop_id))} AS sop_id, {sop_name_sql(what=lambda s: lit(' '.join(s.steps)))} AS sop_steps,
   {v.first_gate_sql(v.GATES, 'c.customer_text', 'c.predicted_intent')} AS gate, length({v.trim(f"regexp_replace(c.customer_text, {lit(v.HANDLE)}, '', 'g')")}) < 3 AS degenerate FROM mixed c)""",
     f"""store AS (SELECT sha256({v.trim('customer_text')} || '|||' || {v.trim(f"coalesce(sop_name || ': ' || sop_steps, {lit(d.GENERAL_PROCEDURE)})")}) AS k, min(id) % 3 <> 0 AS ok
-  FROM proc WHERE id % 7 <> 0 GROUP BY 1)""",
+  FROM proc WHERE lang <> 'fr' GROUP BY 1)""",
     f"""cases AS (SELECT p.*, t.hit_id, t.similarity, h.hit_reply, h.hit_reply IS NOT NULL AND {concrete_sql('h.hit_reply')} AS concrete
   FROM proc p LEFT JOIN top1 t ON t.id = p.id AND NOT p.degenerate LEFT JOIN hit_text h ON h.doc_id = t.hit_id)""",
     f"""keyed AS (SELECT *, sha256({v.trim('customer_text')} || '|||' || {v.trim(f"CASE WHEN concrete THEN hit_reply ELSE coalesce(sop_name || ': ' || sop_steps, {lit(d.GENERAL_PROCEDURE)}) END")}) AS k FROM cases)""",

@@ -59,7 +59,10 @@ def build_corpus(msgs: DataFrame, golden_ids: DataFrame, rules: CorpusRules, rep
                  golden_id: str = "msg_id") -> DataFrame:
     """(tweet_id, clean_text, brand_reply_text, silver_intent) on one line per text."""
     pool = build_pool(msgs, golden_ids, rules, reply_order, golden_id)
-    return pool.filter(F.col("visible") & F.col("silver_intent").isNotNull()).select(
+    # One test over both sides of the reply join: the label patterns then run only on messages whose
+    # reply qualifies, instead of being pushed down to the scan of all messages.
+    kept = F.when((F.length("brand_reply") > 0) & F.col("visible"), F.col("silver_intent").isNotNull())
+    return pool.filter(kept).select(
         F.col("msg_id").alias("tweet_id"),
         sanitize_newlines(F.col("clean_text")).alias("clean_text"),
         sanitize_newlines(F.col("brand_reply")).alias("brand_reply_text"),

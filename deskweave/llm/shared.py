@@ -1,0 +1,20 @@
+"""The folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """None where the session names a folder in ``spark.checkpoint.dir``.
+
+    Where it names none, a local master (tests on one machine) gets a new temporary folder; any other master
+    is refused, since a folder of one machine would lose rows.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return None
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="deskweave-")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +32,23 @@ def build_session(app_name: str = "deskweave", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the tasks this package, so that they need no installation of it; once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_deskweave_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="deskweave-")) / "deskweave.zip"  # the driver's; Spark hands it on
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(top.rglob("*.py")):
+            out.write(source, source.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    context._deskweave_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:

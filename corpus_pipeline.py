@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from deskweave.llm import benchmark_leaks, byte_bpe, language, passages, simhash
 from deskweave.llm.catalog import RANKS_PATTERN, encoding_digests, tokenizer_file
-from deskweave.llm.shared import shared_folder
+from deskweave.llm.shared import shared_folder, small_side
+from deskweave.session import cut_lineage
 
 #: Mean probability of the language named below which a document is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -21,25 +22,30 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which the network, trained on the labelled rows, sees a language; all columns stay as they are."""
     model = language.fit(docs, "text", F.col("lang"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    schema = ",".join(f"`{n}`:{t}" for n, t in docs.dtypes)
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    judged = language.predict(kept, model, [kept["row"]], f"row struct<{schema}>".replace("` ", "`:"))
+    judged = language.predict(kept, model, [kept["row"]], f"row struct<{schema}>")
     fine = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return judged.where(fine).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the one whose id names it; rows with a null id stay only if no other is alike."""
-    groups = simhash.simhash_groups(docs)
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return _once(docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi"))
+    groups = cut_lineage(simhash.simhash_groups(docs).where("doc_id <=> component_id").groupBy("doc_id").count(), shared_folder(spark))
+    kept = _matching(docs, groups, "left_semi")
+    again = groups.where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    # Of an id that repeats, the first row in the order of the other columns.
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = _matching(kept, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[docs[f"`{c}`"] for c in rest])).alias("row"))
+    return _matching(kept, again, "left_anti").unionByName(rows.select("doc_id", *[F.col("row")[c].alias(c) for c in rest]))
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """One row of each id: the first text, then the first of the other columns."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    least = docs.groupBy("doc_id").agg(F.min(F.struct(*[docs[f"`{c}`"] for c in rest])).alias("row"))
-    return least.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id, null included, is among ``ids`` or (left_anti) is not."""
+    other = small_side(ids.select(F.col("doc_id").alias("other_id")).distinct())
+    return docs.join(other, docs["doc_id"].eqNullSafe(other["other_id"]), how)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +62,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window repeats a benchmark item."""
-    found = benchmark_leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    found = benchmark_leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _matching(docs, found, "left_anti")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ _SQL = {
 WITH RECURSIVE v AS (
     SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
     WHERE embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, y -> y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, y -> y <> 0)) > 0),
+      AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
     WHERE list_cosine_similarity(a.x, b.x) >= 0.95),

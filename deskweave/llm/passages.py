@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deskweave.session import cut_lineage
 
 from .components import connected_components
-from .shared import shared_folder
+from .shared import shared_folder, small_side
 from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, word_hashes, words
 
 #: Words of a shingle; a paragraph with fewer has none and is compared with nothing.
@@ -34,8 +34,6 @@ GAP_WORDS = 12
 LONG_SENTENCE = 64
 #: Bytes of text that make a block.
 BLOCK_BYTES = 12 << 20
-#: Rows up to which a side is broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _NO_ID = 2**63 - 1
 _SEEDS = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -229,11 +227,6 @@ def _collisions(entries: DataFrame, buckets: int) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(search, schema)
 
 
-def _attached(docs: DataFrame, asked: DataFrame, how: str) -> DataFrame:
-    """``docs`` beside the one row for their id in ``asked``, which is broadcast if it is small."""
-    return docs.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "id", how)
-
-
 def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, number, content, grams) of the paragraphs in ``asked`` (id, numbers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +246,7 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     some.column(0).take(pa.array(text[fine][there])), pa.array(number[fine][there].astype(np.int32)),
                     pa.array(found.content[chosen].view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], ["id", "number", "content", "grams"])
 
-    joined_docs = _attached(docs, asked, "inner").select("id", "t", "numbers")
+    joined_docs = docs.join(small_side(asked), "id").select("id", "t", "numbers")
     return joined_docs.mapInArrow(run, "id bigint, number int, content bigint, grams array<bigint>")
 
 
@@ -265,7 +258,7 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     exact = found.where("other_id IS NULL").select("content", "id", "number")
     pairs = found.where("other_id IS NOT NULL").select("id", "number", "other_id", "other_number").distinct()
     ends = pairs.select("id", "number").union(pairs.select("other_id", "other_number")).groupBy("id").agg(F.collect_set("number").alias("numbers"))
-    sets = cut_lineage(_sets(docs, cut_lineage(ends, folder)).dropDuplicates(["id", "number", "content"]), folder)
+    sets = cut_lineage(_sets(docs, ends).dropDuplicates(["id", "number", "content"]), folder)
     other = sets.select(F.col("id").alias("other_id"), F.col("number").alias("other_number"), F.col("content").alias("other_content"), F.col("grams").alias("other_grams"))
     shared = F.size(F.array_intersect("grams", "other_grams"))
     alike = (pairs.join(sets, ["id", "number"]).join(other, ["other_id", "other_number"])
@@ -278,7 +271,7 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     group = low.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "keeper"), folder)
     late = places.join(keeper, "content").where("id > keeper")
-    return cut_lineage(late.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("number", "content", "keeper"))).alias("late")), folder)
+    return late.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("number", "content", "keeper"))).alias("late"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str = "doc_id", text_col: str = "text",
@@ -301,7 +294,7 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
     late = _keepers(slim.where("t IS NOT NULL"), similarity)
     names = [f"k{i}" for i in range(len(keep))]
     wide = docs.select(*[c.alias(n) for c, n in zip(keep, names, strict=True)], key.alias("id"), column(docs, text_col).cast("string").alias("t"))
-    wide = _attached(wide, late, "left").select(*names, "late", "t")
+    wide = wide.join(small_side(late), "id", "left").select(*names, "late", "t")
     cuts = "array<struct<start:bigint,end:bigint,n_words:bigint,kept_id:bigint>>"
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "n_words", "kept_id")]))
     outs = [x.strip().split(" ")[0] for x in schema.split(",")] + ["clean", "cuts"]

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deskweave.session import cut_lineage
+
+#: Rows, of a few numbers each, up to which a side of a join is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -18,3 +24,9 @@ def shared_folder(spark: SparkSession) -> str | None:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="deskweave-")
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, computed once, and marked for broadcast if it has few rows; a larger one is joined by a shuffle."""
+    held = cut_lineage(df, shared_folder(df.sparkSession))
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held

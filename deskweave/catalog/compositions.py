@@ -99,13 +99,16 @@ def unpivot(section: str, names, source: str) -> str:
     return " UNION ALL ".join(f"SELECT {section} AS section, '{n}' AS metric, {n}::DOUBLE AS value FROM {source}" for n in names)
 
 
+# One label of the list has no row.
+REPORTED = (*v.TAXONOMY, "never")
 TAX = f"gold_intent IN {v.IN_TAXONOMY}"
 REPORT_CTES = (
     *SPLIT_CTES, "tax AS (SELECT * FROM preds WHERE " + TAX + ")", CLASS_COUNTS.replace("FROM preds", "FROM tax"),
     f"""cls AS (SELECT CASE WHEN difficulty_tier IS NULL THEN 'classification' ELSE 'classification/' || difficulty_tier END AS section, total, correct, {rate('correct', 'total')} AS accuracy
   FROM (SELECT difficulty_tier, count(*) AS total, count(*) FILTER (WHERE gold_intent = predicted_intent) AS correct FROM tax GROUP BY GROUPING SETS ((), (difficulty_tier))))""",
     "avgs AS (SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * gold_n) / sum(gold_n), 6) AS weighted_f1 FROM scores)",
-    f"per_label AS (SELECT 'intent/' || label AS section, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, gold_n AS support FROM scores WHERE label IN {v.IN_TAXONOMY})",
+    f"""per_label AS (SELECT 'intent/' || l.label AS section, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall, round(coalesce(f1, 0), 6) AS f1, coalesce(gold_n, 0) AS support
+  FROM (SELECT unnest([{', '.join(lit(x) for x in REPORTED)}]) AS label) l LEFT JOIN scores s ON s.label = l.label)""",
     f"""routing AS (SELECT 'routing/' || coalesce(split, 'full_set') || '/' || coalesce(difficulty_tier, 'all') AS section, {RATED}
   FROM (SELECT split, difficulty_tier, {ROUTED} FROM split_rows GROUP BY CUBE (split, difficulty_tier)))""",
     f"conf AS (SELECT {MEANS} FROM preds)",
@@ -120,7 +123,7 @@ REPORT_CTES = (
     "SELECT 'gate_triggered', gate_triggered, count(*)::DOUBLE FROM preds WHERE gate_triggered IS NOT NULL GROUP BY 2",
     unpivot("'confidence'", ("mean_auto_handle", "mean_escalate"), "conf")]))
 def _(t):
-    return evaluation_report(v.split_preds(t), v.TAXONOMY)
+    return evaluation_report(v.split_preds(t), REPORTED)
 
 
 @query("judge_validation_report", with_(v.RATINGS, AGREEMENT, KAPPA) + " UNION ALL ".join([

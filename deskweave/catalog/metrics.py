@@ -29,9 +29,14 @@ def _(t):
     return m.accuracy_by_tier(v.preds(t))
 
 
-@query("confusion_matrix", PREDS + "SELECT gold_intent, " + ", ".join(f"count(*) FILTER (WHERE predicted_intent = '{x}') AS {x}" for x in v.LABELS) + " FROM preds GROUP BY 1")
+# A label that never occurs has a row of zeros.
+ALL_LABELS = (*v.LABELS, "never")
+
+
+@query("confusion_matrix", PREDS + "SELECT l.gold_intent, " + ", ".join(f"count(*) FILTER (WHERE predicted_intent = '{x}') AS {x}" for x in ALL_LABELS)
+       + f" FROM (SELECT unnest([{', '.join(v.lit(x) for x in ALL_LABELS)}]) AS gold_intent) l LEFT JOIN preds p ON p.gold_intent = l.gold_intent GROUP BY 1")
 def _(t):
-    return m.confusion_matrix(v.preds(t), v.LABELS)
+    return m.confusion_matrix(v.preds(t), ALL_LABELS)
 
 
 CLASS_COUNTS = """class_counts AS (

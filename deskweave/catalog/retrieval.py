@@ -101,9 +101,9 @@ counts AS (SELECT msg_id AS id, term, count(*) AS tf FROM grams GROUP BY 1, 2)""
 USER_GRAMS = (v.USERS, TOKENS, GRAMS)
 
 
-def vocab_sql(n: int, counts: str = "counts", docs: str = "users") -> str:
+def vocab_sql(n: int | None, counts: str = "counts", docs: str = "users") -> str:
     return f"""vocab AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM {docs})) / (1.0 + df)) + 1.0 AS idf FROM (
-  SELECT term, sum(tf) AS total, count(*) AS df FROM {counts} GROUP BY 1 ORDER BY total DESC, term LIMIT {n}))"""
+  SELECT term, sum(tf) AS total, count(*) AS df FROM {counts} GROUP BY 1 ORDER BY total DESC, term {f"LIMIT {n}" if n else ""}))"""
 
 
 def weights_sql(name: str, counts: str) -> str:
@@ -123,11 +123,11 @@ def _(t):
     return top_terms(term_counts(v.user_turns(t), "msg_id", "text"), N_TERMS)
 
 
-@query("tfidf_weights", with_(*USER_GRAMS, vocab_sql(N_TERMS), weights_sql("w", "counts")) + "SELECT id, term, round(weight, 6) AS weight FROM w")
+@query("tfidf_weights", with_(*USER_GRAMS, vocab_sql(None), weights_sql("w", "counts")) + "SELECT id, term, round(weight, 6) AS weight FROM w")
 def _(t):
     users = v.user_turns(t)
     counts = term_counts(users, "msg_id", "text")
-    return weigh(counts, fit_idf(counts, users, N_TERMS)).select("id", "term", F.round("weight", 6).alias("weight"))
+    return weigh(counts, fit_idf(counts, users, None)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 # Weakly labelled turns form the corpus, all other turns ask.

@@ -168,11 +168,11 @@ def answers_sql(kinds) -> str:
 LANGS = ("en", "de", "fr", "es")
 INTENT_KINDS = (
     """'{"intent": " ' || upper(lang) || ' ", "confidence": 0.9, "reason": "n' || n_chars || '"}'""", """'the answer is ' || lang""",
-    """'{"intent": "maybe ' || lang || '!"}'""", """'{"intent": "en", "confidence": 0.8'""", "NULL", """'{"intent": "zz", "confidence": 0.25}'""")
+    """'{"intent": "maybe ' || lang || '!"}'""", """'{"intent": "en", "confidence": 0.8'""", "NULL", """'{"intent": "zz", "confidence": 0.25}'""", """'{"intent": "fr", "confidence": " 0.75 "}'""", """'{"intent": "de", "confidence": "high"}'""", """'{"intent": "es", "confidence": true}'""")
 
 
 @query("parse_intent_response", with_(answers_sql(INTENT_KINDS)) + """, j AS (SELECT doc_id, CASE WHEN raw LIKE '{%' AND json_valid(raw) THEN raw::JSON END AS j FROM raw),
-f AS (SELECT doc_id, j, j->>'intent' AS raw_intent, lower(trim(j->>'intent')) AS named, (j->>'confidence')::DOUBLE AS confidence, j->>'reason' AS reason FROM j)
+f AS (SELECT doc_id, j, j->>'intent' AS raw_intent, lower(trim(j->>'intent')) AS named, try_cast(trim(j->>'confidence') AS DOUBLE) AS confidence, j->>'reason' AS reason FROM j)
 SELECT doc_id, CASE WHEN j IS NULL THEN 'es' WHEN named IN ('en', 'de', 'fr', 'es') THEN named WHEN contains(named, 'en') THEN 'en' WHEN contains(named, 'de') THEN 'de'
     WHEN contains(named, 'fr') THEN 'fr' WHEN contains(named, 'es') THEN 'es' ELSE raw_intent END AS intent,
   CASE WHEN j IS NULL THEN 0.2 ELSE coalesce(confidence, 0.0) END::DOUBLE AS confidence,
@@ -182,24 +182,27 @@ def _(t):
     kinds = (
         F.concat(F.lit('{"intent": " '), F.upper(lang), F.lit(' ", "confidence": 0.9, "reason": "n'), "n_chars", F.lit('"}')),
         F.concat(F.lit("the answer is "), lang), F.concat(F.lit('{"intent": "maybe '), lang, F.lit('!"}')),
-        F.lit('{"intent": "en", "confidence": 0.8'), F.lit(None).cast("string"), F.lit('{"intent": "zz", "confidence": 0.25}'))
+        F.lit('{"intent": "en", "confidence": 0.8'), F.lit(None).cast("string"), F.lit('{"intent": "zz", "confidence": 0.25}'),
+        F.lit('{"intent": "fr", "confidence": " 0.75 "}'), F.lit('{"intent": "de", "confidence": "high"}'), F.lit('{"intent": "es", "confidence": true}'))
     return answers(t, kinds).withColumn("i", p.parse_intent(F.col("raw"), LANGS, "es")).select("doc_id", "i.*")
 
 
 VERDICT_KINDS = ("""'Fine. {"resolves_problem": true, "confidence": 0.7, "reason": " n' || n_chars || ' "} done'""", "'no block at all'",
-                 """'{"resolves_problem": false}'""", """'{"resolves_problem": tr}'""", "NULL", """'```' || chr(10) || '{' || chr(10) || '"confidence": 1}' || '```'""")
+                 """'{"resolves_problem": false}'""", """'{"resolves_problem": tr}'""", "NULL", """'```' || chr(10) || '{' || chr(10) || '"confidence": 1}' || '```'""",
+                 """'{"resolves_problem": "True", "confidence": "0.7"}'""", """'{"resolves_problem": "no", "confidence": "sure"}'""", """'{"resolves_problem": 1, "confidence": true}'""")
 
 
 @query("parse_verdict_response", with_(answers_sql(VERDICT_KINDS)) + f""", b AS (SELECT doc_id, raw, regexp_extract(coalesce(raw, ''), '(?s)\\{{.*\\}}') AS block FROM raw),
 j AS (SELECT doc_id, raw, block, CASE WHEN block <> '' AND json_valid(block) THEN block::JSON END AS j FROM b)
-SELECT doc_id, coalesce((j->>'resolves_problem')::BOOLEAN, false) AS resolves_problem,
-  CASE WHEN j IS NOT NULL THEN coalesce((j->>'confidence')::DOUBLE, 0.8) WHEN raw IS NOT NULL AND block = '' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
+SELECT doc_id, coalesce(lower(trim(j->>'resolves_problem')) IN ('true', 'yes') OR try_cast(trim(j->>'resolves_problem') AS DOUBLE) <> 0, false) AS resolves_problem,
+  CASE WHEN j IS NOT NULL THEN coalesce(try_cast(trim(j->>'confidence') AS DOUBLE), 0.8) WHEN raw IS NOT NULL AND block = '' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence,
   CASE WHEN j IS NOT NULL THEN coalesce(trim(j->>'reason'), '') WHEN raw IS NOT NULL AND block = '' THEN {lit(d.UNPARSED_VERDICT_REASON)} ELSE 'Resolution checker API error: unreadable response' END AS reason,
   j IS NOT NULL OR (raw IS NOT NULL AND block = '') AS cacheable FROM j""")
 def _(t):
     kinds = (
         F.concat(F.lit('Fine. {"resolves_problem": true, "confidence": 0.7, "reason": " n'), "n_chars", F.lit(' "} done')), F.lit("no block at all"),
-        F.lit('{"resolves_problem": false}'), F.lit('{"resolves_problem": tr}'), F.lit(None).cast("string"), F.lit('```\n{\n"confidence": 1}```'))
+        F.lit('{"resolves_problem": false}'), F.lit('{"resolves_problem": tr}'), F.lit(None).cast("string"), F.lit('```\n{\n"confidence": 1}```'),
+        F.lit('{"resolves_problem": "True", "confidence": "0.7"}'), F.lit('{"resolves_problem": "no", "confidence": "sure"}'), F.lit('{"resolves_problem": 1, "confidence": true}'))
     return answers(t, kinds).withColumn("x", p.parse_verdict(F.col("raw"))).select("doc_id", "x.*")
 
 
@@ -242,7 +245,7 @@ def draft_sql(fallback: str = lit(d.FALLBACK_REPLY)) -> str:
     url = lit(URL)
     grounded_text = f"CASE WHEN concrete THEN hit_reply WHEN sop_steps IS NOT NULL THEN 'Please try this: ' || sop_steps ELSE {lit(d.GENERAL_PROCEDURE)} END"
     stripped = v.trim(f"regexp_replace({grounded_text}, {url}, '', 'g')")
-    return f"""substring(CASE WHEN decision = 'escalate' THEN {fallback} ELSE replace({stripped}, '"', '') END, 1, 280)"""
+    return f"""CASE WHEN decision = 'escalate' THEN {fallback} ELSE replace({stripped}, '"', '') END"""
 
 
 @query("draft_fallback_template", GROUNDED_WITH + f"SELECT id, decision, {draft_sql()} AS draft FROM grounded")

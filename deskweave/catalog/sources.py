@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,12 +19,8 @@ from .views import PREDS, with_
 
 
 def scratch(t) -> str:
-    """A fresh folder in the cluster's shared folder; a local one only if none is configured."""
-    try:
-        base = checkpoint_dir(t.spark)
-    except ValueError:
-        base = tempfile.mkdtemp(prefix="deskweave-")
-    return os.path.join(base, "deskweave-" + uuid.uuid4().hex)
+    """A fresh folder in the folder that all executors share."""
+    return os.path.join(checkpoint_dir(t.spark), "deskweave-" + uuid.uuid4().hex)
 
 
 @query("scan_messages", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations")

@@ -98,16 +98,14 @@ def clean_draft(draft: Column, decision: Column, fallback: str = d.FALLBACK_REPL
     return F.coalesce(F.when(decision == d.AUTO_HANDLE, strip_urls(unquoted)).otherwise(unquoted), F.lit(fallback))
 
 
-def template_draft(decision: Column, sop: Column, concrete: Column, hit_reply: Column,
-                   max_chars: int = d.MAX_REPLY_CHARS, fallback: str = d.FALLBACK_REPLY) -> Column:
-    """Deterministic reply that stands in for a generated one."""
+def template_draft(decision: Column, sop: Column, concrete: Column, hit_reply: Column, fallback: str = d.FALLBACK_REPLY) -> Column:
+    """Deterministic reply that stands in for a generated one; whole, whatever its length, which guardrails judge later."""
     grounded = F.coalesce(
         F.when(concrete, hit_reply),
         F.concat(F.lit("Please try this: "), F.array_join(sop["steps"], " ")),
         F.lit(d.GENERAL_PROCEDURE),
     )
-    text = F.when(decision == d.ESCALATE, F.lit(fallback)).otherwise(F.translate(strip_urls(grounded), '"', ""))
-    return F.substring(text, 1, max_chars)
+    return F.when(decision == d.ESCALATE, F.lit(fallback)).otherwise(F.translate(strip_urls(grounded), '"', ""))
 
 
 def verdict_key(text: Column, procedure: Column) -> Column:

@@ -38,6 +38,12 @@ def _json_block(raw: Column) -> Column:
     return F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0)
 
 
+def _number(text: Column) -> Column:
+    """The number a text holds, else null; NaN and infinities are no numbers here."""
+    value = trim_all(text).try_cast("double")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(None)).otherwise(value)
+
+
 def _is_object(raw: Column, parsed: Column) -> Column:
     return F.coalesce(parsed["_bad"].isNull() & trim_all(raw).startswith("{"), F.lit(False))
 
@@ -47,8 +53,9 @@ def parse_intent(raw: Column, intents: Sequence[str] = d.INTENTS, fallback: str
 
     A known name is normalised in case and blanks; otherwise the first known
     name inside the answer counts; an unreadable answer gives the fallback.
+    A confidence may be quoted; one that is no number counts as 0 and leaves the intent as it is.
     """
-    parsed = _parse(raw, "intent string, confidence double, reason string")
+    parsed = _parse(raw, "intent string, confidence string, reason string")
     named = F.lower(trim_all(parsed["intent"]))
     inside = F.coalesce(*[F.when(named.contains(name), F.lit(name)) for name in intents])
     known = F.when(named.isin(*intents), named)
@@ -56,7 +63,7 @@ def parse_intent(raw: Column, intents: Sequence[str] = d.INTENTS, fallback: str
         _is_object(raw, parsed),
         F.struct(
             F.coalesce(known, inside, parsed["intent"], F.lit("")).alias("intent"),
-            F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"),
+            F.coalesce(_number(parsed["confidence"]), F.lit(0.0)).alias("confidence"),
             F.coalesce(parsed["reason"], F.lit("")).alias("reason"),
         ),
     ).otherwise(
@@ -72,10 +79,13 @@ def parse_verdict(raw: Column) -> Column:
     """Verifier answer -> (resolves_problem, confidence, reason, cacheable).
 
     An answer without any JSON block is a stored 'no'; a broken block or a
-    missing answer counts as a failed call and must not be cached.
+    missing answer counts as a failed call and must not be cached.  Numbers and truth values may be quoted;
+    ``true``, ``yes`` and non-zero numbers say yes, anything else no, and a confidence that is no number is 0.8.
     """
     block = _json_block(raw)
-    parsed = _parse(block, "resolves_problem boolean, confidence double, reason string")
+    parsed = _parse(block, "resolves_problem string, confidence string, reason string")
+    said = F.lower(trim_all(parsed["resolves_problem"]))
+    yes = F.coalesce(said.isin("true", "yes") | (_number(said) != 0), F.lit(False))
 
     def verdict(resolves: Column, confidence: Column, reason: Column, cacheable: bool) -> Column:
         return F.struct(resolves.alias("resolves_problem"), confidence.alias("confidence"),
@@ -87,8 +97,7 @@ def parse_verdict(raw: Column) -> Column:
         .when(block == "", verdict(F.lit(False), F.lit(0.5), F.lit(d.UNPARSED_VERDICT_REASON), True))
         .when(
             _is_object(block, parsed),
-            verdict(F.coalesce(parsed["resolves_problem"], F.lit(False)),
-                    F.coalesce(parsed["confidence"], F.lit(0.8)),
+            verdict(yes, F.coalesce(_number(parsed["confidence"]), F.lit(0.8)),
                     trim_all(F.coalesce(parsed["reason"], F.lit(""))), True),
         )
         .otherwise(failed)

@@ -99,16 +99,16 @@ def spearman(df: DataFrame, scores: Sequence[tuple[str, str, str]], weight: str
         df.select(F.explode(F.array(*entries)).alias("e"), _weight(weight).alias("w")).select("e.*", "w")
         .filter("x IS NOT NULL AND y IS NOT NULL").groupBy("metric", "x", "y").agg(F.sum("w").alias("n"))
     )
-    sides = pairs.select("metric", "n", F.explode(F.array(
+    sides = pairs.select("metric", "x", "y", "n", F.explode(F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("value")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("s")).select("metric", "s.side", "s.value", "n")
-    ranks = average_ranks(sides, ["metric", "side"], "value", "n")
-
-    def of(side: str) -> DataFrame:
-        return ranks.filter(F.col("side") == side).select("metric", F.col("value").alias(side), F.col("avg_rank").alias(f"r{side}"))
-
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("value")))).alias("s")).select("metric", "x", "y", "s.side", "s.value", "n")
+    # Values tell their ranks to the pairs they are in; a pair then puts its two sides together.
+    ranks = average_ranks(sides, ["metric", "side"], "value", "n", ["x", "y"])
+    ranked = ranks.groupBy("metric", "x", "y").agg(
+        F.max(F.when(F.col("side") == "x", F.col("avg_rank"))).alias("rx"), F.max(F.when(F.col("side") == "y", F.col("avg_rank"))).alias("ry"),
+        F.max("n").alias("n"))
     n, rx, ry = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-    sums = pairs.join(of("x"), ["metric", "x"]).join(of("y"), ["metric", "y"]).groupBy("metric").agg(
+    sums = ranked.groupBy("metric").agg(
         F.sum("n").alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))
     total = F.col("n").cast("double")
     centre = total * (total + 1.0) * (total + 1.0) / 4.0

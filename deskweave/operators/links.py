@@ -48,21 +48,19 @@ def minus_by_id(rows: DataFrame, known: DataFrame, id_col: str = "msg_id", known
 def inbound_union(msgs: DataFrame, brand: str) -> DataFrame:
     """Replies to the brand plus the root messages not already among them.
 
-    A row qualifies by either test, so two lookup flags give the disjoint union.
-    They are decided on the id columns alone; the texts are spread once, by
-    message id, for the final semi-join.
+    Which messages belong is decided on the id columns alone; the texts are spread once, by message id, for
+    the final semi-join, in which a message that qualifies twice counts once.  Only messages with a parent are
+    looked up by it, so thread starters, which have none, never meet under one key.
     """
     brand_rows = brand_messages(msgs, brand)
     written = brand_rows.select(F.col("msg_id").alias("_written")).distinct()
     answered = brand_rows.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_answered")).distinct()
     inbound = msgs.filter("inbound")
-    flagged = (
-        inbound.select("msg_id", "parent_id", "author")
-        .join(written, F.col("parent_id") == F.col("_written"), "left")
-        .join(answered, F.col("msg_id") == F.col("_answered"), "left")
-    )
-    kept = F.col("_written").isNotNull() | F.col("_answered").isNotNull() | (F.col("author") == brand)
-    return inbound.join(flagged.filter(kept).select(F.col("msg_id").alias("_kept")), F.col("msg_id") == F.col("_kept"), "left_semi")
+    answering = inbound.filter(F.col("parent_id").isNotNull()).select("msg_id", "parent_id").join(
+        written, F.col("parent_id") == F.col("_written"), "left_semi").select(F.col("msg_id").alias("_kept"))
+    own = brand_messages(inbound, brand).select(F.col("msg_id").alias("_kept"))
+    kept = answering.union(answered.select(F.col("_answered").alias("_kept"))).union(own)
+    return inbound.join(kept, F.col("msg_id") == F.col("_kept"), "left_semi")
 
 
 def first_replies(msgs: DataFrame, brand: str, order: Column | None = None) -> DataFrame:

@@ -38,11 +38,11 @@ def accuracy_by_tier(df: DataFrame, tier: str = "difficulty_tier", gold: str = "
 
 def confusion_matrix(df: DataFrame, labels: Sequence[str], gold: str = "gold_intent",
                      predicted: str = "predicted_intent") -> DataFrame:
-    """One row per gold label, one count column per predicted label."""
-    return (
-        df.filter(F.col(gold).isin(*labels)).groupBy(gold).pivot(predicted, list(labels))
-        .agg(F.count(F.lit(1))).na.fill(0)
-    )
+    """One row per label of the list, seen or not, and one count column per predicted label."""
+    counted = df.filter(F.col(gold).isin(*labels)).groupBy(gold).agg(
+        *[F.count_if(F.col(predicted) == name).alias(name) for name in labels])
+    every = df.sparkSession.createDataFrame([(name,) for name in labels], f"{gold} string")
+    return every.join(counted, gold, "left").na.fill(0)
 
 
 def class_counts(df: DataFrame, gold: str = "gold_intent", predicted: str = "predicted_intent") -> DataFrame:

@@ -54,14 +54,11 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object,
     pieces = hashed.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    # One row per stratum, so this is the only single-task step and stays small.
-    earlier = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        pieces.groupBy("_key")
-        .agg(F.sum("_n").alias("stratum_n"))
-        .withColumn("stratum_before", F.coalesce(F.sum("stratum_n").over(earlier), F.lit(0)))
-        .withColumn("all_n", F.sum("stratum_n").over(earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
+    # Strata may be many, so their own order is cut into pieces like any other.
+    sizes = pieces.groupBy("_key").agg(F.sum("_n").alias("stratum_n")).select(F.col("_key").alias("_stratum"), "stratum_n", F.lit(0).alias("_all"))
+    totals = running_sums(sizes, ["_all"], ["_stratum"], {"_upto": F.col("stratum_n")}).select(
+        F.col("_stratum").alias("_key"), "stratum_n", (F.col("_upto") - F.col("stratum_n")).alias("stratum_before"),
+        sizes.agg(F.sum("stratum_n")).scalar().alias("all_n"))
     offsets = offsets.join(totals, "_key").drop("_n")
     return (
         ranked.join(offsets, ["_key", "_piece"])
@@ -71,26 +68,35 @@ def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object,
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column],
-                 hot_share: int = 10_000, bins: int = 4096) -> DataFrame:
-    """Running sums per key, current row included, along ``order``.
-
-    The first order column is numeric or a time.  A key with more than
-    1 / ``hot_share`` of all rows is cut into ``bins`` equal ranges of that
-    column, so it is summed by many tasks; all other keys are one piece.  At
-    most ``hot_share`` keys can be that large, which bounds the broadcast.
+                 pieces: int = 2048) -> DataFrame:
+    """Running sums per key, current row included, along ``order``; rows equal there follow a hash of the row.
+
+    About ``pieces`` sampled rows, of all keys together, are splitters: a key with a share of the rows gets that
+    share of them and is cut into ranges of the order columns, so that pieces have about equal rows
+    however the values bunch.  A row's place in the order ends with a hash of all its columns, so rows that are
+    equal in ``order`` are cut as well; only rows that are equal in every column stay together.  The
+    sample, and with it the broadcast, is bounded by ``pieces``, not by the data.
     """
-    lead = F.col(order[0]).cast("double")
-    key = F.struct(*keys).alias("_key")
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-    total = stats.agg(F.sum("_n")).scalar()
-    hot = stats.filter(F.col("_n") * hot_share > total).drop("_n")
-    share = F.try_divide(lead - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    rows = df.select("*", F.struct(*keys).alias("_key"), F.struct(*order, F.xxhash64(*df.columns).alias("_tie")).alias("_at"),
+                     *[c.alias(f"_v_{name}") for name, c in sums.items()])
+    total = df.agg(F.count(F.lit(1))).scalar()
+    drawn = F.pmod(F.xxhash64("_key", "_at", F.lit("splitter")), F.lit(1 << 30)).cast("double") * total < float(pieces) * (1 << 30)
+    cuts = rows.filter(drawn).groupBy("_key").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+    # Looked up in two steps: blocks of splitters by their first one, then within the block.
+    width = max(2, int(pieces**0.5))
+    heads = F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.lit(width)), lambda i: F.element_at("_cuts", i))
+    cuts = cuts.withColumn("_heads", heads)
+    block = F.size(F.filter("_heads", lambda c: c <= F.col("_at")))
+    inside = F.slice("_cuts", (F.greatest(F.col("_block"), F.lit(1)) - 1) * width + 1, width)
     named = (
-        df.select("*", key, *[c.alias(f"_v_{name}") for name, c in sums.items()]).join(F.broadcast(hot), "_key", "left")
-        .withColumn("_piece", F.coalesce(F.floor(share * (bins - 1)), F.lit(0))).drop("_lo", "_hi")
+        rows.join(F.broadcast(cuts), "_key", "left").withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block))
+        .withColumn("_piece", F.when(F.col("_block") == 0, F.lit(0)).otherwise(
+            (F.col("_block") - 1) * width + F.size(F.filter(inside, lambda c: c <= F.col("_at")))))
+        .drop("_cuts", "_heads", "_block")
     )
-    local = Window.partitionBy("_key", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("_key", "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     totals = named.groupBy("_key", "_piece").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    # A key has no more pieces than splitters.
     before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_key", "_piece", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums]
@@ -102,8 +108,16 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     )
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
-    """(keys, value, avg_rank) over the distinct values of pre-counted rows, ties sharing their mean rank."""
-    counted = df.groupBy(*keys, value).agg(F.sum(weight).alias("n"))
-    summed = running_sums(counted, keys, [value], {"upto": F.col("n")})
-    return summed.select(*keys, value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank"))
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str, carried: Sequence[str] = ()) -> DataFrame:
+    """Pre-counted rows (keys, value, weight, and ``carried`` columns that tell them apart) with the mean rank of their value.
+
+    Rows of equal value share a rank: the middle between the weights before the first and those up to the last of them.
+    """
+    summed = running_sums(df.select(*keys, value, weight, *carried), keys, [value, *carried], {"_upto": F.col(weight)})
+    # Ties lie side by side; their span reaches from the least sum before to the largest sum after.
+    spans = summed.groupBy(*keys, value).agg((F.min(F.col("_upto") - F.col(weight)) + 1).alias("_low"), F.max("_upto").alias("_high"))
+    named = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_value"), ((F.col("_low") + F.col("_high")) / 2).alias("avg_rank"))
+    same = F.col(value) == F.col("_value")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return summed.join(named, same).select(*keys, value, weight, *carried, "avg_rank")

@@ -16,13 +16,14 @@ Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
 def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scorer], *, attempts: int = 3,
-                backoff_seconds: float = 1.0, parallelism: int | None = None) -> DataFrame:
+                backoff_seconds: float = 1.0, parallelism: int | None = None, batch_size: int = 64) -> DataFrame:
     """(key, raw, error): one answer per distinct request.
 
     ``scorer_factory`` runs once per task and returns a function from a batch of
-    requests to raw answers (a row may be null).  Rows that fail are retried
-    with linear back-off, the rest of the batch is not called again.  Equal
-    requests are sent once; ``parallelism`` bounds the concurrent clients.
+    requests to raw answers (a row may be null); it gets at most ``batch_size`` requests at a time.  Rows
+    without an answer are retried with linear back-off, those that have one are not sent again.  If a call
+    raises, its rows are halved until the row that fails is alone, so one bad row costs no other its answer.
+    Equal requests are sent once; ``parallelism`` bounds the concurrent clients.
     """
     distinct = requests.dropDuplicates([key])
     if parallelism:
@@ -32,7 +33,8 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for batch in batches:
-            yield _score_with_retries(batch, key, scorer, attempts, backoff_seconds)
+            for start in range(0, len(batch), batch_size):
+                yield _score_with_retries(batch.iloc[start:start + batch_size], key, scorer, attempts, backoff_seconds)
 
     return distinct.mapInPandas(run, f"{key} {key_type}, raw string, error string")
 
@@ -42,12 +44,7 @@ def _score_with_retries(batch: pd.DataFrame, key: str, scorer: Scorer, attempts:
     error = raw.copy()
     todo = batch
     for attempt in range(attempts):
-        try:
-            answers = scorer(todo)
-            raw.loc[todo.index] = answers.reindex(todo.index)
-            error.loc[todo.index] = None
-        except Exception as failure:  # any client error is retried, then reported per row
-            error.loc[todo.index] = str(failure)
+        _call(todo, scorer, raw, error)
         todo = batch[raw.isna()]
         if todo.empty:
             break
@@ -56,6 +53,22 @@ def _score_with_retries(batch: pd.DataFrame, key: str, scorer: Scorer, attempts:
     return pd.DataFrame({key: batch[key], "raw": raw, "error": error})
 
 
+def _call(todo: pd.DataFrame, scorer: Scorer, raw: pd.Series, error: pd.Series) -> None:
+    """Answers of ``todo`` into ``raw``; halves a call that raises until the failing row is alone."""
+    try:
+        answers = scorer(todo).reindex(todo.index)
+    except Exception as failure:  # any client error is retried, then reported for its row
+        if len(todo) == 1:
+            error.loc[todo.index] = str(failure)
+            return
+        middle = len(todo) // 2
+        _call(todo.iloc[:middle], scorer, raw, error)
+        _call(todo.iloc[middle:], scorer, raw, error)
+        return
+    raw.loc[todo.index] = answers
+    error.loc[todo.index] = None
+
+
 def misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Requests without a stored answer."""
     return requests.join(cache.select(key), key, "left_anti")

@@ -1,4 +1,4 @@
-"""TF-IDF features: a bounded vocabulary and unit-length sparse rows."""
+"""TF-IDF features: the whole vocabulary or its most frequent terms, and unit-length sparse rows."""
 
 from __future__ import annotations
 
@@ -26,18 +26,31 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms_of(docs, id_col, text_col).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Vocabularies of at most this size are broadcast.
+BROADCAST_TERMS = 100_000
+
+
+def term_totals(counts: DataFrame) -> DataFrame:
+    """(term, total, df)."""
+    return counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+
+
 def top_terms(counts: DataFrame, n: int) -> DataFrame:
     """(term, total, df) of the ``n`` most frequent terms; equal counts go alphabetically."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    totals = term_totals(counts)
     return totals.orderBy(F.col("total").desc(), F.col("term")).limit(n)
 
 
-def fit_idf(counts: DataFrame, n_docs: DataFrame, n: int) -> DataFrame:
-    """(term, term_ix, idf) for the vocabulary; ``term_ix`` follows the frequency order.
+def fit_idf(counts: DataFrame, n_docs: DataFrame, n: int | None) -> DataFrame:
+    """(term, term_ix, idf) for the ``n`` most frequent terms, or for all of them if ``n`` is None.
 
-    ``n_docs`` is the one-row document count.
+    ``term_ix`` follows the frequency order; without ``n`` it is a 64-bit hash of the term, so that no task
+    has to number the whole vocabulary.  ``n_docs`` holds the documents that are counted.
     """
     total = n_docs.agg(F.count(F.lit(1))).scalar()
+    idf = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    if n is None:
+        return term_totals(counts).select("term", F.xxhash64("term").alias("term_ix"), idf.alias("idf"))
     vocab = top_terms(counts, n)
     # The vocabulary has at most n rows, so sorting it in one place is safe.
     packed = vocab.agg(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("neg"), "term", "df"))).alias("v"))
@@ -47,13 +60,17 @@ def fit_idf(counts: DataFrame, n_docs: DataFrame, n: int) -> DataFrame:
     )
 
 
-def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
+def _raw(counts: DataFrame, idf: DataFrame, n: int | None) -> DataFrame:
+    known = F.broadcast(idf) if n is not None and n <= BROADCAST_TERMS else idf
+    return counts.join(known, "term").withColumn("raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+
+
+def weigh(counts: DataFrame, idf: DataFrame, n: int | None = None) -> DataFrame:
     """(id, term, term_ix, weight): sublinear tf times idf, unit length per document.
 
-    The vocabulary is bounded by its size parameter, hence the broadcast.
+    ``n`` is the bound that ``idf`` was fitted with; a large or unbounded vocabulary is joined by a shuffle.
     """
-    raw = counts.join(F.broadcast(idf), "term").withColumn(
-        "raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    raw = _raw(counts, idf, n)
     rows = raw.groupBy("id").agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
         F.collect_list(F.struct("term", "term_ix", "raw")).alias("entries"),
@@ -62,10 +79,9 @@ def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
         "id", F.col("e.term").alias("term"), F.col("e.term_ix").alias("term_ix"), (F.col("e.raw") / F.col("norm")).alias("weight"))
 
 
-def sparse_rows(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, terms, weights): one unit-length sparse row per document with a known term."""
-    raw = counts.join(F.broadcast(idf), "term").withColumn(
-        "raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+def sparse_rows(counts: DataFrame, idf: DataFrame, n: int | None = None) -> DataFrame:
+    """(id, terms, weights): one unit-length sparse row per document with a known term; ``n`` as for ``weigh``."""
+    raw = _raw(counts, idf, n)
     rows = raw.groupBy("id").agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
         F.array_sort(F.collect_list(F.struct("term_ix", "raw"))).alias("entries"),

@@ -19,23 +19,23 @@ _ROWS_PER_TASK = 20_000
 SWEEP_TAUS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.50)
 
 
-def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int = 5000) -> DataFrame:
+def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int | None = 5000) -> DataFrame:
     """Nearest corpus row by TF-IDF cosine for (id, text) frames.
 
-    Vocabulary and idf come from the corpus only.  Every query is returned; one
+    Vocabulary and idf come from the corpus only: its ``n_terms`` most frequent terms, or all (None).  Every query is returned; one
     without a shared term has a null ``hit_id`` and similarity 0.
     """
     counts = term_counts(corpus, "id", "text")
     idf = fit_idf(counts, corpus, n_terms)
-    indexed = sparse_rows(counts, idf)
-    asked = sparse_rows(term_counts(queries, "id", "text"), idf)
+    indexed = sparse_rows(counts, idf, n_terms)
+    asked = sparse_rows(term_counts(queries, "id", "text"), idf, n_terms)
     hits = sparse_nearest(asked, indexed, query_id="id", corpus_id="id", query_docs=queries, corpus_docs=corpus)
     return queries.select("id").join(hits, "id", "left").select(
         "id", "hit_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def retrieval_policy_report(golden: DataFrame, corpus: DataFrame, gates: Sequence[Rule], in_taxonomy: Sequence[str],
-                            taus: Sequence[float] = SWEEP_TAUS, n_terms: int = 5000) -> DataFrame:
+                            taus: Sequence[float] = SWEEP_TAUS, n_terms: int | None = 5000) -> DataFrame:
     """Sweep of 'gated -> escalate, similar enough -> auto' plus the top-1 intent match.
 
     ``golden``: id, text, gold_intent, gold_decision, difficulty_tier;
@@ -71,7 +71,7 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
     n_rows = max(1, train.count())
     # Few rows per task would spend every iteration on scheduling.
     parts = -(-n_rows // _ROWS_PER_TASK)
-    data = rows.join(_ml_vectors(sparse_rows(counts, idf), size), "id").repartition(parts).persist()
+    data = rows.join(_ml_vectors(sparse_rows(counts, idf, n_terms), size), "id").repartition(parts).persist()
     fitted = LogisticRegression(maxIter=max_iter, regParam=1.0 / (regularisation * n_rows),
                                 elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4).fit(data)
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
@@ -81,7 +81,7 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
 
     def predict(texts: DataFrame) -> DataFrame:
         # Scoring is a join with the (bounded) coefficient table and one sum per label.
-        weights = sparse_rows(term_counts(texts, "id", "text"), idf).select(
+        weights = sparse_rows(term_counts(texts, "id", "text"), idf, n_terms).select(
             "id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
         joined = weights.select("id", F.col("e.terms").alias("term_ix"), F.col("e.weights").alias("w")).join(
             F.broadcast(coefficients), "term_ix")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import defaults as d
@@ -36,11 +36,12 @@ _RAW = (*m.COUNTS, "predicted_n", "value_sum")
 def evaluation_report(preds: DataFrame, labels: Sequence[str], split: str = "split") -> DataFrame:
     """Classification, routing per split and tier, distributions and confidences.
 
-    One straight chain: cells, the sections each cell adds to, raw counts per
+    Labels and decisions without a row are reported as zeros.  One straight chain: cells, the sections each cell adds to, raw counts per
     section, metrics per section, final rows.  Nothing is read twice.
     """
     cells = evaluation_cells(preds, split)
     parts = cells.select(F.explode(F.concat(*_contributions(labels, split))).alias("p")).filter("p IS NOT NULL").select("p.*")
+    parts = parts.unionByName(_empty_sections(preds.sparkSession, labels))
     sections = parts.groupBy("section", "kind").agg(*[(m.exact_sum(F.col(c)) if c == "value_sum" else F.sum(c)).alias(c) for c in _RAW])
     rows = sections.select("section", F.explode(F.array_compact(F.array(*_section_metrics(labels)))).alias("m")).select(
         F.coalesce("m.in_section", "section").alias("section"), "m.metric", "m.value", "m.weight")
@@ -86,6 +87,13 @@ def _contributions(labels: Sequence[str], split: str) -> list[Column]:
     return [F.when(known, classified).otherwise(F.array().cast(_array_of_parts())), routed, other]
 
 
+def _empty_sections(spark: SparkSession, labels: Sequence[str]) -> DataFrame:
+    """Sections that are reported even if no row belongs to them."""
+    rows = [(f"intent/{name}", "label") for name in labels] + [(f"confidence/mean_{x}", "mean") for x in (d.AUTO_HANDLE, d.ESCALATE)]
+    zeros = {c: F.lit(0.0 if c == "value_sum" else 0).cast("double" if c == "value_sum" else "long") for c in _RAW}
+    return spark.createDataFrame(rows, "section string, kind string").withColumns(zeros)
+
+
 def _array_of_parts() -> str:
     counts = ", ".join(f"{c}: {'double' if c == 'value_sum' else 'bigint'}" for c in _RAW)
     return f"array<struct<section: string, kind: string, {counts}>>"
@@ -114,13 +122,13 @@ def _section_metrics(labels: Sequence[str]) -> list[Column]:
         metric(is_class | is_route, "accuracy", m.rate(correct, total)),
         metric(named_label, "precision", F.round(precision, m.DECIMALS)), metric(named_label, "recall", F.round(recall, m.DECIMALS)),
         metric(named_label, "f1", F.round(f1, m.DECIMALS)), metric(named_label, "support", total),
-        metric(is_label, "macro_f1", f1, one, F.lit("classification")),
+        metric(is_label, "macro_f1", f1, (total + F.col("predicted_n") > 0).cast("int"), F.lit("classification")),
         metric(is_label, "weighted_f1", f1, total, F.lit("classification")),
         *[metric(is_route, c, F.col(c)) for c in m.COUNTS[2:]],
         metric(is_route, "fah_rate", m.rate(F.col("fah_count"), F.col("fah_total"))),
         metric(is_route, "fe_rate", m.rate(F.col("fe_count"), F.col("fe_total"))), metric(is_route, "cost", cost),
         metric(entry, F.substring_index(section, "/", -1),
-               F.when(kind == "count", total).otherwise(F.try_divide(F.col("value_sum"), total)),
+               F.when(kind == "count", total).otherwise(F.coalesce(F.try_divide(F.col("value_sum"), total), F.lit(0.0))),
                one, F.substring_index(section, "/", 1)),
     ]
 

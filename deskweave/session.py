@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -52,18 +53,20 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
-    """Shared folder for materialised intermediates.
+    """Folder that driver and executors share, for materialised intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``; ``default`` is used only
-    where that is unset (tests on one machine).
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, ``default`` or a new temporary
+    folder serves a local master, which has one machine; with any other master a folder of one machine
+    would lose rows, so it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    folder = configured or default
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set and no default folder was given")
-    return folder
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return default or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="deskweave-")
 
 
 def cut_lineage(df: DataFrame, default_dir: str | None = None) -> DataFrame:

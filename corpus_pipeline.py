@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from deskweave.llm import benchmark_leaks, byte_bpe, language, passages, simhash
 from deskweave.llm.catalog import RANKS_PATTERN, encoding_digests, tokenizer_file
-from deskweave.llm.shared import shared_folder, small_side
-from deskweave.session import cut_lineage
+from deskweave.llm.sides import small_side
+from deskweave.session import checkpoint_dir, cut_lineage
 
 #: Mean probability of the language named below which a document is rejected, as is one without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the one whose id names it; rows with a null id stay only if no other is alike."""
-    groups = cut_lineage(simhash.simhash_groups(docs).where("doc_id <=> component_id").groupBy("doc_id").count(), shared_folder(spark))
+    groups = cut_lineage(simhash.simhash_groups(docs).where("doc_id <=> component_id").groupBy("doc_id").count())
     kept = _matching(docs, groups, "left_semi")
     again = groups.where("count > 1").select("doc_id")
     if again.isEmpty():
@@ -83,8 +83,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``; each stage is written to the shared folder and read again."""
-    top = shared_folder(spark) or spark.conf.get("spark.checkpoint.dir")
-    folder = f"{top}/corpus-{uuid.uuid4()}"
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")

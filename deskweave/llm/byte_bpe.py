@@ -20,7 +20,6 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from deskweave.session import cut_lineage
 
-from .shared import shared_folder
 from .texts import column, once, ragged, slices
 
 #: Bytes of text of which words are collected before they are sent on; a longer text is a block alone.
@@ -141,7 +140,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary
     kind = dict(docs.dtypes)[id_col]
-    rows = cut_lineage(_blocks(docs, id_col, text_col, pattern, buckets), shared_folder(spark))
+    rows = cut_lineage(_blocks(docs, id_col, text_col, pattern, buckets))
 
     key = str(uuid.uuid4())
 

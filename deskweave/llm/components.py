@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from deskweave.session import cut_lineage
 
-from .shared import shared_folder
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,10 +18,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     shuffle and joins of checkpointed tables, whose hot keys Spark splits.  Links with a null end and links
     of a node to itself count for nothing; no links give an empty table.
     """
-    folder = shared_folder(links.sparkSession)
 
     def clean(x: DataFrame) -> DataFrame:
-        return cut_lineage(x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder)
+        return cut_lineage(x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def first(x: str) -> F.Column:
         return F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("v"))
@@ -32,9 +30,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while roots is None or not left.isEmpty():
         both = left.union(left.select("b", "a"))
         near = both.groupBy("a").agg(F.min(first("b")).alias("near"))
-        point = cut_lineage(near.select(F.col("a").alias("node"), F.least(first("a"), "near")["v"].alias("to")), folder)
+        point = cut_lineage(near.select(F.col("a").alias("node"), F.least(first("a"), "near")["v"].alias("to")))
         then = point.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        point = cut_lineage(point.join(then, "to").select("node", "root"), folder)
+        point = cut_lineage(point.join(then, "to").select("node", "root"))
         if roots is None:
             roots = point
         else:

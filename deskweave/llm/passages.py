@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deskweave.session import cut_lineage
 
 from .components import connected_components
-from .shared import shared_folder, small_side
+from .sides import small_side
 from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, word_hashes, words
 
 #: Words of a shingle; a paragraph with fewer has none and is compared with nothing.
@@ -252,13 +252,13 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     """(id, numbers, contents, keepers): for each text its paragraphs that a text with a smaller id has too, or one nearly the same."""
-    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut_lineage(_collisions(_entries(docs, bands_for(similarity), buckets), buckets), folder)
+    found = cut_lineage(_collisions(_entries(docs, bands_for(similarity), buckets), buckets))
     exact = found.where("other_id IS NULL").select("content", "id", "number")
     pairs = found.where("other_id IS NOT NULL").select("id", "number", "other_id", "other_number").distinct()
     ends = pairs.select("id", "number").union(pairs.select("other_id", "other_number")).groupBy("id").agg(F.collect_set("number").alias("numbers"))
-    sets = cut_lineage(_sets(docs, ends).dropDuplicates(["id", "number", "content"]), folder)
+    sets = cut_lineage(_sets(docs, ends).dropDuplicates(["id", "number", "content"]))
     other = sets.select(F.col("id").alias("other_id"), F.col("number").alias("other_number"), F.col("content").alias("other_content"), F.col("grams").alias("other_grams"))
     shared = F.size(F.array_intersect("grams", "other_grams"))
     alike = (pairs.join(sets, ["id", "number"]).join(other, ["other_id", "other_number"])
@@ -266,10 +266,10 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     roots = connected_components(alike.select(F.col("content").alias("a"), F.col("other_content").alias("b")))
     # Every occurrence of a content that comes again or has a near copy.
     near = sets.select("content", "id", "number").join(roots.select(F.col("node").alias("content")), "content", "left_semi")
-    places = cut_lineage(exact.union(near).distinct(), folder)
+    places = cut_lineage(exact.union(near).distinct())
     low = places.groupBy("content").agg(F.min("id").alias("low"))
     group = low.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "keeper"), folder)
+    keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "keeper"))
     late = places.join(keeper, "content").where("id > keeper")
     return late.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("number", "content", "keeper"))).alias("late"))
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from deskweave.session import cut_lineage
 
-from .shared import shared_folder
 from .texts import LOWER, SOLID, column, joined, mixed, per_text, shingles, word_hashes, words
 
 #: Hashed n-gram indicators.
@@ -136,9 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``fit_rows`` different rows of each class.  Without rows of both classes the result is a constant
     score: the share of label 1, or 0.5.
     """
-    folder = shared_folder(docs.sparkSession)
     named = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("label")).where("label IN (0, 1)").distinct()
-    rows = cut_lineage(_feature_rows(docs, id_col, text_col).join(named, "id").select("label", "features"), folder)
+    rows = cut_lineage(_feature_rows(docs, id_col, text_col).join(named, "id").select("label", "features"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, FEATURES), np.int64)

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from deskweave.session import cut_lineage
 
-from .shared import shared_folder
 
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
@@ -85,14 +84,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     The result depends on the sample only in how the work is spread, not in the shards.  Null ids come first;
     an empty table gives no rows; fewer bytes than shards leave shards empty.
     """
-    folder = shared_folder(docs.sparkSession)
     text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
     ident = docs[f"`{id_col}`"]
     rows = docs.select(ident.alias("id"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"))
     # The id twice: as it is, and as a key that has no null.
     zero = F.lit("") if dict(rows.dtypes)["id"] == "string" else F.lit(-(2**63)).cast("bigint")
     rows = rows.withColumn("sort_id", F.coalesce(F.col("id") if dict(rows.dtypes)["id"] == "string" else F.col("id").cast("bigint"), zero))
-    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), folder)
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
 
     whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     total, n = whole["bytes"] or 0, whole["n"]

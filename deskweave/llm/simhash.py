@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from deskweave.session import cut_lineage
 
 from .components import connected_components
-from .shared import shared_folder
 from .texts import column, forest, per_text, ragged
 
 BITS = 64
@@ -123,7 +122,6 @@ def similar_fingerprints(distinct: DataFrame, radius: int = 3, fp: str = "fp") -
     and the work grows with the input.  A shard with many fingerprints is cut into several trees, each
     of which gets the shard's other pieces as queries.  Each tree returns only a spanning forest of its links.
     """
-    folder = shared_folder(distinct.sparkSession)
     n = distinct.count()
     blocks, choices, bits = _routes(n, radius)
     width = BITS // blocks
@@ -138,7 +136,7 @@ def similar_fingerprints(distinct: DataFrame, radius: int = 3, fp: str = "fp") -
               .select("fp", F.posexplode(F.array(*[key(c) for c in choices])).alias("route", "shard")))
     crowded = (routed.groupBy("route", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE_LIMIT)
                .select("route", "shard", F.ceil(F.col("n") / (TREE_LIMIT // 2)).cast("int").alias("trees")))
-    crowded = cut_lineage(crowded, folder)
+    crowded = cut_lineage(crowded)
     spread = routed.join(crowded, ["route", "shard"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     spread = (spread.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("trees")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
@@ -165,12 +163,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     node, so copies cost nothing further.  Rows keep null ids and repeated ids; a component of null ids alone
     has a null component_id.  No rows give no rows.
     """
-    folder = shared_folder(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
-    rows = cut_lineage(fingerprints(docs, [column(docs, id_col)], text_col, f"{id_col} {id_type}", width), folder)
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("least")), folder)
+    rows = cut_lineage(fingerprints(docs, [column(docs, id_col)], text_col, f"{id_col} {id_type}", width))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = connected_components(similar_fingerprints(distinct, radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = cut_lineage(named.select("fp", "root").join(least, "root").select("fp", "component_id"), folder)
+    table = cut_lineage(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return rows.join(table, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

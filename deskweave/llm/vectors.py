@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from deskweave.session import cut_lineage
 
 from .components import connected_components
-from .shared import shared_folder
 from .texts import column, forest
 
 #: Hashes of one bit each that make up a pass's sort key.
@@ -91,10 +90,9 @@ def _links_each(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     Small components share a bucket.  A large one is cut into pieces, and each two pieces meet in a group of
     their own that returns counts, never pairs.
     """
-    folder = shared_folder(members.sparkSession)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     buckets = max(1, sizes.agg(F.sum("n")).first()[0] // PIECE if not sizes.isEmpty() else 1)
-    sizes = cut_lineage(sizes.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")), folder)
+    sizes = cut_lineage(sizes.withColumn("pieces", F.ceil(F.col("n") / PIECE).cast("int")))
     spread = (members.join(sizes, "root")
               .withColumn("bucket", F.when(F.col("pieces") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(buckets))))
               .withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("pieces")).cast("int"))
@@ -133,7 +131,6 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors of different lengths don't link.  kept is true for the row whose id is its component_id.
     Rows with a null id take part, but name no component unless they are alone; repeated rows link with each other.
     """
-    spark, folder = table.sparkSession, shared_folder(table.sparkSession)
     vector = column(table, vector_col)
     fit = F.forall(F.transform(vector, lambda x: x.cast("double")), lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     fine = F.coalesce((F.size(vector) > 0) & fit & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -141,13 +138,13 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     good = rows.where("vector IS NOT NULL")
     distinct = (good.groupBy("hash", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
                 .withColumn("node", F.monotonically_increasing_id()))
-    distinct = cut_lineage(distinct, folder)
+    distinct = cut_lineage(distinct)
     found = []
     for dim, n in [(r[0], r[1]) for r in distinct.groupBy(F.size("vector").alias("dim")).count().collect()]:
         same = distinct.where(F.size("vector") == dim)
         keyed = _sort_keys(same, dim, passes or passes_for(n, threshold, window), seed)
-        roots = cut_lineage(connected_components(_neighbour_links(keyed, dim, threshold, window)), folder)
-        members = cut_lineage(same.join(roots, "node"), folder)
+        roots = cut_lineage(connected_components(_neighbour_links(keyed, dim, threshold, window)))
+        members = cut_lineage(same.join(roots, "node"))
         least = members.groupBy("root").agg(F.min("least").alias("component_id"))
         found.append(members.select("node", "root").join(least, "root").join(_links_each(members, dim, threshold), "node").select("node", "component_id", "others"))
     if found:
@@ -158,7 +155,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     else:
         nodes = distinct.withColumn("component_id", F.lit(None)).withColumn("others", F.lit(0))
     nodes = cut_lineage(nodes.select("hash", "vector", F.coalesce("component_id", "least").alias("component_id"),
-                                     (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), folder)
+                                     (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     joined = good.join(nodes, ["hash", "vector"]).select("id", "n_links", "component_id")
     alone = rows.where("vector IS NULL").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return joined.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import defaults as d
@@ -12,6 +13,7 @@ from ..operators.triage import decide
 from ..plans.baselines import retrieval_policy_report
 from ..plans.corpus import CorpusRules, build_corpus
 from ..plans.reports import evaluation_report, judge_validation_report
+from ..plans.runs import Scorers, judged_audit, triage_run
 from ..plans.triage import TriageSettings, triage_batch
 from . import views as v
 from .links import IS_REPLY, IS_ROOT
@@ -19,7 +21,7 @@ from .metrics import AGREEMENT, CLASS_COUNTS, KAPPA, MEANS, RATED, ROUTED, SCORE
 from .registry import query
 from .retrieval import TFIDF_CTES
 from .scoring import DRAFTS, draft_sql, stored_drafts
-from .text import FIRST_REPLY, HIT_TEXT, SILVER, concrete_sql, silver, sop_name_sql
+from .text import FIRST_REPLY, HIT_TEXT, LINKED, SILVER, SYNTHETIC, concrete_sql, linked, silver, sop_name_sql
 from .views import hit, lit, rate, with_
 
 RULES = CorpusRules(brand=v.BRAND, intents=v.INTENT_WORDS, exclude=v.EXCLUDE_WORDS, redirect=v.REDIRECT_WORDS)
@@ -167,3 +169,68 @@ def _(t):
     routed = rows.withColumn("r", decide(F.col("gate"), F.lit(0.99), F.lit(True)))
     bad = (F.col("r.decision") != d.ESCALATE) | (F.col("r.gate_triggered") != F.col("gate.gate"))
     return routed.groupBy("gate.gate").agg(F.count(F.lit(1)).alias("fired"), F.count_if(bad).alias("violations"))
+
+
+def length_judge():
+    """Stands in for a hosted judge: rates by the length of the reply, and says nothing readable of some."""
+
+    def score(batch: pd.DataFrame) -> pd.Series:
+        n = batch["text"].str.len()
+        answer = '{"groundedness_score": "' + (1 + n % 5).astype(str) + '", "tone_score": 4, "judge_decision": "' + (n % 3 == 0).map({True: "fail", False: "pass"}) + '"}'
+        return answer.where(n % 11 != 0, "no idea")
+
+    return score
+
+
+@query("judge_run", with_(LINKED, SYNTHETIC, """judged AS (SELECT l.page_id AS id, length(reply) AS n, synthetic_url FROM linked l JOIN synthetic s ON s.page_id = l.page_id)""",
+                          """f AS (SELECT id, n, synthetic_url, CASE WHEN n % 11 = 0 OR n % 3 = 0 THEN 'fail' ELSE 'pass' END AS said, CASE WHEN n % 11 = 0 THEN 3 ELSE 1 + n % 5 END AS g,
+  CASE WHEN n % 11 = 0 THEN 3 ELSE 4 END AS tone FROM judged)""") + """
+SELECT id, CASE WHEN id % 2 = 0 THEN 'pass' ELSE 'fail' END AS human_decision, CASE WHEN synthetic_url OR n > 2000 THEN 'fail' ELSE said END AS judge_decision,
+  (CASE WHEN synthetic_url THEN 1 ELSE g END)::BIGINT AS groundedness_score, tone::BIGINT AS tone_score, n AS char_count, synthetic_url AS has_synthetic_url, 'judge-a' AS judge_model FROM f""")
+def _(t):
+    """An old result for another model does not count, so the whole audit is judged."""
+    audit = linked(t).select(F.col("page_id").alias("id"), F.lit("").alias("customer_text"), F.col("reply").alias("drafted_reply"), F.col("evidence").alias("evidence_used"))
+    human = audit.select("id", F.when(F.col("id") % 2 == 0, "pass").otherwise("fail").alias("human_decision"))
+    stale = audit.select("id").withColumn("judge_model", F.lit("judge-b"))
+    return judged_audit(audit, human, length_judge, "judge-a", stale, 2000).drop("judge_notes")
+
+
+def length_classifier():
+    """Stands in for a hosted classifier."""
+    return lambda batch: '{"intent": "c' + (batch["text"].str.len() % 9).astype(str) + '", "confidence": "0.5"}'
+
+
+def length_verifier():
+    return lambda batch: '{"resolves_problem": "' + (batch["customer_text"].str.strip().str.len() % 2 == 0).map({True: "true", False: "false"}) + '"}'
+
+
+def length_drafter():
+    """Has no reply to some messages."""
+    def score(batch: pd.DataFrame) -> pd.Series:
+        n = batch["customer_text"].str.len()
+        return (' "Thanks" ' + n.astype(str) + " ").where(n % 7 != 0, None)
+
+    return score
+
+
+# The same chain with French messages unknown to every store.
+FRESH = f"coalesce(s.ok, length({v.trim('c.customer_text')}) % 2 = 0)"
+RUN_CTES = tuple(
+    {v.CLASSIFIED: v.CLASSIFIED.replace("classified AS (", "stored_classes AS (", 1) + """,
+classified AS (SELECT * REPLACE (CASE WHEN lang = 'fr' THEN 'c' || (length(customer_text) % 9) ELSE predicted_intent END AS predicted_intent) FROM stored_classes)"""}.get(cte, cte) for cte in TRIAGE_CTES)
+RUN_CTES = tuple(
+    cte.replace("WHEN s.ok = false THEN 3", f"WHEN {FRESH} = false THEN 3").replace("WHEN s.ok THEN 5", f"WHEN {FRESH} THEN 5")
+    .replace(f"ELSE {draft_sql()} END AS drafted_reply", f"WHEN rule = 0 THEN {lit(d.FALLBACK_REPLY)} WHEN length(customer_text) % 7 = 0 THEN {draft_sql()} ELSE 'Thanks ' || length(customer_text) END AS drafted_reply")
+    for cte in RUN_CTES)
+
+
+@query("triage_run", with_(*RUN_CTES) + "SELECT * EXCLUDE (evidence) FROM records WHERE id % 9 <> 0")
+def _(t):
+    """French messages are classified and verified, every message gets a draft, and a ninth was done before."""
+    messages, past, verdicts = triage_inputs(t)
+    stored = v.classified(t).filter("lang <> 'fr'").select("id", "predicted_intent", F.lit(0.9).alias("confidence"))
+    asked = messages.drop("predicted_intent")
+    scorers = Scorers(length_classifier, length_verifier, length_drafter)
+    run = triage_run(asked, past, SETTINGS, scorers, stored, verdicts, stored_drafts(t), messages.filter("id % 9 = 0").select("id"))
+    return run.records.select("id", "predicted_intent", "decision", "decision_layer", "gate_triggered", "hit_id", "calibrated_confidence", "reused",
+                              "drafted_reply", "grounding_source", "difficulty_tier", "gold_decision", "gold_intent")

@@ -9,11 +9,14 @@ from ..functions.vectors import l2_normalise, norm
 from ..operators import metrics as m
 from ..operators.neighbours import knn
 from ..operators.sampling import balanced_sample
-from ..operators.scoring import embed, hashing_encoder
+from ..operators.scoring import hashed_vectors
 from ..operators.tfidf import fit_idf, term_counts, top_terms, weigh
 from ..plans.baselines import tfidf_nearest, train_intent_model
+from ..plans.runs import search_texts, store_vectors
+from ..session import cut_lineage
 from . import views as v
 from .registry import query
+from .sources import scratch
 from .text import SILVER, silver
 from .views import lit, with_
 
@@ -86,9 +89,6 @@ def _(t):
                        F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", 64), 6).alias("last"))
 
 
-@query("embed_batch")
-def _(t):
-    return embed(t.conversations.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("msg_id"), "text"), "msg_id", "text", hashing_encoder(64))
 
 
 # --- TF-IDF over the customer turns ---------------------------------------
@@ -130,6 +130,22 @@ def _(t):
     return weigh(counts, fit_idf(counts, users, None)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+def digit(n: int) -> str:
+    """Value of the n-th hexadecimal digit of a word's hash."""
+    return f"(strpos('0123456789abcdef', substr(md5(term), {n}, 1)) - 1)"
+
+
+VECTORS = f"""places AS (SELECT id, ({digit(1)} * 4096 + {digit(2)} * 256 + {digit(3)} * 16 + {digit(4)}) % 64 AS place,
+  sum(CASE WHEN {digit(5)} < 8 THEN tf ELSE -tf END)::DOUBLE AS w FROM counts WHERE NOT contains(term, ' ') GROUP BY 1, 2),
+vectors AS (SELECT id, place, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0), 0.0) AS w FROM places)"""
+
+
+@query("embed_batch", with_(*USER_GRAMS, VECTORS) + "SELECT id AS msg_id, place::BIGINT AS place, round(w, 6) AS weight FROM vectors WHERE w <> 0")
+def _(t):
+    rows = hashed_vectors(v.user_turns(t).select("msg_id", "text"), "msg_id", "text")
+    return rows.select("msg_id", F.posexplode("embedding").alias("place", "weight")).filter("weight <> 0").withColumn("weight", F.round("weight", 6))
+
+
 # Weakly labelled turns form the corpus, all other turns ask.
 TFIDF_SIDES = """cdocs AS (SELECT msg_id FROM silver WHERE silver_intent IS NOT NULL),
 qdocs AS (SELECT msg_id FROM silver WHERE silver_intent IS NULL),
@@ -150,10 +166,35 @@ def _(t):
     return tfidf_nearest(asked, rows.filter(F.col("silver_intent").isNotNull()).select("id", "text"))
 
 
-@query("logreg_baseline")
+# The floor is far above the share of the commonest label; the fit itself has no SQL.
+TRAIN_PER_LABEL, ACCURACY_FLOOR = 60, 0.9
+
+
+@query("logreg_baseline", f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|{v.SEED}'), doc_id) AS rn FROM documents)
+SELECT count(*) FILTER (WHERE rn <= {TRAIN_PER_LABEL}) AS train_rows, count(*) FILTER (WHERE rn > {TRAIN_PER_LABEL}) AS test_rows, true AS above_floor FROM r""")
 def _(t):
+    """Fitted on a balanced sample, scored on all other rows."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    train = balanced_sample(docs, "label", "id", 250, v.SEED).select("id", "text", "label")
-    predict = train_intent_model(train)
-    scored = predict(docs.select("id", "text"))
-    return m.accuracy(docs.select("id", "label").join(scored.select("id", "predicted"), "id"), "label", "predicted")
+    train = cut_lineage(balanced_sample(docs, "label", "id", TRAIN_PER_LABEL, v.SEED).select("id", "text", "label"))
+    others = docs.join(train.select("id"), "id", "left_anti")
+    scored = train_intent_model(train)(others.select("id", "text"))
+    rated = m.accuracy(others.select("id", "label").join(scored.select("id", "predicted"), "id"), "label", "predicted")
+    return rated.select(train.agg(F.count(F.lit(1))).scalar().alias("train_rows"), F.col("total").alias("test_rows"),
+                        (F.col("accuracy") >= ACCURACY_FLOOR).alias("above_floor"))
+
+
+SEARCH = """hits AS (SELECT id, hit_id, similarity FROM (
+  SELECT q.id, c.id AS hit_id, round(sum(q.w * c.w), 6) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.w * c.w), 6) DESC, c.id DESC) AS rn
+  FROM (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM qdocs)) q JOIN (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM cdocs)) c ON c.place = q.place GROUP BY 1, 2) WHERE rn = 1)"""
+
+
+@query("text_search", with_(*USER_GRAMS, SILVER, TFIDF_SIDES, VECTORS, SEARCH) + "SELECT h.id, h.hit_id, h.similarity, s.silver_intent FROM hits h JOIN silver s ON s.msg_id = h.hit_id")
+def _(t):
+    """Labelled turns become a stored table of vectors, which all other turns search."""
+    rows = silver(t).select("msg_id", "text", "silver_intent")
+    path = scratch(t)
+    for _ in range(2):  # the second time it is read
+        index = store_vectors(t.spark, path, lambda: rows.filter(F.col("silver_intent").isNotNull()), "msg_id", "text")
+    asked = rows.filter(F.col("silver_intent").isNull()).select(F.col("msg_id").alias("id"), "text")
+    hits = search_texts(asked, index, index_id="msg_id")
+    return hits.join(index.select("msg_id", "silver_intent"), "msg_id").select("id", F.col("msg_id").alias("hit_id"), "similarity", "silver_intent")

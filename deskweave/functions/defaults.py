@@ -121,3 +121,10 @@ class Sop:
     name: str
     triggers: tuple[str, ...]
     steps: tuple[str, ...] = ()
+
+# Instructions to external scorers, to be replaced by one's own.
+CLASSIFY_INSTRUCTIONS = "Name the one intent that fits the message best. Answer with a JSON object: intent, confidence (0 to 1), reason."
+VERIFY_INSTRUCTIONS = "Would this procedure solve the problem in the message? Answer with a JSON object: resolves_problem, confidence (0 to 1), reason."
+DRAFT_INSTRUCTIONS = "Write a short, friendly reply that says only what the evidence supports. If the decision is to escalate, announce a colleague."
+JUDGE_INSTRUCTIONS = ("Rate the reply against the evidence. Answer with a JSON object: groundedness_score and tone_score (1 to 5), "
+                      "judge_decision (pass or fail), judge_notes.")

@@ -29,6 +29,31 @@ def fewshot_messages(text: Column, system_prompt: str, examples: Sequence[tuple[
     return F.array(*turns)
 
 
+def _chat(instructions: str, *parts: Column) -> Column:
+    """Chat messages: instructions, then one user turn made of ``parts``, a line each."""
+    body = F.concat_ws("\n", *parts)
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(instructions).alias("content")), F.struct(F.lit("user").alias("role"), body.alias("content")))
+
+
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")))
+
+
+def verifier_request(text: Column, procedure: Column, instructions: str = d.VERIFY_INSTRUCTIONS) -> Column:
+    """Does the procedure solve what the message asks?"""
+    return _chat(instructions, _line("Message", text), _line("Procedure", procedure))
+
+
+def draft_request(text: Column, decision: Column, evidence: Column, instructions: str = d.DRAFT_INSTRUCTIONS) -> Column:
+    """A reply to the message in line with the decision and the evidence."""
+    return _chat(instructions, _line("Message", text), _line("Decision", decision), _line("Evidence", evidence))
+
+
+def judge_request(text: Column, reply: Column, evidence: Column, instructions: str = d.JUDGE_INSTRUCTIONS) -> Column:
+    """A rating of the reply against its evidence."""
+    return _chat(instructions, _line("Message", text), _line("Reply", reply), _line("Evidence", evidence))
+
+
 def _parse(raw: Column, schema: str) -> Column:
     return F.from_json(raw, schema + ", _bad string", _STRICT)
 

@@ -150,7 +150,7 @@ def _block_scorer(kernel: Kernel, k: int, ties_high: bool):
         scores_of = kernel(right)
         for start in range(0, left.num_rows, step):
             chunk = left.slice(start, step)
-            rows, cols, sims = _best_columns(scores_of(chunk), k)
+            rows, cols, sims = _best_columns(scores_of(chunk), k, positive=kernel is _sparse_kernel)
             parts.append(pa.table(
                 [chunk.column("q_id").take(pa.array(rows)), right.column("c_id").take(pa.array(cols)), pa.array(sims)],
                 schema=schema))
@@ -159,19 +159,20 @@ def _block_scorer(kernel: Kernel, k: int, ties_high: bool):
     return score
 
 
-def _best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_columns(sims: np.ndarray, k: int, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, rounded score) of the k largest rounded scores per row, leftmost first among equals.
 
     The k-th largest maximum of column groups is no larger than the k-th score,
     so only the few scores above it (less one rounding step) are rounded and
-    sorted.
+    sorted.  ``positive`` leaves out scores of zero, which most sparse rows have.
     """
     n = sims.shape[1]
     if k < n:
         groups = n // _GROUP
         tops = sims[:, :groups * _GROUP].reshape(-1, groups, _GROUP).max(axis=2) if groups > k else sims
         kth = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k]
-        rows, cols = np.nonzero(sims >= (kth - 1.01 * 10.0**-DECIMALS)[:, None])
+        floor = kth - 1.01 * 10.0**-DECIMALS
+        rows, cols = np.nonzero(sims >= (np.maximum(floor, np.finfo(float).tiny) if positive else floor)[:, None])
     else:
         rows, cols = (x.ravel() for x in np.indices(sims.shape))
     scores = np.round(sims[rows, cols], DECIMALS) + 0.0
@@ -206,12 +207,15 @@ def _sparse_kernel(corpus: pa.Table) -> Callable[[pa.Table], np.ndarray]:
     ids, owners, values = ids[order], owners[order], values[order]
 
     def scores(chunk: pa.Table) -> np.ndarray:
+        """Only postings of the queries' terms are touched; all terms at once."""
         q_len, q_ids, q_values = _ragged(chunk, "q_terms", "q_weights")
         starts, ends = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
-        out = np.zeros((chunk.num_rows, corpus.num_rows))
-        rows = np.repeat(np.arange(chunk.num_rows), q_len)
-        for row, weight, start, end in zip(rows, q_values, starts, ends):
-            out[row, owners[start:end]] += weight * values[start:end]
-        return out
+        found = ends - starts
+        total = int(found.sum())
+        posting = np.arange(total) + np.repeat(starts - (np.cumsum(found) - found), found)
+        rows = np.repeat(np.repeat(np.arange(chunk.num_rows), q_len), found)
+        cells = rows * corpus.num_rows + owners[posting]
+        out = np.bincount(cells, np.repeat(q_values, found) * values[posting], minlength=chunk.num_rows * corpus.num_rows)
+        return out.reshape(chunk.num_rows, corpus.num_rows)
 
     return scores

@@ -77,8 +77,25 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     equal in ``order`` are cut as well; only rows that are equal in every column stay together.  The
     sample, and with it the broadcast, is bounded by ``pieces``, not by the data.
     """
+    named = in_pieces(df, keys, order, pieces, {f"_v_{name}": c for name, c in sums.items()})
+    local = Window.partitionBy("_key", "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    totals = named.groupBy("_key", "_piece").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
+    # A key has no more pieces than splitters.
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_key", "_piece", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums]
+    )
+    summed = named.select("*", *[F.sum(f"_v_{name}").over(local).alias(f"_l_{name}") for name in sums])
+    joined = summed.join(offsets, ["_key", "_piece"])
+    return joined.select(
+        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums]
+    )
+
+
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int, extra: Mapping[str, Column]) -> DataFrame:
+    """``df`` and ``extra`` with ``_key``, the place ``_at`` in the order, and ``_piece``, the range of ``_at`` it falls into."""
     rows = df.select("*", F.struct(*keys).alias("_key"), F.struct(*order, F.xxhash64(*df.columns).alias("_tie")).alias("_at"),
-                     *[c.alias(f"_v_{name}") for name, c in sums.items()])
+                     *[c.alias(name) for name, c in extra.items()])
     total = df.agg(F.count(F.lit(1))).scalar()
     drawn = F.pmod(F.xxhash64("_key", "_at", F.lit("splitter")), F.lit(1 << 30)).cast("double") * total < float(pieces) * (1 << 30)
     cuts = rows.filter(drawn).groupBy("_key").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
@@ -88,24 +105,12 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     cuts = cuts.withColumn("_heads", heads)
     block = F.size(F.filter("_heads", lambda c: c <= F.col("_at")))
     inside = F.slice("_cuts", (F.greatest(F.col("_block"), F.lit(1)) - 1) * width + 1, width)
-    named = (
+    return (
         rows.join(F.broadcast(cuts), "_key", "left").withColumn("_block", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(block))
         .withColumn("_piece", F.when(F.col("_block") == 0, F.lit(0)).otherwise(
             (F.col("_block") - 1) * width + F.size(F.filter(inside, lambda c: c <= F.col("_at")))))
         .drop("_cuts", "_heads", "_block")
     )
-    local = Window.partitionBy("_key", "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    totals = named.groupBy("_key", "_piece").agg(*[F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums])
-    # A key has no more pieces than splitters.
-    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_key", "_piece", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums]
-    )
-    summed = named.select("*", *[F.sum(f"_v_{name}").over(local).alias(f"_l_{name}") for name in sums])
-    joined = summed.join(offsets, ["_key", "_piece"])
-    return joined.select(
-        *df.columns, *[(F.col(f"_l_{name}") + F.col(f"_b_{name}")).alias(name) for name in sums]
-    )
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str, carried: Sequence[str] = ()) -> DataFrame:

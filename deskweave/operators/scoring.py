@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import defaults as d
 from ..functions.replies import verdict_key
+from ..functions.text import tokens
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -22,7 +23,7 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
     ``scorer_factory`` runs once per task and returns a function from a batch of
     requests to raw answers (a row may be null); it gets at most ``batch_size`` requests at a time.  Rows
     without an answer are retried with linear back-off, those that have one are not sent again.  If a call
-    raises, its rows are halved until the row that fails is alone, so one bad row costs no other its answer.
+    raises, each of its rows is sent alone, so one bad row costs no other its answer.
     Equal requests are sent once; ``parallelism`` bounds the concurrent clients.
     """
     distinct = requests.dropDuplicates([key])
@@ -54,16 +55,15 @@ def _score_with_retries(batch: pd.DataFrame, key: str, scorer: Scorer, attempts:
 
 
 def _call(todo: pd.DataFrame, scorer: Scorer, raw: pd.Series, error: pd.Series) -> None:
-    """Answers of ``todo`` into ``raw``; halves a call that raises until the failing row is alone."""
+    """Answers of ``todo`` into ``raw``; if the call raises, each row is sent alone."""
     try:
         answers = scorer(todo).reindex(todo.index)
     except Exception as failure:  # any client error is retried, then reported for its row
         if len(todo) == 1:
             error.loc[todo.index] = str(failure)
             return
-        middle = len(todo) // 2
-        _call(todo.iloc[:middle], scorer, raw, error)
-        _call(todo.iloc[middle:], scorer, raw, error)
+        for place in range(len(todo)):
+            _call(todo.iloc[place:place + 1], scorer, raw, error)
         return
     raw.loc[todo.index] = answers
     error.loc[todo.index] = None
@@ -137,21 +137,16 @@ def embed(texts: DataFrame, id_col: str, text_col: str, encoder: Callable[[Seque
     return cleaned.mapInPandas(run, f"{id_col} {id_type}, embedding array<double>")
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[Sequence[str]], object]:
-    """Offline encoder: signed feature hashing of lower-case words, unit length."""
+def hashed_vectors(texts: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """(id, embedding): signed feature hashing of lower-case words, unit length; stands in for a learned encoder.
 
-    def encode(texts: Sequence[str]):
-        import re
-        import zlib
-
-        import numpy as np
-
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode("utf-8"))
-                out[row, h % dim] += 1.0 if h & 0x80000000 else -1.0
-        lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(lengths > 0, lengths, 1.0)
-
-    return encode
+    A word's md5 names its place and sign.  Counts are added up per id and place before they are put into
+    an array, in column expressions only.  A text without a word gives no row; ids are unique.
+    """
+    hashed = texts.select(id_col, F.explode(tokens(F.col(text_col))).alias("word")).withColumn("h", F.md5("word"))
+    place = F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % dim
+    sign = F.when(F.substring("h", 5, 1) < "8", F.lit(1)).otherwise(F.lit(-1))
+    counts = hashed.groupBy(id_col, place.alias("place")).agg(F.sum(sign).cast("double").alias("w"))
+    rows = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("held"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: F.coalesce(F.try_divide(F.try_element_at("held", p), F.col("norm")), F.lit(0.0)))
+    return rows.select(id_col, filled.alias("embedding"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deskweave.operators import links as k
 from deskweave.operators.labelling import ensure_columns, label_progress, normalise_code, running_other_rate
-from deskweave.operators.ranks import running_sums, top_n_per_group
+from deskweave.operators.ranks import in_pieces, running_sums, top_n_per_group
 from deskweave.operators.sampling import balanced_sample, quota_sample, seeded_head, stratified_split
 from deskweave.functions import defaults as d
 from deskweave.plans.corpus import CorpusRules, build_corpus, build_pool
@@ -130,6 +130,23 @@ def test_running_sums_with_hot_key(spark, pieces):
         assert got[i] == (n[key], s[key])
 
 
+@pytest.mark.parametrize("values", ["outlier", "equal", "null", "bunched"])
+def test_pieces_of_a_hot_key_are_even(spark, values):
+    n = 8000
+    at = {"outlier": lambda i: 1e12 if i == 0 else float(i % 50), "equal": lambda i: 3.0, "null": lambda i: None, "bunched": lambda i: 1.0 + (i % 100 == 0) * i}[values]
+    frame = spark.createDataFrame([("hot" if i % 3 else f"k{i}", at(i), i) for i in range(n)], "k string, at double, id long").repartition(4)
+    sizes = [r["count"] for r in in_pieces(frame, ["k"], ["at"], 256, {}).where("k = 'hot'").groupBy("_piece").count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= 12 * n / 256
+
+
+def test_thread_starters_are_not_looked_up_by_parent(spark):
+    rows = [(i, "user" if i % 2 else "brand", i % 2 == 1, None if i < 500 else i - 500) for i in range(1000)] + [(2000, "user", True, 10)]
+    msgs = spark.createDataFrame(rows, "msg_id long, author string, inbound boolean, parent_id long").withColumn("text", F.lit("t"))
+    got = sorted(r.msg_id for r in k.inbound_union(msgs, "brand").collect())
+    brand, answered = {r[0] for r in rows if r[1] == "brand"}, {r[3] for r in rows if r[1] == "brand" and r[3] is not None}
+    assert got == sorted(r[0] for r in rows if r[2] and (r[3] in brand or r[0] in answered))
+
+
 def test_running_other_rate(spark):
     labels = [False] * 17 + [True] * 4 + [False] * 20 + [True] * 8
     frame = spark.createDataFrame([("s", i, x) for i, x in enumerate(labels)], "k string, at long, other boolean")

@@ -144,6 +144,11 @@ def test_evaluation_report_matches_single_metrics(spark):
     conf = m.mean_confidence(frame).collect()[0]
     assert got["confidence", "mean_auto_handle"] == pytest.approx(conf.mean_auto_handle, abs=1e-9)
     assert got["gate_triggered", "g1"] == sum(r[7] == "g1" for r in rows)
+    # A label and a decision without a row are zeros, and leave the averages as they are.
+    half = {(r.section, r.metric): r.value for r in evaluation_report(frame.filter("decision = 'escalate'"), [*labels, "never"]).collect()}
+    assert half["confidence", "mean_auto_handle"] == 0.0
+    assert [half["intent/never", x] for x in ("precision", "recall", "f1", "support")] == [0.0] * 4
+    assert half["classification", "macro_f1"] == m.f1_summary(known.filter("decision = 'escalate'")).first().macro_f1
 
 
 def test_fe_attribution_is_exclusive(spark):

@@ -1,6 +1,8 @@
 """Neighbour search against brute force."""
 
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deskweave.operators.neighbours import _best_columns, knn
-from deskweave.operators.scoring import embed, hashing_encoder
+from deskweave.operators.scoring import embed, hashed_vectors
 from deskweave.operators.tfidf import fit_idf, term_counts, weigh
 from deskweave.plans.baselines import tfidf_nearest
 
@@ -144,5 +146,33 @@ def test_tfidf_nearest(spark):
 
 def test_embed(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, ""), (3, "world hello")], "id long, text string")
-    out = {r.id: r.embedding for r in embed(docs, "id", "text", hashing_encoder(16), batch_size=1).collect()}
-    assert set(out) == {1, 3} and out[1] == out[3] and abs(sum(x * x for x in out[1]) - 1) < 1e-9
+    out = {r.id: r.embedding for r in embed(docs, "id", "text", lambda texts: [[float(len(x)), 1.0] for x in texts], batch_size=1).collect()}
+    assert out == {1: [11.0, 1.0], 3: [11.0, 1.0]}
+
+
+def test_hashed_vectors(spark):
+    texts = {1: "hello world World", 2: "", 3: "world hello world", 4: None, 5: "a b", 6: "other words here, other"}
+    out = {r.id: r.embedding for r in hashed_vectors(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text", 16).collect()}
+    assert set(out) == {1, 3, 6} and out[1] == out[3]
+    for i in out:
+        want = [0.0] * 16
+        for word in re.findall(r"\w{2,}", texts[i].lower()):
+            h = hashlib.md5(word.encode()).hexdigest()
+            want[int(h[:4], 16) % 16] += 1.0 if h[4] < "8" else -1.0
+        norm = math.sqrt(sum(x * x for x in want))
+        assert out[i] == pytest.approx([x / norm if norm else 0.0 for x in want])
+
+
+def test_tfidf_with_the_whole_vocabulary(spark):
+    rng = random.Random(4)
+    corpus = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=6)) + f" rare{i} rare{i}") for i in range(30)]
+    asked = [(100 + i, f"bb cc rare{i}") for i in range(30)] + [(200, "zz yy")]
+    got = {r.id: r.hit_id for r in tfidf_nearest(*(spark.createDataFrame(x, "id long, text string") for x in (asked, corpus)), n_terms=None).collect()}
+    assert got == {100 + i: i for i in range(30)} | {200: None}
+
+
+def test_a_query_without_a_shared_term_costs_no_selection():
+    sims = np.zeros((3, 4000))
+    sims[1, 7] = 0.5
+    rows, cols, scores = _best_columns(sims, 2, positive=True)
+    assert (rows.tolist(), cols.tolist(), scores.tolist()) == ([1], [7], [0.5])

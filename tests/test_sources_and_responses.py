@@ -106,10 +106,12 @@ def test_spot_check(spark):
 
 def test_intent_answers(column):
     raw = ['{"intent": " Playback_Issue ", "confidence": 0.9, "reason": "r"}', '{"intent": "the account_login one"}', '{"intent": "zz", "confidence": 1}',
-           "not json", '["playback_issue"]', '{"intent": "a', None, "{}"]
+           "not json", '["playback_issue"]', '{"intent": "a', None, "{}", '{"intent": "account_login", "confidence": "0.9"}',
+           '{"intent": "account_login", "confidence": "high"}', '{"intent": "account_login", "confidence": true}', '{"intent": "account_login", "confidence": "NaN"}']
     got = [(r.intent, r.confidence) for r in column(p.parse_intent, raw)]
     assert got == [("playback_issue", 0.9), ("account_login", 0.0), ("zz", 1.0), ("playback_issue", 0.2), ("playback_issue", 0.2),
-                   ("playback_issue", 0.2), ("playback_issue", 0.2), ("", 0.0)]
+                   ("playback_issue", 0.2), ("playback_issue", 0.2), ("", 0.0), ("account_login", 0.9), ("account_login", 0.0), ("account_login", 0.0),
+                   ("account_login", 0.0)]
 
 
 def test_verdict_answers(column):
@@ -118,6 +120,9 @@ def test_verdict_answers(column):
     assert got[0] == (True, 0.7, "r", True) and got[1][:2] == (False, 0.5) and got[1][3]
     assert got[2] == (False, 1.0, "", True)
     assert [x[1] for x in got[4:]] == [0.0, 0.0] and not any(x[3] for x in got[4:])
+    raw = ['{"resolves_problem": true, "confidence": "0.7"}', '{"resolves_problem": "True", "confidence": "sure"}', '{"resolves_problem": 1}', '{"resolves_problem": "no"}']
+    got = [(r.resolves_problem, r.confidence, r.cacheable) for r in column(p.parse_verdict, raw)]
+    assert got == [(True, 0.7, True), (True, 0.8, True), (True, 0.8, True), (False, 0.8, True)]
 
 
 def test_judge_answers_and_guardrails(spark, column):

@@ -2,12 +2,13 @@
 
 import json
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from deskweave.functions import defaults as d
-from deskweave.functions.replies import verdict_key
+from deskweave.functions.replies import template_draft, verdict_key
 from deskweave.functions.rules import first_gate, gate_array
 from deskweave.functions.sops import default_sops
 from deskweave.operators import triage as g
@@ -97,6 +98,32 @@ def test_score_batch_retries_and_reports(spark, tmp_path):
     assert [(r.raw, r.error) for r in failed] == [(None, "boom")]
 
 
+def test_one_poisoned_row_costs_no_other_its_answer(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def factory():
+        def score(batch):
+            with open(calls, "a") as f:
+                f.writelines(f"{k}\n" for k in batch["k"])
+            if (batch["k"] == "bad").any():
+                raise RuntimeError("boom")
+            return batch["k"].where(batch["k"] != "mute").str.upper()
+        return score
+
+    rows = [(f"k{i}",) for i in range(100)] + [("bad",), ("mute",)]
+    out = {r.k: (r.raw, r.error) for r in score_batch(spark.createDataFrame(rows, "k string").coalesce(1), "k", factory, backoff_seconds=0, batch_size=30).collect()}
+    assert out.pop("bad") == (None, "boom") and out.pop("mute") == (None, None)
+    assert out == {f"k{i}": (f"K{i}", None) for i in range(100)}
+    sent = Counter(open(calls).read().split())
+    assert all(sent[k] <= 2 for k in out)  # once more at most
+
+
+def test_long_replies_stay_whole(spark):
+    frame = spark.createDataFrame([("auto_handle", "a" * 700)], "decision string, reply string")
+    sop = F.lit(None).cast("struct<name: string, steps: array<string>>")
+    assert frame.select(template_draft(F.col("decision"), sop, F.lit(True), F.col("reply"))).first()[0] == "a" * 700
+
+
 def settings(**kw):
     return TriageSettings(sops=default_sops("Acme"), **kw)
 

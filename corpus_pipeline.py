@@ -13,7 +13,7 @@ from deskweave.llm.sides import small_side
 from deskweave.session import checkpoint_dir, cut_lineage
 
 #: Mean probability of the language named below which a document is rejected, as is one without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.3
 
 #: SQL cannot train a network; tests compare the stages with brute force.
 ORACLE_SQL = None

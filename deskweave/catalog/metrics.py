@@ -79,9 +79,11 @@ SPLIT_CTES = (*PREDS_CTES, v.split_sql("preds"))
 
 @query("split_report", with_(*SPLIT_CTES, f"parts AS (SELECT split, {ROUTED} FROM split_rows GROUP BY 1 UNION ALL SELECT 'full_set', {ROUTED} FROM preds)") + f"""
 SELECT split, {RATED} FROM (SELECT * FROM parts UNION ALL
-  SELECT 'always_escalate', total, fah_total, 0, fah_total, fe_total, fe_total FROM parts WHERE split = 'full_set')""")
+  SELECT 'always_escalate', total, fah_total, 0, fah_total, fe_total, fe_total FROM parts WHERE split = 'full_set' UNION ALL
+  SELECT 'one_threshold', {ROUTED} FROM (SELECT gold_decision, CASE WHEN NOT gated AND similarity >= 0.25 THEN 'auto_handle' ELSE 'escalate' END AS decision FROM preds))""")
 def _(t):
-    return m.split_report(v.split_preds(t))
+    one = F.when(~F.col("gated") & (F.col("similarity") >= 0.25), F.lit("auto_handle")).otherwise("escalate")
+    return m.split_report(v.split_preds(t), policies={"one_threshold": one})
 
 
 @query("split_gap", with_(*SPLIT_CTES, f"parts AS (SELECT split, {RATED} FROM (SELECT split, {ROUTED} FROM split_rows GROUP BY 1))") + "SELECT "

@@ -65,11 +65,6 @@ GATES = (
 )
 OUT_OF_TAXONOMY = Rule("out_of_taxonomy", "", "Out-of-taxonomy or unclassifiable inquiry requires general support routing")
 # The baseline's gate is the first three, without the later additions to the security list.
-BASELINE_GATES = (
-    GATES[0],
-    Rule("account_security", r"hacked|unauthorized|stolen|compromised|breach", GATES[1].reason),
-    GATES[2],
-)
 
 # Reply and record texts.
 FALLBACK_REPLY = "We’re looking into this issue and routing your case to our specialist team for assistance. Thank you for your patience."
@@ -87,20 +82,9 @@ INTENT_CODES = {
     "premium_billing": "premium_billing", "app_technical": "app_technical", "device_platform": "device_platform",
     "other": "other",
 }
-BOOL_CODES = {"y": "true", "yes": "true", "true": "true", "n": "false", "no": "false", "false": "false"}
-DECISION_CODES = {"a": "auto_handle", "auto": "auto_handle", "auto_handle": "auto_handle",
-                  "e": "escalate", "esc": "escalate", "escalate": "escalate"}
-TIER_CODES = {"e": "easy", "easy": "easy", "h": "hard", "hard": "hard"}
 LABEL_COLUMNS = ("gold_intent", "has_visible_resolution", "gold_decision", "gold_decision_reason", "difficulty_tier")
 
 # Quota of rows per (intent, difficulty) when sampling for labelling.
-SAMPLING_QUOTA = {
-    ("playback_issue", "easy"): 24, ("playback_issue", "hard"): 10,
-    ("app_technical", "easy"): 21, ("app_technical", "hard"): 9,
-    ("account_login", "easy"): 21, ("account_login", "hard"): 9,
-    ("device_platform", "easy"): 21, ("device_platform", "hard"): 9,
-    ("premium_billing", "easy"): 18, ("premium_billing", "hard"): 8,
-}
 
 # Acceptance messages that must escalate through the named gate.
 ADVERSARIAL_MESSAGES = (
@@ -128,3 +112,10 @@ VERIFY_INSTRUCTIONS = "Would this procedure solve the problem in the message? An
 DRAFT_INSTRUCTIONS = "Write a short, friendly reply that says only what the evidence supports. If the decision is to escalate, announce a colleague."
 JUDGE_INSTRUCTIONS = ("Rate the reply against the evidence. Answer with a JSON object: groundedness_score and tone_score (1 to 5), "
                       "judge_decision (pass or fail), judge_notes.")
+
+# Reasons of decisions, as formats of similarity and threshold.
+REASON_LOW = "Low grounding confidence (similarity %.3f < threshold %.2f); ambiguous failure requires agent inspection"
+REASON_VETO = "Procedural brush-off veto (resolution check failed): "
+REASON_HIGH = "High grounding confidence (similarity %.3f >= threshold %.2f); standard troubleshooting applicable"
+REASON_VERIFIED = "Moderate grounding confidence (similarity %.3f >= %.2f) verified by resolution check: "
+REASON_UNVERIFIED = "Moderate grounding confidence (similarity %.3f < %.2f) unverified by resolution check; routing to specialist"

@@ -148,10 +148,19 @@ def escalation_rollup(df: DataFrame, tier: str = "difficulty_tier", gold: str =
     return with_routing_rates(named)
 
 
-def split_report(df: DataFrame, split: str = "split", gold: str = "gold_decision", decision: str = "decision") -> DataFrame:
-    """Metrics per split, for the full set, and for two constant policies on it."""
-    per_split = df.groupBy(split).agg(*routing_counts(F.col(gold), F.col(decision)))
-    full = per_split.rollup(split).agg(*[F.sum(c).alias(c) for c in COUNTS], F.grouping(split).alias("_all"))
+def split_report(df: DataFrame, split: str = "split", gold: str = "gold_decision", decision: str = "decision",
+                 policies: Mapping[str, Column] | None = None) -> DataFrame:
+    """Metrics per split, for the full set, and on it for a policy that always escalates and for ``policies``, by name their decision.
+
+    A reference policy is thus counted on the rows at hand, in the same pass.
+    """
+    others = dict(policies or {})
+    right = {name: (F.count_if(F.col(gold) == c), F.count_if((F.col(gold) == d.ESCALATE) & (c == d.AUTO_HANDLE)),
+                    F.count_if((F.col(gold) == d.AUTO_HANDLE) & (c == d.ESCALATE))) for name, c in others.items()}
+    own = [c.alias(f"_{i}_{name}") for name, cs in right.items() for i, c in enumerate(cs)]
+    names = [*COUNTS, *[f"_{i}_{name}" for name in others for i in range(3)]]
+    per_split = df.groupBy(split).agg(*routing_counts(F.col(gold), F.col(decision)), *own)
+    full = per_split.rollup(split).agg(*[F.sum(c).alias(c) for c in names], F.grouping(split).alias("_all"))
     named = full.withColumn(split, F.when(F.col("_all") == 1, F.lit("full_set")).otherwise(F.col(split))).drop("_all")
     zero = F.lit(0).cast("long")
 
@@ -161,7 +170,8 @@ def split_report(df: DataFrame, split: str = "split", gold: str = "gold_decision
 
     same = F.struct(F.col(split).alias(split), *[F.col(c) for c in COUNTS])
     always = constant("always_escalate", "fah_total", zero, F.col("fe_total"))
-    rows = F.when(F.col(split) == "full_set", F.array(same, always)).otherwise(F.array(same))
+    given = [constant(name, f"_0_{name}", F.col(f"_1_{name}"), F.col(f"_2_{name}")) for name in others]
+    rows = F.when(F.col(split) == "full_set", F.array(same, always, *given)).otherwise(F.array(same))
     return with_routing_rates(named.select(F.explode(rows).alias("r")).select("r.*"))
 
 

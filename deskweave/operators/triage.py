@@ -39,19 +39,19 @@ def decide(gate: Column, similarity: Column, resolves: Column, verdict_reason: C
                outcome(d.ESCALATE, "layer_1_hard_gate", gate["gate"], low, gate["reason"]))
         .when(broken | (s < low),
               outcome(d.ESCALATE, calibrated, none, low,
-                      F.format_string("Low grounding confidence (similarity %.3f < threshold %.2f); ambiguous failure requires agent inspection", s, low)))
+                      F.format_string(d.REASON_LOW, s, low)))
         .when(~F.coalesce(resolves, F.lit(True)),
               outcome(d.ESCALATE, "layer_2_resolution_check_veto", F.lit("resolution_check_veto"), low,
-                      F.concat(F.lit("Procedural brush-off veto (resolution check failed): "), why)))
+                      F.concat(F.lit(d.REASON_VETO), why)))
         .when(s >= high,
               outcome(d.AUTO_HANDLE, calibrated, none, high,
-                      F.format_string("High grounding confidence (similarity %.3f >= threshold %.2f); standard troubleshooting applicable", s, high)))
+                      F.format_string(d.REASON_HIGH, s, high)))
         .when(F.coalesce(resolves, F.lit(False)),
               outcome(d.AUTO_HANDLE, "layer_2_resolution_check_verified", none, low,
-                      F.concat(F.format_string("Moderate grounding confidence (similarity %.3f >= %.2f) verified by resolution check: ", s, low), why)))
+                      F.concat(F.format_string(d.REASON_VERIFIED, s, low), why)))
         .otherwise(
             outcome(d.ESCALATE, calibrated, none, high,
-                    F.format_string("Moderate grounding confidence (similarity %.3f < %.2f) unverified by resolution check; routing to specialist", s, high)))
+                    F.format_string(d.REASON_UNVERIFIED, s, high)))
     )
 
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule
+from ..functions.text import strip_handles
 from ..operators import metrics as m
 from ..operators.neighbours import sparse_nearest
 from ..operators.tfidf import fit_idf, sparse_rows, term_counts
@@ -35,17 +36,19 @@ def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int | None = 5
 
 
 def retrieval_policy_report(golden: DataFrame, corpus: DataFrame, gates: Sequence[Rule], in_taxonomy: Sequence[str],
-                            taus: Sequence[float] = SWEEP_TAUS, n_terms: int | None = 5000) -> DataFrame:
+                            taus: Sequence[float] = SWEEP_TAUS, n_terms: int | None = 5000, searched: Column | None = None) -> DataFrame:
     """Sweep of 'gated -> escalate, similar enough -> auto' plus the top-1 intent match.
 
     ``golden``: id, text, gold_intent, gold_decision, difficulty_tier;
-    ``corpus``: id, text, silver_intent.
+    ``corpus``: id, text, silver_intent.  Gates read the raw text; the search reads ``searched``, by default
+    the text without leading handles.
     """
     gated = F.lit(False)
     for gate in gates:
         gated = gated | gate.hits(F.col("text"))
     rows = golden.select("id", "gold_intent", "gold_decision", "difficulty_tier", gated.alias("gated"))
-    nearest = tfidf_nearest(golden.select("id", "text"), corpus.select("id", "text"), n_terms)
+    asked = searched if searched is not None else strip_handles(F.col("text"))
+    nearest = tfidf_nearest(golden.select("id", asked.alias("text")), corpus.select("id", "text"), n_terms)
     intents = corpus.select(F.col("id").alias("hit_id"), F.col("silver_intent").alias("hit_intent"))
     scored = rows.join(nearest, "id").join(intents, "hit_id", "left")
     known = F.col("gold_intent").isin(*in_taxonomy)
@@ -95,6 +98,29 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
     return predict
 
 
+def baselines_report(golden: DataFrame, corpus: DataFrame, train: DataFrame, gates: Sequence[Rule], in_taxonomy: Sequence[str],
+                     taus: Sequence[float] = SWEEP_TAUS, n_terms: int = 5000) -> DataFrame:
+    """(baseline, metric, value) of all three: constant answers, the fitted classifier, and TF-IDF retrieval with gates at each tau.
+
+    ``golden`` as for ``retrieval_policy_report``; ``train``: id, text, label.  The classifier is rated on golden rows of the taxonomy.
+    """
+    known = F.col("gold_intent").isin(*in_taxonomy)
+    rated = golden.filter(known)
+    predicted = rated.join(train_intent_model(train, n_terms)(rated.select("id", "text")).select("id", F.col("predicted").alias("predicted_intent")), "id")
+    trivial = m.baseline_trivial(golden, known)
+    sweep = retrieval_policy_report(golden, corpus, gates, in_taxonomy, taus, n_terms)
+
+    def rows(name: Column, df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
+        numbers = [c for c in df.columns if c not in drop]
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers])
+        return df.select(name.alias("baseline"), F.explode(cells).alias("c")).select("baseline", "c.*")
+
+    return (rows(F.lit("constant"), trivial, ["majority_intent"])
+            .unionByName(rows(F.lit("classifier"), m.accuracy(predicted)))
+            .unionByName(rows(F.lit("classifier"), m.f1_summary(predicted)))
+            .unionByName(rows(F.concat(F.lit("retrieval@"), F.col("tau").cast("string")), sweep, ["tau"])))
+
+
 def _ml_vectors(rows: DataFrame, size: int) -> DataFrame:
     """Sparse rows as ML vectors.
 

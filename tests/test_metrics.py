@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from deskweave.functions import defaults as d
 from deskweave.operators import agreement as a
 from deskweave.operators import metrics as m
+from deskweave.plans.baselines import baselines_report
 from deskweave.plans.reports import evaluation_report, judge_validation_report
 
 P, A, B, T, D = d.INTENTS
@@ -163,3 +164,26 @@ def test_judge_report(spark):
     judge = spark.createDataFrame([(i, "easy", 1 + i % 5, "pass" if i % 5 > 2 else "fail") for i in range(20)], "id long, difficulty_tier string, j int, judge_decision string")
     got = {(r.section, r.metric): r.value for r in judge_validation_report(human, judge, [("score", "h", "j")]).collect()}
     assert got["overall", "kappa"] == 1.0 and got["overall", "score_spearman"] == 1.0 and got["overall", "score_mae"] == 0.0
+
+
+def test_baselines_report(spark):
+    words = {"a": "song skip album", "b": "login password account"}
+    rng = random.Random(3)
+
+    def text(label):
+        return " ".join(rng.choices(words[label].split(), k=6))
+
+    golden = spark.createDataFrame([(i, text(x), x, rng.choice(["escalate", "auto_handle"]), "easy") for i in range(40) for x in [rng.choice("ab")]],
+                                   "id long, text string, gold_intent string, gold_decision string, difficulty_tier string")
+    past = spark.createDataFrame([(100 + i, text(x), x) for i in range(40) for x in [rng.choice("ab")]], "id long, text string, silver_intent string")
+    got = {(r.baseline, r.metric): r.value for r in baselines_report(golden, past, past.withColumnRenamed("silver_intent", "label"), (), ["a", "b"], (0.2, 0.5), 50).collect()}
+    assert got["classifier", "accuracy"] == 1.0 and got["classifier", "macro_f1"] == 1.0 and got["retrieval@0.2", "intent_match"] == 1.0
+    assert got["constant", "majority_accuracy"] >= 0.5 and got["retrieval@0.5", "total"] == 40.0
+
+
+def test_split_report_counts_a_reference_policy(spark):
+    rows = [("escalate", "auto_handle", 0.9, "held_out"), ("auto_handle", "escalate", 0.9, "calibration"), ("auto_handle", "auto_handle", 0.1, "held_out")]
+    frame = spark.createDataFrame(rows, "gold_decision string, decision string, s double, split string")
+    policy = F.when(F.col("s") > 0.5, "auto_handle").otherwise("escalate")
+    got = {r["split"]: (r.correct, r.fah_count, r.fe_count) for r in m.split_report(frame, policies={"simple": policy}).collect()}
+    assert got["simple"] == (1, 1, 1) and got["always_escalate"] == (1, 0, 2) and got["full_set"] == (1, 1, 1)

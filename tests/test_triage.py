@@ -14,6 +14,7 @@ from deskweave.functions.sops import default_sops
 from deskweave.operators import triage as g
 from deskweave.operators.procedures import sop_match, sop_table
 from deskweave.operators.scoring import score_batch, stored_verdicts
+from deskweave.plans.runs import Scorers, triage_run
 from deskweave.plans.triage import TriageSettings, triage_batch
 
 GATE = "struct<rank: int, gate: string, reason: string>"
@@ -184,3 +185,33 @@ def test_cached_intents(spark):
         spark.createDataFrame([("a",), ("b",)], "id string"),
         spark.createDataFrame(pd.DataFrame({"id": ["a"], "predicted_intent": ["x"], "confidence": [float("nan")]})).replace(float("nan"), None)).orderBy("id").collect()
     assert [(r.known_intent, r.known_confidence) for r in out] == [("x", 1.0), (None, None)]
+
+
+def test_a_run_classifies_verifies_drafts_and_resumes(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def noted(kind, answer):
+        def factory():
+            def score(batch):
+                with open(calls, "a") as f:
+                    f.writelines(f"{kind}\n" for _ in range(len(batch)))
+                assert all(len(m) >= 2 for m in batch["request"])
+                return pd.Series([answer] * len(batch), index=batch.index)
+            return score
+        return factory
+
+    messages = spark.createDataFrame(
+        [("m1", "my song stops every minute", [1.0, 0.0]), ("m2", "my song stops every minute", [1.0, 0.0]), ("m3", "@x", [1.0, 0.0]), ("m4", "stored one", [1.0, 0.0]), ("m5", "done before", [1.0, 0.0])],
+        "id string, customer_text string, embedding array<double>")
+    corpus = spark.createDataFrame([(i, [1.0, 0.0], "playback_issue", "Please restart the app and clear the cache, that helps") for i in range(3)],
+                                   "vec_id long, embedding array<double>, silver_intent string, brand_reply_text string")
+    stored = spark.createDataFrame([("m4", "account_login", 0.9)], "id string, predicted_intent string, confidence double")
+    empty = spark.createDataFrame([], "verdict_key string, resolves_problem boolean, reason string")
+    scorers = Scorers(noted("classify", '{"intent": "playback_issue", "confidence": "0.8"}'), noted("verify", '{"resolves_problem": "true"}'), noted("draft", ' "Hi" there '))
+    run = triage_run(messages, corpus, settings(), scorers, stored, empty, done=spark.createDataFrame([("m5",)], "id string"))
+    records = {r.id: r for r in run.records.collect()}
+    assert set(records) == {"m1", "m2", "m3", "m4"} and records["m1"].predicted_intent == "playback_issue" and records["m4"].predicted_intent == "account_login"
+    assert records["m3"].gate_triggered == "degenerate_input" and records["m3"].drafted_reply == d.FALLBACK_REPLY and records["m1"].drafted_reply == "Hi there"
+    assert sorted((r.id, r.confidence) for r in run.predictions.collect()) == [("m1", 0.8), ("m2", 0.8)]
+    sent = Counter(open(calls).read().split())
+    assert sent["classify"] == 1 and sent["draft"] == 3 and sent["verify"] == run.verdicts.count() <= 2  # equal texts are asked once, nothing twice

@@ -71,7 +71,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
                  pieces: int = 2048) -> DataFrame:
     """Running sums per key, current row included, along ``order``; rows equal there follow a hash of the row.
 
-    About ``pieces`` sampled rows, of all keys together, are splitters: a key with a share of the rows gets that
+    ``pieces`` sampled rows, of all keys together, are splitters: a key with a share of the rows gets that
     share of them and is cut into ranges of the order columns, so that pieces have about equal rows
     however the values bunch.  A row's place in the order ends with a hash of all its columns, so rows that are
     equal in ``order`` are cut as well; only rows that are equal in every column stay together.  The
@@ -96,9 +96,9 @@ def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces:
     """``df`` and ``extra`` with ``_key``, the place ``_at`` in the order, and ``_piece``, the range of ``_at`` it falls into."""
     rows = df.select("*", F.struct(*keys).alias("_key"), F.struct(*order, F.xxhash64(*df.columns).alias("_tie")).alias("_at"),
                      *[c.alias(name) for name, c in extra.items()])
-    total = df.agg(F.count(F.lit(1))).scalar()
-    drawn = F.pmod(F.xxhash64("_key", "_at", F.lit("splitter")), F.lit(1 << 30)).cast("double") * total < float(pieces) * (1 << 30)
-    cuts = rows.filter(drawn).groupBy("_key").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+    # The rows with the smallest hashes are an even sample of exactly this size.
+    drawn = rows.select("_key", "_at").orderBy(F.xxhash64("_key", "_at", F.lit("splitter"))).limit(pieces)
+    cuts = drawn.groupBy("_key").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
     # Looked up in two steps: blocks of splitters by their first one, then within the block.
     width = max(2, int(pieces**0.5))
     heads = F.transform(F.sequence(F.lit(1), F.size("_cuts"), F.lit(width)), lambda i: F.element_at("_cuts", i))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import defaults as d
 from ..operators import agreement as a
 from ..operators import metrics as m
+from ..session import cut_lineage
 
 
 def long_format(df: DataFrame, section: Column, names: Sequence[str]) -> DataFrame:
@@ -136,11 +137,10 @@ def _section_metrics(labels: Sequence[str]) -> list[Column]:
 def judge_validation_report(human: DataFrame, judge: DataFrame, scores: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Agreement, kappa and rank correlation of merged ratings, in long format.
 
-    Ratings are counted per combination first; all statistics start from that
-    same small exchange.
+    Ratings are counted per combination first; all statistics start from those rows, which are written down once.
     """
     score_columns = [c for _, h, j in scores for c in (h, j)]
-    cells = a.rating_cells(a.merge_ratings(human, judge), ["difficulty_tier", "human_decision", "judge_decision", *score_columns])
+    cells = cut_lineage(a.rating_cells(a.merge_ratings(human, judge), ["difficulty_tier", "human_decision", "judge_decision", *score_columns]))
     agree = a.agreement(cells, scores=scores, weight="weight")
     kappa = a.kappa_with_ci(cells, weight="weight")
     report = long_format(agree, F.col("difficulty_tier"),

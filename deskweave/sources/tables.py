@@ -89,7 +89,8 @@ def report_json(columns: Sequence[str]) -> Column:
 def read_rules(table: DataFrame, rule_set: str, limit: int = 1000) -> tuple[Rule, ...]:
     """Rules of one set kept as (rule_set, rank, name, pattern, reason) rows, in rank order.
 
-    Rules become part of the plan, so a table with more than ``limit`` is refused.
+    Rules become part of the plan, unrolled into one expression, so a table with more than ``limit`` is
+    refused; ``limit`` bounds what reaches the driver.
     """
     rows = table.filter(F.col("rule_set") == rule_set).orderBy("rank", "name").limit(limit + 1).collect()
     if len(rows) > limit:
@@ -113,9 +114,9 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
 
 
 def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Stored rows, or an empty frame when there is no readable cache."""
+    """Stored rows, or an empty frame when there is no readable cache; a damaged file in it is passed over, and its entries are asked for again."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 

@@ -171,3 +171,12 @@ def test_incremental_run_equals_batch(spark, tmp_path):
     messages.filter("id > 'm3'").coalesce(1).write.mode("append").parquet(source)
     assert run() == batch  # the second run saw only the new file
     assert run() == batch
+
+
+def test_a_damaged_file_costs_only_its_entries(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("a", True), ("b", False)], "verdict_key string, resolves_problem boolean")
+    rows.coalesce(1).write.parquet(path)
+    (tmp_path / "cache" / "part-damaged.parquet").write_bytes(b"PAR1 no parquet at all PAR1")
+    assert sorted(r.verdict_key for r in s.read_cache(spark, path, rows.schema).collect()) == ["a", "b"]
+    assert s.read_cache(spark, str(tmp_path / "none"), rows.schema).count() == 0

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from . import benchmark_leaks, byte_bpe, language, licences, passages, quality, sharding, simhash, token_counts, vectors
 
-#: Where the vocabulary files are, on every machine.
-TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: how the rank file's vocabulary splits a text before merging.
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARDS = 40
@@ -29,7 +27,10 @@ def _remainder(docs: DataFrame, by: int) -> F.Column:
 
 
 def tokenizer_file(name: str) -> str:
-    return os.path.join(os.environ.get("DESKWEAVE_TOKENIZERS", TOKENIZERS), name)
+    """Where the driver finds a vocabulary file; tasks get its content from the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

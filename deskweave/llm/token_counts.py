@@ -6,6 +6,7 @@ import os
 import unicodedata
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 
     Done once on the driver; the size is that of the vocabulary.
     """
-    tokenizer = _tokenizer(path)
+    tokenizer = _tokenizer(Path(path).read_text(encoding="utf-8"))
     to_byte, end = _byte_of(), "</w>"
     surfaces = {}
     for name, number in tokenizer.get_vocab(with_added_tokens=False).items():
@@ -67,11 +68,11 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(candidates, encoded, strict=True) if e.ids == [surfaces[s]])
 
 
-def _tokenizer(path: str):  # noqa: ANN202
+def _tokenizer(definition: str):  # noqa: ANN202
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(definition)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -101,13 +102,14 @@ def count_tokens(docs: DataFrame, path: str, keep: list[Column], schema: str, te
 
     Special strings inside a text are one token each; none are added.  Null and empty texts have no tokens.
     Pre-tokens in the proven set count one at once; the others are merged, each different one once per
-    slice of texts at most.  ``path`` must be readable where tasks run.
+    slice of texts at most.  The driver reads the file at ``path`` and hands its content to the tasks.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
+    context = docs.sparkSession.sparkContext
+    whole, definition = context.broadcast(whole_tokens(path)), context.broadcast(Path(path).read_text(encoding="utf-8"))
     key = str(uuid.uuid4())
 
     def counts() -> _Counts:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(definition.value)
         return _Counts(whole.value, lambda rest: [len(e.ids) for e in tokenizer.encode_batch(rest, add_special_tokens=False)])
 
     def work(texts: pa.Array) -> list:

@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from deskweave.session import cut_lineage
-
 from .texts import column, once, ragged, slices
 
 #: Bytes of text of which words are collected before they are sent on; a longer text is a block alone.
@@ -65,32 +63,29 @@ def _places(text: str, pattern: regex.Pattern, number: _Numbering) -> np.ndarray
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: int) -> DataFrame:
-    """Rows of two kinds for every block of texts: its texts as numbers of its distinct words (bucket -1), and, for each
-    bucket of words by hash, the words that fall into it with their numbers."""
+    """A row for every block of texts: ids, numbers of words of each text, all texts as numbers of the block's distinct words,
+    and, for each bucket of words by hash, the words that fall into it with their numbers."""
     kind = dict(docs.dtypes)[id_col]
     chosen = docs.select(column(docs, id_col).alias("id"), F.coalesce(column(docs, text_col).cast("string"), F.lit("")).alias("t"))
-    names = ["block", "bucket", "ids", "sizes", "places", "words", "numbers"]
+    names = ["block", "ids", "sizes", "places", "buckets", "words", "numbers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
         part, ids, texts, number, held, blocks = TaskContext.get().partitionId(), [], [], _Numbering(), 0, 0
 
         def flush() -> pa.RecordBatch:
-            block = (part << 32) + blocks
-            order = np.fromiter((_hash_of(w) % buckets for w in number), np.int64, len(number))
             spelled = list(number)
-            by = np.argsort(order, kind="stable")
-            ends = np.flatnonzero(np.diff(order[by], append=-1)) + 1
-            groups = [by[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(by) else []
-            rows = len(groups) + 1
+            bucket = np.fromiter((_hash_of(w) % buckets for w in spelled), np.int64, len(spelled))
+            by = np.argsort(bucket, kind="stable")
+            groups = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []
             return pa.RecordBatch.from_arrays([
-                pa.array([block] * rows, pa.int64()),
-                pa.array([-1, *(int(order[g[0]]) for g in groups)], pa.int32()),
-                pa.array([[x for a in ids for x in a.to_pylist()], *[None] * len(groups)], pa.list_(ids[0].type)),
-                pa.array([_packed(np.array([len(t) for t in texts])), *[None] * len(groups)], pa.binary()),
-                pa.array([_packed(np.concatenate(texts)), *[None] * len(groups)], pa.binary()),
-                pa.array([None, *(_spelled([spelled[i] for i in g]) for g in groups)], pa.binary()),
-                pa.array([None, *(_packed(np.diff(g, prepend=0)) for g in groups)], pa.binary()),
+                pa.array([(part << 32) + blocks], pa.int64()),
+                pa.array([[x for some in ids for x in some.to_pylist()]], pa.list_(ids[0].type)),
+                pa.array([_packed(np.array([len(t) for t in texts]))], pa.binary()),
+                pa.array([_packed(np.concatenate(texts))], pa.binary()),
+                pa.array([[int(bucket[g[0]]) for g in groups]], pa.list_(pa.int32())),
+                pa.array([[_spelled([spelled[i] for i in g]) for g in groups]], pa.list_(pa.binary())),
+                pa.array([[_packed(np.diff(g, prepend=0)) for g in groups]], pa.list_(pa.binary())),
             ], names)
 
         for batch in batches:
@@ -104,7 +99,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets:
         if texts:
             yield flush()
 
-    return chosen.mapInArrow(run, f"block bigint, bucket int, ids array<{kind}>, sizes binary, places binary, words binary, numbers binary")
+    return chosen.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes binary, places binary, buckets array<int>, words array<binary>, numbers array<binary>")
 
 
 def _hash_of(word: str) -> int:
@@ -140,7 +135,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the vocabulary
     kind = dict(docs.dtypes)[id_col]
-    rows = cut_lineage(_blocks(docs, id_col, text_col, pattern, buckets))
+    # Both uses below take whole rows, so that this one exchange serves them: blocks are made once.
+    rows = _blocks(docs, id_col, text_col, pattern, buckets).repartition("block")
 
     key = str(uuid.uuid4())
 
@@ -162,8 +158,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             ids.append(_packed(np.fromiter((x for f in found for x in f), np.int64)))
         return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "sizes": pa.array(sizes, pa.binary()), "tokens": pa.array(ids, pa.binary())})
 
-    coded = rows.where("bucket >= 0").select("bucket", "block", "words", "numbers").groupBy("bucket").applyInArrow(
-        merge, "block bigint, numbers binary, sizes binary, tokens binary")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, words, numbers = (batch.column(i).slice(row, 1).flatten() for i in (4, 5, 6))
+                block = pa.array(np.full(len(bucket), batch.column(0)[row].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([bucket, block, words, numbers], ["bucket", "block", "words", "numbers"])
+
+    requests = rows.mapInArrow(spread, "bucket int, block bigint, words binary, numbers binary")
+    coded = requests.groupBy("bucket").applyInArrow(merge, "block bigint, numbers binary, sizes binary, tokens binary")
 
     def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
         numbers = [np.cumsum(_unpacked(b)) for b in words.column("numbers").to_pylist()]
@@ -173,8 +176,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         number, size, flat = np.concatenate(numbers + none), np.concatenate(sizes + none), np.concatenate(tokens + none)
         count, begin = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         count[number], begin[number] = size, np.cumsum(size) - size
-        ids, offsets, chunks = [], [np.zeros(1, np.int64)], []
-        for row in texts.to_pylist():
+        ids, chunks = [], []
+        for row in texts.select(["ids", "sizes", "places"]).to_pylist():
             places, lengths = _unpacked(row["places"]), _unpacked(row["sizes"])
             ids += row["ids"]
             at = 0
@@ -186,8 +189,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         values = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
         return pa.table({id_col: pa.array(ids, texts.schema.field("ids").type.value_type), "ids": pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))})
 
-    texts = rows.where("bucket = -1").select("block", "ids", "sizes", "places")
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, f"{id_col} {kind}, ids array<int>")
+    return rows.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_together, f"{id_col} {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -185,7 +185,7 @@ def _(t):
 
 SEARCH = """hits AS (SELECT id, hit_id, similarity FROM (
   SELECT q.id, c.id AS hit_id, round(sum(q.w * c.w), 6) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.w * c.w), 6) DESC, c.id DESC) AS rn
-  FROM (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM qdocs)) q JOIN (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM cdocs)) c ON c.place = q.place GROUP BY 1, 2) WHERE rn = 1)"""
+  FROM (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM qdocs)) q JOIN (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM cdocs)) c ON c.place = q.place GROUP BY 1, 2) WHERE rn = 1 AND similarity > 0)"""
 
 
 @query("text_search", with_(*USER_GRAMS, SILVER, TFIDF_SIDES, VECTORS, SEARCH) + "SELECT h.id, h.hit_id, h.similarity, s.silver_intent FROM hits h JOIN silver s ON s.msg_id = h.hit_id")
@@ -196,5 +196,5 @@ def _(t):
     for _ in range(2):  # the second time it is read
         index = store_vectors(t.spark, path, lambda: rows.filter(F.col("silver_intent").isNotNull()), "msg_id", "text")
     asked = rows.filter(F.col("silver_intent").isNull()).select(F.col("msg_id").alias("id"), "text")
-    hits = search_texts(asked, index, index_id="msg_id")
+    hits = search_texts(asked, index, index_id="msg_id").filter("similarity > 0")
     return hits.join(index.select("msg_id", "silver_intent"), "msg_id").select("id", F.col("msg_id").alias("hit_id"), "similarity", "silver_intent")

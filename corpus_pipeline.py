@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskweave.llm import benchmark_leaks, byte_bpe, language, passages, simhash
@@ -22,11 +22,22 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which the network, trained on the labelled rows, sees a language; all columns stay as they are."""
     model = language.fit(docs, "text", F.col("lang"))
-    schema = ",".join(f"`{n}`:{t}" for n, t in docs.dtypes)
-    kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    judged = language.predict(kept, model, [kept["row"]], f"row struct<{schema}>")
+    others, schema = _columns_but_text(docs)
+    judged = language.predict(docs, model, [docs[f"`{c}`"] for c in others], schema, with_text=True)
+    # A null text is rejected, so none comes out as an empty one.
     fine = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return judged.where(fine).select("row.*")
+    return _named(judged.where(fine), others, F.col("text")).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _columns_but_text(docs: DataFrame) -> tuple[list[str], str]:
+    """Names of the other columns, and a schema in which they are c0, c1, ..."""
+    others = [c for c in docs.columns if c != "text"]
+    return others, ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
+
+
+def _named(rows: DataFrame, others: list[str], text: Column) -> DataFrame:
+    """Columns c0, c1, ... under their own names, and the text."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], text.alias("text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +61,10 @@ def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id has; n_chars follows, and a document of nothing else goes."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
+    others, schema = _columns_but_text(docs)
     cleaned = passages.remove_repeats(docs, [docs[f"`{c}`"] for c in others], schema)
     left = cleaned.where((F.size("cuts") == 0) | (F.col("clean") != ""))
-    named = left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], F.col("clean").alias("text"))
+    named = _named(left, others, F.col("clean"))
     if "n_chars" in named.columns:
         named = named.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return named.select(*[f"`{c}`" for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .texts import column, once, ragged, slices
+from .texts import column, once, ragged, slices, small_batches
 
 #: Bytes of text of which words are collected before they are sent on; a longer text is a block alone.
 BLOCK_BYTES = 12 << 20
@@ -99,7 +99,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets:
         if texts:
             yield flush()
 
-    return chosen.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes binary, places binary, buckets array<int>, words array<binary>, numbers array<binary>")
+    return small_batches(chosen).mapInArrow(run, f"block bigint, ids array<{kind}>, sizes binary, places binary, buckets array<int>, words array<binary>, numbers array<binary>")
 
 
 def _hash_of(word: str) -> int:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import column, joined, once, per_text, ragged
+from .texts import column, joined, once, per_text, ragged, small_batches
 
 #: Bytes of a window; windows overlap so that every run of up to the widest filter is inside one.
 WINDOW = 256
@@ -148,7 +148,7 @@ def training_windows(docs: DataFrame, text_col: str, label: Column, texts_per_la
             views = [data[starts[o] + b : starts[o] + min(sizes[o], b + WINDOW)].tobytes() for o, b in zip(owner, begin, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(views, pa.binary())], ["lang", "view"])
 
-    return drawn.mapInArrow(run, "lang string, view binary")
+    return small_batches(drawn).mapInArrow(run, "lang string, view binary")
 
 
 def fit(docs: DataFrame, text_col: str, label: Column, texts_per_language: int = TEXTS_PER_LANGUAGE) -> ByteNet | None:
@@ -177,8 +177,8 @@ def _lettered(texts: pa.Array, data: np.ndarray, starts: np.ndarray) -> np.ndarr
     return found
 
 
-def predict(docs: DataFrame, model: ByteNet | None, keep: list[Column], schema: str, text_col: str = "text") -> DataFrame:
-    """``keep`` columns, lang_pred and score of every row.
+def predict(docs: DataFrame, model: ByteNet | None, keep: list[Column], schema: str, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``keep`` columns, lang_pred and score of every row, and with ``with_text`` its text (empty for null), which then need not be kept.
 
     All windows of a text are scored; their probabilities are averaged by the bytes they hold, and score is the
     mean of the language named.  A text that is null or has no letter is ``und`` with score 0, as is
@@ -191,8 +191,9 @@ def predict(docs: DataFrame, model: ByteNet | None, keep: list[Column], schema:
         net = shared.value
         data, starts = joined(texts)
         known = _lettered(texts, data, starts)
+        echo = [texts] if with_text else []
         if net is None:
-            return [pa.array([UNDETERMINED] * len(texts)), np.zeros(len(texts))]
+            return [pa.array([UNDETERMINED] * len(texts)), np.zeros(len(texts)), *echo]
         tables = once(key, net.tables)
         sizes = np.diff(np.concatenate([starts, [len(data)]])) - 1
         total = np.zeros((len(sizes), len(net.names)))
@@ -206,9 +207,9 @@ def predict(docs: DataFrame, model: ByteNet | None, keep: list[Column], schema:
         total /= total.sum(axis=1, keepdims=True)
         best = total.argmax(axis=1)
         score = np.where(known, total[np.arange(len(best)), best], 0.0)
-        return [pa.array([net.names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]), np.clip(score, 0, 1)]
+        return [pa.array([net.names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]), np.clip(score, 0, 1), *echo]
 
-    return per_text(docs, keep, column(docs, text_col), schema + ", lang_pred string, score double", work)
+    return per_text(docs, keep, column(docs, text_col), schema + ", lang_pred string, score double" + ", text string" * with_text, work)
 
 
 def _parts(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time; one longer text is handled alone.
 SLICE_BYTES = 1 << 21
+#: Rows of an Arrow batch at most; JVM and Python hold a few batches each.
+BATCH_ROWS = 1000
 #: Bytes hashed at a time.
 _HASH_BYTES = 1 << 20
 
@@ -51,6 +54,14 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of at most BATCH_ROWS rows from now on in its session, since texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose last column, a text, holds about ``limit`` bytes together."""
     if batch.num_rows == 0:
@@ -79,7 +90,7 @@ def per_text(df: DataFrame, keep: Sequence[Column], text: Column, schema: str, w
                 yield pa.RecordBatch.from_arrays(kept + made, names)
 
     names = [x.split(" ")[0] for x in _split_schema(schema)]
-    return chosen.mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(run, schema)
 
 
 def _split_schema(schema: str) -> list[str]:
@@ -153,6 +164,18 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**32 - 1 as compressed byte planes."""
+    octets = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(octets.T).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """What ``packed`` made, as 64-bit numbers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (counts[0] of them), starts[1], ..."""
     total = int(counts.sum())

@@ -16,7 +16,7 @@ from deskweave.session import cut_lineage
 
 from .components import connected_components
 from .sides import small_side
-from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, word_hashes, words
+from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, small_batches, word_hashes, words
 
 #: Words of a shingle; a paragraph with fewer has none and is compared with nothing.
 SHINGLE = 5
@@ -27,11 +27,11 @@ RECALL = 0.99
 #: Minima in a band.
 ROWS = 2
 #: A run of repeated paragraphs is removed from this many words on; shorter ones are common lines, not passages.
-MIN_WORDS = 25
+MIN_WORDS = 20
 #: Words between two repeated paragraphs of a run at most.
 GAP_WORDS = 12
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
-LONG_SENTENCE = 64
+LONG_SENTENCE = 24
 #: Bytes of text that make a block.
 BLOCK_BYTES = 12 << 20
 _NO_ID = 2**63 - 1
@@ -177,7 +177,7 @@ def _entries(docs: DataFrame, bands: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket bigint, keys binary, contents binary, ids binary, numbers binary")
+    return small_batches(docs).mapInArrow(run, "bucket bigint, keys binary, contents binary, ids binary, numbers binary")
 
 
 def _collisions(entries: DataFrame, buckets: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     some.column(0).take(pa.array(text[fine][there])), pa.array(number[fine][there].astype(np.int32)),
                     pa.array(found.content[chosen].view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], ["id", "number", "content", "grams"])
 
-    joined_docs = docs.join(small_side(asked), "id").select("id", "t", "numbers")
+    joined_docs = docs.join(small_side(asked, F.size("numbers")), "id").select("id", "t", "numbers")
     return joined_docs.mapInArrow(run, "id bigint, number int, content bigint, grams array<bigint>")
 
 
@@ -294,7 +294,8 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
     late = _keepers(slim.where("t IS NOT NULL"), similarity)
     names = [f"k{i}" for i in range(len(keep))]
     wide = docs.select(*[c.alias(n) for c, n in zip(keep, names, strict=True)], key.alias("id"), column(docs, text_col).cast("string").alias("t"))
-    wide = wide.join(small_side(late), "id", "left").select(*names, "late", "t")
+    # A merge join at every size: the marks have no bound, and the work then grows evenly.
+    wide = wide.hint("merge").join(late, "id", "left").select(*names, "late", "t")
     cuts = "array<struct<start:bigint,end:bigint,n_words:bigint,kept_id:bigint>>"
     kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "n_words", "kept_id")]))
     outs = [x.strip().split(" ")[0] for x in schema.split(",")] + ["clean", "cuts"]

@@ -145,7 +145,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         keyed = _sort_keys(same, dim, passes or passes_for(n, threshold, window), seed)
         roots = cut_lineage(connected_components(_neighbour_links(keyed, dim, threshold, window)))
         members = cut_lineage(same.join(roots, "node"))
-        least = members.groupBy("root").agg(F.min("least").alias("component_id"))
+        # Written down, so that Spark can split a component with very many members in the join.
+        least = cut_lineage(members.groupBy("root").agg(F.min("least").alias("component_id")))
         found.append(members.select("node", "root").join(least, "root").join(_links_each(members, dim, threshold), "node").select("node", "component_id", "others"))
     if found:
         linked = found[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from deskweave.session import cut_lineage
 
-from .texts import LOWER, SOLID, column, joined, mixed, per_text, shingles, word_hashes, words
+from .texts import LOWER, SOLID, column, joined, mixed, packed, per_text, shingles, unpacked, word_hashes, words
 
 #: Hashed n-gram indicators.
 FEATURES = 1 << 18
@@ -116,12 +116,11 @@ def _calibrated(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, features): each row's indicators as packed 32-bit numbers."""
+    """(id, features): each row's indicators, packed as the gaps between them."""
     def work(texts: pa.Array) -> list:
         owner, feature = indicators(texts)
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).tolist()
-        flat = feature.astype("<u4")
-        return [pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+        return [pa.array([packed(np.diff(feature[a:b], prepend=0)) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 
     return per_text(docs, [column(docs, id_col)], column(docs, text_col), f"id {dict(docs.dtypes)[id_col]}, features binary", work)
 
@@ -136,13 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     score: the share of label 1, or 0.5.
     """
     named = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).cast("int").alias("label")).where("label IN (0, 1)").distinct()
-    rows = cut_lineage(_feature_rows(docs, id_col, text_col).join(named, "id").select("label", "features"))
+    # A merge join at every size: the labels have no bound, and the work then grows evenly.
+    rows = cut_lineage(_feature_rows(docs, id_col, text_col).hint("merge").join(named, "id").select("label", "features"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, FEATURES), np.int64)
         for batch in batches:
             for label, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[label][np.frombuffer(blob, "<u4")] += 1
+                sums[label][np.cumsum(unpacked(blob))] += 1
         for label in (0, 1):
             used = np.flatnonzero(sums[label])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), label, np.int32)), pa.array(used), pa.array(sums[label][used])], ["label", "feature", "n"])
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("label") == 1, fit_rows / sizes[1][1]).otherwise(fit_rows / sizes[0][1])
     drawn = rows.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["label", "hash"]).select("label", "features").collect()
     drawn = sorted((r["label"], bytes(r["features"])) for r in drawn)
-    sample, target = [np.frombuffer(f, "<u4") for _, f in drawn], np.array([1 if label else -1 for label, _ in drawn])
+    sample, target = [np.cumsum(unpacked(f)) for _, f in drawn], np.array([1 if label else -1 for label, _ in drawn])
     if len(set(target.tolist())) < 2:
         return float(sizes[1][0] / (sizes[0][0] + sizes[1][0]))
     weights, bias = hinge_fit(sample, target, ratios)

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import ALNUM, LOWER, column, joined, mixed, once, shingles, slices, small_batches, word_hashes, words
+from .texts import ALNUM, LOWER, column, joined, mixed, once, shingles, slices, small_batches, tidy, word_hashes, words
 
 #: Words of a shingle in the exact comparison, and in the fingerprints.
 SHINGLE, FEATURE = 5, 2
@@ -234,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         ids, pa.array([leaks.ids[f[1]] for f in found], item_type), pa.array([f[2] for f in found], pa.int64()),
                         pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.float64())], names)
 
-        return small_batches(chosen).mapInArrow(run, kinds)
+        return small_batches(chosen).mapInArrow(tidy(run), kinds)
 
     names = [id_col, item_col, "first_word", "n_words", "similarity"]
     item_type = pa.string() if dict(benchmark.dtypes)[item_col] == "string" else pa.int64() if dict(benchmark.dtypes)[item_col] == "bigint" else pa.int32()

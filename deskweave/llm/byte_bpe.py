@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .texts import column, once, ragged, slices, small_batches
+from .texts import column, once, ragged, slices, small_batches, tidy
 
 #: Bytes of text of which words are collected before they are sent on; a longer text is a block alone.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Buckets of words for each shuffle partition.
 BUCKETS_PER_PARTITION = 3
 _LONG = 1 << 23
@@ -99,7 +99,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets:
         if texts:
             yield flush()
 
-    return small_batches(chosen).mapInArrow(run, f"block bigint, ids array<{kind}>, sizes binary, places binary, buckets array<int>, words array<binary>, numbers array<binary>")
+    return small_batches(chosen).mapInArrow(tidy(run), f"block bigint, ids array<{kind}>, sizes binary, places binary, buckets array<int>, words array<binary>, numbers array<binary>")
 
 
 def _hash_of(word: str) -> int:
@@ -221,4 +221,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
                 texts = pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ from deskweave.session import cut_lineage
 
 from .components import connected_components
 from .sides import small_side
-from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, small_batches, word_hashes, words
+from .texts import LOWER, SOLID, column, joined, mixed, ragged, shingles, slices, small_batches, tidy, word_hashes, words
 
 #: Words of a shingle; a paragraph with fewer has none and is compared with nothing.
 SHINGLE = 5
@@ -33,7 +33,7 @@ GAP_WORDS = 12
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
 LONG_SENTENCE = 24
 #: Bytes of text that make a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _NO_ID = 2**63 - 1
 _SEEDS = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -177,7 +177,7 @@ def _entries(docs: DataFrame, bands: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return small_batches(docs).mapInArrow(run, "bucket bigint, keys binary, contents binary, ids binary, numbers binary")
+    return small_batches(docs).mapInArrow(tidy(run), "bucket bigint, keys binary, contents binary, ids binary, numbers binary")
 
 
 def _collisions(entries: DataFrame, buckets: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     pa.array(found.content[chosen].view(np.int64)), pa.array(grams, pa.list_(pa.int64()))], ["id", "number", "content", "grams"])
 
     joined_docs = docs.join(small_side(asked, F.size("numbers")), "id").select("id", "t", "numbers")
-    return joined_docs.mapInArrow(run, "id bigint, number int, content bigint, grams array<bigint>")
+    return joined_docs.mapInArrow(tidy(run), "id bigint, number int, content bigint, grams array<bigint>")
 
 
 def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
                 kept = pa.compute.coalesce(kept, texts.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(names))), kept, pa.array(spans, kind)], outs)
 
-    return wide.mapInArrow(run, f"{schema}, clean string, cuts {cuts}")
+    return wide.mapInArrow(tidy(run), f"{schema}, clean string, cuts {cuts}")
 
 
 def _runs(parts: Paragraphs, text: int, late: list[dict], min_words: int) -> list[dict]:

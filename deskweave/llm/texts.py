@@ -6,6 +6,8 @@ their shingles come from a few array operations instead of a loop over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time; one longer text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch at most; JVM and Python hold a few batches each.
 BATCH_ROWS = 1000
 #: Bytes hashed at a time.
-_HASH_BYTES = 1 << 20
+_HASH_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,7 +45,7 @@ _kept: dict[str, object] = {}
 def once(key: str, make: Callable[[], object]) -> object:
     """``make()``, kept for later tasks in the same worker under a key of the job's own; only the latest few are."""
     if key not in _kept:
-        while len(_kept) > 3:
+        while len(_kept) > 1:
             _kept.pop(next(iter(_kept)))
         _kept[key] = make()
     return _kept[key]
@@ -62,6 +64,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` that gives freed memory back at its end; Spark keeps a worker for the tasks of later stages."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose last column, a text, holds about ``limit`` bytes together."""
     if batch.num_rows == 0:
@@ -90,7 +105,7 @@ def per_text(df: DataFrame, keep: Sequence[Column], text: Column, schema: str, w
                 yield pa.RecordBatch.from_arrays(kept + made, names)
 
     names = [x.split(" ")[0] for x in _split_schema(schema)]
-    return small_batches(chosen).mapInArrow(run, schema)
+    return small_batches(chosen).mapInArrow(tidy(run), schema)
 
 
 def _split_schema(schema: str) -> list[str]:

@@ -30,11 +30,22 @@ PASS_WORDS = 400_000
 _LANES = np.array([sum((x >> k & 1) << 8 * k for k in range(8)) for x in range(256)], np.uint64)
 _HIGH, _GATHER = np.uint64(0x8080808080808080), np.uint64(0x0102040810204080)
 _ONES = 0x0101010101010101
-_LANE_MOST = 255
 
 
-def _rolling(features: np.ndarray) -> np.ndarray:
-    """Eight running sums; each holds the counts of eight bits, a byte for each, of all features so far."""
+def _lane_bytes(size: int) -> int:
+    """Bytes of a lane that counts to ``size``."""
+    return np.min_scalar_type(size).itemsize
+
+
+def _rolling(features: np.ndarray, lane: int = 1) -> np.ndarray:
+    """Eight running sums for each byte of a lane; each holds the counts of 8 // lane bits, a lane for each, of all features so far."""
+    if lane > 1:
+        some = 8 // lane
+        sums = np.zeros((64 // some, len(features) + 1), np.uint64)
+        for k in range(len(sums)):
+            bits = sum((features >> np.uint64(some * k + j) & np.uint64(1)) << np.uint64(8 * lane * j) for j in range(some))
+            np.cumsum(bits, out=sums[k, 1:])
+        return sums
     octets = features.view(np.uint8).reshape(-1, 8)
     sums = np.zeros((8, len(features) + 1), np.uint64)
     for k in range(8):
@@ -43,11 +54,18 @@ def _rolling(features: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(sums: np.ndarray, size: int, step: int) -> np.ndarray:
-    """Bits set in over half the features of every window of ``size`` features (255 at most), a window every ``step``."""
+    """Bits set in over half the features of every window of ``size`` features, whose lanes count that far, a window every ``step``."""
     n = sums.shape[1] - size
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(range(0, n, step)), np.uint64)
+    some = 64 // len(sums)
+    if some < 8:
+        for k in range(len(sums)):
+            counts = sums[k, size::step][: len(out)] - sums[k, :n:step]
+            for j, lane in enumerate(counts.view(f"<u{8 // some}").reshape(-1, some).T):
+                out |= (lane > size // 2).astype(np.uint64) << np.uint64(some * k + j)
+        return out
     lift = np.uint64((127 - size // 2) * _ONES)
     for k in range(8):
         # The difference of two running sums is exact modulo 2**64, and no lane of it overflows.
@@ -104,7 +122,7 @@ class Leaks:
             for at in range(0, len(group.items), 64):  # a bit of a 64-bit set for each item
                 part = _Sized(n, group.items[at : at + 64])
                 size = self._features(n)
-                part.prints = np.array([_fingerprints(_rolling(self._feature(hashes[bounds[i] : bounds[i + 1]])), size, 1)[0] for i in part.items], np.uint64)
+                part.prints = np.array([_fingerprints(_rolling(self._feature(hashes[bounds[i] : bounds[i + 1]]), _lane_bytes(size)), size, 1)[0] for i in part.items], np.uint64)
                 sets = np.min_scalar_type((1 << len(part.items)) - 1).type
                 for k in range(BLOCKS):
                     table = np.zeros(1 << 16, sets)
@@ -124,8 +142,8 @@ class Leaks:
 
     @staticmethod
     def _features(n: int) -> int:
-        """Features of a fingerprint of n words; lanes count to 255, so a longer item is known by its beginning, and verified whole."""
-        return min(_LANE_MOST, n - FEATURE + 1)
+        """Features of a fingerprint of n words."""
+        return n - FEATURE + 1
 
     def _candidates(self, part: _Sized, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window start, item of the group): all windows within the radius, found by blocks that nearly agree."""
@@ -155,7 +173,8 @@ class Leaks:
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         # Words before and behind, so that windows that begin outside exist; verification stays within a text.
         pad = self.longest
-        sums = _rolling(np.concatenate([np.zeros(pad, np.uint64), self._feature(hashes), np.zeros(pad + 1, np.uint64)]))
+        features = np.concatenate([np.zeros(pad, np.uint64), self._feature(hashes), np.zeros(pad + 1, np.uint64)])
+        lane, sums = 0, None
         grams = shingles(hashes, SHINGLE)
         may = np.flatnonzero(self.first[(grams >> np.uint64(48)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.known, grams[may]), max(0, len(self.known) - 1))
@@ -163,7 +182,11 @@ class Leaks:
         held[may[self.known[slot] == grams[may]] + 1] = 1
         held = np.cumsum(held)
         best: dict[tuple[int, int], tuple] = {}
-        for part in self.sized:
+        for part in self.sized:  # by size, so that the sums of one lane width are held at a time
+            if lane != _lane_bytes(self._features(part.words)):
+                lane = _lane_bytes(self._features(part.words))
+                sums = None
+                sums = _rolling(features, lane)
             window, bit = self._candidates(part, sums)
             window, reach = window - pad, max(1, part.words // STEPS)
             # Without a shingle of some item nearby the weighted similarity is zero.
@@ -180,15 +203,39 @@ class Leaks:
         for text in range(owner[min(max(low, 0), len(owner) - 1)], owner[min(max(high + n, 0), len(owner) - 1)] + 1):
             a, b = int(first[text]), int(first[text + 1])
             begin = max(low, a)
-            for start in range(begin, max(begin, min(high, b - n)) + 1):
-                stop = min(start + n, b)
-                if stop - start < SHINGLE:
-                    break
+            if min(n, b - begin) < SHINGLE:
+                continue
+            for start in self._likely(item, hashes[begin : min(max(begin, min(high, b - n)) + n, b)], n) + begin:
+                start, stop = int(start), min(int(start) + n, b)
                 alike = self.alike(item, hashes[start:stop])
                 old = best.get((text, item))
                 if alike >= self.similarity and (old is None or (-alike, start - a) < (-old[2], old[0])):
                     best[text, item] = (start - a, stop - start, alike)
 
+    def _likely(self, item: int, stretch: np.ndarray, n: int) -> np.ndarray:
+        """Starts of windows of n words in a stretch that may be the best one over the threshold, from similarities kept up word by word."""
+        grams, width, its = self._shingles(stretch).tolist(), n - SHINGLE + 1, self.shingled[item]
+        if len(grams) <= width:
+            return np.zeros(1, np.int64)
+        mine: Counter = Counter()
+        weight, own = self.weight.get, sum(self.weight[s] * c for s, c in its.items())
+        both = total = 0.0
+        found = np.zeros(len(grams) - width + 1)
+        for at, s in enumerate(grams):
+            if at >= width:
+                old = grams[at - width]
+                w = weight(old, 1.0)
+                both -= w * (mine[old] <= its.get(old, 0))
+                total -= w
+                mine[old] -= 1
+            w = weight(s, 1.0)
+            both += w * (mine[s] < its.get(s, 0))
+            total += w
+            mine[s] += 1
+            if at >= width - 1:
+                found[at - width + 1] = both / max(1e-12, own + total - both)
+        return np.flatnonzero(found >= max(self.similarity, found.max()) - 1e-6)
+
     def alike(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of shingles, repeats counted; a shingle of several items weighs their share."""
         mine, its = Counter(self._shingles(window).tolist()), self.shingled[item]

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -409,6 +410,24 @@ def test_leak_passes_agree(spark, monkeypatch):
     assert got == {(i, i) for i in range(10)}
 
 
+def test_leaks_of_long_items_at_any_offset():
+    rng = random.Random(41)
+    vocabulary = [f"w{i}" for i in range(4000)]
+
+    def text(n):
+        return rng.choices(vocabulary, k=n)
+
+    item = text(3000)
+    edited = text(150) + item[150:]  # the edits lie together in the beginning
+    leaks = benchmark_leaks.Leaks([(0, " ".join(item)), (1, " ".join(text(20)))])
+    for turn in range(12):
+        for body, least in ((item, 1.0), (edited, 0.85)):
+            before = text(rng.randrange(2000))
+            found = leaks.find(pa.array([" ".join(before + body + text(rng.randrange(2000)))], pa.string()))
+            assert [(f[0], f[1], f[3]) for f in found] == [(0, 0, 3000)] and found[0][4] >= least, turn
+            assert body is edited or found[0][2] == len(before)
+
+
 # --- passages --------------------------------------------------------------------------------------------
 
 

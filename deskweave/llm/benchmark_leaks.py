@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskweave.session import cut_lineage
+
+from .sides import small_side
 from .texts import ALNUM, LOWER, column, joined, mixed, once, shingles, slices, small_batches, tidy, word_hashes, words
 
 #: Words of a shingle in the exact comparison, and in the fingerprints.
@@ -94,7 +99,8 @@ class _Sized:
 class Leaks:
     """Finds the windows of texts that repeat a benchmark item."""
 
-    def __init__(self, items: list[tuple], similarity: float = SIMILARITY, radius: int = RADIUS):
+    def __init__(self, items: list[tuple], similarity: float = SIMILARITY, radius: int = RADIUS, shared: dict[int, int] | None = None):
+        """``shared``: of the items' shingles that several items of the whole benchmark hold, how many do; None if ``items`` are all of it."""
         self.similarity, self.radius = similarity, radius
         self.ids = [i for i, _ in items]
         texts = pa.array([t or "" for _, t in items], pa.string())
@@ -109,7 +115,7 @@ class Leaks:
             self.shingled.append(Counter(self._shingles(hashes[a:b]).tolist()))
             in_items.update(self.shingled[-1].keys())
         # A shingle that many items share says less of each.
-        self.weight = {s: 1 / n for s, n in in_items.items()}
+        self.weight = {s: 1 / (n if shared is None else shared.get(s, 1)) for s, n in in_items.items()}
         self.known = np.sort(np.array(list(in_items), np.uint64))
         self.first = np.zeros(1 << 16, bool)
         self.first[(self.known >> np.uint64(48)).astype(np.int64)] = True
@@ -165,10 +171,36 @@ class Leaks:
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text number, item number, first word, words, similarity): for every text and item, the best window."""
+        best: dict[tuple[int, int], tuple] = {}
+        for text, item, start, window in self._windows(texts, self._likely):
+            alike = self.alike(item, window)
+            old = best.get((text, item))
+            if alike >= self.similarity and (old is None or (-alike, start) < (-old[2], old[0])):
+                best[text, item] = (start, len(window), alike)
+        return [(text, item, *found) for (text, item), found in sorted(best.items())]
+
+    def open_windows(self, texts: pa.Array) -> list[tuple[int, int, int, int, float, float, list[int]]]:
+        """(text number, item number, first word, words, both, either, others): the windows that may be the best, whatever others weigh.
+
+        ``others`` are the shingles, repeats counted, that no item of this pass holds; each adds its weight, from
+        0 to 1, to ``either``, and both / either is the similarity.
+        """
+        made, least = {}, {}
+        for text, item, start, window in self._windows(texts, self._possible):
+            if (text, item, start) in made:
+                continue
+            both, either, others = self._sums(item, window)
+            made[text, item, start] = (len(window), both, either, others)
+            low = both / (either + len(others)) if either else 0.0
+            least[text, item] = max(least.get((text, item), self.similarity), low)
+        return [(text, item, start, *x) for (text, item, start), x in sorted(made.items()) if x[2] and x[1] / x[2] >= least[text, item] - 1e-9]
+
+    def _windows(self, texts: pa.Array, choose: Callable) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(text number, item number, first word, word hashes) of the windows around candidates that ``choose`` names."""
         data, starts = joined(texts)
         begin, end, owner = words(data, starts, ALNUM)
         if not len(begin) or not self.sized:
-            return []
+            return
         hashes = word_hashes(data, begin, end, LOWER)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         # Words before and behind, so that windows that begin outside exist; verification stays within a text.
@@ -181,7 +213,6 @@ class Leaks:
         held = np.zeros(len(hashes) + 1, np.int64)
         held[may[self.known[slot] == grams[may]] + 1] = 1
         held = np.cumsum(held)
-        best: dict[tuple[int, int], tuple] = {}
         for part in self.sized:  # by size, so that the sums of one lane width are held at a time
             if lane != _lane_bytes(self._features(part.words)):
                 lane = _lane_bytes(self._features(part.words))
@@ -194,29 +225,33 @@ class Leaks:
             fine = held[high] > held[low]
             window, bit = window[fine], bit[fine]
             for at, b in zip(window.tolist(), bit.tolist(), strict=True):
-                self._verify(part, part.items[b], at - reach, at + reach, hashes, owner, first, best)
-        return [(text, item, *found) for (text, item), found in sorted(best.items())]
+                yield from self._around(part, part.items[b], at - reach, at + reach, hashes, owner, first, choose)
 
-    def _verify(self, part: _Sized, item: int, low: int, high: int, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray, best: dict) -> None:
-        """Exact weighted similarity of the item with windows of its size that start from low to high, within each text there."""
+    def _around(self, part: _Sized, item: int, low: int, high: int, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray, choose: Callable) -> Iterator[tuple]:
+        """Windows of the item's size that start from low to high, within each text there."""
         n = part.words
         for text in range(owner[min(max(low, 0), len(owner) - 1)], owner[min(max(high + n, 0), len(owner) - 1)] + 1):
             a, b = int(first[text]), int(first[text + 1])
             begin = max(low, a)
             if min(n, b - begin) < SHINGLE:
                 continue
-            for start in self._likely(item, hashes[begin : min(max(begin, min(high, b - n)) + n, b)], n) + begin:
-                start, stop = int(start), min(int(start) + n, b)
-                alike = self.alike(item, hashes[start:stop])
-                old = best.get((text, item))
-                if alike >= self.similarity and (old is None or (-alike, start - a) < (-old[2], old[0])):
-                    best[text, item] = (start - a, stop - start, alike)
+            for start in (choose(item, hashes[begin : min(max(begin, min(high, b - n)) + n, b)], n) + begin).tolist():
+                yield text, item, start - a, hashes[start : min(start + n, b)]
 
     def _likely(self, item: int, stretch: np.ndarray, n: int) -> np.ndarray:
-        """Starts of windows of n words in a stretch that may be the best one over the threshold, from similarities kept up word by word."""
-        grams, width, its = self._shingles(stretch).tolist(), n - SHINGLE + 1, self.shingled[item]
-        if len(grams) <= width:
-            return np.zeros(1, np.int64)
+        """Starts of windows of n words in a stretch that may be the best one over the threshold."""
+        found = self._slid(item, stretch, n, 1.0)
+        return np.flatnonzero(found >= max(self.similarity, found.max()) - 1e-6)
+
+    def _possible(self, item: int, stretch: np.ndarray, n: int) -> np.ndarray:
+        """Starts of windows of n words in a stretch that may be the best one over the threshold, whatever shingles of no item here weigh."""
+        least = self._slid(item, stretch, n, 1.0).max()
+        return np.flatnonzero(self._slid(item, stretch, n, 0.0) >= max(self.similarity, least) - 1e-6)
+
+    def _slid(self, item: int, stretch: np.ndarray, n: int, unknown: float) -> np.ndarray:
+        """Similarity of every window of n words in a stretch, kept up word by word; shingles of no item weigh ``unknown``."""
+        grams, its = self._shingles(stretch).tolist(), self.shingled[item]
+        width = min(len(grams), n - SHINGLE + 1)
         mine: Counter = Counter()
         weight, own = self.weight.get, sum(self.weight[s] * c for s, c in its.items())
         both = total = 0.0
@@ -224,27 +259,30 @@ class Leaks:
         for at, s in enumerate(grams):
             if at >= width:
                 old = grams[at - width]
-                w = weight(old, 1.0)
+                w = weight(old, unknown)
                 both -= w * (mine[old] <= its.get(old, 0))
                 total -= w
                 mine[old] -= 1
-            w = weight(s, 1.0)
+            w = weight(s, unknown)
             both += w * (mine[s] < its.get(s, 0))
             total += w
             mine[s] += 1
             if at >= width - 1:
                 found[at - width + 1] = both / max(1e-12, own + total - both)
-        return np.flatnonzero(found >= max(self.similarity, found.max()) - 1e-6)
+        return found
 
-    def alike(self, item: int, window: np.ndarray) -> float:
-        """Weighted Jaccard similarity of shingles, repeats counted; a shingle of several items weighs their share."""
+    def _sums(self, item: int, window: np.ndarray) -> tuple[float, float, list[int]]:
+        """Weights in both and in either of window and item, without the shingles of no item here, and those, repeats counted."""
         mine, its = Counter(self._shingles(window).tolist()), self.shingled[item]
-        both = either = 0.0
-        for s in mine.keys() | its.keys():
-            weight = self.weight.get(s, 1.0)
-            both += weight * min(mine[s], its[s])
-            either += weight * max(mine[s], its[s])
-        return both / either if either else 0.0
+        known = [s for s in mine.keys() | its.keys() if s in self.weight]
+        both = math.fsum(self.weight[s] * min(mine[s], its[s]) for s in known)
+        either = math.fsum(self.weight[s] * max(mine[s], its[s]) for s in known)
+        return both, either, [s for s, n in mine.items() if s not in self.weight for _ in range(n)]
+
+    def alike(self, item: int, window: np.ndarray) -> float:
+        """Weighted Jaccard similarity of shingles to 12 decimals, repeats counted; a shingle of several items weighs their share."""
+        both, either, others = self._sums(item, window)
+        return round(both / (either + len(others)), 12) if either else 0.0
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -259,6 +297,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     have fewer than five words, match nothing.
 
     Tasks hold the benchmark, PASS_WORDS words at most at a time; a larger one takes more passes over ``docs``.
+    Shingles weigh by all items of the benchmark in any case: the counts of a pass's own shingles go with it, those
+    of other passes' items are joined to the few windows that may be the best.
     """
     spark = docs.sparkSession
     items = benchmark.select(column(benchmark, item_col).alias("item"), column(benchmark, item_text_col).cast("string").alias("text")).where("text RLIKE '\\\\S'")
@@ -269,6 +309,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     chosen = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("t")).where("t IS NOT NULL")
 
     def scan(held: Broadcast) -> DataFrame:
+        """The rows asked for, by a benchmark of one pass."""
         key = str(uuid.uuid4())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +324,60 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return small_batches(chosen).mapInArrow(tidy(run), kinds)
 
+    def scan_open(held: Broadcast) -> DataFrame:
+        """(text, nth, id, item, first_word, n_words, both, either, others): windows, texts and items numbered, by one of several passes."""
+        key = str(uuid.uuid4())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaks, text = once(key, lambda: Leaks(held.value[0], similarity, radius, held.value[1])), TaskContext.get().partitionId() << 40
+            for batch in batches:
+                for part in slices(batch):
+                    found = leaks.open_windows(part.column(1))
+                    grams = [np.array(f[6], np.uint64).view(np.int64) for f in found]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([text + f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                        part.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([leaks.ids[f[1]] for f in found], item_type),
+                        *(pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)), *(pa.array([f[k] for f in found], pa.float64()) for k in (4, 5)),
+                        pa.array(grams, pa.list_(pa.int64()))], ["text", "nth", "id", "item", "first_word", "n_words", "both", "either", "others"])
+                    text += part.num_rows
+
+        kind = f"text bigint, nth bigint, id {dict(docs.dtypes)[id_col]}, item {dict(benchmark.dtypes)[item_col]}, first_word bigint, n_words bigint, both double, either double, others array<bigint>"
+        return small_batches(chosen).mapInArrow(tidy(run), kind)
+
     names = [id_col, item_col, "first_word", "n_words", "similarity"]
     item_type = pa.string() if dict(benchmark.dtypes)[item_col] == "string" else pa.int64() if dict(benchmark.dtypes)[item_col] == "bigint" else pa.int32()
-    out = None
+    items = items.select("item", "text", F.pmod(F.xxhash64("item", "text"), F.lit(passes)).alias("turn")).distinct()
+
+    def listed(some: DataFrame) -> list[tuple]:
+        return sorted(((r["item"], r["text"]) for r in some.collect()), key=str)
+
+    if passes == 1:
+        return scan(spark.sparkContext.broadcast(listed(items)))
+    shared = cut_lineage(_shared_shingles(items))
+    turns = []
     for turn in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn).distinct()
-        held = spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in some.collect()), key=str))
-        one = scan(held)
-        out = one if out is None else out.union(one)
-    return out
+        own = {r["gram"] % (1 << 64): r["n"] for r in shared.where(F.array_contains("turns", F.lit(turn).cast("bigint"))).collect()}
+        turns.append(scan_open(spark.sparkContext.broadcast((listed(items.where(F.col("turn") == turn)), own))).withColumn("turn", F.lit(turn)))
+    opened = cut_lineage(reduce(DataFrame.union, turns).withColumn("row", F.monotonically_increasing_id()))
+    weights = (opened.select("row", F.explode("others").alias("gram")).join(small_side(shared.select("gram", "n")), "gram", "left")
+               .groupBy("row").agg(F.sum(1 / F.coalesce("n", F.lit(1))).alias("more")))
+    alike = F.round(F.col("both") / (F.col("either") + F.coalesce("more", F.lit(0.0))), 12)
+    done = opened.join(weights, "row", "left").withColumn("similarity", alike).where(F.col("similarity") >= similarity)
+    best = done.groupBy("turn", "text", "nth").agg(F.min_by(F.struct("id", "item", "first_word", "n_words", "similarity"), F.struct(-F.col("similarity"), "first_word")).alias("best"))
+    return best.select(*[F.col(f"best.{c}").alias(n) for c, n in zip(("id", "item", "first_word", "n_words", "similarity"), names, strict=True)])
+
+
+def _shared_shingles(items: DataFrame) -> DataFrame:
+    """(gram, n, turns): shingles of several items, how many hold each, and the passes of those."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                data, starts = joined(part.column(1))
+                begin, end, owner = words(data, starts, ALNUM)
+                grams, inside = shingles(word_hashes(data, begin, end, LOWER), SHINGLE), owner[SHINGLE - 1 :]
+                fine = owner[: len(grams)] == inside[: len(grams)]
+                both = np.unique(np.stack([owner[: len(grams)][fine], grams[fine].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(both[0])), pa.array(both[1])], ["turn", "gram"])
+
+    each = small_batches(items.select("turn", "text")).mapInArrow(tidy(run), "turn bigint, gram bigint")
+    return each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.collect_set("turn").alias("turns")).where("n > 1")

@@ -410,6 +410,26 @@ def test_leak_passes_agree(spark, monkeypatch):
     assert got == {(i, i) for i in range(10)}
 
 
+def test_leak_passes_weigh_by_the_whole_benchmark(spark, monkeypatch):
+    template = prose(2)
+    items = [(k, f"{template} {prose(2)}") for k in range(12)]
+    rows = []
+    for i, (_, text) in enumerate(items):
+        w = text.split()
+        for at in range(0, len(w), 2):  # one word changed, in the shared or in the own part
+            rows.append((100 * i + at, " ".join([prose(1), *w[:at], "changed", *w[at + 1 :], prose(1)])))
+        rows.append((5000 + i, f"{template} {prose(2)}"))
+        rows.append((6000 + i, f"{prose(1)} {' '.join(items[i][1].split()[-10:])} {items[i - 1][1]}"))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found():
+        return Counter((r["doc_id"], r["item_id"], r["first_word"], r["n_words"], round(r["similarity"], 9)) for r in benchmark_leaks.find_leaks(docs, bench).collect())
+
+    want = found()
+    monkeypatch.setattr(benchmark_leaks, "PASS_WORDS", 60)
+    assert found() == want and len(want) > 40
+
+
 def test_leaks_of_long_items_at_any_offset():
     rng = random.Random(41)
     vocabulary = [f"w{i}" for i in range(4000)]

@@ -28,6 +28,10 @@ RECALL = 0.99
 ROWS = 2
 #: A run of repeated paragraphs is removed from this many words on; shorter ones are common lines, not passages.
 MIN_WORDS = 20
+#: Contents of a band key that are paired at once; of a key with more, all are compared in pieces.
+FEW = 4
+#: Contents of a crowded key that are compared with each other at a time.
+PIECE = 1024
 #: Words between two repeated paragraphs of a run at most.
 GAP_WORDS = 12
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
@@ -181,8 +185,11 @@ def _entries(docs: DataFrame, bands: int, buckets: int) -> DataFrame:
 
 
 def _collisions(entries: DataFrame, buckets: int) -> DataFrame:
-    """What the buckets show: occurrences of contents that come again (other_id null), and pairs of paragraphs of different content to verify."""
-    schema = "content bigint, id bigint, number int, other_id bigint, other_number int"
+    """What the buckets show: occurrences of contents that come again (other_id and band_key null), pairs of paragraphs of different content to verify, and members of crowded keys.
+
+    The different contents of a key are all paired, or, if there are more than FEW, come out once each with band_key and members, their number.
+    """
+    schema = "content bigint, id bigint, number int, other_id bigint, other_number int, band_key bigint, members bigint"
 
     def search(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -207,26 +214,93 @@ def _collisions(entries: DataFrame, buckets: int) -> DataFrame:
         again[1:] = ~new_content[1:]
         again[:-1] |= again[1:]
         exact = order[again] if bucket < buckets else order[:0]  # every band shows the same ones
-        # Of each key, the first of every content meets the first of the key, and the one before it.
+        # Of each key, the first of every content stands for it.
         lead = np.flatnonzero(new_content)
-        star = np.flatnonzero(new_key)[np.cumsum(new_key)[lead] - 1]
-        before = np.concatenate([[0], lead[:-1]])
-        a = np.concatenate([lead, lead])
-        b = np.concatenate([star, before])
-        real = (key[a] == key[b]) & (held[a] != held[b]) if len(a) else np.zeros(0, bool)
-        a, b = order[a[real]], order[b[real]]
-        return pa.concat_tables([_rows(content[exact], ids[exact], numbers[exact]), _rows(content[a], ids[a], numbers[a], ids[b], numbers[b])])
-
-    def _rows(content, ids, numbers, other=None, other_number=None) -> pa.Table:  # noqa: ANN001
+        start = np.flatnonzero(new_key[lead])
+        count = np.diff(np.concatenate([start, [len(lead)]]))
+        few, many = count <= FEW, count > FEW
+        ends = [(lead[:0], lead[:0])]
+        for apart in range(1, FEW):
+            some = few & (count > apart)
+            first = ragged(start[some], count[some] - apart)
+            ends.append((lead[first + apart], lead[first]))
+        a, b = order[np.concatenate([x for x, _ in ends])], order[np.concatenate([x for _, x in ends])]
+        crowd = order[lead[ragged(start[many], count[many])]]
+        return pa.concat_tables([
+            _rows(content[exact], ids[exact], numbers[exact]), _rows(content[a], ids[a], numbers[a], ids[b], numbers[b]),
+            _rows(content[crowd], ids[crowd], numbers[crowd], keys=keys[crowd], members=np.repeat(count[many], count[many]))])
+
+    def _rows(content, ids, numbers, other=None, other_number=None, keys=None, members=None) -> pa.Table:  # noqa: ANN001
         n = len(content)
         return pa.table({
             "content": content.view(np.int64), "id": ids.astype(np.int64), "number": numbers.astype(np.int32),
             "other_id": pa.nulls(n, pa.int64()) if other is None else other.astype(np.int64),
-            "other_number": pa.nulls(n, pa.int32()) if other is None else other_number.astype(np.int32)})
+            "other_number": pa.nulls(n, pa.int32()) if other is None else other_number.astype(np.int32),
+            "band_key": pa.nulls(n, pa.int64()) if keys is None else keys.view(np.int64),
+            "members": pa.nulls(n, pa.int64()) if members is None else members.astype(np.int64)})
 
     return entries.groupBy("bucket").applyInArrow(search, schema)
 
 
+def _forest(grams: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all sets of shingles with a Jaccard similarity, directly or by way of others.
+
+    A set is compared with all that no link has reached, so alike sets cost one look each and only sets unlike all others meet each other.
+    """
+    sizes = np.array([len(g) for g in grams], np.int64)
+    flat = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    cuts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(flat), bool)
+    rest, waiting, a, b = np.arange(len(grams)), [], [], []
+    while len(rest):
+        if waiting:
+            node = waiting.pop()
+        else:
+            node, rest = int(rest[0]), rest[1:]
+        if not len(rest):
+            break
+        mine = flat[cuts[node] : cuts[node] + sizes[node]]
+        mark[mine] = True
+        shared = np.add.reduceat(mark[flat[ragged(cuts[rest], sizes[rest])]], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+        mark[mine] = False
+        near = shared >= similarity * (sizes[node] + sizes[rest] - shared)
+        a += [node] * int(near.sum())
+        b += rest[near].tolist()
+        waiting += rest[near].tolist()
+        rest = rest[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all alike contents of each crowded key (id, number, band_key, members).
+
+    Small keys share a bucket.  A large one is cut into pieces, and each two pieces meet in a group of their
+    own that returns a spanning forest.
+    """
+    buckets = max(1, members.count() // PIECE)
+    pieces = F.ceil(F.col("members") / PIECE).cast("int")
+    spread = (members.withColumn("pieces", pieces)
+              .withColumn("bucket", F.when(F.col("pieces") > 1, F.col("band_key")).otherwise(F.pmod(F.xxhash64("band_key"), F.lit(buckets))))
+              .withColumn("own", F.pmod(F.xxhash64("id", "number", F.lit(5)), F.col("pieces")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+              .select("id", "number", "band_key", "bucket", (F.col("pieces") > 1).alias("cut"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, content = (table.column(c).to_numpy() for c in ("band_key", "content"))
+        held = table.column("grams").chunk(0)
+        offsets, flat = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        a, b = [content[:0]], [content[:0]]
+        for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            left, right = _forest([flat[offsets[i] : offsets[i + 1]] for i in some], similarity)
+            a.append(content[some[left]])
+            b.append(content[some[right]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return spread.join(sets, ["id", "number"]).groupBy("cut", "bucket", "low", "high").applyInArrow(search, "a bigint, b bigint")
+
+
 def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(id, number, content, grams) of the paragraphs in ``asked`` (id, numbers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +329,17 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = cut_lineage(_collisions(_entries(docs, bands_for(similarity), buckets), buckets))
-    exact = found.where("other_id IS NULL").select("content", "id", "number")
+    exact = found.where("other_id IS NULL AND band_key IS NULL").select("content", "id", "number")
     pairs = found.where("other_id IS NOT NULL").select("id", "number", "other_id", "other_number").distinct()
-    ends = pairs.select("id", "number").union(pairs.select("other_id", "other_number")).groupBy("id").agg(F.collect_set("number").alias("numbers"))
+    crowd = found.where("band_key IS NOT NULL").select("id", "number", "band_key", "members")
+    ends = pairs.select("id", "number").union(pairs.select("other_id", "other_number")).union(crowd.select("id", "number")).groupBy("id").agg(F.collect_set("number").alias("numbers"))
     sets = cut_lineage(_sets(docs, ends).dropDuplicates(["id", "number", "content"]))
     other = sets.select(F.col("id").alias("other_id"), F.col("number").alias("other_number"), F.col("content").alias("other_content"), F.col("grams").alias("other_grams"))
     shared = F.size(F.array_intersect("grams", "other_grams"))
     alike = (pairs.join(sets, ["id", "number"]).join(other, ["other_id", "other_number"])
              .where(shared >= similarity * (F.size("grams") + F.size("other_grams") - shared)))
-    roots = connected_components(alike.select(F.col("content").alias("a"), F.col("other_content").alias("b")))
+    links = alike.select(F.col("content").alias("a"), F.col("other_content").alias("b"))
+    roots = connected_components(links.union(_crowd_links(crowd, sets, similarity)))
     # Every occurrence of a content that comes again or has a near copy.
     near = sets.select("content", "id", "number").join(roots.select(F.col("node").alias("content")), "content", "left_semi")
     places = cut_lineage(exact.union(near).distinct())
@@ -284,7 +360,8 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
     cuts: array of (start, end in UTF-8 bytes, n_words, kept_id).  A repeat within one text stays.
 
     Entries of a block of texts hold each content once, so a passage that a third of all texts share comes to a
-    task once per block.  Within a band's key, contents meet the first one and their neighbour, not all others.
+    task once per block.  Within a band's key all contents are compared, those of a crowded key in pieces that
+    return only a spanning forest of their links.
 
     Rows of one id count as one text.  Rows with a null id come last and keep nothing from others.  A null text stays
     null with no cuts; a text left without a word is empty; extra columns are ignored unless kept.

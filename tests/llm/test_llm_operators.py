@@ -499,3 +499,24 @@ def test_alike_sentences_match_all_pairs(spark):
     found = sum([c["kept_id"] for c in got[i]] == ([root[i]] if root[i] < i else []) for i, _ in rows)
     assert found >= 0.95 * len(rows) and len(links) >= 12
     assert passages.bands_for() == 5 and 1 - (1 - 0.8**passages.ROWS) ** 5 >= passages.RECALL
+
+
+def test_alike_sentences_of_a_crowded_key_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PIECE", 64)
+    # Most shingles are those of a template, so most keys hold hundreds of sentences that are not alike, and one copy of each.
+    template, rows = " ".join(word() for _ in range(18)), []
+    for i in range(300):
+        w = [template, *(f"{word()}{i}" for _ in range(4))]
+        rows += [(i, " ".join([*w, "one."])), (1000 + i, " ".join([*w, "end."]))]
+    got = passages.remove_repeats(documents(spark, rows, extra=False), [F.col("doc_id")], "doc_id long").collect()
+    cuts = {r["doc_id"]: [c["kept_id"] for c in r["cuts"]] for r in got}
+    assert not any(cuts[i] for i in range(300)) and sum(cuts[1000 + i] == [i] for i in range(300)) >= 295
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 40, 12)) for _ in range(40)]
+    sets += [np.append(s[1:], rng.integers(1 << 41, 1 << 42)) for s in sets[:25]] + [np.append(s[2:], [5, 6]) for s in sets[:10]]
+    a, b = passages._forest(sets, 0.8)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert least_reachable(range(len(sets)), zip(a.tolist(), b.tolist(), strict=True)) == least_reachable(range(len(sets)), links) and len(links) > 20

@@ -11,6 +11,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from deskweave.session import cut_lineage
 
@@ -32,8 +33,10 @@ MIN_WORDS = 20
 FEW = 4
 #: Contents of a crowded key that are compared with each other at a time.
 PIECE = 1024
-#: Words between two repeated paragraphs of a run at most.
+#: Words between two repeated paragraphs of a run at most; they stay, and count for nothing.
 GAP_WORDS = 12
+#: Paragraphs on either side whose keepers may be a paragraph's own in a run.
+AROUND = 8
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
 LONG_SENTENCE = 24
 #: Bytes of text that make a block.
@@ -325,7 +328,7 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
-    """(id, numbers, contents, keepers): for each text its paragraphs that a text with a smaller id has too, or one nearly the same."""
+    """(id, late): for each text its paragraphs that a text with a smaller id has too, or one nearly the same."""
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = cut_lineage(_collisions(_entries(docs, bands_for(similarity), buckets), buckets))
@@ -345,9 +348,15 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     places = cut_lineage(exact.union(near).distinct())
     low = places.groupBy("content").agg(F.min("id").alias("low"))
     group = low.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "keeper"))
-    late = places.join(keeper, "content").where("id > keeper")
-    return late.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("number", "content", "keeper"))).alias("late"))
+    keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "root", "keeper"))
+    rooted = places.join(keeper, "content")
+    late = rooted.where("id > keeper")
+    # Where the keepers of a paragraph and of those around it have it, so that a run can follow one of them.
+    around = Window.partitionBy("id").orderBy("number").rangeBetween(-AROUND, AROUND)
+    asked = late.withColumn("nearby", F.collect_set("keeper").over(around)).withColumn("kept", F.explode("nearby"))
+    spots = cut_lineage(rooted.groupBy("root", F.col("id").alias("kept")).agg(F.min("number").alias("place"), (F.min("number") < F.max("number")).alias("several")))
+    marks = asked.join(spots, ["root", "kept"]).groupBy("id", "number", "content", "keeper").agg(F.sort_array(F.collect_set(F.struct("kept", "place", "several"))).alias("spots"))
+    return marks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("number", "content", "keeper", "spots"))).alias("late"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str = "doc_id", text_col: str = "text",
@@ -356,7 +365,9 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
 
     A paragraph is a sentence; bands of MinHash minima of its five-word shingles bring alike ones together,
     and exact Jaccard similarity verifies them.  Components of alike paragraphs stay in the text with the smallest id.
-    In other texts, runs of such paragraphs, with up to GAP_WORDS words between, are cut from ``min_words`` words on.
+    In other texts, runs of such paragraphs that one earlier text holds in the same order, as far apart and with up
+    to GAP_WORDS words between, are cut if the repeated words alone are ``min_words`` or more; words between stay.
+    Where the earlier text has a paragraph several times, any of its places counts as fitting.
     cuts: array of (start, end in UTF-8 bytes, n_words, kept_id).  A repeat within one text stays.
 
     Entries of a block of texts hold each content once, so a passage that a third of all texts share comes to a
@@ -400,24 +411,46 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
 def _runs(parts: Paragraphs, text: int, late: list[dict], min_words: int) -> list[dict]:
     """Spans of words to cut, from the paragraphs of one text that come again."""
     base, n = int(parts.bounds[text]), int(parts.bounds[text + 1] - parts.bounds[text])
-    runs: list[list[int]] = []
+    units: list[tuple[int, int, int, dict]] = []
     for x in late:
         unit = base + x["number"]
         place = int(np.searchsorted(parts.fit, unit))
         # A row of the same id may hold another text; only the content says that this is the paragraph meant.
         if x["number"] >= n or place >= len(parts.fit) or parts.fit[place] != unit or int(parts.content[place : place + 1].view(np.int64)[0]) != x["content"]:
             continue
-        first, stop = int(parts.first[unit]), int(parts.stop[unit])
-        if runs and first < runs[-1][1]:
+        if units and units[-1][0] == x["number"]:
             continue
-        if runs and first - runs[-1][1] <= GAP_WORDS:
-            runs[-1][1] = stop
-            runs[-1][2] = min(runs[-1][2], x["keeper"])
+        units.append((x["number"], int(parts.first[unit]), int(parts.stop[unit]), {y["kept"]: None if y["several"] else y["place"] for y in x["spots"]}))
+    # For each keeper that units may follow: the units of its run so far, and their words.
+    open_runs: dict[int, list[int]] = {}
+    done: list[tuple[int, list[int]]] = []
+    for i, (number, first, _, spots) in enumerate(units):
+        for kept, place in spots.items():
+            run = open_runs.get(kept)
+            if run is not None:
+                before, _, stop, its = units[run[-1]]
+                then = its[kept]
+                if first - stop > GAP_WORDS or (place is not None and then is not None and place - then != number - before):
+                    done.append((kept, run))
+                    run = None
+            if run is None:
+                run = open_runs[kept] = []
+            run.append(i)
+    done += open_runs.items()
+    keeper: dict[int, int] = {}  # of units to cut, the smallest
+    for kept, run in done:
+        if sum(units[i][2] - units[i][1] for i in run) >= min_words:
+            for i in run:
+                keeper[i] = min(kept, keeper.get(i, kept))
+    spans: list[list[int]] = []
+    for i in sorted(keeper):
+        _, first, stop, _ = units[i]
+        if spans and spans[-1][1] == first and spans[-1][2] == keeper[i]:
+            spans[-1][1] = stop
         else:
-            runs.append([first, stop, x["keeper"]])
+            spans.append([first, stop, keeper[i]])
     start = int(parts.starts[text])
-    return [{"start": int(parts.begin[a]) - start, "end": int(parts.end[b - 1]) - start, "n_words": b - a, "kept_id": keeper}
-            for a, b, keeper in runs if b - a >= min_words]
+    return [{"start": int(parts.begin[a]) - start, "end": int(parts.end[b - 1]) - start, "n_words": b - a, "kept_id": kept} for a, b, kept in spans]
 
 
 def _without(text: bytes, spans: list[dict]) -> str:

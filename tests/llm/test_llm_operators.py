@@ -520,3 +520,20 @@ def test_forest_connects_what_all_pairs_connect():
     a, b = passages._forest(sets, 0.8)
     links = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
     assert least_reachable(range(len(sets)), zip(a.tolist(), b.tolist(), strict=True)) == least_reachable(range(len(sets)), links) and len(links) > 20
+
+
+def test_words_that_occur_nowhere_else_stay(spark):
+    lines, own = [sentence(6) for _ in range(2)], sentence(10)
+    tens = [sentence(12) for _ in range(2)]
+    passage = [sentence(12) for _ in range(6)]
+    changed = [*passage[:3], sentence(8), *passage[4:]]
+    rows = [(0, f"{prose(2)} {lines[0]} {prose(3)}"), (1, f"{lines[1]} {prose(2)}"), (2, f"{prose(1)} {lines[0]} {own} {lines[1]} {prose(1)}"),
+            (10, f"{tens[1]} {prose(3)} {tens[0]}"), (11, f"{tens[0]} {sentence(9)} {tens[1]}"),  # one keeper, not side by side there
+            (20, f"{prose(2)} {' '.join(passage)}"), (21, f"{' '.join(changed)} {prose(1)}"),
+            (15, f"{passage[1]} {prose(1)}")]  # a line of the passage has an earlier keeper
+    got = {r["doc_id"]: r for r in passages.remove_repeats(documents(spark, rows, extra=False), [F.col("doc_id")], "doc_id long").collect()}
+    texts_by_id = dict(rows)
+    for i in (0, 1, 2, 10, 11, 15, 20):
+        assert got[i]["clean"] == texts_by_id[i] and not got[i]["cuts"], i
+    assert [got[21]["clean"].count(s) for s in changed] == [0, 0, 0, 1, 0, 0] and {c["kept_id"] for c in got[21]["cuts"]} == {20}
+    assert sum(c["n_words"] for c in got[21]["cuts"]) == 60

@@ -39,6 +39,8 @@ GAP_WORDS = 12
 AROUND = 8
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
 LONG_SENTENCE = 24
+#: Such a cut has the least hash of this many words on either side, so cuts are further apart than that.
+REACH = 4
 #: Bytes of text that make a block.
 BLOCK_BYTES = 6 << 20
 _NO_ID = 2**63 - 1
@@ -51,7 +53,10 @@ def bands_for(similarity: float = SIMILARITY, rows: int = ROWS, recall: float =
 
 
 class Paragraphs:
-    """Sentences of some texts, as ranges of words: cut at line ends and behind . ! ? and, if long, where word hashes say."""
+    """Sentences of some texts, as ranges of words: cut at line ends and behind . ! ? and, if long, where word hashes say.
+
+    Sentences or lines side by side that are too short to be compared are one.
+    """
 
     def __init__(self, texts: pa.Array):
         data, starts = joined(texts)
@@ -67,10 +72,21 @@ class Paragraphs:
             ends[-1] = True
         stop = np.flatnonzero(ends) + 1
         first = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+        short = stop - first < SHINGLE
+        both = short[:-1] & short[1:] & (self.owner[first[:-1]] == self.owner[first[1:]]) if n else short
+        if both.any():
+            ends[stop[:-1][both] - 1] = False
+            stop = np.flatnonzero(ends) + 1
+            first = np.concatenate([[0], stop[:-1]])
         long = stop - first > LONG_SENTENCE
         if long.any():
-            inside = ragged(first[long], (stop - first)[long])
-            ends[inside[(self.hashes[inside] & np.uint64(15)) == 0]] = True
+            # Cuts depend on the words close by alone; no part has fewer than SHINGLE words.
+            inside = ragged(first[long] + REACH, (stop - first)[long] - 2 * REACH - 1)
+            value = shingles(self.hashes, 2)
+            here, least = value[inside], np.ones(len(inside), bool)
+            for apart in range(1, REACH + 1):
+                least &= (here < value[inside - apart]) & (here <= value[inside + apart])
+            ends[inside[least]] = True
             stop = np.flatnonzero(ends) + 1
             first = np.concatenate([[0], stop[:-1]])
         self.first, self.stop = first, stop
@@ -363,7 +379,7 @@ def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str
                    similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``keep`` columns of every row, clean (its text without passages that a text with a smaller id has) and cuts.
 
-    A paragraph is a sentence; bands of MinHash minima of its five-word shingles bring alike ones together,
+    A paragraph is a sentence, a part of a long one, or short lines side by side; bands of MinHash minima of its five-word shingles bring alike ones together,
     and exact Jaccard similarity verifies them.  Components of alike paragraphs stay in the text with the smallest id.
     In other texts, runs of such paragraphs that one earlier text holds in the same order, as far apart and with up
     to GAP_WORDS words between, are cut if the repeated words alone are ``min_words`` or more; words between stay.

@@ -537,3 +537,18 @@ def test_words_that_occur_nowhere_else_stay(spark):
         assert got[i]["clean"] == texts_by_id[i] and not got[i]["cuts"], i
     assert [got[21]["clean"].count(s) for s in changed] == [0, 0, 0, 1, 0, 0] and {c["kept_id"] for c in got[21]["cuts"]} == {20}
     assert sum(c["n_words"] for c in got[21]["cuts"]) == 60
+
+
+def test_passages_in_running_text_and_short_lines_are_cut(spark):
+    def run(n, line=None):
+        w = [f"{word()}{RANDOM.randrange(50)}" for _ in range(n)]
+        return " ".join(w) if line is None else "\n".join(" ".join(w[i : i + line]) for i in range(0, n, line))
+
+    rows = []
+    for i in range(60):
+        passage, verse = run(60), run(60, 3)
+        rows += [(i, f"{run(70)} {passage} {run(90)}"), (1000 + i, f"{run(40)} {passage} {run(80)}"),
+                 (2000 + i, f"{run(45, 3)}\n{verse}\n{run(30, 3)}"), (3000 + i, f"{run(33, 3)}\n{verse}\n{run(60, 3)}")]
+    got = {r["doc_id"]: sum(c["n_words"] for c in r["cuts"]) for r in passages.remove_repeats(documents(spark, rows, extra=False), [F.col("doc_id")], "doc_id long").collect()}
+    for base in (1000, 3000):
+        assert sum(20 <= got[base + i] <= 60 for i in range(60)) >= 57 and not any(got[base - 1000 + i] for i in range(60))

@@ -192,6 +192,7 @@ def _scan(texts: pa.Array, automaton: ahocorasick.Automaton) -> list:
             else:
                 tags.setdefault(text, []).append(int(end[word + count - 1]))
     offset = np.concatenate([[0], np.cumsum(n_words)])
+    newlines = np.flatnonzero(data == 10) if tags else starts
     out: list[tuple] = []
     for i in range(n):
         places, own = base.get(i, []), set(labels.get(i, ()))
@@ -199,7 +200,8 @@ def _scan(texts: pa.Array, automaton: ahocorasick.Automaton) -> list:
         if i in tags:
             stop = starts[i + 1] if i + 1 < n else len(data)
             for past in tags[i]:
-                parsed = tagged_expression(data[past : min(stop, past + 2000)].tobytes().decode("utf-8", "replace"))
+                line = int(newlines[np.searchsorted(newlines, past)])  # every text ends with one
+                parsed = tagged_expression(data[past : min(stop, line)].tobytes().decode("utf-8", "replace"))
                 if parsed:
                     expressions.append(parsed)
                     own |= {*parsed.licences, *(f"with:{x}" for x in parsed.exceptions), "permissive" if parsed.permissive else "conditional"}

@@ -344,6 +344,15 @@ def test_licence_scan(spark):
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_long_licence_expressions_are_parsed_whole(spark):
+    names = [f"lib-{i}-1.0" for i in range(400)]
+    rows = [(0, "SPDX-License-Identifier: " + " AND ".join(["MIT"] * 500 + ["GPL-3.0-only"]) + "\nMIT"), (1, "# SPDX-License-Identifier: " + " AND ".join(names)),
+            (2, "SPDX-License-Identifier: MIT\nAND ISC")]
+    frame = documents(spark, rows)
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licences.scan_licences(frame, [frame["doc_id"]], "doc_id long").collect()}
+    assert got == {0: {"mit", "gpl-3.0-only", "conditional"}, 1: {*names, "conditional"}, 2: {"mit", "permissive"}}
+
+
 @pytest.mark.parametrize(("text", "permissive"), [
     ("MIT", True), ("GPL-3.0", False), ("MIT OR GPL-3.0", True), ("MIT AND GPL-3.0", False), ("GPL-2.0 OR MIT AND GPL-3.0", False),
     ("(GPL-2.0 OR MIT) AND BSD-3-Clause", True), ("GPL-2.0 WITH Classpath-exception-2.0 OR ISC", True), ("MIT WITH", None), ("(MIT", None), ("MIT)", None),

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_leaks, byte_bpe, language, licences, passages, quality, sharding, simhash, token_counts, vectors
+from . import benchmark_leaks, byte_bpe, language, licences, passages, pieces, quality, sharding, simhash, token_counts, vectors
 
 #: Fixed value: how the rank file's vocabulary splits a text before merging.
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -103,6 +103,15 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the text they decode to, as digests."""
+    path, docs = tokenizer_file("piece_bpe_32k.model"), _table(spark, sf_dir, "documents")
+    decoded = pieces.decode(pieces.encode(docs, path, [docs["doc_id"]], "doc_id bigint"), path)
+    written = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the top of the repository, one after the other."""
     sys.path[:0] = [] if _TOP in sys.path else [_TOP]
@@ -135,7 +144,7 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.v
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality, op2_licences, op3_sharding, op4_vectors, op5_token_counts, op6_simhash, op7_passages, op8_byte_bpe,
-           op9_language, op10_benchmark_leaks, pipeline)
+           op9_language, op10_benchmark_leaks, op11_pieces, pipeline)
     return {f.__name__: f for f in own}
 
 

@@ -9,12 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_leaks, byte_bpe, language, licences, passages, pieces, quality, sharding, simhash, token_counts, vectors
+from . import benchmark_leaks, byte_bpe, centroids, language, licences, passages, pieces, quality, sharding, simhash, token_counts, vectors
 
 #: Fixed value: how the rank file's vocabulary splits a text before merging.
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARDS = 40
 TOKEN_LIMIT = 2048
+CLUSTERS = 8
+CLUSTER_ROUNDS = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +114,13 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector after ten rounds of eight centroids."""
+    placed = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=CLUSTER_ROUNDS, dim=64, seed="3:")
+    written = F.concat_ws(",", F.col("centroid").cast("array<string>"))
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written.cast("binary"), 256).alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the top of the repository, one after the other."""
     sys.path[:0] = [] if _TOP in sys.path else [_TOP]
@@ -142,11 +151,39 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.v
 }
 
 
+def _centroids_sql() -> str:
+    """Each round as its own pair of tables, since a recursive query may not aggregate what it has made so far."""
+    parts = ["""r AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM r ORDER BY h LIMIT {CLUSTERS}))"""]
+    for i in range(CLUSTER_ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, vec_id, v, m % {CLUSTERS} AS cluster, m // {CLUSTERS} AS distance FROM (
+        SELECT rid, any_value(vec_id) AS vec_id, any_value(r.v) AS v,
+               min(list_sum(list_transform(r.v, lambda x, i: (x - c.v[i]) * (x - c.v[i])))::BIGINT * {CLUSTERS} + cluster) AS m
+        FROM r CROSS JOIN c{i} c GROUP BY rid))""")
+        if i < CLUSTER_ROUNDS:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+    SELECT o.cluster, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+        SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY place) AS v FROM (
+            SELECT cluster, place, sum(x)::BIGINT AS s, count(*) AS n
+            FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY cluster, place)
+        GROUP BY cluster) n ON n.cluster = o.cluster)""")
+    last = f"a{CLUSTER_ROUNDS}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM {last} a JOIN c{CLUSTER_ROUNDS} c ON c.cluster = a.cluster
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality, op2_licences, op3_sharding, op4_vectors, op5_token_counts, op6_simhash, op7_passages, op8_byte_bpe,
-           op9_language, op10_benchmark_leaks, op11_pieces, pipeline)
+           op9_language, op10_benchmark_leaks, op11_pieces,
+           op12_centroids, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"op12_centroids": _centroids_sql()}

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import benchmark_leaks, byte_bpe, centroids, language, licences, passages, pieces, quality, sharding, simhash, token_counts, vectors
+from . import benchmark_leaks, byte_bpe, centroids, importance, language, licences, passages, pieces, quality, sharding, simhash, token_counts, vectors
 
 #: Fixed value: how the rank file's vocabulary splits a text before merging.
 RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -121,6 +121,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written.cast("binary"), 256).alias("centroid_sha256"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark's n-grams, and the ranks of the quarter drawn."""
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the top of the repository, one after the other."""
     sys.path[:0] = [] if _TOP in sys.path else [_TOP]
@@ -181,7 +187,7 @@ FROM {last} a JOIN c{CLUSTER_ROUNDS} c ON c.cluster = a.cluster
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality, op2_licences, op3_sharding, op4_vectors, op5_token_counts, op6_simhash, op7_passages, op8_byte_bpe,
            op9_language, op10_benchmark_leaks, op11_pieces,
-           op12_centroids, pipeline)
+           op12_centroids, op13_importance, pipeline)
     return {f.__name__: f for f in own}
 
 

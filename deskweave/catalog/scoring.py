@@ -14,8 +14,10 @@ from ..functions.rules import first_gate, gate_array
 from ..functions.text import URL
 from ..operators import triage as g
 from ..operators.scoring import lookup, score_batch, stored_verdicts
+from ..sources.answers import AnswerLog
 from . import views as v
 from .registry import query
+from .sources import scratch
 from .text import GROUNDED_WITH, LINKED, SYNTHETIC, grounded, linked
 from .views import PREDS, PREDS_CTES, hit, lit, with_
 
@@ -129,6 +131,18 @@ def even_length_verifier():
     return score
 
 
+def named_verifier(name):
+    """The same answers, signed with the name of the run that asked."""
+
+    def factory():
+        def score(batch: pd.DataFrame) -> pd.Series:
+            return batch["text"].map(lambda x: "Sure: " + json.dumps({"resolves_problem": len(x) % 2 == 0, "confidence": 0.9, "reason": name}))
+
+        return score
+
+    return factory
+
+
 @query("score_batch", """SELECT sha256(text) AS verdict_key, length(text) % 2 = 0 AS resolves_problem, 0.9::DOUBLE AS confidence, count(*) AS copies FROM documents GROUP BY 1, 2""")
 def _(t):
     """Copies of a text are scored once and the answer is joined back to all of them."""
@@ -139,6 +153,19 @@ def _(t):
     return lookup(copies, answers, "verdict_key").select("verdict_key", "resolves_problem", "confidence", "copies")
 
 
+@query("answer_log", """SELECT sha256(text) AS verdict_key, length(text) % 2 = 0 AS resolves_problem, CASE WHEN bool_or(lang = 'en') THEN 'first' ELSE 'second' END AS asked_by, count(*) AS copies
+FROM documents GROUP BY 1, 2""")
+def _(t):
+    """A first run asks about the English texts only; a second one over all texts asks for what the log does not hold."""
+    requests = t.documents.select(F.sha2("text", 256).alias("verdict_key"), "text", "lang")
+    counts = requests.groupBy("verdict_key").agg(F.count(F.lit(1)).alias("copies"))
+    log = AnswerLog.open(scratch(t), counts.count())
+    score_batch(requests.filter("lang = 'en'"), "verdict_key", named_verifier("first"), log=log).write.format("noop").mode("overwrite").save()
+    scored = score_batch(requests.drop("lang"), "verdict_key", named_verifier("second"), log=log)
+    answers = scored.select("verdict_key", p.parse_verdict(F.col("raw")).alias("v")).select("verdict_key", "v.resolves_problem", F.col("v.reason").alias("asked_by"))
+    return lookup(counts, answers, "verdict_key").select("verdict_key", "resolves_problem", "asked_by", "copies")
+
+
 PROMPT = "Classify the message into exactly one intent and answer with a JSON object."
 EXAMPLES = (("it skips", '{"intent": "en_the"}'), ("it crashes", '{"intent": "en_of"}'), ("no login", '{"intent": "de"}'),
             ("no pairing", '{"intent": "fr"}'), ("charged twice", '{"intent": "es"}'), ("no widget", '{"intent": "fr"}'))

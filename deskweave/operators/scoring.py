@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import defaults as d
 from ..functions.replies import verdict_key
 from ..functions.text import tokens
+from ..sources.answers import AnswerLog
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 
 def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scorer], *, attempts: int = 3,
-                backoff_seconds: float = 1.0, parallelism: int | None = None, batch_size: int = 64) -> DataFrame:
+                backoff_seconds: float = 1.0, parallelism: int | None = None, batch_size: int = 64,
+                log: AnswerLog | None = None) -> DataFrame:
     """(key, raw, error): one answer per distinct request.
 
     ``scorer_factory`` runs once per task and returns a function from a batch of
@@ -25,19 +27,53 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
     without an answer are retried with linear back-off, those that have one are not sent again.  If a call
     raises, each of its rows is sent alone, so one bad row costs no other its answer.
     Equal requests are sent once; ``parallelism`` bounds the concurrent clients.
+
+    With a ``log``, requests are dealt out by its buckets, answers that it holds are not asked for, and
+    new ones are logged ``batch_size`` at a time as they come: a task that is lost after some of its calls
+    repeats only the others, and so does a run that is started again.  Requests that got no answer are
+    not logged.  Keys of all types are logged as text; a null key is asked each time.
     """
     distinct = requests.dropDuplicates([key])
-    if parallelism:
-        distinct = distinct.repartition(parallelism, key)
     key_type = requests.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, raw string, error string"
+    if log is None:
+        if parallelism:
+            distinct = distinct.repartition(parallelism, key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_factory()
-        for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                yield _score_with_retries(batch.iloc[start:start + batch_size], key, scorer, attempts, backoff_seconds)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = scorer_factory()
+            for batch in batches:
+                for start in range(0, len(batch), batch_size):
+                    yield _score_with_retries(batch.iloc[start:start + batch_size], key, scorer, attempts, backoff_seconds)
 
-    return distinct.mapInPandas(run, f"{key} {key_type}, raw string, error string")
+        return distinct.mapInPandas(run, schema)
+
+    dealt = distinct.withColumns({_BUCKET: log.bucket(F.col(key)), _LOGGED: F.col(key).cast("string")})
+    dealt = dealt.repartition(min(parallelism or log.buckets, log.buckets), _BUCKET).sortWithinPartitions(_BUCKET)
+
+    def run_logged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, bucket, known = None, None, {}
+        for batch in batches:
+            for own, part in batch.groupby(_BUCKET, sort=True):
+                if own != bucket:
+                    bucket, known = own, log.read(int(own))
+                found = part[_LOGGED].map(known)
+                held = found.notna()
+                if held.any():
+                    yield pd.DataFrame({key: part[key][held], "raw": found[held], "error": None})
+                asked = part[~held]
+                scorer = scorer if asked.empty or scorer else scorer_factory()
+                for start in range(0, len(asked), batch_size):
+                    chunk = asked.iloc[start:start + batch_size]
+                    scored = _score_with_retries(chunk.drop(columns=[_BUCKET, _LOGGED]), key, scorer, attempts, backoff_seconds)
+                    keep = scored["raw"].notna() & chunk[_LOGGED].notna()
+                    log.append(int(own), chunk[_LOGGED][keep], scored["raw"][keep])
+                    yield scored
+
+    return dealt.mapInPandas(run_logged, schema)
+
+
+_BUCKET, _LOGGED = "_answer_bucket", "_answer_key"
 
 
 def _score_with_retries(batch: pd.DataFrame, key: str, scorer: Scorer, attempts: int, backoff: float) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from ..operators.neighbours import knn
 from ..operators.scoring import Scorer, cache_valid, hashed_vectors, score_batch
 from ..operators.triage import with_cached_intent
 from ..session import cut_lineage
+from ..sources.answers import AnswerLog
 from ..sources.tables import read_or_build, still_to_do
 from .triage import TriageSettings, finish, prepare, verdict_requests, verdicts_from_scores
 
@@ -39,6 +41,7 @@ class Scorers:
     draft: Factory | None = None
     instructions: str = d.CLASSIFY_INSTRUCTIONS
     examples: Sequence[tuple[str, str]] = ()
+    log_dir: str | None = None  # in the shared store; answers are kept there as they come, a folder for each stage
 
 
 @dataclass(frozen=True)
@@ -50,25 +53,41 @@ class TriageRun:
     verdicts: DataFrame
 
 
+def answers_to(requests: DataFrame, key: str, factory: Factory, log_dir: str | None, stage: str) -> DataFrame:
+    """(key, raw, error), written down before anything else reads it, since answers cost calls.
+
+    With ``log_dir`` they are also logged while the stage runs; ``key`` has to name a request's whole content then.
+    """
+    if log_dir is None:
+        return cut_lineage(score_batch(requests, key, factory))
+    requests = cut_lineage(requests)
+    return cut_lineage(score_batch(requests, key, factory, log=AnswerLog.open(f"{log_dir}/{stage}", requests.count())))
+
+
+def request_key(request: Column, *own: Column) -> Column:
+    """Names a request's content and ``own`` columns: equal ones are sent once, and a changed one is sent anew."""
+    return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("")) for c in own], F.sha2(F.to_json(request), 256))
+
+
 def classify_misses(messages: DataFrame, stored: DataFrame, scorers: Scorers, taxonomy: Sequence[str], fallback: str) -> tuple[DataFrame, DataFrame]:
     """(messages with ``predicted_intent`` and ``intent_confidence``, fresh predictions).
 
     Stored predictions are used as they are; the rest is asked, equal texts once.  Messages without usable text are not asked and have no intent.
     """
     known = with_cached_intent(messages, stored)
-    asked = known.filter(F.col("known_intent").isNull() & ~r.is_degenerate(F.col("customer_text")))
-    requests = asked.select(F.sha2("customer_text", 256).alias("text_key"), F.col("customer_text").alias("text")).withColumn(
-        "request", fewshot_messages(F.col("text"), scorers.instructions, scorers.examples))
-    # Answers cost calls, so they are written down before anything else reads them.
-    scored = cut_lineage(score_batch(requests, "text_key", scorers.classify))
+    wanted = F.col("known_intent").isNull() & F.coalesce(~r.is_degenerate(F.col("customer_text")), F.lit(False))
+    request = fewshot_messages(F.col("customer_text"), scorers.instructions, scorers.examples)
+    # Only rows that are asked meet the answers; all others, null texts among them, go past the join.
+    asked = known.filter(wanted).withColumn("request", request).withColumn("text_key", request_key(F.col("request")))
+    requests = asked.select("text_key", F.col("customer_text").alias("text"), "request")
+    scored = answers_to(requests, "text_key", scorers.classify, scorers.log_dir, "classify")
     answers = scored.select("text_key", parse_intent(F.col("raw"), taxonomy, fallback).alias("p"), F.col("raw").isNotNull().alias("answered"))
-    keyed = known.withColumn("text_key", F.when(F.col("known_intent").isNull(), F.sha2("customer_text", 256)).otherwise(
-        F.concat(F.lit("known:"), F.col("id").cast("string"))))
-    joined = keyed.join(answers, "text_key", "left")
-    out = joined.select(*messages.columns, F.coalesce("known_intent", "p.intent").alias("predicted_intent"),
-                        F.coalesce("known_confidence", "p.confidence").alias("intent_confidence"), "answered")
-    fresh = out.filter(F.coalesce("answered", F.lit(False))).select("id", "predicted_intent", F.col("intent_confidence").alias("confidence"))
-    return out.drop("answered"), fresh
+    intent, confidence = F.col("p.intent").alias("predicted_intent"), F.col("p.confidence").alias("intent_confidence")
+    joined = asked.join(answers, "text_key", "left").select(*messages.columns, intent, confidence, "answered")
+    others = known.filter(~wanted).select(*messages.columns, F.col("known_intent").alias("predicted_intent"),
+                                          F.col("known_confidence").alias("intent_confidence"))
+    fresh = joined.filter(F.coalesce("answered", F.lit(False))).select("id", "predicted_intent", F.col("intent_confidence").alias("confidence"))
+    return joined.drop("answered").unionByName(others), fresh
 
 
 def triage_run(messages: DataFrame, corpus: DataFrame, s: TriageSettings, scorers: Scorers, predictions: DataFrame, verdict_cache: DataFrame,
@@ -87,23 +106,25 @@ def triage_run(messages: DataFrame, corpus: DataFrame, s: TriageSettings, scorer
     if scorers.verify is not None:
         asked = verdict_requests(prepared, verdict_cache)
         asked = asked.withColumn("request", verifier_request(F.col("customer_text"), F.col("procedure")))
-        answers = verdicts_from_scores(cut_lineage(score_batch(asked, "verdict_key", scorers.verify)))
+        answers = verdicts_from_scores(answers_to(asked, "verdict_key", scorers.verify, scorers.log_dir, "verify"))
         verdicts, new = verdicts.unionByName(answers.select(*columns)), answers.filter("cacheable").select(*columns)
     records = finish(prepared, verdicts, s, drafts)
     if scorers.draft is not None:
-        records = _drafted(cut_lineage(records), scorers.draft)
+        records = _drafted(cut_lineage(records), scorers.draft, scorers.log_dir)
     return TriageRun(records, fresh, new)
 
 
-def _drafted(records: DataFrame, factory: Factory) -> DataFrame:
+def _drafted(records: DataFrame, factory: Factory, log_dir: str | None = None) -> DataFrame:
     """Generated replies in place of templates; reused drafts and messages without usable text keep theirs."""
-    wants = ~F.col("reused") & F.coalesce(F.col("gate_triggered") != "degenerate_input", F.lit(True))
-    asked = records.filter(wants).select(
-        "id", "customer_text", "decision", draft_request(F.col("customer_text"), F.col("decision"), F.array_join("evidence_used", "\n")).alias("request"))
-    answers = cut_lineage(score_batch(asked, "id", factory)).select("id", F.col("raw").alias("_raw"))
+    wants = ~F.coalesce("reused", F.lit(False)) & F.coalesce(F.col("gate_triggered") != "degenerate_input", F.lit(True))
+    request = draft_request(F.col("customer_text"), F.col("decision"), F.array_join("evidence_used", "\n"))
+    keyed = records.filter(wants).withColumn("request", request).withColumn("_key", request_key(F.col("request"), F.col("id")))
+    asked = keyed.select("_key", "id", "customer_text", "decision", "request")
+    answers = answers_to(asked, "_key", factory, log_dir, "draft").select("_key", F.col("raw").alias("_raw"))
     blank = F.trim(F.coalesce("_raw", F.lit(""))) == ""
     reply = F.when(blank, F.col("drafted_reply")).otherwise(r.clean_draft(F.col("_raw"), F.col("decision")))
-    return records.join(answers, "id", "left").withColumn("drafted_reply", reply).drop("_raw")
+    written = keyed.drop("request").join(answers, "_key", "left").withColumn("drafted_reply", reply).drop("_raw", "_key")
+    return written.unionByName(records.filter(~wants))
 
 
 def store_vectors(spark: SparkSession, path: str, corpus: Callable[[], DataFrame], id_col: str = "tweet_id", text_col: str = "clean_text",
@@ -125,18 +146,22 @@ def search_texts(queries: DataFrame, index: DataFrame, k: int = 1, *, id_col: st
     return knn(asked, index, k, scopes=F.col("_scopes"), corpus_scope=F.col(scope) if scope else None, taxonomy=taxonomy, query_id=id_col, corpus_id=index_id)
 
 
-def judge_run(audit: DataFrame, factory: Factory, model: str, cached: DataFrame | None = None, max_chars: int = d.MAX_REPLY_CHARS) -> DataFrame:
+def judge_run(audit: DataFrame, factory: Factory, model: str, cached: DataFrame | None = None, max_chars: int = d.MAX_REPLY_CHARS,
+              log_dir: str | None = None) -> DataFrame:
     """Judgements of an audit: id, scores, decision and notes after the guardrails, char_count, has_synthetic_url, judge_model.
 
     ``audit``: id, customer_text, drafted_reply, evidence_used (text).  ``cached`` judgements are taken whole if
-    they are valid for this audit and model, and otherwise all rows are judged anew.
+    they are valid for this audit and model, and otherwise all rows are judged anew, repeated ones by one call.
+    Rows with a null id are judged like all others.  Answers are logged in a folder of the model below ``log_dir``.
     """
     if cached is not None and cache_valid(cached, audit, model).first()["valid"]:
         return cached
-    requests = audit.select("id", F.col("drafted_reply").alias("text"), "customer_text", "evidence_used",
-                            judge_request(F.col("customer_text"), F.col("drafted_reply"), F.col("evidence_used")).alias("request"))
-    answers = cut_lineage(score_batch(requests, "id", factory)).select("id", parse_judge(F.col("raw")).alias("judged"))
-    rows = audit.join(answers, "id").select(
+    keyed = audit.withColumn("request", judge_request(F.col("customer_text"), F.col("drafted_reply"), F.col("evidence_used"))).withColumn(
+        "_key", request_key(F.col("request"), F.col("id")))
+    requests = keyed.select("_key", "id", F.col("drafted_reply").alias("text"), "customer_text", "evidence_used", "request")
+    stage = "judge-" + re.sub(r"[^A-Za-z0-9.-]", "_", model)
+    answers = answers_to(requests, "_key", factory, log_dir, stage).select("_key", parse_judge(F.col("raw")).alias("judged"))
+    rows = keyed.join(answers, "_key").select(
         "id", F.length("drafted_reply").alias("char_count"), r.synthetic_url(F.col("drafted_reply"), F.col("evidence_used")).alias("has_synthetic_url"), "judged")
     final = rows.withColumn("f", judge_guardrails(F.col("judged"), F.col("has_synthetic_url"), F.col("char_count"), max_chars))
     return final.select("id", "f.*", "char_count", "has_synthetic_url", F.lit(model).alias("judge_model"))

@@ -8,6 +8,7 @@ from ..functions.text import WORD, ngrams_of, tokens
 from ..functions.vectors import l2_normalise, norm
 from ..operators import metrics as m
 from ..operators.neighbours import knn
+from ..operators.pivots import PivotIndex
 from ..operators.sampling import balanced_sample
 from ..operators.scoring import hashed_vectors
 from ..operators.tfidf import fit_idf, term_counts, top_terms, weigh
@@ -65,6 +66,22 @@ def _(t):
     return knn(v.evalf(t), v.corpus(t), 60, scopes=wanted, corpus_scope=F.col("silver_intent"), taxonomy=v.TAXONOMY)
 
 
+@query("knn_pivots", with_(v.EVALF, v.CORPUS, "q AS (SELECT id, embedding FROM evalf)") + sims("true", K))
+def _(t):
+    """The corpus becomes a stored index of blocks around pivots; every query then skips the blocks that cannot hold a better row."""
+    index = PivotIndex.open(t.spark, scratch(t), v.corpus(t), scope=F.col("silver_intent"))
+    return index.search(v.evalf(t), K).hits
+
+
+@query("knn_pivots_scoped", with_(v.EVALF, v.CORPUS, v.SCOPES, CAND_Q) + sims("q.scope IS NULL OR list_contains(q.scope, c.silver_intent)", 60))
+def _(t):
+    """The index is opened twice: it is built, then read; only folders of the wanted intents are searched."""
+    path = scratch(t)
+    PivotIndex.open(t.spark, path, v.corpus(t), scope=F.col("silver_intent"))
+    wanted = F.array(F.concat(F.lit("c"), "label"), F.concat(F.lit("c"), (F.col("label") + 1) % 10), F.lit("zz"))
+    return PivotIndex.open(t.spark, path).search(v.evalf(t), 60, scopes=wanted, taxonomy=v.TAXONOMY).hits
+
+
 @query("retrieval_intent_match", with_(v.EVALF, v.CORPUS, "q AS (SELECT id, embedding FROM evalf)", f"best AS ({sims('true', 1)})") + f"""
 SELECT count(*) AS total, count(*) FILTER (WHERE e.gold_intent = c.silver_intent) AS matched,
   {v.rate('count(*) FILTER (WHERE e.gold_intent = c.silver_intent)', 'count(*)')} AS match_rate

@@ -152,7 +152,10 @@ class Merges:
             keep[chosen + 1] = False
             new = np.cumsum(keep)[chosen] - 1
             symbols, segment, place, rank, made = (x[keep] for x in (symbols, segment, place, rank, made))
-            changed = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            touched = np.zeros(len(symbols), bool)
+            touched[new] = True
+            touched[new[new > 0] - 1] = True
+            changed = np.flatnonzero(touched)
             rank[changed], made[changed] = _NONE, -1
             ask = changed[(changed + 1 < len(symbols))]
             ask = ask[segment[ask] == segment[ask + 1]]
@@ -320,7 +323,7 @@ class _Surfaces:
         flat = self.table.take(pa.array(ids))
         sizes = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        raw = b"".join(flat.to_pylist())
+        raw = flat.buffers()[2].to_pybytes()[: ends[-1]] if len(flat) and flat.buffers()[2] else b""
         loud = np.concatenate([np.flatnonzero(~self.silent[ids]), [len(ids)]])
         first = loud[np.searchsorted(loud, offsets[:-1])]
         drop = (first < offsets[1:]) & self.dummy

@@ -15,6 +15,7 @@ from ..operators.tfidf import fit_idf, term_counts, top_terms, weigh
 from ..plans.baselines import tfidf_nearest, train_intent_model
 from ..plans.runs import search_texts, store_vectors
 from ..session import cut_lineage
+from ..sources.tables import read_or_build
 from . import views as v
 from .registry import query
 from .sources import scratch
@@ -66,6 +67,21 @@ def _(t):
     return knn(v.evalf(t), v.corpus(t), 60, scopes=wanted, corpus_scope=F.col("silver_intent"), taxonomy=v.TAXONOMY)
 
 
+FEW = "('c1', 'c2', 'c9')"
+
+
+@query("knn_pruned", with_(v.EVALF, v.CORPUS, v.CLASSIFIED, v.SCOPES, SCOPED_Q.format(taxonomy=v.IN_TAXONOMY, k=K), f"few AS (SELECT * FROM q WHERE scope IN {FEW})")
+       + sims("q.scope = c.silver_intent", K).replace("FROM q JOIN", "FROM few q JOIN"))
+def _(t):
+    """The corpus is stored by intent; queries of a few intents read the folders of these only."""
+    path = scratch(t)
+    stored = read_or_build(t.spark, path, lambda: v.corpus(t).select("vec_id", "embedding", "silver_intent"), ["silver_intent"])
+    asked = v.classified(t).filter(f"predicted_intent IN {FEW} AND predicted_intent IN {v.IN_TAXONOMY}")
+    enough = stored.groupBy("silver_intent").count().filter(F.col("count") >= K).select(F.col("silver_intent").alias("predicted_intent"))
+    asked = asked.join(F.broadcast(enough), "predicted_intent", "left_semi")  # the others would search everything
+    return knn(asked, stored, K, scopes=F.array("predicted_intent"), corpus_scope=F.col("silver_intent"), taxonomy=v.TAXONOMY, prune=True)
+
+
 @query("knn_pivots", with_(v.EVALF, v.CORPUS, "q AS (SELECT id, embedding FROM evalf)") + sims("true", K))
 def _(t):
     """The corpus becomes a stored index of blocks around pivots; every query then skips the blocks that cannot hold a better row."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 GLOBAL = "*"
 DECIMALS = 6
 _MAX_CELLS = 4_000_000
@@ -32,13 +34,17 @@ Kernel = Callable[[pa.Table], Callable[[pa.Table], np.ndarray]]
 def knn(queries: DataFrame, corpus: DataFrame, k: int, *, scopes: Column | None = None,
         corpus_scope: Column | None = None, taxonomy: Sequence[str] = (), query_id: str = "id",
         corpus_id: str = "vec_id", vector: str = "embedding", query_block: int = 32768,
-        corpus_block: int = 32768) -> DataFrame:
+        corpus_block: int = 32768, prune: bool = False) -> DataFrame:
     """The ``k`` corpus rows with the largest dot product per query.
 
     ``scopes`` is an array column of scope names on the query side.  Names
     outside ``taxonomy`` are ignored; when the remaining scopes hold fewer than
     ``k`` rows the whole corpus is searched.  Ties go to the higher corpus id.
     Returns (query_id, corpus_id, similarity, rank).
+
+    ``prune`` is for a stored corpus that is partitioned by ``corpus_scope``, a column as it stands: folders
+    of scopes that no query searches are not read (dynamic partition pruning), unless one searches everything.
+    All its rows hold vectors then: they are counted by their scopes alone, without reading any vector.
     """
     wanted = scopes if scopes is not None else F.array().cast("array<string>")
     scope = corpus_scope if corpus_scope is not None else F.lit(GLOBAL)
@@ -46,40 +52,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, *, scopes: Column | None
         F.col(query_id).alias("q_id"), F.col(vector).alias("q_vec"), wanted.alias("wanted"))
     c = corpus.filter(F.col(vector).isNotNull()).select(
         F.col(corpus_id).alias("c_id"), F.col(vector).alias("c_vec"), scope.alias("scope"))
-    found = _blocked_top_k(q, c, k, taxonomy, _dense_kernel, query_block, corpus_block, ties_high=True)
+    stored = corpus.select(scope.alias("scope")) if prune else None
+    found = _blocked_top_k(q, c, k, taxonomy, _dense_kernel, query_block, corpus_block, ties_high=True, stored=stored)
     return found.withColumnsRenamed({"q_id": query_id, "c_id": corpus_id if corpus_id != query_id else "hit_id"})
 
 
-def sparse_nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str,
-                   query_docs: DataFrame | None = None, corpus_docs: DataFrame | None = None,
-                   query_block: int = 32768, corpus_block: int = 32768) -> DataFrame:
-    """Best corpus row per query by sparse dot product; ties go to the lower id.
-
-    Both sides carry ``terms array<int>`` and ``weights array<double>``.  A
-    query sharing no term with any corpus row gets no row back.  The block
-    counts only need an upper bound of the row counts; give the raw documents to
-    spare building the weights just to count them.
-    """
-    q = queries.select(F.col(query_id).alias("q_id"), F.col("terms").alias("q_terms"),
-                       F.col("weights").alias("q_weights"), F.array().cast("array<string>").alias("wanted"))
-    c = corpus.select(F.col(corpus_id).alias("c_id"), F.col("terms").alias("c_terms"),
-                      F.col("weights").alias("c_weights"), F.lit(GLOBAL).alias("scope"))
-    found = _blocked_top_k(q, c, 1, (), _sparse_kernel, query_block, corpus_block, ties_high=False,
-                           count_q=query_docs, count_c=corpus_docs)
-    return (found.filter(F.col("similarity") > 0).drop("rank")
-            .withColumnsRenamed({"q_id": query_id, "c_id": corpus_id if corpus_id != query_id else "hit_id"}))
-
-
 def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str], kernel: Kernel, query_block: int,
-                   corpus_block: int, ties_high: bool, count_q: DataFrame | None = None,
-                   count_c: DataFrame | None = None) -> DataFrame:
+                   corpus_block: int, ties_high: bool, stored: DataFrame | None = None) -> DataFrame:
     payload_q = [n for n in q.columns if n not in ("wanted",)]
     payload_c = [n for n in c.columns if n not in ("scope",)]
     known = F.array(*[F.lit(t) for t in taxonomy]).cast("array<string>")
 
     # Rows per scope and in total: at most one entry per taxonomy name, plus two.
-    sizes = _size_map(c.select(F.when(F.col("scope").isin(*taxonomy), F.col("scope")).otherwise("").alias("scope"))
-                      if taxonomy else (c if count_c is None else count_c).select(F.lit("").alias("scope")))
+    rows = c if stored is None else stored
+    sizes = _size_map(rows.select(F.when(F.col("scope").isin(*taxonomy), F.col("scope")).otherwise("").alias("scope"))
+                      if taxonomy else rows.select(F.lit("").alias("scope")))
 
     valid = F.array_intersect(F.coalesce(F.col("wanted"), known), known) if taxonomy else known
     # The map is bound to a column first: lambdas may not contain subqueries.
@@ -88,8 +75,9 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
                             lambda acc, s: acc + F.coalesce(F.try_element_at(F.col("_sizes"), s), F.lit(0)))
     searched = F.when(reachable >= k, F.col("_valid")).otherwise(F.array(F.lit(GLOBAL)))
     scoped = counted.select(*payload_q, F.explode(searched).alias("s"))
-    asked = _asked_map(counted.select(F.explode(searched).alias("scope")) if count_q is None
-                       else count_q.select(F.lit(GLOBAL).alias("scope")))
+    asked = _asked_map(counted.select(F.explode(searched).alias("scope")))
+    if stored is not None:
+        c = _only_asked(c, stored, counted.select(F.explode(searched).alias("scope")))
 
     # Smaller corpora get smaller blocks, so that every core has some to score.
     cores = q.sparkSession.sparkContext.defaultParallelism
@@ -119,6 +107,17 @@ def _blocked_top_k(q: DataFrame, c: DataFrame, k: int, taxonomy: Sequence[str],
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _only_asked(c: DataFrame, stored: DataFrame, searched: DataFrame) -> DataFrame:
+    """Corpus rows in scopes that are searched; a broadcast of at most one row for each scope filters the scan's partitions."""
+    named = F.coalesce(F.col("scope"), F.lit(""))
+    asked = searched.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    everything = stored.select(named.alias("scope")).distinct().withColumn("all", F.lit(GLOBAL)).join(
+        asked.select(F.col("scope").alias("all")), "all", "left_semi").select("scope", F.lit(1).cast("long").alias("n"))
+    needed = asked.unionByName(everything).groupBy(F.col("scope").alias("asked_scope")).agg(F.sum("n").alias("n"))
+    # Written down, so that the scan's filter and the join are seen to use the same few rows.
+    return c.join(F.broadcast(cut_lineage(needed).filter("n > 0")), named == F.col("asked_scope"), "left_semi")
+
+
 def _size_map(scopes: DataFrame) -> Column:
     """Scalar map scope -> row count, with the total under the global scope."""
     counted = scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +149,7 @@ def _block_scorer(kernel: Kernel, k: int, ties_high: bool):
         scores_of = kernel(right)
         for start in range(0, left.num_rows, step):
             chunk = left.slice(start, step)
-            rows, cols, sims = _best_columns(scores_of(chunk), k, positive=kernel is _sparse_kernel)
+            rows, cols, sims = _best_columns(scores_of(chunk), k)
             parts.append(pa.table(
                 [chunk.column("q_id").take(pa.array(rows)), right.column("c_id").take(pa.array(cols)), pa.array(sims)],
                 schema=schema))
@@ -190,32 +189,3 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 def _dense_kernel(corpus: pa.Table) -> Callable[[pa.Table], np.ndarray]:
     matrix = _matrix(corpus.column("c_vec"), corpus.num_rows).T.copy()
     return lambda chunk: _matrix(chunk.column("q_vec"), chunk.num_rows) @ matrix
-
-
-def _ragged(table: pa.Table, terms: str, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    listed = table.column(terms).combine_chunks()
-    lengths = np.diff(listed.offsets.to_numpy())
-    ids = listed.flatten().to_numpy(zero_copy_only=False)
-    values = table.column(weights).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return lengths, ids, values
-
-
-def _sparse_kernel(corpus: pa.Table) -> Callable[[pa.Table], np.ndarray]:
-    lengths, ids, values = _ragged(corpus, "c_terms", "c_weights")
-    owners = np.repeat(np.arange(corpus.num_rows), lengths)
-    order = np.argsort(ids, kind="stable")
-    ids, owners, values = ids[order], owners[order], values[order]
-
-    def scores(chunk: pa.Table) -> np.ndarray:
-        """Only postings of the queries' terms are touched; all terms at once."""
-        q_len, q_ids, q_values = _ragged(chunk, "q_terms", "q_weights")
-        starts, ends = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
-        found = ends - starts
-        total = int(found.sum())
-        posting = np.arange(total) + np.repeat(starts - (np.cumsum(found) - found), found)
-        rows = np.repeat(np.repeat(np.arange(chunk.num_rows), q_len), found)
-        cells = rows * corpus.num_rows + owners[posting]
-        out = np.bincount(cells, np.repeat(q_values, found) * values[posting], minlength=chunk.num_rows * corpus.num_rows)
-        return out.reshape(chunk.num_rows, corpus.num_rows)
-
-    return scores

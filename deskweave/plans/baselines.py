@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rule
 from ..functions.text import strip_handles
 from ..operators import metrics as m
-from ..operators.neighbours import sparse_nearest
-from ..operators.tfidf import fit_idf, sparse_rows, term_counts
+from ..operators.postings import sparse_best
+from ..operators.tfidf import BROADCAST_TERMS, fit_idf, sparse_rows, term_counts
+from ..session import cut_lineage
 
 _ROWS_PER_TASK = 20_000
 SWEEP_TAUS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.50)
@@ -26,11 +27,11 @@ def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int | None = 5
     Vocabulary and idf come from the corpus only: its ``n_terms`` most frequent terms, or all (None).  Every query is returned; one
     without a shared term has a null ``hit_id`` and similarity 0.
     """
-    counts = term_counts(corpus, "id", "text")
-    idf = fit_idf(counts, corpus, n_terms)
+    counts = cut_lineage(term_counts(corpus, "id", "text"))  # texts are taken apart once
+    idf = cut_lineage(fit_idf(counts, corpus, n_terms))
     indexed = sparse_rows(counts, idf, n_terms)
     asked = sparse_rows(term_counts(queries, "id", "text"), idf, n_terms)
-    hits = sparse_nearest(asked, indexed, query_id="id", corpus_id="id", query_docs=queries, corpus_docs=corpus)
+    hits = sparse_best(asked, indexed, query_id="id", corpus_id="id", bounded_terms=n_terms is not None and n_terms <= BROADCAST_TERMS)
     return queries.select("id").join(hits, "id", "left").select(
         "id", "hit_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 

@@ -140,10 +140,14 @@ def store_vectors(spark: SparkSession, path: str, corpus: Callable[[], DataFrame
 def search_texts(queries: DataFrame, index: DataFrame, k: int = 1, *, id_col: str = "id", text_col: str = "text", index_id: str = "tweet_id",
                  scopes: Column | None = None, scope: str | None = None, taxonomy: Sequence[str] = (),
                  encode: Callable[[DataFrame, str, str], DataFrame] = hashed_vectors) -> DataFrame:
-    """The ``k`` nearest rows of a stored index for every text; texts without a word have none."""
+    """The ``k`` nearest rows of a stored index for every text; texts without a word have none.
+
+    With ``scope``, the column by which ``store_vectors`` partitioned the index, only folders that some text searches are read.
+    """
     asked = queries.join(encode(queries, id_col, text_col), id_col)
     asked = cut_lineage(asked.select(id_col, "embedding", (scopes if scopes is not None else F.array().cast("array<string>")).alias("_scopes")))
-    return knn(asked, index, k, scopes=F.col("_scopes"), corpus_scope=F.col(scope) if scope else None, taxonomy=taxonomy, query_id=id_col, corpus_id=index_id)
+    return knn(asked, index, k, scopes=F.col("_scopes"), corpus_scope=F.col(scope) if scope else None, taxonomy=taxonomy, query_id=id_col, corpus_id=index_id,
+               prune=scope is not None)
 
 
 def judge_run(audit: DataFrame, factory: Factory, model: str, cached: DataFrame | None = None, max_chars: int = d.MAX_REPLY_CHARS,

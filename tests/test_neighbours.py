@@ -176,3 +176,36 @@ def test_a_query_without_a_shared_term_costs_no_selection():
     sims[1, 7] = 0.5
     rows, cols, scores = _best_columns(sims, 2, positive=True)
     assert (rows.tolist(), cols.tolist(), scores.tolist()) == ([1], [7], [0.5])
+
+
+def test_scopes_that_nobody_searches_are_not_read(spark, tmp_path):
+    """Files of other scopes are damaged: a search that prunes does not notice, one that does not prune fails."""
+    rng = np.random.default_rng(2)
+    path = str(tmp_path / "stored")
+    rows = [(i, rng.standard_normal(4).tolist(), f"s{i % 6}" if i % 7 else None) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, scope string").write.partitionBy("scope").parquet(path)
+    corpus = spark.read.parquet(path)
+    asked = spark.createDataFrame([(i, rng.standard_normal(4).tolist()) for i in range(9)], "id long, embedding array<double>")
+    few = F.when(F.col("id") < 5, F.array(F.lit("s1"))).otherwise(F.array(F.lit("s2"), F.lit("nowhere")))
+    names = [f"s{i}" for i in range(6)]
+
+    def search(prune, wanted):
+        return knn(asked, corpus, 3, scopes=wanted, corpus_scope=F.col("scope"), taxonomy=names, prune=prune)
+
+    def answers(found):
+        return sorted(map(tuple, found.collect()))
+
+    whole = F.when(F.col("id") == 0, F.array(F.lit("nowhere"))).otherwise(few)
+    before = answers(search(False, few))
+    assert answers(search(True, few)) == before and answers(search(True, whole)) == answers(search(False, whole))
+    plan = search(True, few)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan.lower()
+    for name in ("s0", "s3", "s4", "s5"):
+        for file in (tmp_path / "stored" / f"scope={name}").glob("*.parquet"):
+            content = file.read_bytes()
+            file.with_name(f".{file.name}.crc").unlink()
+            footer = len(content) - 8 - int.from_bytes(content[-8:-4], "little")
+            file.write_bytes(content[:4] + bytes(footer - 4) + content[footer:])
+    assert answers(search(True, few)) == before
+    with pytest.raises(Exception):  # noqa: B017
+        answers(search(False, few))

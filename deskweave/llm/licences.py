@@ -42,14 +42,20 @@ NOTICE_PHRASES = {
 }
 # Words of the tags that a licence expression follows.
 TAGS = ("spdx license identifier", "license expression")
-# Beginnings of identifiers whose use is free of conditions on derived works.
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "0bsd", "unlicense", "cc0", "cc-by-4", "cc-by-3", "zlib", "bsl", "wtfpl", "python", "psf")
+# Identifiers, without versions and numbers of clauses, whose use is free of conditions on derived works.
+PERMISSIVE = frozenset(("mit", "mit-0", "apache", "bsd", "isc", "0bsd", "unlicense", "cc0", "cc-by", "zlib", "bsl", "wtfpl", "python", "psf"))
 
 _LEAF = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_VERSION = re.compile(r"(-\d+-clause)?(-?v?\d+(\.\d+)+|-v?\d+)?(\+|-only|-or-later)?")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
+def is_permissive(identifier: str) -> bool:
+    """Whether a whole identifier in lower case, its version split off, is known to be permissive; an unknown one is not."""
+    return any(identifier.startswith(name) and _VERSION.fullmatch(identifier, len(name)) for name in PERMISSIVE)
+
+
 @dataclass(frozen=True)
 class Expression:
     """A parsed licence expression: its identifiers, its exceptions, and whether it can be met with permissive ones alone."""
@@ -117,7 +123,7 @@ def parse_expression(text: str) -> Expression | None:
         else:
             if not operand:
                 return None
-            values.append((frozenset([word]), frozenset(), word.startswith(PERMISSIVE), True))
+            values.append((frozenset([word]), frozenset(), is_permissive(word), True))
             operand = False
     if operand:
         return None
@@ -221,7 +227,9 @@ def scan_licences(docs: DataFrame, keep: list[Column], schema: str, text_col: st
     n_words; n_base, the places where the words of a base phrase stand one after the other; first_word and
     last_word, the smallest and largest start of those places (null without any); base_labels; labels, with
     those of further phrases and tagged expressions; score, 0 without any sign to 1 with a valid tag.  Labels
-    are distinct, sorted and comma-joined; none give an empty string.  A null text counts as empty.
+    are distinct, sorted and comma-joined; none give an empty string.  A null text counts as empty.  Phrases
+    that overlap count each, at every place where one starts.  A tagged expression is permissive or, if it
+    needs a licence that is not known to be, conditional.  Rows may repeat; an empty table gives no rows.
     """
     def work(texts: pa.Array) -> list:
         return _scan(texts, once("licence phrases", _automaton))

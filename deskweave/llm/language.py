@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskweave.session import cut_lineage
+
+from .sides import small_side
 from .texts import column, joined, once, per_text, ragged, small_batches
 
 #: Bytes of a window; windows overlap so that every run of up to the widest filter is inside one.
@@ -22,8 +25,8 @@ EMBEDDING = 8
 #: Bound of the training sample: different texts of a language, and windows of a text.
 TEXTS_PER_LANGUAGE = 700
 WINDOWS_PER_TEXT = 4
-#: Languages beyond this number, rarest first, are not learned.
-MAX_LANGUAGES = 400
+#: Texts of the sample in all; many languages share them, with one text each at least.
+TEXTS_IN_ALL = 280_000
 UNDETERMINED = "und"
 _STEP = WINDOW - max(WIDTHS) + 1
 
@@ -129,11 +132,12 @@ def training_windows(docs: DataFrame, text_col: str, label: Column, texts_per_la
     """(lang, view): evenly spread windows of a sample of each language's different texts, by a hash of the text."""
     rows = docs.select(label.cast("string").alias("lang"), column(docs, text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text RLIKE '\\\\S'")
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, texts_per_language / max(1, r["n"]))).otherwise(share)
-    drawn = rows.where(F.pmod("hash", F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "hash"]).select("lang", "text")
+    counts = cut_lineage(rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"), F.min("hash").alias("least")))
+    texts = min(texts_per_language, max(1, TEXTS_IN_ALL // max(1, counts.count())))
+    shares = counts.select("lang", "least", F.least(F.lit(1.0), texts / F.greatest(F.col("n"), F.lit(1))).alias("share"))
+    # Every language has one text at least, that of its least hash.
+    drawn = rows.join(small_side(shares), "lang").where((F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("hash") == F.col("least")))
+    drawn = drawn.dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +158,8 @@ def training_windows(docs: DataFrame, text_col: str, label: Column, texts_per_la
 def fit(docs: DataFrame, text_col: str, label: Column, texts_per_language: int = TEXTS_PER_LANGUAGE) -> ByteNet | None:
     """A network trained on the rows of ``docs`` whose label is not null; None if there are none.
 
-    Only a bounded sample reaches the driver: TEXTS_PER_LANGUAGE texts of at most MAX_LANGUAGES languages, or
-    so, and WINDOWS_PER_TEXT windows of each.
+    Every label is learned.  Only a bounded sample reaches the driver: about TEXTS_PER_LANGUAGE texts of a
+    language, TEXTS_IN_ALL together or one of each, and WINDOWS_PER_TEXT windows of a text.
     """
     drawn = sorted((r["lang"], bytes(r["view"])) for r in training_windows(docs, text_col, label, texts_per_language).collect())
     if not drawn:
@@ -181,8 +185,9 @@ def predict(docs: DataFrame, model: ByteNet | None, keep: list[Column], schema:
     """``keep`` columns, lang_pred and score of every row, and with ``with_text`` its text (empty for null), which then need not be kept.
 
     All windows of a text are scored; their probabilities are averaged by the bytes they hold, and score is the
-    mean of the language named.  A text that is null or has no letter is ``und`` with score 0, as is
-    every text if there was nothing to learn from.
+    mean of the language named, of equally likely ones the first by name.  A text that is null or has no letter
+    is ``und`` with score 0, as is every text if there was nothing to learn from.  Rows may repeat; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, whatever the tables hold
     key = str(uuid.uuid4())

@@ -12,6 +12,7 @@ from ..operators import metrics as m
 from ..operators.scoring import cache_valid
 from ..session import checkpoint_dir
 from ..sources import tables as s
+from ..sources.store import KeyedStore
 from . import views as v
 from .metrics import RATED, ROUTED
 from .registry import query
@@ -80,16 +81,32 @@ def _(t):
     return t.spark.read.schema(report.schema).json(path)
 
 
+VERDICT_SCHEMA = T.StructType([T.StructField("verdict_key", T.StringType()), T.StructField("resolves_problem", T.BooleanType())])
+
+
+def verdict_rows(t):
+    return t.documents.select(F.sha2("text", 256).alias("verdict_key"), (F.length("text") % 2 == 0).alias("resolves_problem"), "lang")
+
+
 @query("verdict_cache_scan", "SELECT DISTINCT sha256(text) AS verdict_key, length(text) % 2 = 0 AS resolves_problem FROM documents")
 def _(t):
-    """A store holding some verdicts receives a full batch; only new keys are appended."""
-    path = scratch(t)
-    rows = t.documents.select(F.sha2("text", 256).alias("verdict_key"), (F.length("text") % 2 == 0).alias("resolves_problem"), "lang")
-    schema = T.StructType([T.StructField("verdict_key", T.StringType()), T.StructField("resolves_problem", T.BooleanType())])
-    english = rows.filter("lang = 'en'").drop("lang")
-    s.append_new(english, path, s.read_cache(t.spark, path, schema), "verdict_key")
-    s.append_new(rows.drop("lang"), path, s.read_cache(t.spark, path, schema), "verdict_key")
-    return s.read_cache(t.spark, path, schema)
+    """A store holding some verdicts receives a full batch; only new keys are appended, and a compacted store takes more."""
+    rows, store = verdict_rows(t), KeyedStore(t.spark, scratch(t), "verdict_key", VERDICT_SCHEMA)
+    store.append(rows.filter("lang = 'en'"))
+    store.append(rows.filter("lang IN ('en', 'de')"))
+    store.compact()
+    store.append(rows)
+    return store.rows()
+
+
+@query("verdict_store_join", """SELECT doc_id, lang, sha256(text) AS verdict_key, CASE WHEN bool_or(lang IN ('en', 'de')) OVER (PARTITION BY text) THEN length(text) % 2 = 0 END AS resolves_problem FROM documents""")
+def _(t):
+    """Documents meet a store whose English verdicts lie in buckets and whose German ones were appended since."""
+    rows, store = verdict_rows(t), KeyedStore(t.spark, scratch(t), "verdict_key", VERDICT_SCHEMA)
+    store.append(rows.filter("lang = 'en'"))
+    store.compact()
+    store.append(rows.filter("lang = 'de'"))
+    return store.lookup(t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("verdict_key")))
 
 
 @query("resume_batch", with_(v.EVALF) + "SELECT id, gold_intent, lang FROM evalf WHERE lang <> 'en'")

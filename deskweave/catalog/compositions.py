@@ -11,7 +11,7 @@ from ..functions.rules import first_gate
 from ..operators.procedures import sop_match
 from ..operators.triage import decide
 from ..plans.baselines import retrieval_policy_report
-from ..plans.corpus import CorpusRules, build_corpus
+from ..plans.corpus import CorpusRules, build_corpus, store_corpus
 from ..plans.reports import evaluation_report, judge_validation_report
 from ..plans.runs import Scorers, judged_audit, triage_run
 from ..plans.triage import TriageSettings, triage_batch
@@ -21,26 +21,41 @@ from .metrics import AGREEMENT, CLASS_COUNTS, KAPPA, MEANS, RATED, ROUTED, SCORE
 from .registry import query
 from .retrieval import TFIDF_CTES
 from .scoring import DRAFTS, draft_sql, stored_drafts
+from .sources import scratch
 from .text import FIRST_REPLY, HIT_TEXT, LINKED, SILVER, SYNTHETIC, concrete_sql, linked, silver, sop_name_sql
 from .views import hit, lit, rate, with_
 
 RULES = CorpusRules(brand=v.BRAND, intents=v.INTENT_WORDS, exclude=v.EXCLUDE_WORDS, redirect=v.REDIRECT_WORDS)
 
 
-@query("build_corpus", with_(v.MSGS, FIRST_REPLY, v.EVALF) + f""",
-inbound_rows AS (SELECT * FROM msgs WHERE ({IS_REPLY}) OR ({IS_ROOT})),
+POOL = f"""inbound_rows AS (SELECT * FROM msgs WHERE ({IS_REPLY}) OR ({IS_ROOT})),
 pool AS (SELECT i.msg_id, {v.strip('i.text')} AS clean, f.reply FROM inbound_rows i LEFT JOIN first_reply f ON f.parent_id = i.msg_id
   WHERE length({v.trim('i.text')}) > 0 AND length(regexp_replace({v.trim('i.text')}, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length({v.trim('i.text')}) >= 0.85
     AND length({v.strip('i.text')}) >= 30
     AND NOT EXISTS (SELECT 1 FROM evalf g WHERE g.gold_decision = 'escalate' AND g.id * 1000000 = i.msg_id)),
-hits AS (SELECT *, {v.hits_list(v.INTENT_WORDS, 'clean')} AS h FROM pool)
+hits AS (SELECT *, {v.hits_list(v.INTENT_WORDS, 'clean')} AS h FROM pool)"""
+LABELLED, ANSWERED = f"len(h) = 1 AND NOT {hit(v.EXCLUDE_WORDS, 'clean')}", f"length(reply) >= 80 AND NOT {hit(v.REDIRECT_WORDS, 'reply')}"
+
+
+@query("build_corpus", with_(v.MSGS, FIRST_REPLY, v.EVALF, POOL) + f"""
 SELECT msg_id AS tweet_id, replace(replace(clean, chr(13), ' '), chr(10), ' ') AS clean_text, replace(replace(reply, chr(13), ' '), chr(10), ' ') AS brand_reply_text, h[1] AS silver_intent
-FROM hits WHERE len(h) = 1 AND NOT {hit(v.EXCLUDE_WORDS, 'clean')} AND length(reply) >= 80 AND NOT {hit(v.REDIRECT_WORDS, 'reply')}""")
+FROM hits WHERE {LABELLED} AND {ANSWERED}""")
 def _(t):
     golden = v.evalf(t).filter(F.col("gold_decision") == d.ESCALATE).select((F.col("id") * 1000000).alias("golden_id"))
     return build_corpus(v.msgs(t), golden, RULES, golden_id="golden_id")
 
 
+@query("corpus_measures", with_(v.MSGS, FIRST_REPLY, v.EVALF, POOL) + f"""
+SELECT count(*) AS pool_rows, count(*) FILTER (WHERE {LABELLED} AND {ANSWERED}) AS corpus_rows, {rate(f"count(*) FILTER (WHERE {LABELLED} AND {ANSWERED})", 'count(*)')} AS coverage,
+  count(*) FILTER (WHERE coalesce(reply, '') = '') AS unanswered, count(*) FILTER (WHERE coalesce(reply, '') <> '' AND NOT ({ANSWERED})) AS not_resolving,
+  count(*) FILTER (WHERE {ANSWERED} AND NOT coalesce({LABELLED}, false)) AS unlabelled FROM hits""")
+def _(t):
+    """What the pass that writes the corpus saw on its way."""
+    golden = v.evalf(t).filter(F.col("gold_decision") == d.ESCALATE).select((F.col("id") * 1000000).alias("golden_id"))
+    _, measures = store_corpus(t.spark, scratch(t), v.msgs(t), golden, RULES, golden_id="golden_id")
+    return measures
+
+
 SETTINGS = TriageSettings(
     sops=v.LABEL_SOPS, taxonomy=v.TAXONOMY, gates=v.GATES, catch_all=v.CATCH_ALL, other=v.OTHER, tau_low=v.TAU_LOW, tau_high=v.TAU_HIGH,
     any_dm=v.ANY_DM_WORDS, action=v.ACTION_WORDS, question_action=v.QUESTION_WORDS)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import replies as r
 from ..operators import links as k
 from ..operators import metrics as m
+from ..operators import sketches as sk
 from . import views as v
 from .registry import query
+from .sources import scratch
 from .text import FIRST_REPLY
 from .views import hit, with_
 
@@ -66,3 +68,19 @@ def _(t):
     messages = v.msgs(t)
     pool = k.attach_first_reply(messages.filter("inbound").select("msg_id"), messages, v.BRAND)
     return m.coverage(pool, r.visible_resolution(F.col("brand_reply"), v.REDIRECT_WORDS))
+
+
+# --- sketches over the event stream -----------------------------------------
+
+
+@query("daily_sketches", """SELECT event_type AS brand, count(DISTINCT ts::DATE) AS days, count(*) AS n, count(DISTINCT user_id) AS users, true AS within FROM events GROUP BY 1""")
+def _(t):
+    """Two batches of days are stored one after the other; the merged estimate stays within four standard errors of the exact count."""
+    rows, path = t.events.withColumnRenamed("event_type", "brand"), scratch(t)
+    middle = rows.agg(F.percentile_approx(F.to_date("ts").cast("timestamp").cast("long"), 0.5)).first()[0] or 0
+    early = F.to_date("ts").cast("timestamp").cast("long") <= middle
+    for part in (early, ~early):
+        days = sk.store_days(t.spark, path, rows.filter(part), ["brand"], F.to_date("ts"), F.col("user_id"))
+    exact = rows.groupBy("brand").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1.0), 4 * sk.STANDARD_ERROR * F.col("users"))
+    return sk.merged(days, ["brand"]).join(exact, "brand").select("brand", "days", "n", "users", near.alias("within"))

@@ -8,10 +8,11 @@ from ..functions import defaults as d
 from ..functions import replies as r
 from ..functions import text as x
 from ..functions.rules import hit_names, weak_label
-from ..functions.text import HANDLE, NOT_SPACE, URL
+from ..functions.text import HANDLE, NOT_SPACE, URL, WORD
 from ..operators.labelling import difficulty_hint, ensure_columns, normalise_code
 from ..operators.links import attach_first_reply, brand_messages
 from ..operators.procedures import sop_inventory, sop_match
+from ..operators.rule_table import rules_that_hit
 from ..operators.triage import degenerate_record
 from . import views as v
 from .registry import query
@@ -327,3 +328,26 @@ def _(t):
 @query("sop_match", f"""SELECT doc_id, {v.sop_sql(v.LANG_SOPS, 'lang', 'text', lambda s: lit(s.sop_id))} AS sop_id FROM documents""")
 def _(t):
     return sop_match(t.texts(), "lang", "text", v.LANG_SOPS).select("doc_id", "sop.sop_id")
+
+
+# --- rules as a table ---------------------------------------------------------
+
+RULE_TABLE = f"""words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM documents),
+rules AS (SELECT strpos('0123456789abcdef', substr(md5(w), 2, 1)) - 1 AS rank, w AS name FROM words WHERE substr(md5(w), 1, 1) IN ('0', '1')),
+tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {lit(WORD + '+')})) AS token FROM documents),
+hits AS (SELECT DISTINCT doc_id, rank, name FROM tokens JOIN (SELECT rank, name, unnest([name, substr(name, 1, length(name) - 1) || 'q']) AS form FROM rules) ON form = token)"""
+
+
+def word_rules(t):
+    """An eighth of the documents' longer words, each as a pattern with two last letters."""
+    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w")).distinct()
+    pattern = F.expr("concat(substr(w, 1, length(w) - 1), '[q', right(w, 1), ']')")
+    return words.filter(F.substring(F.md5("w"), 1, 1).isin("0", "1")).select(
+        F.conv(F.substring(F.md5("w"), 2, 1), 16, 10).cast("bigint").alias("rank"), F.col("w").alias("name"),
+        pattern.alias("pattern"), F.lit("word").alias("reason"), F.lit(True).alias("whole_word"))
+
+
+@query("rule_table", with_(RULE_TABLE) + "SELECT doc_id, min(rank) AS first_rank, count(*) AS n_hits, min(name) AS first_name FROM hits GROUP BY 1")
+def _(t):
+    hits = rules_that_hit(t.documents, word_rules(t), "doc_id")
+    return hits.groupBy("doc_id").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n_hits"), F.min("name").alias("first_name"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,14 +19,15 @@ Scorer = Callable[[pd.DataFrame], pd.Series]
 
 def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scorer], *, attempts: int = 3,
                 backoff_seconds: float = 1.0, parallelism: int | None = None, batch_size: int = 64,
-                log: AnswerLog | None = None) -> DataFrame:
+                log: AnswerLog | None = None, derive: Mapping[str, Column] | None = None) -> DataFrame:
     """(key, raw, error): one answer per distinct request.
 
     ``scorer_factory`` runs once per task and returns a function from a batch of
     requests to raw answers (a row may be null); it gets at most ``batch_size`` requests at a time.  Rows
     without an answer are retried with linear back-off, those that have one are not sent again.  If a call
     raises, each of its rows is sent alone, so one bad row costs no other its answer.
-    Equal requests are sent once; ``parallelism`` bounds the concurrent clients.
+    Equal requests are sent once; ``parallelism`` bounds the concurrent clients.  ``derive``: columns that
+    are made of the others where a request is sent, so that they need not be moved there.
 
     With a ``log``, requests are dealt out by its buckets, answers that it holds are not asked for, and
     new ones are logged ``batch_size`` at a time as they come: a task that is lost after some of its calls
@@ -39,6 +40,7 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
     if log is None:
         if parallelism:
             distinct = distinct.repartition(parallelism, key)
+        distinct = distinct.withColumns(dict(derive or {}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scorer = scorer_factory()
@@ -50,6 +52,7 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
 
     dealt = distinct.withColumns({_BUCKET: log.bucket(F.col(key)), _LOGGED: F.col(key).cast("string")})
     dealt = dealt.repartition(min(parallelism or log.buckets, log.buckets), _BUCKET).sortWithinPartitions(_BUCKET)
+    dealt = dealt.withColumns(dict(derive or {}))
 
     def run_logged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, bucket, known = None, None, {}

@@ -53,15 +53,17 @@ class TriageRun:
     verdicts: DataFrame
 
 
-def answers_to(requests: DataFrame, key: str, factory: Factory, log_dir: str | None, stage: str) -> DataFrame:
+def answers_to(requests: DataFrame, key: str, factory: Factory, log_dir: str | None, stage: str, request: Column | None = None) -> DataFrame:
     """(key, raw, error), written down before anything else reads it, since answers cost calls.
 
-    With ``log_dir`` they are also logged while the stage runs; ``key`` has to name a request's whole content then.
+    ``request`` is made of the other columns where it is sent.  With ``log_dir`` answers are also logged while the
+    stage runs; ``key`` has to name a request's whole content then.
     """
+    derive = None if request is None else {"request": request}
     if log_dir is None:
-        return cut_lineage(score_batch(requests, key, factory))
+        return cut_lineage(score_batch(requests, key, factory, derive=derive))
     requests = cut_lineage(requests)
-    return cut_lineage(score_batch(requests, key, factory, log=AnswerLog.open(f"{log_dir}/{stage}", requests.count())))
+    return cut_lineage(score_batch(requests, key, factory, derive=derive, log=AnswerLog.open(f"{log_dir}/{stage}", requests.count())))
 
 
 def request_key(request: Column, *own: Column) -> Column:
@@ -76,11 +78,13 @@ def classify_misses(messages: DataFrame, stored: DataFrame, scorers: Scorers, ta
     """
     known = with_cached_intent(messages, stored)
     wanted = F.col("known_intent").isNull() & F.coalesce(~r.is_degenerate(F.col("customer_text")), F.lit(False))
-    request = fewshot_messages(F.col("customer_text"), scorers.instructions, scorers.examples)
+    def request(text: str) -> Column:
+        return fewshot_messages(F.col(text), scorers.instructions, scorers.examples)
+
     # Only rows that are asked meet the answers; all others, null texts among them, go past the join.
-    asked = known.filter(wanted).withColumn("request", request).withColumn("text_key", request_key(F.col("request")))
-    requests = asked.select("text_key", F.col("customer_text").alias("text"), "request")
-    scored = answers_to(requests, "text_key", scorers.classify, scorers.log_dir, "classify")
+    asked = known.filter(wanted).withColumn("text_key", request_key(request("customer_text")))
+    requests = asked.select("text_key", F.col("customer_text").alias("text"))
+    scored = answers_to(requests, "text_key", scorers.classify, scorers.log_dir, "classify", request("text"))
     answers = scored.select("text_key", parse_intent(F.col("raw"), taxonomy, fallback).alias("p"), F.col("raw").isNotNull().alias("answered"))
     intent, confidence = F.col("p.intent").alias("predicted_intent"), F.col("p.confidence").alias("intent_confidence")
     joined = asked.join(answers, "text_key", "left").select(*messages.columns, intent, confidence, "answered")
@@ -105,8 +109,8 @@ def triage_run(messages: DataFrame, corpus: DataFrame, s: TriageSettings, scorer
     verdicts, new = verdict_cache.select(*columns), verdict_cache.select(*columns).limit(0)
     if scorers.verify is not None:
         asked = verdict_requests(prepared, verdict_cache)
-        asked = asked.withColumn("request", verifier_request(F.col("customer_text"), F.col("procedure")))
-        answers = verdicts_from_scores(answers_to(asked, "verdict_key", scorers.verify, scorers.log_dir, "verify"))
+        request = verifier_request(F.col("customer_text"), F.col("procedure"))
+        answers = verdicts_from_scores(answers_to(asked, "verdict_key", scorers.verify, scorers.log_dir, "verify", request))
         verdicts, new = verdicts.unionByName(answers.select(*columns)), answers.filter("cacheable").select(*columns)
     records = finish(prepared, verdicts, s, drafts)
     if scorers.draft is not None:
@@ -118,12 +122,12 @@ def _drafted(records: DataFrame, factory: Factory, log_dir: str | None = None) -
     """Generated replies in place of templates; reused drafts and messages without usable text keep theirs."""
     wants = ~F.coalesce("reused", F.lit(False)) & F.coalesce(F.col("gate_triggered") != "degenerate_input", F.lit(True))
     request = draft_request(F.col("customer_text"), F.col("decision"), F.array_join("evidence_used", "\n"))
-    keyed = records.filter(wants).withColumn("request", request).withColumn("_key", request_key(F.col("request"), F.col("id")))
-    asked = keyed.select("_key", "id", "customer_text", "decision", "request")
-    answers = answers_to(asked, "_key", factory, log_dir, "draft").select("_key", F.col("raw").alias("_raw"))
+    keyed = records.filter(wants).withColumn("_key", request_key(request, F.col("id")))
+    asked = keyed.select("_key", "id", "customer_text", "decision", "evidence_used")
+    answers = answers_to(asked, "_key", factory, log_dir, "draft", request).select("_key", F.col("raw").alias("_raw"))
     blank = F.trim(F.coalesce("_raw", F.lit(""))) == ""
     reply = F.when(blank, F.col("drafted_reply")).otherwise(r.clean_draft(F.col("_raw"), F.col("decision")))
-    written = keyed.drop("request").join(answers, "_key", "left").withColumn("drafted_reply", reply).drop("_raw", "_key")
+    written = keyed.join(answers, "_key", "left").withColumn("drafted_reply", reply).drop("_raw", "_key")
     return written.unionByName(records.filter(~wants))
 
 
@@ -160,11 +164,11 @@ def judge_run(audit: DataFrame, factory: Factory, model: str, cached: DataFrame
     """
     if cached is not None and cache_valid(cached, audit, model).first()["valid"]:
         return cached
-    keyed = audit.withColumn("request", judge_request(F.col("customer_text"), F.col("drafted_reply"), F.col("evidence_used"))).withColumn(
-        "_key", request_key(F.col("request"), F.col("id")))
-    requests = keyed.select("_key", "id", F.col("drafted_reply").alias("text"), "customer_text", "evidence_used", "request")
+    keyed = audit.withColumn("_key", request_key(judge_request(F.col("customer_text"), F.col("drafted_reply"), F.col("evidence_used")), F.col("id")))
+    requests = keyed.select("_key", "id", F.col("drafted_reply").alias("text"), "customer_text", "evidence_used")
+    request = judge_request(F.col("customer_text"), F.col("text"), F.col("evidence_used"))
     stage = "judge-" + re.sub(r"[^A-Za-z0-9.-]", "_", model)
-    answers = answers_to(requests, "_key", factory, log_dir, stage).select("_key", parse_judge(F.col("raw")).alias("judged"))
+    answers = answers_to(requests, "_key", factory, log_dir, stage, request).select("_key", parse_judge(F.col("raw")).alias("judged"))
     rows = keyed.join(answers, "_key").select(
         "id", F.length("drafted_reply").alias("char_count"), r.synthetic_url(F.col("drafted_reply"), F.col("evidence_used")).alias("has_synthetic_url"), "judged")
     final = rows.withColumn("f", judge_guardrails(F.col("judged"), F.col("has_synthetic_url"), F.col("char_count"), max_chars))

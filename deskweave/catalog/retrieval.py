@@ -203,19 +203,32 @@ def _(t):
 TRAIN_PER_LABEL, ACCURACY_FLOOR = 60, 0.9
 
 
-@query("logreg_baseline", f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|{v.SEED}'), doc_id) AS rn FROM documents)
-SELECT count(*) FILTER (WHERE rn <= {TRAIN_PER_LABEL}) AS train_rows, count(*) FILTER (WHERE rn > {TRAIN_PER_LABEL}) AS test_rows, true AS above_floor FROM r""")
-def _(t):
+LOGREG = f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|{v.SEED}'), doc_id) AS rn FROM documents)
+SELECT count(*) FILTER (WHERE rn <= {TRAIN_PER_LABEL}) AS train_rows, count(*) FILTER (WHERE rn > {TRAIN_PER_LABEL}) AS test_rows, true AS above_floor FROM r"""
+
+
+def rated_model(t, n_terms):
     """Fitted on a balanced sample, scored on all other rows."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
     train = cut_lineage(balanced_sample(docs, "label", "id", TRAIN_PER_LABEL, v.SEED).select("id", "text", "label"))
     others = docs.join(train.select("id"), "id", "left_anti")
-    scored = train_intent_model(train)(others.select("id", "text"))
+    scored = train_intent_model(train, n_terms)(others.select("id", "text"))
     rated = m.accuracy(others.select("id", "label").join(scored.select("id", "predicted"), "id"), "label", "predicted")
     return rated.select(train.agg(F.count(F.lit(1))).scalar().alias("train_rows"), F.col("total").alias("test_rows"),
                         (F.col("accuracy") >= ACCURACY_FLOOR).alias("above_floor"))
 
 
+@query("logreg_baseline", LOGREG)
+def _(t):
+    return rated_model(t, 5000)
+
+
+@query("logreg_whole_vocabulary", LOGREG)
+def _(t):
+    """Every term of the sample is a feature."""
+    return rated_model(t, None)
+
+
 SEARCH = """hits AS (SELECT id, hit_id, similarity FROM (
   SELECT q.id, c.id AS hit_id, round(sum(q.w * c.w), 6) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY round(sum(q.w * c.w), 6) DESC, c.id DESC) AS rn
   FROM (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM qdocs)) q JOIN (SELECT * FROM vectors WHERE id IN (SELECT msg_id FROM cdocs)) c ON c.place = q.place GROUP BY 1, 2) WHERE rn = 1 AND similarity > 0)"""

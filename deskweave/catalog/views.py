@@ -18,6 +18,7 @@ from ..functions.text import HANDLE, SPACE
 from ..operators.neighbours import knn
 from ..operators.sampling import stratified_split
 from ..operators.triage import decide
+from ..session import cut_lineage
 from ..sources.tables import spread
 
 BRAND = "assistant"
@@ -207,10 +208,10 @@ EVALF = """evalf AS (
 
 @view
 def golden_ids(t: Tables) -> DataFrame:
-    """Ids of the golden set alone (no texts or vectors are read)."""
-    return t.embeddings.select(F.col("vec_id").alias("id")).join(
+    """Ids of the golden set alone (no texts or vectors are read), written down once for all that need them."""
+    return cut_lineage(t.embeddings.select(F.col("vec_id").alias("id")).join(
         t.labels.select(F.col("doc_id").alias("id")), "id", "left_semi").join(
-        t.documents.select(F.col("doc_id").alias("id")), "id", "left_semi")
+        t.documents.select(F.col("doc_id").alias("id")), "id", "left_semi"))
 
 
 @view
@@ -255,8 +256,7 @@ CLASSIFIED = f"classified AS (SELECT *, {PREDICTED} AS predicted_intent, 0.5 + (
 @view
 def top1(t: Tables) -> DataFrame:
     """(id, hit_id, similarity): best past case within the predicted intent."""
-    rows = classified(t)
-    found = knn(rows.select("id", "embedding", "predicted_intent"), corpus(t), 1,
+    found = knn(judged(t).select("id", "embedding", "predicted_intent"), corpus(t), 1,
                 scopes=F.array("predicted_intent"), corpus_scope=F.col("silver_intent"), taxonomy=TAXONOMY)
     return found.select("id", F.col("vec_id").alias("hit_id"), "similarity")
 
@@ -276,14 +276,18 @@ top1 AS (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, hit_id DESC) AS rn FROM sims) WHERE rn <= {k})"""
 
 
+@view
+def judged(t: Tables) -> DataFrame:
+    """Golden rows with their first gate and verdict instead of the text; written down, since search, gates and splits all start here."""
+    gate = first_gate(F.col("customer_text"), GATES, F.col("predicted_intent"), OTHER, CATCH_ALL)
+    return cut_lineage(classified(t).select("id", "gold_intent", "predicted_intent", "confidence", "difficulty_tier", "gold_decision", "embedding",
+                                            gate.alias("gate"), verdict().alias("resolves")))
+
+
 @view
 def gated_rows(t: Tables) -> DataFrame:
     """Stored intents plus best case, first gate and verdict, without texts and vectors."""
-    rows = classified(t)
-    gate = first_gate(F.col("customer_text"), GATES, F.col("predicted_intent"), OTHER, CATCH_ALL)
-    slim = rows.select("id", "gold_intent", "predicted_intent", "confidence", "difficulty_tier", "gold_decision",
-                       gate.alias("gate"), verdict().alias("resolves"))
-    return slim.join(top1(t), "id", "left")
+    return judged(t).drop("embedding").join(top1(t), "id", "left")
 
 
 def preds(t: Tables, tau_low: float = TAU_LOW, tau_high: float = TAU_HIGH) -> DataFrame:
@@ -331,7 +335,7 @@ def split_preds(t: Tables) -> DataFrame:
 
     The split needs ids and strata only, so it is made before the scoring.
     """
-    halves = with_split(evalf(t).select("id", "gold_intent", "difficulty_tier")).select("id", "split")
+    halves = with_split(judged(t).select("id", "gold_intent", "difficulty_tier")).select("id", "split")
     return preds(t).join(halves, "id")
 
 

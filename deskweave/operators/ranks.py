@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def seeded_hash(id_col: Column, seed: object) -> Column:
     """Reproducible shuffle order: md5 of 'id|seed'."""
@@ -38,28 +40,36 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     )
 
 
+#: Strata up to which their sizes are summed in one task, and rows up to which the offsets of pieces are broadcast.
+FEW_STRATA, BROADCAST_PIECES = 100_000, 500_000
+
+
 def hash_ranks(df: DataFrame, strata: Sequence[str], id_col: str, seed: object, prefix_chars: int = 3) -> DataFrame:
     """Add ``rank`` (1.. within the stratum by seeded hash), ``stratum_n``, ``stratum_before`` and ``all_n``.
 
     ``stratum_before`` is the number of rows in the strata sorting earlier, so
-    ``stratum_before + rank`` numbers all ``all_n`` rows.  ``df`` is read twice
-    (rank and count), so pass narrow rows and join the result by id.  Pieces are leading hash digits:
-    equally large whatever the data, and already in order.
+    ``stratum_before + rank`` numbers all ``all_n`` rows.  ``df`` is read once and written down with its hashes,
+    so pass narrow rows and join the result by id.  Pieces are leading hash digits: equally large whatever
+    the data, and already in order; their counts are written down as well, and everything else follows from them.
     """
-    hashed = df.withColumn("_key", F.struct(*strata)).withColumn("_hash", seeded_hash(F.col(id_col), seed)).withColumn(
-        "_piece", F.substring("_hash", 1, prefix_chars)
-    )
+    hashed = cut_lineage(df.withColumn("_key", F.struct(*strata)).withColumn("_hash", seeded_hash(F.col(id_col), seed)).withColumn(
+        "_piece", F.substring("_hash", 1, prefix_chars)))
     local = Window.partitionBy("_key", "_piece").orderBy("_hash", id_col)
     ranked = hashed.withColumn("_local", F.row_number().over(local))
-    pieces = hashed.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    pieces = cut_lineage(hashed.groupBy("_key", "_piece").agg(F.count(F.lit(1)).alias("_n")))
     within = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    # Strata may be many, so their own order is cut into pieces like any other.
-    sizes = pieces.groupBy("_key").agg(F.sum("_n").alias("stratum_n")).select(F.col("_key").alias("_stratum"), "stratum_n", F.lit(0).alias("_all"))
-    totals = running_sums(sizes, ["_all"], ["_stratum"], {"_upto": F.col("stratum_n")}).select(
-        F.col("_stratum").alias("_key"), "stratum_n", (F.col("_upto") - F.col("stratum_n")).alias("stratum_before"),
-        sizes.agg(F.sum("stratum_n")).scalar().alias("all_n"))
-    offsets = offsets.join(totals, "_key").drop("_n")
+    sizes = cut_lineage(pieces.groupBy("_key").agg(F.sum("_n").alias("stratum_n")))
+    n_strata, all_n = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("stratum_n"), F.lit(0))).first()
+    if n_strata <= FEW_STRATA:
+        earlier = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+        totals = sizes.withColumn("stratum_before", F.coalesce(F.sum("stratum_n").over(earlier), F.lit(0)))
+    else:  # then their own order is cut into pieces like any other
+        named = sizes.select(F.col("_key").alias("_stratum"), "stratum_n", F.lit(0).alias("_all"))
+        totals = running_sums(named, ["_all"], ["_stratum"], {"_upto": F.col("stratum_n")}).select(
+            F.col("_stratum").alias("_key"), "stratum_n", (F.col("_upto") - F.col("stratum_n")).alias("stratum_before"))
+    offsets = pieces.select("_key", "_piece", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before")).join(totals, "_key")
+    offsets = cut_lineage(offsets.withColumn("all_n", F.lit(all_n).cast("long")))
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_PIECES else offsets
     return (
         ranked.join(offsets, ["_key", "_piece"])
         .withColumn("rank", F.col("_before") + F.col("_local"))

@@ -39,7 +39,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], id_col: str, test_siz
     Rows are numbered through all strata; row ``r`` of ``total`` is a test row
     when ``ceil(r * size / total)`` steps up, in integer arithmetic.  A share is
     rounded up to a whole number of rows.  Pass narrow rows (id and strata) and
-    join the split by id: ``df`` is read twice.
+    join the split by id: they are written down.
     """
     total = F.col("all_n")
     if isinstance(test_size, float):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +59,19 @@ def retrieval_policy_report(golden: DataFrame, corpus: DataFrame, gates: Sequenc
     return sweep.withColumn("intent_match", m.rate(F.col("_matched"), F.col("_known"))).drop("_known", "_matched")
 
 
-def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: float = 1.0, max_iter: int = 500):
+def train_intent_model(train: DataFrame, n_terms: int | None = 5000, regularisation: float = 1.0, max_iter: int = 500):
     """Multinomial logistic regression on TF-IDF rows of (id, text, label).
 
     Returns a function that adds ``predicted`` to (id, text) rows.  The training
-    set is a bounded balanced sample, the term table is bounded by ``n_terms``
-    and the label list by the taxonomy.
+    set is a bounded balanced sample, and the label list is bounded by the taxonomy; the vocabulary is the
+    ``n_terms`` most frequent terms of the sample, or all of them (None).  Rows are sparse throughout, so
+    a row holds as many numbers as it has terms, whatever the vocabulary.  The fit runs here and now.
     """
     spark = train.sparkSession
-    counts = term_counts(train, "id", "text")
-    idf = fit_idf(counts, train, n_terms).persist()
+    counts = cut_lineage(term_counts(train, "id", "text"))
+    idf = cut_lineage(fit_idf(counts, train, n_terms))
+    if n_terms is None:
+        idf = cut_lineage(_numbered(idf))
     size = idf.count()
     labels = [row[0] for row in train.select("label").distinct().orderBy("label").collect()]
     codes = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, float(i))])
@@ -80,15 +84,16 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
                                 elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4).fit(data)
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     data.unpersist()
-    coefficients = spark.createDataFrame(
-        [(i, [float(x) for x in matrix[:, i]]) for i in range(size)], "term_ix int, coefficients array<double>")
+    coefficients = spark.createDataFrame(pa.table({
+        "term_ix": pa.array(range(size), pa.int32()),
+        "coefficients": pa.ListArray.from_arrays(pa.array(range(0, size * len(matrix) + 1, len(matrix)), pa.int32()), pa.array(matrix.T.ravel()))}))
+    coefficients = F.broadcast(coefficients) if size <= BROADCAST_TERMS else cut_lineage(coefficients)
 
     def predict(texts: DataFrame) -> DataFrame:
-        # Scoring is a join with the (bounded) coefficient table and one sum per label.
+        # Scoring is a join with the coefficient table and one sum per label.
         weights = sparse_rows(term_counts(texts, "id", "text"), idf, n_terms).select(
             "id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
-        joined = weights.select("id", F.col("e.terms").alias("term_ix"), F.col("e.weights").alias("w")).join(
-            F.broadcast(coefficients), "term_ix")
+        joined = weights.select("id", F.col("e.terms").cast("int").alias("term_ix"), F.col("e.weights").alias("w")).join(coefficients, "term_ix")
         sums = joined.groupBy("id").agg(*[
             F.sum(F.col("w") * F.element_at("coefficients", i + 1)).alias(f"_s{i}") for i in range(len(labels))])
         best = F.array_max(F.array(*[
@@ -100,7 +105,7 @@ def train_intent_model(train: DataFrame, n_terms: int = 5000, regularisation: fl
 
 
 def baselines_report(golden: DataFrame, corpus: DataFrame, train: DataFrame, gates: Sequence[Rule], in_taxonomy: Sequence[str],
-                     taus: Sequence[float] = SWEEP_TAUS, n_terms: int = 5000) -> DataFrame:
+                     taus: Sequence[float] = SWEEP_TAUS, n_terms: int | None = 5000) -> DataFrame:
     """(baseline, metric, value) of all three: constant answers, the fitted classifier, and TF-IDF retrieval with gates at each tau.
 
     ``golden`` as for ``retrieval_policy_report``; ``train``: id, text, label.  The classifier is rated on golden rows of the taxonomy.
@@ -122,16 +127,20 @@ def baselines_report(golden: DataFrame, corpus: DataFrame, train: DataFrame, gat
             .unionByName(rows(F.concat(F.lit("retrieval@"), F.col("tau").cast("string")), sweep, ["tau"])))
 
 
+def _numbered(idf: DataFrame) -> DataFrame:
+    """Terms numbered 0, 1, ... without a gap, each partition by itself after those before it."""
+    rows = cut_lineage(idf.select("term", "idf").withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33).cast("int")
+    sizes = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
+    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0))
+    start = F.element_at(F.array(*[F.lit(x) for x in before]), part + 1)
+    return rows.select("term", (start + F.col("_row") % (1 << 33)).cast("int").alias("term_ix"), "idf")
+
+
 def _ml_vectors(rows: DataFrame, size: int) -> DataFrame:
-    """Sparse rows as ML vectors.
+    """(id, features): sparse rows of a bounded training set as sparse ML vectors."""
+    @F.udf(VectorUDT())
+    def vector(terms, weights):
+        return SparseVector(size, terms, weights)
 
-    Zeros are filled into the gaps between the sorted terms; the assembler then
-    stores the vector in its sparse form.
-    """
-    zero = F.lit(0.0)
-    n = F.size("terms")
-    gaps = F.zip_with("terms", F.concat(F.array(F.lit(-1)), F.slice("terms", F.lit(1), n - 1)), lambda t, p: t - p - 1)
-    filled = F.flatten(F.zip_with(gaps, "weights", lambda g, w: F.concat(F.array_repeat(zero, g), F.array(w))))
-    tail = F.array_repeat(zero, F.lit(size) - 1 - F.element_at("terms", -1))
-    dense = rows.select("id", array_to_vector(F.concat(filled, tail)).alias("_dense"))
-    return VectorAssembler(inputCols=["_dense"], outputCol="features").transform(dense).drop("_dense")
+    return rows.select("id", vector("terms", "weights").alias("features"))

@@ -1,6 +1,7 @@
 """Sources, stored results, scorer answers and the incremental run."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import types as T
 from deskweave.functions import responses as p
 from deskweave.functions.vectors import l2_normalise
 from deskweave.operators.scoring import cache_valid, misses, new_entries
-from deskweave.plans.baselines import train_intent_model
+from deskweave.operators.tfidf import fit_idf, sparse_rows, term_counts
+from deskweave.plans.baselines import _ml_vectors, _numbered, train_intent_model
 from deskweave.plans.corpus import messages_from_dump
 from deskweave.plans.spot_check import spot_check
 from deskweave.plans.triage import triage_batch
@@ -180,3 +182,21 @@ def test_a_damaged_file_costs_only_its_entries(spark, tmp_path):
     (tmp_path / "cache" / "part-damaged.parquet").write_bytes(b"PAR1 no parquet at all PAR1")
     assert sorted(r.verdict_key for r in s.read_cache(spark, path, rows.schema).collect()) == ["a", "b"]
     assert s.read_cache(spark, str(tmp_path / "none"), rows.schema).count() == 0
+
+
+def test_a_model_of_the_whole_vocabulary_stays_sparse(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join([f"word{i}", *rng.choices(["common", "some", "other"], k=rng.randint(1, 9)), *(["playing", "song"] if i % 3 else ["paying", "bill"]), f"tail{i}"]),
+             "play" if i % 3 else "pay") for i in range(120)]
+    train = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
+    counts = term_counts(train, "id", "text")
+    idf = _numbered(fit_idf(counts, train, None)).cache()
+    numbers = sorted(r.term_ix for r in idf.collect())
+    assert numbers == list(range(len(numbers))) and len(numbers) > 240
+    vectors = [r.features for r in _ml_vectors(sparse_rows(counts, idf, None), len(numbers)).collect()]
+    assert len(vectors) == 120 and all(type(v).__name__ == "SparseVector" and v.size == len(numbers) and len(v.indices) < 40 for v in vectors)
+    idf.unpersist()
+    predict = train_intent_model(train, n_terms=None, max_iter=50)
+    asked = spark.createDataFrame([(1, "a new song is playing"), (2, "the bill, paying again"), (3, "unheard"), (4, None)], "id long, text string")
+    got = {r.id: r.predicted for r in predict(asked).collect()}
+    assert got[1] == "play" and got[2] == "pay" and set(got) == {1, 2, 3, 4}

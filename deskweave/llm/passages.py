@@ -37,12 +37,16 @@ PIECE = 1024
 GAP_WORDS = 12
 #: Paragraphs on either side whose keepers may be a paragraph's own in a run.
 AROUND = 8
+#: Numbers by which paragraphs that count as neighbours differ at most; between them may be one that comes nowhere else.
+APART = 2
 #: A sentence with more words is cut where the words' hashes say, so that its parts can be told apart.
 LONG_SENTENCE = 24
 #: Such a cut has the least hash of this many words on either side, so cuts are further apart than that.
 REACH = 4
 #: Bytes of text that make a block.
 BLOCK_BYTES = 6 << 20
+#: Bytes of text for each bucket of a band's keys.
+BUCKET_BYTES = 16 << 20
 _NO_ID = 2**63 - 1
 _SEEDS = np.random.default_rng(77).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -345,8 +349,8 @@ def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     """(id, late): for each text its paragraphs that a text with a smaller id has too, or one nearly the same."""
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    buckets = max(8, -(-held // BUCKET_BYTES))
     found = cut_lineage(_collisions(_entries(docs, bands_for(similarity), buckets), buckets))
     exact = found.where("other_id IS NULL AND band_key IS NULL").select("content", "id", "number")
     pairs = found.where("other_id IS NOT NULL").select("id", "number", "other_id", "other_number").distinct()
@@ -365,16 +369,31 @@ def _keepers(docs: DataFrame, similarity: float) -> DataFrame:
     low = places.groupBy("content").agg(F.min("id").alias("low"))
     group = low.join(roots.withColumnRenamed("node", "content"), "content", "left").withColumn("root", F.coalesce("root", "content"))
     keeper = cut_lineage(group.join(group.groupBy("root").agg(F.min("low").alias("keeper")), "root").select("content", "root", "keeper"))
-    rooted = places.join(keeper, "content")
+    rooted = cut_lineage(_followed(places.join(keeper, "content")))
     late = rooted.where("id > keeper")
-    # Where the keepers of a paragraph and of those around it have it, so that a run can follow one of them.
+    # The first texts that have a paragraph, or it and its neighbour, also for those around: a run can follow any of them.
     around = Window.partitionBy("id").orderBy("number").rangeBetween(-AROUND, AROUND)
-    asked = late.withColumn("nearby", F.collect_set("keeper").over(around)).withColumn("kept", F.explode("nearby"))
+    late = late.withColumn("nearby", F.collect_set(F.array_compact(F.array("keeper", "pair_keeper"))).over(around))
+    asked = late.withColumn("nearby", F.array_distinct(F.flatten("nearby"))).withColumn("kept", F.explode(F.filter("nearby", lambda x: x < F.col("id"))))
     spots = cut_lineage(rooted.groupBy("root", F.col("id").alias("kept")).agg(F.min("number").alias("place"), (F.min("number") < F.max("number")).alias("several")))
     marks = asked.join(spots, ["root", "kept"]).groupBy("id", "number", "content", "keeper").agg(F.sort_array(F.collect_set(F.struct("kept", "place", "several"))).alias("spots"))
     return marks.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("number", "content", "keeper", "spots"))).alias("late"))
 
 
+def _followed(rooted: DataFrame) -> DataFrame:
+    """``rooted`` with ``pair_keeper``: the smallest id of a text in which a paragraph alike comes before one like the next.
+
+    A passage of sentences that each occur in some earlier text has no keeper of its own among these; the first
+    text that holds two of them side by side is the first that can hold the passage.
+    """
+    order = Window.partitionBy("id").orderBy("number", "content")
+    behind = F.lead(F.struct("root", "number")).over(order)
+    ahead = rooted.withColumn("behind", behind).withColumn("next_root", F.when(F.col("behind.number") - F.col("number") <= APART, F.col("behind.root"))).drop("behind")
+    ahead = cut_lineage(ahead)
+    low = cut_lineage(ahead.where("next_root IS NOT NULL").groupBy("root", "next_root").agg(F.min("id").alias("pair_keeper")))
+    return ahead.join(low, ["root", "next_root"], "left").drop("next_root")
+
+
 def remove_repeats(docs: DataFrame, keep: list[Column], schema: str, id_col: str = "doc_id", text_col: str = "text",
                    similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """``keep`` columns of every row, clean (its text without passages that a text with a smaller id has) and cuts.

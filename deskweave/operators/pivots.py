@@ -15,20 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from ..sources.tables import table_exists
-from .neighbours import _block_scorer, _dense_kernel
+from .neighbours import _best_columns, _matrix
 
 #: Rows for each pivot, and the most pivots there are.
 ROWS_PER_PIVOT, MOST_PIVOTS = 256, 1024
 #: Rows of a cell for each ring, and the most rings there are.
 ROWS_PER_RING, MOST_RINGS = 128, 16
-#: Rows of a block that are scored at a time, and queries that meet them.
-SLICE_ROWS, QUERY_ROWS = 32_768, 32_768
+#: Rows that are scored at a time at most, and queries that meet them.
+SLICE_ROWS, QUERY_ROWS = 32_768, 8_192
+#: Shelves of blocks side by side into which a corpus is cut at least; more if they would be too large.
+SHELVES = 16
 #: Blocks up to which the table of bounds is handed to the tasks; pivots, rings and scopes bound their number.
 MOST_BLOCKS = 1_000_000
 #: Visited blocks up to which they are broadcast, and scopes or cells up to which a scan's filter names them.
@@ -104,41 +107,42 @@ class PivotIndex:
         plan = _Plan(self.blocks, self.pivots, k, tuple(taxonomy))
         # No bound is known yet: the best blocks, until they hold k rows.
         first = plan.visits(asked.withColumn("floor", F.lit(None).cast("double")))
-        near, met_first = self._meet(first, k)
+        near, met_first = self._meet(first, plan, k)
         near = cut_lineage(near)
         floor = _kth(near, k)
         rest = plan.visits(asked.join(floor, "q_id"))
-        far, met_rest = self._meet(rest, k)
+        far, met_rest = self._meet(rest, plan, k)
         best = Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), F.col("c_id").desc())
         ranked = near.unionByName(far).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        n = sum(self.blocks.column("slices").to_pylist())
-        return Found(ranked.withColumnsRenamed({"q_id": query_id, "c_id": self._hit(query_id)}), met_first + met_rest, n)
+        return Found(ranked.withColumnsRenamed({"q_id": query_id, "c_id": self._hit(query_id)}), met_first + met_rest, self.blocks.num_rows)
 
     def _hit(self, query_id: str) -> str:
         return self.corpus_id if self.corpus_id != query_id else "hit_id"
 
-    def _meet(self, visits: DataFrame, k: int) -> tuple[DataFrame, int]:
+    def _meet(self, visits: DataFrame, plan: _Plan, k: int) -> tuple[DataFrame, int]:
         """Best rows of each query in the blocks it visits, and the number of visits."""
         spark = visits.sparkSession
-        counts = {r["block"]: r["count"] for r in visits.groupBy("block").count().collect()}
+        counts = {r["shelf"]: (r["n"], r["met"]) for r in visits.groupBy("shelf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("met")).alias("met")).collect()}
         table = self.blocks.to_pylist()
-        met = spark.createDataFrame([(*[table[b][c] for c in _BLOCKS], b, table[b]["slices"], -(-n // QUERY_ROWS)) for b, n in counts.items()],
-                                    "scope string, cell int, ring int, block int, slices int, parts int")
-        met = F.broadcast(met) if len(counts) <= BROADCAST_BLOCKS else met
+        parts = {shelf: -(-n // QUERY_ROWS) for shelf, (n, _) in counts.items()}
+        met = spark.createDataFrame([(*[table[b][c] for c in _BLOCKS], b, shelf, parts[shelf]) for b, shelf in enumerate(plan.shelf.tolist()) if shelf in parts],
+                                    "scope string, cell int, ring int, block int, shelf int, parts int")
+        shelves = spark.createDataFrame([(shelf, n, int(plan.slices[plan.shelf == shelf].max())) for shelf, n in parts.items()], "shelf int, parts int, slices int")
+        met = F.broadcast(met) if met.count() <= BROADCAST_BLOCKS else met
         # Only what is visited is read: scopes are folders, and files keep the rows of a cell together.
         rows = self.rows
         for name in ("scope", "cell"):
-            visited = sorted({table[b][name] for b in counts})
+            visited = sorted({table[b][name] for b, shelf in enumerate(plan.shelf.tolist()) if shelf in parts})
             if len(visited) <= NAMED_AT_MOST:
                 rows = rows.filter(F.col(name).isin(visited))
-        rows = rows.join(met.drop("slices"), list(_BLOCKS)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        q = visits.join(met.select("block", "slices", "parts"), "block").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int"))
+        rows = rows.join(met, list(_BLOCKS)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        q = visits.join(F.broadcast(shelves), "shelf").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int"))
         q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         ids = f"q_id {visits.schema['q_id'].dataType.simpleString()}, c_id {self.rows.schema['c_id'].dataType.simpleString()}"
-        keys = ["block", "slice", "part"]
-        scored = (q.select("q_id", "q_vec", *keys).groupBy(*keys).cogroup(rows.select("c_id", "c_vec", *keys).groupBy(*keys))
-                  .applyInArrow(_block_scorer(_dense_kernel, k, True), f"{ids}, similarity double"))
-        return scored, sum(n * table[b]["slices"] for b, n in counts.items())
+        keys = ["shelf", "slice", "part"]
+        scored = (q.select("q_id", "q_vec", "met", *keys).groupBy(*keys).cogroup(rows.select("c_id", "c_vec", "block", *keys).groupBy(*keys))
+                  .applyInArrow(_shelf_scorer(k), f"{ids}, similarity double"))
+        return scored, sum(n for _, n in counts.values())
 
 
 @dataclass(frozen=True)
@@ -162,6 +166,13 @@ class _Plan:
     def __init__(self, blocks: pa.Table, pivots: np.ndarray, k: int, taxonomy: tuple[str, ...]):
         self.k, self.pivots = k, pivots
         self.cell, self.rows = blocks.column("cell").to_numpy(), blocks.column("n").to_numpy()
+        self.slices = blocks.column("slices").to_numpy()
+        # Blocks side by side share a shelf, to which a query travels once; one that is scored in slices has its own.
+        room, self.shelf, shelf, held = max(1, min(SLICE_ROWS, -(-int(self.rows.sum()) // SHELVES))), np.zeros(len(self.rows), np.int32), 0, 0
+        for b, (n, slices) in enumerate(zip(self.rows.tolist(), self.slices.tolist(), strict=True)):
+            if held and (held + n > room or slices > 1):
+                shelf, held = shelf + 1, 0
+            self.shelf[b], held = shelf, held + n if slices == 1 else room
         self.low, self.high, self.least, self.most = (blocks.column(c).to_numpy() for c in ("low", "high", "least_norm", "most_norm"))
         names = blocks.column("scope").to_pylist()
         self.inside = {t: np.array([n == _SCOPE + t for n in names], bool) for t in taxonomy}
@@ -179,29 +190,79 @@ class _Plan:
         return norm[:, None] * np.where(cosine >= 0, cosine * self.most, cosine * self.least) + 1e-7 * norm[:, None] * self.most
 
     def visits(self, asked: DataFrame) -> DataFrame:
-        """(q_id, q_vec, block): the first blocks of queries without a floor, and all other blocks that may reach it of those with one."""
+        """(q_id, q_vec, shelf, met): the first blocks of queries without a floor, and all other blocks that may reach it of those with one."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, _CHUNK_CELLS // len(self.cell))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    bounds = self._bounds(*_units(part.column(1), part.num_rows))
-                    for i, wanted in enumerate(part.column(2).to_pylist()):
-                        allowed = self._allowed(wanted)
-                        if allowed is not None:
-                            bounds[i, ~allowed] = -np.inf
-                    order = np.argsort(-bounds, axis=1, kind="stable")
-                    before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
-                    ranked = np.take_along_axis(bounds, order, axis=1)
-                    first = (before < self.k) & (ranked > -np.inf)
-                    floor = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-                    chosen = np.where(np.isnan(floor)[:, None], first, ~first & (ranked >= (floor - _DECIMALS_MARGIN)[:, None]))
-                    row, place = np.nonzero(chosen)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))],
-                                                     ["q_id", "q_vec", "block"])
+                    row, block = self._chosen(part)
+                    if not len(row):
+                        continue
+                    first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(self.shelf[block]) != 0)]))
+                    offsets = np.append(first, len(row)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).take(pa.array(row[first])), part.column(1).take(pa.array(row[first])), pa.array(self.shelf[block[first]]),
+                        pa.ListArray.from_arrays(offsets, pa.array(block.astype(np.int32)))], ["q_id", "q_vec", "shelf", "met"])
 
         kinds = dict(asked.dtypes)
-        return asked.select("q_id", "q_vec", "wanted", "floor").mapInArrow(run, f"q_id {kinds['q_id']}, q_vec {kinds['q_vec']}, block int")
+        return asked.select("q_id", "q_vec", "wanted", "floor").mapInArrow(run, f"q_id {kinds['q_id']}, q_vec {kinds['q_vec']}, shelf int, met array<int>")
+
+    def _chosen(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block), in this order, of the blocks that the queries of a batch visit."""
+        bounds = self._bounds(*_units(part.column(1), part.num_rows))
+        for i, wanted in enumerate(part.column(2).to_pylist()):
+            allowed = self._allowed(wanted)
+            if allowed is not None:
+                bounds[i, ~allowed] = -np.inf
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, order, before < self.k, axis=1)
+        floor = part.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+        wanted = np.where(np.isnan(floor)[:, None], first, ~first & (bounds >= (floor - _DECIMALS_MARGIN)[:, None]))
+        return np.nonzero(wanted & (bounds > -np.inf))
+
+
+def _shelf_scorer(k: int):
+    """The best rows of each query among those of the blocks of a shelf that it visits."""
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([("q_id", asked.schema.field("q_id").type), ("c_id", held.schema.field("c_id").type), ("similarity", pa.float64())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        held = held.sort_by([("block", "ascending"), ("c_id", "descending")]).combine_chunks()  # preferred ids first
+        asked = asked.combine_chunks()
+        corpus, queries = _matrix(held.column("c_vec"), held.num_rows), _matrix(asked.column("q_vec"), asked.num_rows)
+        blocks, begin = np.unique(held.column("block").to_numpy(), return_index=True)
+        end = np.append(begin[1:], held.num_rows)
+        lists = asked.column("met").combine_chunks()
+        visitor, visited = np.repeat(np.arange(asked.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        by = np.argsort(visited, kind="stable")
+        visitor, visited = visitor[by], visited[by]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for block, low, high in zip(blocks.tolist(), begin.tolist(), end.tolist(), strict=True):
+            some = visitor[np.searchsorted(visited, block) : np.searchsorted(visited, block, side="right")]
+            for at in range(0, len(some), max(1, _CHUNK_CELLS // (high - low))):
+                rows = some[at : at + max(1, _CHUNK_CELLS // (high - low))]
+                row, col, sims = _best_columns(queries[rows] @ corpus[low:high].T, k)
+                best = tuple(np.concatenate(x) for x in zip(best, (rows[row], low + col, sims), strict=True))
+            if len(best[0]) > 2 * k * asked.num_rows + 1_000_000:
+                best = _cut(best, held, k)
+        row, col, sims = _cut(best, held, k)
+        return pa.table([asked.column("q_id").take(pa.array(row)), held.column("c_id").take(pa.array(col)), pa.array(sims)], schema=schema)
+
+    return score
+
+
+def _cut(found: tuple[np.ndarray, np.ndarray, np.ndarray], held: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query, the higher id first among equal scores."""
+    preferred = np.empty(held.num_rows, np.int64)
+    preferred[pc.array_sort_indices(held.column("c_id").combine_chunks(), order="descending").to_numpy()] = np.arange(held.num_rows)
+    row, col, sims = found
+    order = np.lexsort((preferred[col], -sims, row))
+    row, col, sims = row[order], col[order], sims[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], sims[keep]
 
 
 def _build(spark: SparkSession, path: str, corpus: DataFrame, corpus_id: str, vector: str, scope: Column | None, seed: int) -> None:

@@ -1,11 +1,15 @@
 """Nearest sparse row over an inverted index, with upper bounds that keep common terms out of the candidates.
 
-Postings are dealt out by term and by level of weight.  A term's largest weight bounds what it can add to a
-score, and the length of a part of a query bounds what all its terms together can add.  A query first scores
-the champions of its strongest and its rarest terms exactly; the best of them is a floor.  Its commonest terms,
-as long as they cannot reach the floor without others, are left out; of the rest only those levels are met
-from which the floor can still be reached.  What they bring together, with the bound of what was left out, has
-to reach the floor as well; the few pairs that are left are scored exactly.
+A term's largest weight bounds what it can add to a score, and the length of a part of a query bounds what all
+its terms together can add.  A query first scores the champions of its strongest and its rarest terms exactly;
+the best of them is a floor.  Its commonest terms, as long as they cannot reach the floor without others, are
+left out; of the rest only those postings are met from which the floor can still be reached.  What they bring
+together, with the bound of what was left out, has to reach the floor as well; the few pairs that are left
+are scored exactly.
+
+Queries and corpus are cut into blocks, as in ``neighbours``; two blocks meet in a group that builds the postings
+of its rows and touches only those that the bounds leave, so that no pair is shuffled and no block of all
+queries with all rows exists.
 """
 
 from __future__ import annotations
@@ -21,22 +25,16 @@ from ..session import cut_lineage
 
 #: Strongest terms of a query, and rarest ones, whose champions it scores first.
 CHAMPIONS = 4
-#: Levels of weight: 1 to 1/2, 1/2 to 1/4, ...; the last holds all smaller ones.
-LEVELS = 16
+#: Rows of a block at most, and blocks of either side that there are at least, if they are not smaller than LEAST_BLOCK.
+BLOCK, BLOCKS, LEAST_BLOCK = 32_768, 3, 1_024
+#: Postings that are touched at a time.
+TOUCHED = 2_000_000
 DECIMALS = 6
+#: Pairs whose whole rows are put side by side at a time.
+PAIRS = 20_000
 _MARGIN = 2e-6
 
 
-def postings_of(corpus: DataFrame) -> DataFrame:
-    """(term, level, c_id, weight) of rows (c_id, c_terms, c_weights)."""
-    rows = corpus.select("c_id", F.explode(F.arrays_zip("c_terms", "c_weights")).alias("p"))
-    return rows.select(F.col("p.c_terms").alias("term"), _level(F.col("p.c_weights")).alias("level"), "c_id", F.col("p.c_weights").alias("weight"))
-
-
-def _level(weight):
-    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(-F.log2(weight)))).cast("int")
-
-
 def sparse_best(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str, bounded_terms: bool = False) -> DataFrame:
     """(query_id, corpus_id, similarity): the corpus row with the largest sparse dot product, the lower id among equal ones.
 
@@ -49,27 +47,44 @@ def sparse_best(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_
 
 
 def _sides(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides, written down; of corpus rows that are alike, the one with the lowest id."""
     q = queries.select(F.col(query_id).alias("q_id"), F.col("terms").alias("q_terms"), F.col("weights").alias("q_weights"))
-    c = corpus.select(F.col(corpus_id).alias("c_id"), F.col("terms").alias("c_terms"), F.col("weights").alias("c_weights"))
-    return cut_lineage(q), cut_lineage(c)
+    c = corpus.groupBy(F.col("terms").alias("c_terms"), F.col("weights").alias("c_weights")).agg(F.min(corpus_id).alias("c_id"))
+    return cut_lineage(q), cut_lineage(c.select("c_id", "c_terms", "c_weights"))
 
 
 def best_pairs(q: DataFrame, c: DataFrame, bounded_terms: bool) -> DataFrame:
-    scored = _exact(candidates(q, c, bounded_terms), q, c)
+    scored = candidates(q, c, bounded_terms, best=True)
     order = Window.partitionBy("q_id").orderBy(F.col("similarity").desc(), "c_id")
     return scored.withColumn("place", F.row_number().over(order)).filter("place = 1 AND similarity > 0").select("q_id", "c_id", "similarity")
 
 
-def candidates(q: DataFrame, c: DataFrame, bounded_terms: bool) -> DataFrame:
-    """(q_id, c_id): pairs that the bounds cannot exclude; the best one of each query is among them."""
-    postings = postings_of(c)
+def candidates(q: DataFrame, c: DataFrame, bounded_terms: bool, best: bool = False) -> DataFrame:
+    """(q_id, c_id, similarity): pairs that the bounds cannot exclude, or only the ``best`` one of a query in each block.
+
+    The best one of each query is among them.
+    """
+    longest = _longest(c)
+    asked = _essentials(q, c, bounded_terms, longest)
+    blocks = [max(-(-n // BLOCK), min(BLOCKS, -(-n // LEAST_BLOCK)), 1) for n in (q.count(), c.count())]
+    numbers = [F.sequence(F.lit(0), F.lit(n - 1)) for n in blocks]
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks[0])).cast("int")).withColumn("cb", F.explode(numbers[1]))
+    right = c.withColumn("cb", F.pmod(F.xxhash64("c_id"), F.lit(blocks[1])).cast("int")).withColumn("qb", F.explode(numbers[0]))
+    kinds = dict(q.dtypes)["q_id"], dict(c.dtypes)["c_id"]
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
+        _block_scorer(longest, best), f"q_id {kinds[0]}, c_id {kinds[1]}, similarity double")
+
+
+def _essentials(q: DataFrame, c: DataFrame, bounded_terms: bool, longest: float) -> DataFrame:
+    """Query rows with ``e_terms``, ``e_weights`` and ``e_needed`` - the terms that are met, and the least weight of a posting
+    worth meeting - ``floor``, and ``rest`` and ``rest_square``, the bounds of all other terms."""
+    postings = c.select("c_id", F.explode(F.arrays_zip("c_terms", "c_weights")).alias("p")).select(
+        F.col("p.c_terms").alias("term"), "c_id", F.col("p.c_weights").alias("weight"))
     bounds = cut_lineage(postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"), F.min("level").alias("first_level"), F.max("level").alias("last_level"),
-        F.max(F.struct("weight", "c_id"))["c_id"].alias("champion")))
+        F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"), F.max(F.struct("weight", "c_id"))["c_id"].alias("champion")))
     terms = q.select("q_id", F.explode(F.arrays_zip("q_terms", "q_weights")).alias("t")).select(
         "q_id", F.col("t.q_terms").alias("term"), F.col("t.q_weights").alias("w"))
     asked = terms.join(F.broadcast(bounds) if bounded_terms else bounds, "term").withColumn("bound", F.col("w") * F.col("most"))
-    longest = _longest(c)
     own = Window.partitionBy("q_id")
     rising = own.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)  # common terms first
     ranked = cut_lineage(asked.withColumns({
@@ -82,19 +97,59 @@ def candidates(q: DataFrame, c: DataFrame, bounded_terms: bool) -> DataFrame:
     # Two bounds on what some terms can add: their own ones together, and the length of that part of the query times a row's.
     essential = F.least(F.col("up_to"), F.sqrt("square_up_to") * longest) >= F.col("floor")
     others = F.least(F.col("total") - F.col("bound"), F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("w") * F.col("w"))) * longest)
-    rest = {name: F.max(F.when(~essential, F.col(name))).over(own) for name in ("up_to", "square_up_to")}
-    chosen = ranked.join(floors, "q_id").withColumns({
-        "essential": essential, "needed": (F.col("floor") - others) / F.col("w"),
-        "rest": F.coalesce(rest["up_to"], F.lit(0.0)), "rest_square": F.coalesce(rest["square_up_to"], F.lit(0.0))})
-    chosen = chosen.filter("essential").filter(F.col("needed") <= F.col("most") + _MARGIN)
-    deepest = F.least(F.col("last_level"), F.when(F.col("needed") <= 0, F.lit(LEVELS - 1)).otherwise(_level(F.col("needed"))))
-    chosen = chosen.withColumn("deepest", deepest).filter("deepest >= first_level")
-    chosen = chosen.select("q_id", "term", "w", "needed", "rest", "rest_square", "floor", F.explode(F.sequence("first_level", "deepest")).alias("level"))
-    met = chosen.join(postings, ["term", "level"]).filter(F.col("weight") >= F.col("needed") - _MARGIN)
-    sums = met.groupBy("q_id", "c_id").agg(F.sum(F.col("w") * F.col("weight")).alias("sum"), F.sum(F.col("weight") * F.col("weight")).alias("used"),
-                                           *[F.first(x).alias(x) for x in ("rest", "rest_square", "floor")])
-    left = F.least(F.col("rest"), F.sqrt(F.col("rest_square") * F.greatest(F.lit(0.0), F.lit(longest * longest) - F.col("used"))))
-    return sums.filter(F.col("sum") + left >= F.col("floor") - _MARGIN).select("q_id", "c_id")
+    needed = (F.col("floor") - others) / F.col("w")
+    chosen = ranked.join(floors, "q_id").withColumns({"essential": essential, "needed": needed})
+    met = F.when(F.col("essential") & (F.col("needed") <= F.col("most") + _MARGIN), F.struct("term", "w", "needed"))
+    held = chosen.groupBy("q_id").agg(
+        F.collect_list(met).alias("met"), F.first("floor").alias("floor"),
+        *[F.coalesce(F.max(F.when(~F.col("essential"), F.col(x))), F.lit(0.0)).alias(y) for x, y in (("up_to", "rest"), ("square_up_to", "rest_square"))])
+    return q.join(held, "q_id").select("q_id", "q_terms", "q_weights", F.col("met.term").alias("e_terms"), F.col("met.w").alias("e_weights"),
+                                       F.col("met.needed").alias("e_needed"), "floor", "rest", "rest_square")
+
+
+def _block_scorer(longest: float, best: bool):
+    """What the bounds leave of two blocks, scored exactly."""
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([("q_id", asked.schema.field("q_id").type), ("c_id", held.schema.field("c_id").type), ("similarity", pa.float64())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        asked, held = asked.combine_chunks(), held.sort_by("c_id").combine_chunks()  # lower ids first
+        owner, term, weight = _entries(held.column("c_terms").chunk(0), held.column("c_weights").chunk(0))
+        by = np.argsort(term, kind="stable")
+        p_term, p_row, p_weight = term[by], owner[by], weight[by]
+        floor, rest, square = (asked.column(c).to_numpy() for c in ("floor", "rest", "rest_square"))
+        e_row, e_term, e_weight = _entries(asked.column("e_terms").chunk(0), asked.column("e_weights").chunk(0))
+        e_needed = asked.column("e_needed").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        begin, end = np.searchsorted(p_term, e_term), np.searchsorted(p_term, e_term, side="right")
+        up_to = np.cumsum(np.bincount(e_row, end - begin, minlength=asked.num_rows))
+        found, low = [], 0
+        while low < asked.num_rows:
+            high = max(low + 1, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + TOUCHED, side="right")))
+            some = slice(int(np.searchsorted(e_row, low)), int(np.searchsorted(e_row, high)))
+            counts = (end - begin)[some]
+            place = np.arange(counts.sum()) + np.repeat(begin[some] - (np.cumsum(counts) - counts), counts)
+            worth = p_weight[place] >= np.repeat(e_needed[some], counts) - _MARGIN
+            place, row, w = place[worth], np.repeat(e_row[some], counts)[worth], np.repeat(e_weight[some], counts)[worth]
+            pair, which = np.unique(row * held.num_rows + p_row[place], return_inverse=True)
+            sums, used = np.bincount(which, w * p_weight[place], minlength=len(pair)), np.bincount(which, p_weight[place] ** 2, minlength=len(pair))
+            row, other = pair // held.num_rows, pair % held.num_rows
+            left = np.minimum(rest[row], np.sqrt(square[row] * np.maximum(0.0, longest * longest - used)))
+            fine = sums + left >= floor[row] - _MARGIN
+            row, other = row[fine], other[fine]
+            for at in range(0, len(row), PAIRS):  # whole rows of a few pairs at a time
+                a, b = row[at : at + PAIRS], other[at : at + PAIRS]
+                batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(asked.column(x).chunk(0).take(pa.array(a)) for x in ("q_terms", "q_weights")),
+                                                    *(held.column(x).chunk(0).take(pa.array(b)) for x in ("c_terms", "c_weights"))], ["a", "b", "c", "d", "e", "f"])
+                found.append((a, b, _dot(batch)))
+            low = high
+        row, other, sims = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64 if i < 2 else float) for i in range(3))
+        if best:
+            order = np.lexsort((other, -sims, row))
+            order = order[np.concatenate([[True], np.diff(row[order]) != 0])] if len(order) else order
+            row, other, sims = row[order], other[order], sims[order]
+        return pa.table([asked.column("q_id").take(pa.array(row)), held.column("c_id").take(pa.array(other)), pa.array(sims, pa.float64())], schema=schema)
+
+    return score
 
 
 def _longest(c: DataFrame) -> float:
@@ -117,14 +172,18 @@ def _entries(lists: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray
 
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, term, weight = _entries(batch.column(2), batch.column(3))
-        other, held, value = _entries(batch.column(4), batch.column(5))
-        # Terms as small numbers, so that row and term make one key.
-        names, number = np.unique(np.concatenate([term, held]), return_inverse=True)
-        left, right = row * len(names) + number[: len(term)], other * len(names) + number[len(term):]
-        order = np.argsort(right, kind="stable")
-        place = np.minimum(np.searchsorted(right[order], left), max(0, len(right) - 1))
-        hit = right[order][place] == left if len(right) else np.zeros(len(left), bool)
-        products = weight[hit] * value[order][place[hit]]
-        sums = np.bincount(row[hit], products, minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(sums, DECIMALS) + 0.0)], ["q_id", "c_id", "similarity"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_dot(batch))], ["q_id", "c_id", "similarity"])
+
+
+def _dot(batch: pa.RecordBatch) -> np.ndarray:
+    """Rounded sparse dot product of the rows' two sides."""
+    row, term, weight = _entries(batch.column(2), batch.column(3))
+    other, held, value = _entries(batch.column(4), batch.column(5))
+    # Terms as small numbers, so that row and term make one key.
+    names, number = np.unique(np.concatenate([term, held]), return_inverse=True)
+    left, right = row * len(names) + number[: len(term)], other * len(names) + number[len(term):]
+    order = np.argsort(right, kind="stable")
+    place = np.minimum(np.searchsorted(right[order], left), max(0, len(right) - 1))
+    hit = right[order][place] == left if len(right) else np.zeros(len(left), bool)
+    sums = np.bincount(row[hit], weight[hit] * value[order][place[hit]], minlength=batch.num_rows)
+    return np.round(sums, DECIMALS) + 0.0

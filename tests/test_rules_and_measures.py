@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from deskweave.functions.rules import Rule, gate_array
 from deskweave.operators import rule_table, sketches
-from deskweave.operators.rule_table import first_rule, required_literals, rules_that_hit
+from deskweave.operators.rule_table import first_rule, required_literals, rules_that_hit, single_words
 from deskweave.plans.corpus import CorpusRules, build_corpus, store_corpus
 
 RANDOM = random.Random(6)
@@ -64,6 +64,31 @@ def test_twenty_thousand_rules_hit_as_unrolled_ones_do(spark, monkeypatch):
     assert first == {i: min((r["rank"], r.name) for r in hits if r.id == i) for i in {r.id for r in hits}}
 
 
+@pytest.mark.parametrize(("pattern", "words"), [
+    ("refund", ["refund"]), ("Refund|chargeback", ["chargeback", "refund"]), ("licen[CS]ed?", ["licence", "licenced", "license", "licensed"]), ("a?", None), ("ab|", None), ("", None),
+    ("abc.", None), (r"a\s", None), ("x[^a]", None), ("x[a-c]", None), ("ab+", None), ("ab??", None), ("ab?+", None), ("(ab)", None), ("^ab", None), ("Straße", None), ("two words", None),
+    ("[ab][ab][ab][ab][ab][ab]", None), ("ab]", None)])
+def test_single_words(pattern, words):
+    assert single_words(pattern) == words
+
+
+def test_rules_of_single_words_are_joined_and_try_no_pattern(spark, monkeypatch):
+    rules = [(1, "a", "licen[cs]ed?", "r", True), (1, "a", "licen[cs]ed?", "r", True), (2, "b", "kiss", "r", True), (3, None, "i", None, True), (4, "d", "kis", "r", True)]
+    table = spark.createDataFrame(rules, "rank long, name string, pattern string, reason string, whole_word boolean")
+    texts = [(1, "Licence, license and LICENSED"), (1, "Licence, license and LICENSED"), (1, "licensee"), (2, "\u212a\u0130\u017fs x"), (3, "\u0131"), (4, "ékiss kissé kis_s"), (5, "kiss\n"),
+             (None, "kiss"), (6, None), (7, "")]
+    frame = spark.createDataFrame(texts, "id long, text string")
+    monkeypatch.setattr(rule_table, "_found", lambda *_: pytest.fail("no literal has to be searched"))
+    want = Counter()
+    for rank, name, pattern, reason, _ in rules:
+        for r in frame.filter(Rule("x", pattern, "r", True).hits(F.col("text"))).collect():
+            want[(r.id, rank, name, reason)] += 1
+    hits = rules_that_hit(frame, table)
+    assert Counter(map(tuple, hits.collect())) == want and want[(1, 1, "a", "r")] == 4 and want[(2, 2, "b", "r")] == want[(3, 3, None, None)] == want[(5, 2, "b", "r")] == 1
+    monkeypatch.setattr(rule_table, "BROADCAST_RULES", 0)
+    assert Counter(map(tuple, rules_that_hit(frame, table).collect())) == want
+
+
 def test_no_rules_and_no_texts(spark):
     texts = spark.createDataFrame([(1, "some text")], "id long, text string")
     table = spark.createDataFrame([(1, "a", "some", "r", True)], "rank long, name string, pattern string, reason string, whole_word boolean")

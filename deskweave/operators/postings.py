@@ -1,21 +1,14 @@
-"""Nearest sparse row over an inverted index, with upper bounds that keep common terms out of the candidates.
-
-A term's largest weight bounds what it can add to a score, and the length of a part of a query bounds what all
-its terms together can add.  A query first scores the champions of its strongest and its rarest terms exactly;
-the best of them is a floor.  Its commonest terms, as long as they cannot reach the floor without others, are
-left out; of the rest only those postings are met from which the floor can still be reached.  What they bring
-together, with the bound of what was left out, has to reach the floor as well; the few pairs that are left
-are scored exactly.
+"""Nearest sparse row over an inverted index whose commonest terms are columns of a matrix.
 
 Queries and corpus are cut into blocks, as in ``neighbours``; two blocks meet in a group that builds the postings
-of its rows and touches only those that the bounds leave, so that no pair is shuffled and no block of all
-queries with all rows exists.
+of its rows, so that no pair is shuffled.  A few terms stand in so many rows that they bring together most pairs
+that share a term at all: these are the columns of one matrix product.  Postings of all other terms are short and
+are added to it.  Scores are taken in single precision for some queries at a time; pairs that may be the best of their query, by the
+error that single precision can have, are scored exactly from their whole rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,16 +16,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Strongest terms of a query, and rarest ones, whose champions it scores first.
-CHAMPIONS = 4
 #: Rows of a block at most, and blocks of either side that there are at least, if they are not smaller than LEAST_BLOCK.
-BLOCK, BLOCKS, LEAST_BLOCK = 32_768, 3, 1_024
-#: Postings that are touched at a time.
-TOUCHED = 2_000_000
+BLOCK, BLOCKS, LEAST_BLOCK = 32_768, 4, 1_024
+#: Terms that are columns at most; only those that bring together at least every so-manieth pair of two blocks.
+COLUMNS, COMMON = 512, 512
+#: Scores, and postings beside them, that are held at a time.
+CELLS, TOUCHED = 8_000_000, 2_000_000
 DECIMALS = 6
 #: Pairs whose whole rows are put side by side at a time.
 PAIRS = 20_000
-_MARGIN = 2e-6
+_ROUNDING = 1.1 * 10.0**-DECIMALS
 
 
 def sparse_best(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_id: str, bounded_terms: bool = False) -> DataFrame:
@@ -40,7 +33,7 @@ def sparse_best(queries: DataFrame, corpus: DataFrame, *, query_id: str, corpus_
 
     Both sides carry ``terms`` and positive ``weights``, each term once in a row, and unique ids; they are
     written down, since they are read several times.  A query that shares no term with any corpus row gets
-    no row back.  ``bounded_terms`` says that the vocabulary is small enough to be broadcast.
+    no row back.  ``bounded_terms`` makes no difference any more: no table of terms is joined.
     """
     found = best_pairs(*_sides(queries, corpus, query_id, corpus_id), bounded_terms)
     return found.withColumnsRenamed({"q_id": query_id, "c_id": corpus_id if corpus_id != query_id else "hit_id"})
@@ -60,88 +53,27 @@ def best_pairs(q: DataFrame, c: DataFrame, bounded_terms: bool) -> DataFrame:
 
 
 def candidates(q: DataFrame, c: DataFrame, bounded_terms: bool, best: bool = False) -> DataFrame:
-    """(q_id, c_id, similarity): pairs that the bounds cannot exclude, or only the ``best`` one of a query in each block.
+    """(q_id, c_id, similarity): pairs that may be the best of a query in a block, or only the ``best`` one of a query in each block.
 
     The best one of each query is among them.
     """
-    longest = _longest(c)
-    asked = _essentials(q, c, bounded_terms, longest)
     blocks = [max(-(-n // BLOCK), min(BLOCKS, -(-n // LEAST_BLOCK)), 1) for n in (q.count(), c.count())]
     numbers = [F.sequence(F.lit(0), F.lit(n - 1)) for n in blocks]
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks[0])).cast("int")).withColumn("cb", F.explode(numbers[1]))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("q_id"), F.lit(blocks[0])).cast("int")).withColumn("cb", F.explode(numbers[1]))
     right = c.withColumn("cb", F.pmod(F.xxhash64("c_id"), F.lit(blocks[1])).cast("int")).withColumn("qb", F.explode(numbers[0]))
     kinds = dict(q.dtypes)["q_id"], dict(c.dtypes)["c_id"]
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(
-        _block_scorer(longest, best), f"q_id {kinds[0]}, c_id {kinds[1]}, similarity double")
-
-
-def _essentials(q: DataFrame, c: DataFrame, bounded_terms: bool, longest: float) -> DataFrame:
-    """Query rows with ``e_terms``, ``e_weights`` and ``e_needed`` - the terms that are met, and the least weight of a posting
-    worth meeting - ``floor``, and ``rest`` and ``rest_square``, the bounds of all other terms."""
-    postings = c.select("c_id", F.explode(F.arrays_zip("c_terms", "c_weights")).alias("p")).select(
-        F.col("p.c_terms").alias("term"), "c_id", F.col("p.c_weights").alias("weight"))
-    bounds = cut_lineage(postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"), F.max(F.struct("weight", "c_id"))["c_id"].alias("champion")))
-    terms = q.select("q_id", F.explode(F.arrays_zip("q_terms", "q_weights")).alias("t")).select(
-        "q_id", F.col("t.q_terms").alias("term"), F.col("t.q_weights").alias("w"))
-    asked = terms.join(F.broadcast(bounds) if bounded_terms else bounds, "term").withColumn("bound", F.col("w") * F.col("most"))
-    own = Window.partitionBy("q_id")
-    rising = own.orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)  # common terms first
-    ranked = cut_lineage(asked.withColumns({
-        "up_to": F.sum("bound").over(rising), "square_up_to": F.sum(F.col("w") * F.col("w")).over(rising),
-        "total": F.sum("bound").over(own), "square": F.sum(F.col("w") * F.col("w")).over(own),
-        "strength": F.row_number().over(own.orderBy(F.col("bound").desc(), F.col("term").desc())),
-        "rarity": F.row_number().over(own.orderBy("df", F.col("w").desc(), "term"))}))
-    first = ranked.filter(F.least("strength", "rarity") <= CHAMPIONS).select("q_id", F.col("champion").alias("c_id")).distinct()
-    floors = _exact(first, q, c).groupBy("q_id").agg((F.max("similarity") - _MARGIN).alias("floor"))
-    # Two bounds on what some terms can add: their own ones together, and the length of that part of the query times a row's.
-    essential = F.least(F.col("up_to"), F.sqrt("square_up_to") * longest) >= F.col("floor")
-    others = F.least(F.col("total") - F.col("bound"), F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("w") * F.col("w"))) * longest)
-    needed = (F.col("floor") - others) / F.col("w")
-    chosen = ranked.join(floors, "q_id").withColumns({"essential": essential, "needed": needed})
-    met = F.when(F.col("essential") & (F.col("needed") <= F.col("most") + _MARGIN), F.struct("term", "w", "needed"))
-    held = chosen.groupBy("q_id").agg(
-        F.collect_list(met).alias("met"), F.first("floor").alias("floor"),
-        *[F.coalesce(F.max(F.when(~F.col("essential"), F.col(x))), F.lit(0.0)).alias(y) for x, y in (("up_to", "rest"), ("square_up_to", "rest_square"))])
-    return q.join(held, "q_id").select("q_id", "q_terms", "q_weights", F.col("met.term").alias("e_terms"), F.col("met.w").alias("e_weights"),
-                                       F.col("met.needed").alias("e_needed"), "floor", "rest", "rest_square")
-
-
-def _block_scorer(longest: float, best: bool):
-    """What the bounds leave of two blocks, scored exactly."""
+        _block_scorer(best), f"q_id {kinds[0]}, c_id {kinds[1]}, similarity double")
+
+
+def _block_scorer(best: bool):
+    """Of the pairs of two blocks, those that may be the best of their query, scored exactly."""
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         schema = pa.schema([("q_id", asked.schema.field("q_id").type), ("c_id", held.schema.field("c_id").type), ("similarity", pa.float64())])
         if not asked.num_rows or not held.num_rows:
             return schema.empty_table()
         asked, held = asked.combine_chunks(), held.sort_by("c_id").combine_chunks()  # lower ids first
-        owner, term, weight = _entries(held.column("c_terms").chunk(0), held.column("c_weights").chunk(0))
-        by = np.argsort(term, kind="stable")
-        p_term, p_row, p_weight = term[by], owner[by], weight[by]
-        floor, rest, square = (asked.column(c).to_numpy() for c in ("floor", "rest", "rest_square"))
-        e_row, e_term, e_weight = _entries(asked.column("e_terms").chunk(0), asked.column("e_weights").chunk(0))
-        e_needed = asked.column("e_needed").chunk(0).flatten().to_numpy(zero_copy_only=False)
-        begin, end = np.searchsorted(p_term, e_term), np.searchsorted(p_term, e_term, side="right")
-        up_to = np.cumsum(np.bincount(e_row, end - begin, minlength=asked.num_rows))
-        found, low = [], 0
-        while low < asked.num_rows:
-            high = max(low + 1, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + TOUCHED, side="right")))
-            some = slice(int(np.searchsorted(e_row, low)), int(np.searchsorted(e_row, high)))
-            counts = (end - begin)[some]
-            place = np.arange(counts.sum()) + np.repeat(begin[some] - (np.cumsum(counts) - counts), counts)
-            worth = p_weight[place] >= np.repeat(e_needed[some], counts) - _MARGIN
-            place, row, w = place[worth], np.repeat(e_row[some], counts)[worth], np.repeat(e_weight[some], counts)[worth]
-            pair, which = np.unique(row * held.num_rows + p_row[place], return_inverse=True)
-            sums, used = np.bincount(which, w * p_weight[place], minlength=len(pair)), np.bincount(which, p_weight[place] ** 2, minlength=len(pair))
-            row, other = pair // held.num_rows, pair % held.num_rows
-            left = np.minimum(rest[row], np.sqrt(square[row] * np.maximum(0.0, longest * longest - used)))
-            fine = sums + left >= floor[row] - _MARGIN
-            row, other = row[fine], other[fine]
-            for at in range(0, len(row), PAIRS):  # whole rows of a few pairs at a time
-                a, b = row[at : at + PAIRS], other[at : at + PAIRS]
-                batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(asked.column(x).chunk(0).take(pa.array(a)) for x in ("q_terms", "q_weights")),
-                                                    *(held.column(x).chunk(0).take(pa.array(b)) for x in ("c_terms", "c_weights"))], ["a", "b", "c", "d", "e", "f"])
-                found.append((a, b, _dot(batch)))
-            low = high
+        found = [*_near(asked, held)]
         row, other, sims = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64 if i < 2 else float) for i in range(3))
         if best:
             order = np.lexsort((other, -sims, row))
@@ -152,17 +84,60 @@ def _block_scorer(longest: float, best: bool):
     return score
 
 
-def _longest(c: DataFrame) -> float:
-    """Length of the longest row."""
-    square = F.aggregate("c_weights", F.lit(0.0), lambda total, w: total + w * w)
-    return float(c.agg(F.sqrt(F.max(square))).first()[0] or 0.0) * (1 + 1e-12)
-
-
-def _exact(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
-    """(q_id, c_id, similarity) of pairs, from the whole rows."""
-    kinds = dict(pairs.dtypes)
-    both = pairs.join(q, "q_id").join(c, "c_id").select("q_id", "c_id", "q_terms", "q_weights", "c_terms", "c_weights")
-    return both.mapInArrow(_dots, f"q_id {kinds['q_id']}, c_id {kinds['c_id']}, similarity double")
+def _near(asked: pa.Table, held: pa.Table):
+    """(rows of ``asked``, rows of ``held``, exact scores), of some queries after the other."""
+    n, m = asked.num_rows, held.num_rows
+    a_row, a_term, a_weight = _entries(asked.column("q_terms").chunk(0), asked.column("q_weights").chunk(0))
+    h_row, h_term, h_weight = _entries(held.column("c_terms").chunk(0), held.column("c_weights").chunk(0))
+    # Only terms of both sides bring rows together; they are numbered.
+    names = np.intersect1d(a_term, h_term)
+    if not len(names):
+        return
+    (a_row, a_term, a_weight), (h_row, h_term, h_weight) = _numbered(names, a_row, a_term, a_weight), _numbered(names, h_row, h_term, h_weight)
+    met = np.bincount(a_term, minlength=len(names)) * np.bincount(h_term, minlength=len(names))
+    common = np.argsort(-met, kind="stable")[:COLUMNS]
+    common = common[met[common] * COMMON >= n * m]
+    column = np.full(len(names), -1)
+    column[common] = np.arange(len(common))
+    right = _dense(column, h_row, h_term, h_weight, m, len(common))
+    rare = column[h_term] < 0
+    by = np.argsort(h_term[rare], kind="stable")
+    p_row, p_term, p_weight = (x[rare][by] for x in (h_row, h_term, h_weight))
+    begin, end = np.searchsorted(p_term, a_term), np.searchsorted(p_term, a_term, side="right")  # nothing for a column
+    up_to = np.cumsum(np.bincount(a_row, end - begin, minlength=n))
+    # All weights are positive, so each shared term adds no more than one rounding to the error of a sum.
+    share = 2.0**-23 * (int(np.bincount(a_row).max()) + 8)
+    low = 0
+    while low < n:
+        high = max(low + 1, min(low + max(1, CELLS // m), n, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + TOUCHED, side="right"))))
+        some = slice(int(np.searchsorted(a_row, low)), int(np.searchsorted(a_row, high)))
+        scores = _dense(column, a_row[some] - low, a_term[some], a_weight[some], high - low, len(common)) @ right.T
+        counts = (end - begin)[some]
+        place = np.arange(counts.sum()) + np.repeat(begin[some] - (np.cumsum(counts) - counts), counts)
+        np.add.at(scores.reshape(-1), np.repeat((a_row[some] - low) * m, counts) + p_row[place], np.repeat(a_weight[some], counts) * p_weight[place])
+        floor = np.maximum(scores.max(axis=1) * np.float32(1 - 2 * share) - np.float32(_ROUNDING), np.finfo(np.float32).tiny)
+        row, other = np.nonzero(scores >= floor[:, None])
+        for at in range(0, len(row), PAIRS):  # whole rows of a few pairs at a time
+            a, b = row[at : at + PAIRS] + low, other[at : at + PAIRS]
+            batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(asked.column(x).chunk(0).take(pa.array(a)) for x in ("q_terms", "q_weights")),
+                                                *(held.column(x).chunk(0).take(pa.array(b)) for x in ("c_terms", "c_weights"))], ["a", "b", "c", "d", "e", "f"])
+            yield a, b, _dot(batch)
+        low = high
+
+
+def _numbered(names: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries whose term is among the sorted ``names``, with its place there."""
+    place = np.minimum(np.searchsorted(names, term), len(names) - 1)
+    known = names[place] == term
+    return row[known], place[known], weight[known].astype(np.float32)
+
+
+def _dense(column: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Weights of the common terms as a matrix."""
+    held = column[term] >= 0
+    out = np.zeros((n, width), np.float32)
+    out[row[held], column[term[held]]] = weight[held]
+    return out
 
 
 def _entries(lists: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,11 +145,6 @@ def _entries(lists: pa.Array, weights: pa.Array) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(lists)), sizes), lists.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)
 
 
-def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_dot(batch))], ["q_id", "c_id", "similarity"])
-
-
 def _dot(batch: pa.RecordBatch) -> np.ndarray:
     """Rounded sparse dot product of the rows' two sides."""
     row, term, weight = _entries(batch.column(2), batch.column(3))

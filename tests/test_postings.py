@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from deskweave.operators import postings
@@ -68,3 +70,52 @@ def test_empty_sides(spark):
         assert postings.sparse_best(*frames(spark, asked, held), query_id="id", corpus_id="id").collect() == []
     got = postings.sparse_best(*frames(spark, some, some, "int"), query_id="id", corpus_id="id").collect()
     assert [tuple(r) for r in got] == [(1, 1, 1.0)]
+
+
+def test_a_block_is_scored_in_parts_of_columns_and_postings(monkeypatch):
+    """Whatever terms are columns and however many scores are held at a time, the pairs are those of the plain products, ties to the lower id."""
+    rng = random.Random(4)
+    held, asked = rows(300, list(range(900)), rng, common=(900, 901)), rows(120, list(range(900)), rng, first=1000, common=(901,))
+    held += [(500, [2007, 2008], [0.6, 0.8]), (499, [2008, 2009], [0.8, 0.6]), (501, [10**6], [1.0])]
+    asked += [(2000, [2008], [1.0]), (2001, [10**7], [1.0]), (2002, [], []), (2003, [10**6], [1e-4])]
+    kinds = pa.list_(pa.int64()), pa.list_(pa.float64())
+
+    def table(some, side):
+        return pa.table([pa.array([r[0] for r in some]), *(pa.array([r[i + 1] for r in some], kinds[i]) for i in range(2))], [f"{side}_id", f"{side}_terms", f"{side}_weights"])
+
+    want = brute(asked, held)
+    assert want[2000][0] == 499 and want[2003] == (501, 1e-4)
+    for columns, common, cells, touched in ((512, 512, 8_000_000, 2_000_000), (0, 512, 5_000, 300), (3, 1, 5_000, 2_000_000), (512, 10**9, 1, 1)):
+        for name, value in (("COLUMNS", columns), ("COMMON", common), ("CELLS", cells), ("TOUCHED", touched), ("PAIRS", 7)):
+            monkeypatch.setattr(postings, name, value)
+        got = postings._block_scorer(True)(table(asked, "q"), table(held, "c")).to_pylist()
+        assert {r["q_id"]: (r["c_id"], r["similarity"]) for r in got} == want
+    assert postings._block_scorer(True)(table(asked[:5], "q"), table(held[-1:], "c")).num_rows == 0
+
+
+def test_common_terms_take_no_time_for_each_pair_that_shares_them(monkeypatch):
+    """Every row holds thirty terms that all share; before, each such posting was met by each query."""
+    rng = np.random.default_rng(5)
+    shared = np.arange(30)
+
+    def table(n, side):
+        terms = [np.concatenate([shared, 30 + np.unique(rng.integers(0, 5000, 5))]) for _ in range(n)]
+        weights = [rng.uniform(0.1, 0.2, len(t)) for t in terms]
+        return pa.table([pa.array(range(n)), pa.array(terms, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))], [f"{side}_id", f"{side}_terms", f"{side}_weights"])
+
+    asked, held = table(6000, "q"), table(6000, "c")
+    met = []
+
+    class Counted:
+        """numpy, which counts the postings that are added one by one."""
+
+        def __getattr__(self, name):
+            return self if name == "add" else getattr(np, name)
+
+        def at(self, scores, where, what):
+            met.append(len(where))
+            np.add.at(scores, where, what)
+
+    monkeypatch.setattr(postings, "np", Counted())
+    got = postings._block_scorer(True)(asked, held)
+    assert got.num_rows == 6000 and 0 < sum(met) < 0.02 * 6000 * 6000

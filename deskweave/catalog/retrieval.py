@@ -210,8 +210,11 @@ SELECT count(*) FILTER (WHERE rn <= {TRAIN_PER_LABEL}) AS train_rows, count(*) F
 def rated_model(t, n_terms):
     """Fitted on a balanced sample, scored on all other rows."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label"))
-    train = cut_lineage(balanced_sample(docs, "label", "id", TRAIN_PER_LABEL, v.SEED).select("id", "text", "label"))
-    others = docs.join(train.select("id"), "id", "left_anti")
+    # The rows are drawn without their texts; then only texts of drawn ids are ranked again, since ids may repeat.
+    drawn = cut_lineage(balanced_sample(docs.select("id", "label"), "label", "id", TRAIN_PER_LABEL, v.SEED).select(F.col("id").alias("drawn")).distinct())
+    held = docs.join(F.broadcast(drawn), F.col("id").eqNullSafe(F.col("drawn")), "left_semi")
+    train = cut_lineage(balanced_sample(held, "label", "id", TRAIN_PER_LABEL, v.SEED).select("id", "text", "label"))
+    others = docs.join(F.broadcast(train.select("id")), "id", "left_anti")
     scored = train_intent_model(train, n_terms)(others.select("id", "text"))
     rated = m.accuracy(others.select("id", "label").join(scored.select("id", "predicted"), "id"), "label", "predicted")
     return rated.select(train.agg(F.count(F.lit(1))).scalar().alias("train_rows"), F.col("total").alias("test_rows"),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,50 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Vocabularies of at most this size are broadcast.
 BROADCAST_TERMS = 100_000
+#: Words that are looked up at a time.
+_WORDS_AT_ONCE = 2_000_000
+
+
+def known_counts(docs: DataFrame, id_col: str, text_col: str, terms: pa.Array) -> DataFrame:
+    """(id, entries): the terms of a bounded vocabulary in each document, as places in ``terms`` with their counts.
+
+    Terms are counted where a text is read, so only known ones travel, once for each document.  Rows with
+    equal ids are one document, as in ``term_counts``, and may list a term several times; one without a known term has no row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up_to = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + _WORDS_AT_ONCE, side="right")))
+                yield _counted(batch.slice(low, high - low), shared.value)
+                low = high
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"id {kind}, terms array<int>, counts array<int>")
+    entries = F.flatten(F.collect_list(F.arrays_zip("terms", "counts")))
+    return found.groupBy("id").agg(entries.alias("entries"))
+
+
+def _counted(batch: pa.RecordBatch, terms: pa.Array) -> pa.RecordBatch:
+    """(id, terms, counts) of the rows with a known term."""
+    words = batch.column(1).flatten()
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    pairs = pc.binary_join_element_wise(words[:-1], words[1:], " ") if len(words) > 1 else words[:0]
+    within = row[1:] == row[:-1]
+    keys = []
+    for grams, owner, wanted in ((words, row, None), (pairs, row[:-1], within)):
+        place = pc.fill_null(pc.index_in(grams, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = place >= 0 if wanted is None else (place >= 0) & wanted
+        keys.append(owner[known] * len(terms) + place[known])
+    key, counts = np.unique(np.concatenate(keys), return_counts=True)
+    held, first = np.unique(key // max(1, len(terms)), return_index=True)
+    offsets = pa.array(np.append(first, len(key)).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key % max(1, len(terms)), counts))
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), *lists], ["id", "terms", "counts"])
 
 
 def term_totals(counts: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from ..functions.rules import Rule
 from ..functions.text import strip_handles
 from ..operators import metrics as m
 from ..operators.postings import sparse_best
-from ..operators.tfidf import BROADCAST_TERMS, fit_idf, sparse_rows, term_counts
+from ..operators.tfidf import BROADCAST_TERMS, fit_idf, known_counts, sparse_rows, term_counts
 from ..session import cut_lineage
 
 _ROWS_PER_TASK = 20_000
@@ -67,7 +69,6 @@ def train_intent_model(train: DataFrame, n_terms: int | None = 5000, regularisat
     ``n_terms`` most frequent terms of the sample, or all of them (None).  Rows are sparse throughout, so
     a row holds as many numbers as it has terms, whatever the vocabulary.  The fit runs here and now.
     """
-    spark = train.sparkSession
     counts = cut_lineage(term_counts(train, "id", "text"))
     idf = cut_lineage(fit_idf(counts, train, n_terms))
     if n_terms is None:
@@ -84,20 +85,14 @@ def train_intent_model(train: DataFrame, n_terms: int | None = 5000, regularisat
                                 elasticNetParam=0.0, standardization=False, family="multinomial", tol=1e-4).fit(data)
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     data.unpersist()
-    coefficients = spark.createDataFrame(pa.table({
-        "term_ix": pa.array(range(size), pa.int32()),
-        "coefficients": pa.ListArray.from_arrays(pa.array(range(0, size * len(matrix) + 1, len(matrix)), pa.int32()), pa.array(matrix.T.ravel()))}))
-    coefficients = F.broadcast(coefficients) if size <= BROADCAST_TERMS else cut_lineage(coefficients)
+    vocabulary = idf.select("term", "term_ix", "idf").toArrow().sort_by("term_ix").combine_chunks()  # of a bounded sample, as the coefficients
 
     def predict(texts: DataFrame) -> DataFrame:
-        # Scoring is a join with the coefficient table and one sum per label.
-        weights = sparse_rows(term_counts(texts, "id", "text"), idf, n_terms).select(
-            "id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
-        joined = weights.select("id", F.col("e.terms").cast("int").alias("term_ix"), F.col("e.weights").alias("w")).join(coefficients, "term_ix")
-        sums = joined.groupBy("id").agg(*[
-            F.sum(F.col("w") * F.element_at("coefficients", i + 1)).alias(f"_s{i}") for i in range(len(labels))])
+        # Only the sample's terms weigh anything, so a text becomes their counts where it is read, and one sum per label from these.
+        counts = known_counts(texts, "id", "text", vocabulary.column("term").combine_chunks())
+        sums = _linear_sums(counts, vocabulary.column("idf").to_numpy(), matrix)
         best = F.array_max(F.array(*[
-            F.struct((F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.lit(float(bias[i]))).alias("score"), F.lit(name).alias("label"))
+            F.struct((F.coalesce(F.element_at("_sums", i + 1), F.lit(0.0)) + F.lit(float(bias[i]))).alias("score"), F.lit(name).alias("label"))
             for i, name in enumerate(labels)]))
         return texts.join(sums, "id", "left").select(*texts.columns, best["label"].alias("predicted"))
 
@@ -127,6 +122,27 @@ def baselines_report(golden: DataFrame, corpus: DataFrame, train: DataFrame, gat
             .unionByName(rows(F.concat(F.lit("retrieval@"), F.col("tau").cast("string")), sweep, ["tau"])))
 
 
+def _linear_sums(counts: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """(id, _sums): for each label, the product of its coefficients with the unit-length TF-IDF row of a document's term counts."""
+    shared = counts.sparkSession.sparkContext.broadcast((idf, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, matrix = shared.value
+        for batch in batches:
+            entries = batch.column(1).flatten()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            key, which = np.unique(row * len(idf) + entries.field("terms").to_numpy(zero_copy_only=False), return_inverse=True)
+            tf = np.bincount(which, entries.field("counts").to_numpy(zero_copy_only=False))  # rows of one document together
+            row, term = key // len(idf), key % len(idf)
+            raw = (1.0 + np.log(tf)) * idf[term]
+            weight = raw / np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))[row]
+            sums = np.stack([np.bincount(row, weight * own[term], minlength=batch.num_rows) for own in matrix], axis=1)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(matrix))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], ["id", "_sums"])
+
+    return counts.mapInArrow(run, f"id {counts.schema['id'].dataType.simpleString()}, _sums array<double>")
+
+
 def _numbered(idf: DataFrame) -> DataFrame:
     """Terms numbered 0, 1, ... without a gap, each partition by itself after those before it."""
     rows = cut_lineage(idf.select("term", "idf").withColumn("_row", F.monotonically_increasing_id()))

@@ -2,13 +2,16 @@
 
 import json
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deskweave.functions import responses as p
 from deskweave.functions.vectors import l2_normalise
+from deskweave.operators import tfidf
 from deskweave.operators.scoring import cache_valid, misses, new_entries
 from deskweave.operators.tfidf import fit_idf, sparse_rows, term_counts
 from deskweave.plans.baselines import _ml_vectors, _numbered, train_intent_model
@@ -200,3 +203,21 @@ def test_a_model_of_the_whole_vocabulary_stays_sparse(spark):
     asked = spark.createDataFrame([(1, "a new song is playing"), (2, "the bill, paying again"), (3, "unheard"), (4, None)], "id long, text string")
     got = {r.id: r.predicted for r in predict(asked).collect()}
     assert got[1] == "play" and got[2] == "pay" and set(got) == {1, 2, 3, 4}
+
+
+def test_known_terms_are_counted_where_a_text_is_read(spark, monkeypatch):
+    """The counts are those of all terms, less the unknown ones; rows of one id are one document, and no text or unknown term is shuffled."""
+    texts = [(1, "play my song, play my SONG"), (1, "my song again"), (2, "nothing known"), (3, None), (3, "song"), (4, ""), (None, "été my song"), (5, "song " * 50 + "my"), (6, "my")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    terms = pa.array(["my song", "song", "my", "song song", "été", "again my"])
+    want = {(r.id, r.term): r.tf for r in tfidf.term_counts(docs, "id", "text").collect() if r.term in terms.to_pylist()}
+    for at_once in (2_000_000, 3):
+        monkeypatch.setattr(tfidf, "_WORDS_AT_ONCE", at_once)
+        counted = tfidf.known_counts(docs, "id", "text", terms)
+        got = Counter()
+        for r in counted.collect():
+            for e in r.entries:
+                got[(r.id, terms[e.terms].as_py())] += e.counts
+        assert got == want and got[(1, "my song")] == 3 and got[(5, "song song")] == 49
+    assert tfidf.known_counts(docs.limit(0), "id", "text", terms).collect() == []
+    assert "explode" not in counted._jdf.queryExecution().optimizedPlan().toString()

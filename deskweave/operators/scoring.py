@@ -16,6 +16,9 @@ from ..sources.answers import AnswerLog
 
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
+#: Rows of a task that wait for another attempt at most, before it waits for them.
+WAITING_ROWS = 4_096
+
 
 def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scorer], *, attempts: int = 3,
                 backoff_seconds: float = 1.0, parallelism: int | None = None, batch_size: int = 64,
@@ -24,7 +27,7 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
 
     ``scorer_factory`` runs once per task and returns a function from a batch of
     requests to raw answers (a row may be null); it gets at most ``batch_size`` requests at a time.  Rows
-    without an answer are retried with linear back-off, those that have one are not sent again.  If a call
+    without an answer are retried with linear back-off, while others are sent, and together; those that have one are not sent again.  If a call
     raises, each of its rows is sent alone, so one bad row costs no other its answer.
     Equal requests are sent once; ``parallelism`` bounds the concurrent clients.  ``derive``: columns that
     are made of the others where a request is sent, so that they need not be moved there.
@@ -43,10 +46,11 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
         distinct = distinct.withColumns(dict(derive or {}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = scorer_factory()
+            sender = _Sender(scorer_factory(), key, attempts, backoff_seconds, batch_size)
             for batch in batches:
                 for start in range(0, len(batch), batch_size):
-                    yield _score_with_retries(batch.iloc[start:start + batch_size], key, scorer, attempts, backoff_seconds)
+                    yield from (answers for _, answers in sender.send(batch.iloc[start:start + batch_size]))
+            yield from (answers for _, answers in sender.finish())
 
         return distinct.mapInPandas(run, schema)
 
@@ -55,7 +59,16 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
     dealt = dealt.withColumns(dict(derive or {}))
 
     def run_logged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, bucket, known = None, None, {}
+        sender, bucket, known = None, None, {}
+
+        def logged(sent: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+            for rows, scored in sent:
+                for own, part in rows.groupby(_BUCKET, sort=True):
+                    raw = scored["raw"][part.index]
+                    keep = raw.notna() & part[_LOGGED].notna()
+                    log.append(int(own), part[_LOGGED][keep], raw[keep])
+                yield scored
+
         for batch in batches:
             for own, part in batch.groupby(_BUCKET, sort=True):
                 if own != bucket:
@@ -65,13 +78,11 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
                 if held.any():
                     yield pd.DataFrame({key: part[key][held], "raw": found[held], "error": None})
                 asked = part[~held]
-                scorer = scorer if asked.empty or scorer else scorer_factory()
+                sender = sender or (None if asked.empty else _Sender(scorer_factory(), key, attempts, backoff_seconds, batch_size, (_BUCKET, _LOGGED)))
                 for start in range(0, len(asked), batch_size):
-                    chunk = asked.iloc[start:start + batch_size]
-                    scored = _score_with_retries(chunk.drop(columns=[_BUCKET, _LOGGED]), key, scorer, attempts, backoff_seconds)
-                    keep = scored["raw"].notna() & chunk[_LOGGED].notna()
-                    log.append(int(own), chunk[_LOGGED][keep], scored["raw"][keep])
-                    yield scored
+                    yield from logged(sender.send(asked.iloc[start:start + batch_size]))
+        if sender:
+            yield from logged(sender.finish())
 
     return dealt.mapInPandas(run_logged, schema)
 
@@ -79,18 +90,41 @@ def score_batch(requests: DataFrame, key: str, scorer_factory: Callable[[], Scor
 _BUCKET, _LOGGED = "_answer_bucket", "_answer_key"
 
 
-def _score_with_retries(batch: pd.DataFrame, key: str, scorer: Scorer, attempts: int, backoff: float) -> pd.DataFrame:
-    raw = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-    error = raw.copy()
-    todo = batch
-    for attempt in range(attempts):
-        _call(todo, scorer, raw, error)
-        todo = batch[raw.isna()]
-        if todo.empty:
-            break
-        if attempt < attempts - 1:
-            time.sleep(backoff * (attempt + 1))
-    return pd.DataFrame({key: batch[key], "raw": raw, "error": error})
+class _Sender:
+    """Sends batches; rows without an answer wait for their next attempt while other batches are sent, and are sent again together.
+
+    A back-off for each batch would make a task wait as often as it has batches with such a row.
+    """
+
+    def __init__(self, scorer: Scorer, key: str, attempts: int, backoff: float, batch_size: int, hidden: Sequence[str] = ()) -> None:
+        self.scorer, self.key, self.attempts, self.backoff, self.batch_size, self.hidden = scorer, key, attempts, backoff, batch_size, list(hidden)
+        self.waiting: list[list[tuple[float, pd.DataFrame]]] = [[] for _ in range(attempts)]  # by attempts made: when they are due, and rows
+
+    def send(self, batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        """(requests, answers) of rows that are through: those of the batch, and others when very many wait."""
+        yield self._sent(batch, 1)
+        if sum(len(rows) for queue in self.waiting for _, rows in queue) >= WAITING_ROWS:
+            yield from self.finish()
+
+    def finish(self) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        """(requests, answers) of all that wait."""
+        for made, queue in enumerate(self.waiting):
+            while queue:
+                some = [queue.pop(0)]
+                while queue and sum(len(rows) for _, rows in some) + len(queue[0][1]) <= self.batch_size:
+                    some.append(queue.pop(0))
+                time.sleep(max(0.0, some[-1][0] - time.monotonic()))
+                yield self._sent(pd.concat([rows for _, rows in some], ignore_index=True), made + 1)
+
+    def _sent(self, batch: pd.DataFrame, made: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        raw = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        error = raw.copy()
+        _call(batch.drop(columns=self.hidden), self.scorer, raw, error)
+        lost = raw.isna() & (made < self.attempts)
+        if lost.any():
+            self.waiting[made].append((time.monotonic() + self.backoff * made, batch[lost]))
+        through = ~lost
+        return batch[through], pd.DataFrame({self.key: batch[self.key], "raw": raw, "error": error})[through]
 
 
 def _call(todo: pd.DataFrame, scorer: Scorer, raw: pd.Series, error: pd.Series) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections import Counter
 
 import pandas as pd
@@ -123,3 +124,33 @@ def test_an_audit_is_judged_once_even_with_null_ids(spark, tmp_path):
     changed = audit.withColumn("customer_text", F.lit("new"))
     judge_run(changed, factory, "judge/1", log_dir=str(tmp_path / "runs")).collect()
     assert asked(calls).total() == 7  # of the two null ids with equal content now, one is sent
+
+
+@pytest.mark.parametrize("logged", [False, True])
+def test_back_off_is_not_paid_by_each_batch(spark, tmp_path, monkeypatch, logged):
+    """A seventh of the rows never has an answer, another one only the second time; the task waits for them together."""
+    requests = spark.range(420).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("text")).coalesce(1)
+    calls = str(tmp_path / "calls")
+
+    def factory():
+        seen = Counter()
+
+        def score(batch):
+            assert len(batch) <= 10 and [*batch.columns] == ["k", "text"]
+            seen.update(batch["k"])
+            with open(calls, "a") as f:
+                f.write("".join(f"{k}\n" for k in batch["k"]))
+            ready = (batch["k"] % 7 != 0) & ((batch["k"] % 7 != 1) | (batch["k"].map(seen) > 1))
+            return batch["text"].where(ready, None)
+
+        return score
+
+    log = AnswerLog(str(tmp_path / "log"), 1) if logged else None
+    begun = time.monotonic()
+    out = score_batch(requests, "k", factory, backoff_seconds=0.2, batch_size=10, parallelism=1, log=log).collect()
+    took = time.monotonic() - begun
+    assert {r.k: (r.raw, r.error) for r in out} == {k: (f"t{k}" if k % 7 else None, None) for k in range(420)} and len(out) == 420
+    assert asked(calls) == {str(k): 3 if k % 7 == 0 else 2 if k % 7 == 1 else 1 for k in range(420)}
+    assert took < 42 * 0.6  # 0.2 and 0.4 seconds for each of 42 batches
+    if logged:
+        assert {r.key: r.raw for r in log.answers(spark).collect()} == {str(k): f"t{k}" for k in range(420) if k % 7}

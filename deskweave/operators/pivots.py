@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from ..sources.tables import table_exists
-from .neighbours import _best_columns, _matrix
+from .neighbours import DECIMALS, _best_columns, _matrix
 
 #: Rows for each pivot, and the most pivots there are.
 ROWS_PER_PIVOT, MOST_PIVOTS = 256, 1024
@@ -40,6 +40,8 @@ _DECIMALS_MARGIN = 2e-6
 # Scopes are stored behind it, so that an empty one has a folder and none is read as a number.
 _SCOPE = "scope:"
 _CHUNK_CELLS = 4_000_000
+# Rows found beside twice k for each query, after which the best are taken.
+_CUT_ROWS = 100_000
 _BLOCKS = ("scope", "cell", "ring")
 
 
@@ -140,7 +142,7 @@ class PivotIndex:
         q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         ids = f"q_id {visits.schema['q_id'].dataType.simpleString()}, c_id {self.rows.schema['c_id'].dataType.simpleString()}"
         keys = ["shelf", "slice", "part"]
-        scored = (q.select("q_id", "q_vec", "met", *keys).groupBy(*keys).cogroup(rows.select("c_id", "c_vec", "block", *keys).groupBy(*keys))
+        scored = (q.select("q_id", "q_vec", "floor", "met", *keys).groupBy(*keys).cogroup(rows.select("c_id", "c_vec", "block", *keys).groupBy(*keys))
                   .applyInArrow(_shelf_scorer(k), f"{ids}, similarity double"))
         return scored, sum(n for _, n in counts.values())
 
@@ -190,7 +192,7 @@ class _Plan:
         return norm[:, None] * np.where(cosine >= 0, cosine * self.most, cosine * self.least) + 1e-7 * norm[:, None] * self.most
 
     def visits(self, asked: DataFrame) -> DataFrame:
-        """(q_id, q_vec, shelf, met): the first blocks of queries without a floor, and all other blocks that may reach it of those with one."""
+        """(q_id, q_vec, floor, shelf, met): the first blocks of queries without a floor, and all other blocks that may reach it of those with one."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = max(1, _CHUNK_CELLS // len(self.cell))
             for batch in batches:
@@ -202,11 +204,11 @@ class _Plan:
                     first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(self.shelf[block]) != 0)]))
                     offsets = np.append(first, len(row)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
-                        part.column(0).take(pa.array(row[first])), part.column(1).take(pa.array(row[first])), pa.array(self.shelf[block[first]]),
-                        pa.ListArray.from_arrays(offsets, pa.array(block.astype(np.int32)))], ["q_id", "q_vec", "shelf", "met"])
+                        part.column(0).take(pa.array(row[first])), part.column(1).take(pa.array(row[first])), part.column(3).take(pa.array(row[first])),
+                        pa.array(self.shelf[block[first]]), pa.ListArray.from_arrays(offsets, pa.array(block.astype(np.int32)))], ["q_id", "q_vec", "floor", "shelf", "met"])
 
         kinds = dict(asked.dtypes)
-        return asked.select("q_id", "q_vec", "wanted", "floor").mapInArrow(run, f"q_id {kinds['q_id']}, q_vec {kinds['q_vec']}, shelf int, met array<int>")
+        return asked.select("q_id", "q_vec", "wanted", "floor").mapInArrow(run, f"q_id {kinds['q_id']}, q_vec {kinds['q_vec']}, floor double, shelf int, met array<int>")
 
     def _chosen(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """(row, block), in this order, of the blocks that the queries of a batch visit."""
@@ -239,21 +241,37 @@ def _shelf_scorer(k: int):
         visitor, visited = np.repeat(np.arange(asked.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
         by = np.argsort(visited, kind="stable")
         visitor, visited = visitor[by], visited[by]
-        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best, parts, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        # What is below the k-th score known so far, here or from the first blocks, need not be ranked.
+        floor = np.nan_to_num(asked.column("floor").to_numpy().astype(np.float64), nan=-np.inf)
+        most = 2 * k * asked.num_rows + _CUT_ROWS
         for block, low, high in zip(blocks.tolist(), begin.tolist(), end.tolist(), strict=True):
             some = visitor[np.searchsorted(visited, block) : np.searchsorted(visited, block, side="right")]
             for at in range(0, len(some), max(1, _CHUNK_CELLS // (high - low))):
                 rows = some[at : at + max(1, _CHUNK_CELLS // (high - low))]
-                row, col, sims = _best_columns(queries[rows] @ corpus[low:high].T, k)
-                best = tuple(np.concatenate(x) for x in zip(best, (rows[row], low + col, sims), strict=True))
-            if len(best[0]) > 2 * k * asked.num_rows + 1_000_000:
-                best = _cut(best, held, k)
-        row, col, sims = _cut(best, held, k)
+                sims = queries[rows] @ corpus[low:high].T
+                if np.isneginf(floor[rows]).any():
+                    row, col, sims = _best_columns(sims, k)
+                else:
+                    row, col = np.nonzero(sims >= (floor[rows] - _DECIMALS_MARGIN)[:, None])
+                    sims = np.round(sims[row, col], DECIMALS) + 0.0
+                parts.append((rows[row], low + col, sims))
+                waiting += len(row)
+                if waiting > most:
+                    best, parts, waiting = _cut(_joined([best, *parts]), held, k), [], 0
+                    last = np.searchsorted(best[0], np.arange(asked.num_rows), side="right") - 1
+                    full = np.bincount(best[0], minlength=asked.num_rows) == k
+                    floor[full] = np.maximum(floor[full], best[2][last[full]])
+        row, col, sims = _cut(_joined([best, *parts]), held, k)
         return pa.table([asked.column("q_id").take(pa.array(row)), held.column("c_id").take(pa.array(col)), pa.array(sims)], schema=schema)
 
     return score
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _cut(found: tuple[np.ndarray, np.ndarray, np.ndarray], held: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` best of each query, the higher id first among equal scores."""
     preferred = np.empty(held.num_rows, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,24 @@ def test_empty_sides_and_stored_index(spark, tmp_path):
     assert [len(x) for x in found(again.search(some, 5).hits).values()] == [3, 3, 3]
     with pytest.raises(ValueError, match="no index"):
         PivotIndex.open(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_shelf_ranks_only_what_reaches_the_known_score(monkeypatch):
+    """Rows below a query's floor are not ranked or handed on; the others are as without one, whenever the best are taken."""
+    rng = np.random.default_rng(8)
+    vectors, asked = rng.normal(size=(900, 6)), rng.normal(size=(40, 6))
+    held = pa.table([pa.array(range(900)), pa.array(vectors.tolist(), pa.list_(pa.float64())), pa.array(np.repeat(np.arange(9), 100), pa.int32())], ["c_id", "c_vec", "block"])
+    sims = np.round(asked @ vectors.T, 6)
+    order = [sorted(range(900), key=lambda c, row=row: (-row[c], -c)) for row in sims]
+
+    def visits(floor):
+        return pa.table([pa.array(range(40)), pa.array(asked.tolist(), pa.list_(pa.float64())), pa.array(floor, pa.float64()), pa.array([[*range(9)]] * 40, pa.list_(pa.int32()))],
+                        ["q_id", "q_vec", "floor", "met"])
+
+    for cut in (100_000, -390):
+        monkeypatch.setattr(pivots, "_CUT_ROWS", cut)
+        for k, floor in ((5, [None] * 40), (5, [row[order[i][7]] for i, row in enumerate(sims)]), (5, [row[order[i][2]] for i, row in enumerate(sims)]), (5, [-100.0] * 40)):
+            got = [(r["q_id"], r["c_id"], r["similarity"]) for r in pivots._shelf_scorer(k)(visits(floor), held).to_pylist()]
+            reached = [len(o) if f is None else sum(sims[i][c] >= f - 2.1e-6 for c in o) for i, (o, f) in enumerate(zip(order, floor, strict=True))]
+            assert got == [(i, c, sims[i][c]) for i, o in enumerate(order) for c in o[: min(k, reached[i])]]
+            assert floor[0] is None or len(got) == sum(min(k, n) for n in reached)

@@ -22,7 +22,7 @@ from .registry import query
 from .retrieval import TFIDF_CTES
 from .scoring import DRAFTS, draft_sql, stored_drafts
 from .sources import scratch
-from .text import FIRST_REPLY, HIT_TEXT, LINKED, SILVER, SYNTHETIC, concrete_sql, linked, silver, sop_name_sql
+from .text import FIRST_REPLY, HIT_TEXT, LINKED, SILVER, SYNTHETIC, concrete_sql, labelled_turns, linked, sop_name_sql
 from .views import hit, lit, rate, with_
 
 RULES = CorpusRules(brand=v.BRAND, intents=v.INTENT_WORDS, exclude=v.EXCLUDE_WORDS, redirect=v.REDIRECT_WORDS)
@@ -167,7 +167,7 @@ FROM (SELECT tau, {ROUTED}, {rate("count(*) FILTER (WHERE difficulty_tier = 'eas
   {rate("count(*) FILTER (WHERE difficulty_tier = 'hard' AND gold_decision = decision)", "count(*) FILTER (WHERE difficulty_tier = 'hard')")} AS accuracy_hard
   FROM (SELECT b.*, x.tau, CASE WHEN NOT gated AND similarity >= x.tau THEN 'auto_handle' ELSE 'escalate' END AS decision FROM b3 b, (SELECT unnest({list(B3_TAUS)}::DOUBLE[]) AS tau) x) GROUP BY 1)""")
 def _(t):
-    rows = silver(t).select(F.col("msg_id").alias("id"), "text", "silver_intent")
+    rows = labelled_turns(t)
     golden = rows.filter(F.col("silver_intent").isNull()).select(
         "id", "text", F.when(F.lower("text").contains("der"), "de").otherwise("en_the").alias("gold_intent"),
         F.when(F.col("id") % 3 == 0, d.ESCALATE).otherwise(d.AUTO_HANDLE).alias("gold_decision"),

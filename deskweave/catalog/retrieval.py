@@ -19,7 +19,7 @@ from ..sources.tables import read_or_build
 from . import views as v
 from .registry import query
 from .sources import scratch
-from .text import SILVER, silver
+from .text import SILVER, labelled_turns, silver
 from .views import lit, with_
 
 K = 3
@@ -194,7 +194,7 @@ TFIDF_CTES = (*USER_GRAMS, SILVER, TFIDF_SIDES, TFIDF_NN)
 
 @query("tfidf_nn", with_(*TFIDF_CTES) + "SELECT d.msg_id AS id, n.hit_id, coalesce(n.similarity, 0.0) AS similarity FROM qdocs d LEFT JOIN nn n ON n.id = d.msg_id")
 def _(t):
-    rows = silver(t).select(F.col("msg_id").alias("id"), "text", "silver_intent")
+    rows = labelled_turns(t)
     asked = rows.filter(F.col("silver_intent").isNull()).select("id", "text")
     return tfidf_nearest(asked, rows.filter(F.col("silver_intent").isNotNull()).select("id", "text"))
 

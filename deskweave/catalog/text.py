@@ -14,6 +14,7 @@ from ..operators.links import attach_first_reply, brand_messages
 from ..operators.procedures import sop_inventory, sop_match
 from ..operators.rule_table import rules_that_hit
 from ..operators.triage import degenerate_record
+from ..session import cut_lineage
 from . import views as v
 from .registry import query
 from .views import hit, lit, with_
@@ -106,6 +107,13 @@ def silver(t):
     return rows.withColumn("silver_intent", weak_label(F.col("text"), v.INTENT_WORDS, v.EXCLUDE_WORDS))
 
 
+def labelled_turns(t):
+    """(id, text, silver_intent), written down once for both sides of a search; the patterns run on every core, however few parts the files have."""
+    turns = v.user_turns(t).repartition("msg_id")
+    label = weak_label(F.col("text"), v.INTENT_WORDS, v.EXCLUDE_WORDS)
+    return cut_lineage(turns.select(F.col("msg_id").alias("id"), "text", label.alias("silver_intent")))
+
+
 @query("silver_label", with_(v.USERS, SILVER) + "SELECT msg_id, silver_intent FROM silver")
 def _(t):
     return silver(t).select("msg_id", "silver_intent")

@@ -20,8 +20,8 @@ from ..session import cut_lineage
 BLOCK, BLOCKS, LEAST_BLOCK = 32_768, 4, 1_024
 #: Terms that are columns at most; only those that bring together at least every so-manieth pair of two blocks.
 COLUMNS, COMMON = 512, 512
-#: Scores, and postings beside them, that are held at a time.
-CELLS, TOUCHED = 8_000_000, 2_000_000
+#: Scores, and postings beside them, that are held at a time; rows of the corpus that they are of at most.
+CELLS, TOUCHED, STRIP = 2_000_000, 2_000_000, 4_096
 DECIMALS = 6
 #: Pairs whose whole rows are put side by side at a time.
 PAIRS = 20_000
@@ -99,24 +99,45 @@ def _near(asked: pa.Table, held: pa.Table):
     common = common[met[common] * COMMON >= n * m]
     column = np.full(len(names), -1)
     column[common] = np.arange(len(common))
+    # A strip of the rows held, so that the scores of a part stay near the processor from one step to the next.
+    strips = [slice(at, min(m, at + STRIP)) for at in range(0, m, STRIP)]
+    width = min(m, STRIP)
     right = _dense(column, h_row, h_term, h_weight, m, len(common))
     rare = column[h_term] < 0
-    by = np.argsort(h_term[rare], kind="stable")
-    p_row, p_term, p_weight = (x[rare][by] for x in (h_row, h_term, h_weight))
-    begin, end = np.searchsorted(p_term, a_term), np.searchsorted(p_term, a_term, side="right")  # nothing for a column
-    up_to = np.cumsum(np.bincount(a_row, end - begin, minlength=n))
+    key = (h_row // STRIP * len(names) + h_term)[rare]
+    by = np.argsort(key, kind="stable")
+    p_row, p_weight = (x[rare][by] for x in (h_row % STRIP, h_weight))
+    start = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=len(strips) * len(names)))])
+    up_to = np.cumsum(np.bincount(a_row, np.bincount(h_term[rare], minlength=len(names))[a_term], minlength=n))  # nothing for a column
     # All weights are positive, so each shared term adds no more than one rounding to the error of a sum.
     share = 2.0**-23 * (int(np.bincount(a_row).max()) + 8)
+    # New memory for each part would take as long as its scores.
+    most = min(n, max(1, CELLS // width))
+    held_scores, held_marks = np.empty(most * width, np.float32), np.empty(-(-most * width // 8) * 8, bool)
     low = 0
     while low < n:
-        high = max(low + 1, min(low + max(1, CELLS // m), n, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + TOUCHED, side="right"))))
+        high = max(low + 1, min(low + most, n, int(np.searchsorted(up_to, (up_to[low - 1] if low else 0) + TOUCHED, side="right"))))
         some = slice(int(np.searchsorted(a_row, low)), int(np.searchsorted(a_row, high)))
-        scores = _dense(column, a_row[some] - low, a_term[some], a_weight[some], high - low, len(common)) @ right.T
-        counts = (end - begin)[some]
-        place = np.arange(counts.sum()) + np.repeat(begin[some] - (np.cumsum(counts) - counts), counts)
-        np.add.at(scores.reshape(-1), np.repeat((a_row[some] - low) * m, counts) + p_row[place], np.repeat(a_weight[some], counts) * p_weight[place])
-        floor = np.maximum(scores.max(axis=1) * np.float32(1 - 2 * share) - np.float32(_ROUNDING), np.finfo(np.float32).tiny)
-        row, other = np.nonzero(scores >= floor[:, None])
+        left = _dense(column, a_row[some] - low, a_term[some], a_weight[some], high - low, len(common))
+        best, found = np.zeros(high - low, np.float32), []
+        for number, strip in enumerate(strips):
+            wide = strip.stop - strip.start
+            scores = held_scores[: (high - low) * wide].reshape(high - low, wide)
+            np.matmul(left, right[strip].T, out=scores)
+            begin = start[number * len(names) + a_term[some]]
+            counts = start[number * len(names) + a_term[some] + 1] - begin
+            place = np.repeat(begin - (np.cumsum(counts) - counts), counts)
+            place += np.arange(len(place))
+            cell, value = np.repeat((a_row[some] - low) * wide, counts), np.repeat(a_weight[some], counts)
+            cell += p_row[place]
+            value *= p_weight[place]
+            np.add.at(scores.reshape(-1), cell, value)
+            np.maximum(best, scores.max(axis=1), out=best)
+            row, other = _reached(scores, _floor(best, share), held_marks)
+            found.append((row, other + strip.start, scores[row, other]))
+        row, other, value = (np.concatenate(x) for x in zip(*found))
+        near = value >= _floor(best, share)[row]
+        row, other = row[near], other[near]
         for at in range(0, len(row), PAIRS):  # whole rows of a few pairs at a time
             a, b = row[at : at + PAIRS] + low, other[at : at + PAIRS]
             batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(asked.column(x).chunk(0).take(pa.array(a)) for x in ("q_terms", "q_weights")),
@@ -125,6 +146,22 @@ def _near(asked: pa.Table, held: pa.Table):
         low = high
 
 
+def _floor(best: np.ndarray, share: float) -> np.ndarray:
+    """What a score reaches at least that may be its row's best one, by the error of single precision."""
+    return np.maximum(best * np.float32(1 - 2 * share) - np.float32(_ROUNDING), np.finfo(np.float32).tiny)
+
+
+def _reached(scores: np.ndarray, floor: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that reach their row's floor; few do, so marks are looked at by eights first."""
+    cells = scores.size
+    marks = marks[: -(-cells // 8) * 8]
+    marks[cells:] = False
+    np.greater_equal(scores, floor[:, None], out=marks[:cells].reshape(scores.shape))
+    eights = np.flatnonzero(marks.view(np.uint64))
+    place = (eights[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(place[marks[place]], scores.shape[1])
+
+
 def _numbered(names: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries whose term is among the sorted ``names``, with its place there."""
     place = np.minimum(np.searchsorted(names, term), len(names) - 1)

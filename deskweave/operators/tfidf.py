@@ -79,6 +79,35 @@ def _counted(batch: pa.RecordBatch, terms: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), *lists], ["id", "terms", "counts"])
 
 
+def unit_weights(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of a batch of ``known_counts``, by row and then by term; what equal ids listed several times is added up."""
+    entries = batch.column(1).flatten()
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    key, which = np.unique(row * len(idf) + entries.field("terms").to_numpy(zero_copy_only=False), return_inverse=True)
+    tf = np.bincount(which, entries.field("counts").to_numpy(zero_copy_only=False))
+    row, term = np.divmod(key, max(1, len(idf)))
+    raw = (1.0 + np.log(tf)) * idf[term]
+    return row, term, raw / np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))[row]
+
+
+def known_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: pa.Table) -> DataFrame:
+    """(id, terms, weights): ``sparse_rows`` of a bounded vocabulary (term, term_ix, idf), whose terms are counted where a text is read.
+
+    ``term_ix`` counts from 0 in the order of the rows.
+    """
+    counts = known_counts(docs, id_col, text_col, vocabulary.column("term").combine_chunks())
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.column("idf").to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, weight = unit_weights(batch, shared.value)
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term.astype(np.int32), weight))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "terms", "weights"])
+
+    return counts.mapInArrow(run, f"id {counts.schema['id'].dataType.simpleString()}, terms array<int>, weights array<double>")
+
+
 def term_totals(counts: DataFrame) -> DataFrame:
     """(term, total, df)."""
     return counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))

@@ -7,7 +7,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from ..functions.rules import Rule
 from ..functions.text import strip_handles
 from ..operators import metrics as m
 from ..operators.postings import sparse_best
-from ..operators.tfidf import BROADCAST_TERMS, fit_idf, known_counts, sparse_rows, term_counts
+from ..operators.tfidf import BROADCAST_TERMS, fit_idf, known_counts, known_rows, sparse_rows, term_counts, unit_weights
 from ..session import cut_lineage
 
 _ROWS_PER_TASK = 20_000
@@ -30,11 +29,18 @@ def tfidf_nearest(queries: DataFrame, corpus: DataFrame, n_terms: int | None = 5
     Vocabulary and idf come from the corpus only: its ``n_terms`` most frequent terms, or all (None).  Every query is returned; one
     without a shared term has a null ``hit_id`` and similarity 0.
     """
-    counts = cut_lineage(term_counts(corpus, "id", "text"))  # texts are taken apart once
-    idf = cut_lineage(fit_idf(counts, corpus, n_terms))
-    indexed = sparse_rows(counts, idf, n_terms)
-    asked = sparse_rows(term_counts(queries, "id", "text"), idf, n_terms)
-    hits = sparse_best(asked, indexed, query_id="id", corpus_id="id", bounded_terms=n_terms is not None and n_terms <= BROADCAST_TERMS)
+    counts = term_counts(corpus, "id", "text")
+    bounded = n_terms is not None and n_terms <= BROADCAST_TERMS
+    if bounded:
+        # Other terms weigh nothing, so they are counted for the vocabulary alone and neither written down nor joined.
+        vocabulary = fit_idf(counts, corpus, n_terms).toArrow().sort_by("term_ix").combine_chunks()
+        asked, indexed = (known_rows(side, "id", "text", vocabulary) for side in (queries, corpus))
+    else:
+        counts = cut_lineage(counts)  # texts are taken apart once
+        idf = cut_lineage(fit_idf(counts, corpus, n_terms))
+        indexed = sparse_rows(counts, idf, n_terms)
+        asked = sparse_rows(term_counts(queries, "id", "text"), idf, n_terms)
+    hits = sparse_best(asked, indexed, query_id="id", corpus_id="id", bounded_terms=bounded)
     return queries.select("id").join(hits, "id", "left").select(
         "id", "hit_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
@@ -129,13 +135,7 @@ def _linear_sums(counts: DataFrame, idf: np.ndarray, matrix: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, matrix = shared.value
         for batch in batches:
-            entries = batch.column(1).flatten()
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
-            key, which = np.unique(row * len(idf) + entries.field("terms").to_numpy(zero_copy_only=False), return_inverse=True)
-            tf = np.bincount(which, entries.field("counts").to_numpy(zero_copy_only=False))  # rows of one document together
-            row, term = key // len(idf), key % len(idf)
-            raw = (1.0 + np.log(tf)) * idf[term]
-            weight = raw / np.sqrt(np.bincount(row, raw * raw, minlength=batch.num_rows))[row]
+            row, term, weight = unit_weights(batch, idf)
             sums = np.stack([np.bincount(row, weight * own[term], minlength=batch.num_rows) for own in matrix], axis=1)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(matrix))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], ["id", "_sums"])

@@ -119,3 +119,55 @@ def test_common_terms_take_no_time_for_each_pair_that_shares_them(monkeypatch):
     monkeypatch.setattr(postings, "np", Counted())
     got = postings._block_scorer(True)(asked, held)
     assert got.num_rows == 6000 and 0 < sum(met) < 0.02 * 6000 * 6000
+
+
+@pytest.mark.parametrize("strip", [1, 7, 64, 4096])
+def test_strips_of_the_corpus_leave_the_same_pairs(monkeypatch, strip):
+    """The best row may stand in any strip, and equal scores in several; the lower id is kept."""
+    rng = random.Random(6)
+    held = rows(150, list(range(300)), rng, common=(300, 301))
+    held += [(900 - i, [2000, 2001 + i], [0.6, 0.8]) for i in range(20)]
+    asked = rows(60, list(range(300)), rng, first=1000, common=(301,)) + [(2000, [2000], [1.0])]
+    kinds = pa.list_(pa.int64()), pa.list_(pa.float64())
+
+    def table(some, side):
+        return pa.table([pa.array([r[0] for r in some]), *(pa.array([r[i + 1] for r in some], kinds[i]) for i in range(2))], [f"{side}_id", f"{side}_terms", f"{side}_weights"])
+
+    monkeypatch.setattr(postings, "STRIP", strip)
+    for columns in (512, 0):
+        monkeypatch.setattr(postings, "COLUMNS", columns)
+        got = postings._block_scorer(True)(table(asked, "q"), table(held, "c")).to_pylist()
+        want = brute(asked, held)
+        assert {r["q_id"]: (r["c_id"], r["similarity"]) for r in got} == want and want[2000] == (881, 0.6)
+
+
+def test_scores_that_reach_their_floor():
+    rng = np.random.default_rng(8)
+    marks = np.ones(80, bool)
+    for shape in ((1, 1), (3, 5), (8, 8), (7, 11)):
+        scores, floor = rng.random(shape, np.float32), rng.random(shape[0], np.float32)
+        assert [x.tolist() for x in postings._reached(scores, floor, marks)] == [x.tolist() for x in np.nonzero(scores >= floor[:, None])]
+
+
+def test_scores_are_held_a_strip_at_a_time(monkeypatch):
+    """Whatever the size of a block, its scores lie in one piece of memory of a fixed size; before, each part made a new one as wide as the block."""
+    rng = random.Random(2)
+    monkeypatch.setattr(postings, "CELLS", 2_000)
+    monkeypatch.setattr(postings, "STRIP", 100)
+    held, asked = rows(900, list(range(500)), rng, common=(500,)), rows(90, list(range(500)), rng, first=1000, common=(500,))
+    sizes = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def matmul(self, left, right, out):
+            sizes.append((out.size, out.base is not None))
+            return np.matmul(left, right, out=out)
+
+    monkeypatch.setattr(postings, "np", Watched())
+    table = {side: pa.table([pa.array([r[0] for r in some]), pa.array([r[1] for r in some], pa.list_(pa.int64())), pa.array([r[2] for r in some], pa.list_(pa.float64()))],
+                            [f"{side}_id", f"{side}_terms", f"{side}_weights"]) for side, some in (("q", asked), ("c", held))}
+    got = postings._block_scorer(True)(table["q"], table["c"]).to_pylist()
+    assert {r["q_id"]: (r["c_id"], r["similarity"]) for r in got} == brute(asked, held)
+    assert len(sizes) >= 9 * 5 and all(size <= 2_000 and shared for size, shared in sizes)

@@ -221,3 +221,39 @@ def test_known_terms_are_counted_where_a_text_is_read(spark, monkeypatch):
         assert got == want and got[(1, "my song")] == 3 and got[(5, "song song")] == 49
     assert tfidf.known_counts(docs.limit(0), "id", "text", terms).collect() == []
     assert "explode" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_known_terms_equal_the_joined_ones(spark):
+    """Equal ids are one document; a text without a known term has no row, and a null id keeps one."""
+    texts = [(1, "open the app and open the door"), (2, None), (3, "zz yy"), (4, "the door"), (1, "the app"), (None, "app app"), (5, "The APP the app"), (6, "")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    counts = term_counts(docs, "id", "text")
+    idf = fit_idf(counts, docs, 9)
+    want = {r.id: (r.terms, r.weights) for r in sparse_rows(counts, idf, 9).collect()}
+    found = tfidf.known_rows(docs, "id", "text", idf.toArrow().sort_by("term_ix").combine_chunks())
+    assert dict(found.dtypes) == dict(sparse_rows(counts, idf, 9).dtypes)
+    got = {r.id: (r.terms, r.weights) for r in found.collect()}
+    assert got.keys() == want.keys() and None in got
+    for i, (terms, weights) in want.items():
+        assert got[i][0] == terms and got[i][1] == pytest.approx(weights, abs=1e-12)
+    none = docs.filter("id = 3")
+    assert tfidf.known_rows(none, "id", "text", idf.toArrow().sort_by("term_ix").combine_chunks()).collect() == []
+    assert tfidf.known_rows(docs, "id", "text", idf.toArrow().slice(0, 0)).collect() == []
+
+
+def test_turns_are_labelled_once_for_both_sides(spark, tmp_path, monkeypatch):
+    """Neither side reads the table again, and only terms of the corpus are spread row by row."""
+    from deskweave import catalog
+    from deskweave.catalog import compositions
+    from deskweave.plans import baselines
+
+    words = ["the app is open", "der app und nicht", "nothing here", "les that"]
+    turns = [(i, 0, "user", f"{words[i % 4]} word{i % 5}") for i in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sides, spread = [], []
+    report, counts = compositions.retrieval_policy_report, baselines.term_counts
+    monkeypatch.setattr(compositions, "retrieval_policy_report", lambda golden, corpus, *a: sides.extend((golden, corpus)) or report(golden, corpus, *a))
+    monkeypatch.setattr(baselines, "term_counts", lambda docs, *a: spread.append(docs) or counts(docs, *a))
+    assert len(catalog.queries()["baseline3_report"](spark, str(tmp_path)).collect()) == 6
+    assert len(sides) == 2 and not any("parquet" in x._jdf.queryExecution().toString() for x in sides)
+    assert len(spread) == 1

@@ -21,7 +21,7 @@ BLOCK, BLOCKS, LEAST_BLOCK = 32_768, 4, 1_024
 #: Terms that are columns at most; only those that bring together at least every so-manieth pair of two blocks.
 COLUMNS, COMMON = 512, 512
 #: Scores, and postings beside them, that are held at a time; rows of the corpus that they are of at most.
-CELLS, TOUCHED, STRIP = 2_000_000, 2_000_000, 4_096
+CELLS, TOUCHED, STRIP = 1_000_000, 2_000_000, 4_096
 DECIMALS = 6
 #: Pairs whose whole rows are put side by side at a time.
 PAIRS = 20_000
@@ -132,9 +132,12 @@ def _near(asked: pa.Table, held: pa.Table):
             cell += p_row[place]
             value *= p_weight[place]
             np.add.at(scores.reshape(-1), cell, value)
-            np.maximum(best, scores.max(axis=1), out=best)
-            row, other = _reached(scores, _floor(best, share), held_marks)
-            found.append((row, other + strip.start, scores[row, other]))
+            top = scores.max(axis=1)
+            np.maximum(best, top, out=best)
+            floor = _floor(best, share)
+            hot = np.flatnonzero(top >= floor)  # for most queries, an earlier strip has a better row
+            row, other = _reached(scores[hot], floor[hot], held_marks)
+            found.append((hot[row], other + strip.start, scores[hot[row], other]))
         row, other, value = (np.concatenate(x) for x in zip(*found))
         near = value >= _floor(best, share)[row]
         row, other = row[near], other[near]
